@@ -50,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start, n - start)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices; fn gives a dict of columns in the order of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -58,7 +58,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBat
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices(batches, column, most):
             out = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

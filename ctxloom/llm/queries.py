@@ -3,16 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import decontaminate, lang_id, line_dedup, near_dedup, quality_rules
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lang_id.held_out(F.col("doc_id"), 4, 2)
+    said = lang_id.identify(docs.select("doc_id", "text"), docs.where(~out))
+    return said.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
