@@ -10,8 +10,9 @@ A text's set holds its distinct 5-word shingles (A-Z lower-cased). Two texts are
 3. Keys with one member go. For the rest, shingles that no other candidate has bound what a text can share with any
    partner; texts whose bound is under the threshold are settled without a pair.
 4. Every key links its members to one centre (the member with fewest unshared shingles): n - 1 pairs a key, not
-   n * (n - 1) / 2. Pairs are confirmed on full sets. Keys whose members are not all in one component then pair only
-   members of different components that the size bound allows. No link between components is left out, nothing is capped.
+   n * (n - 1) / 2. Pairs are confirmed on full sets. Keys whose members are not all in one component then compare only
+   members outside the key's largest component, with what the size bound allows of other components; the full sets are
+   compared in the join's condition, so only links come out. No link between components is left out, nothing is capped.
 5. Components by alternating large-star and small-star steps over Parquet tables in the shared folder.
 
 Null and empty texts, and texts without words: an empty set, linked with nothing, their own component. Ties go to the
@@ -152,12 +153,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = live.groupBy("key", "part").agg(F.count("*").alias("size"))
     mixed = mixed.groupBy("key").agg(F.max(F.struct("size", "part")).alias("main"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     mixed = materialize(mixed.select("key", F.col("main.part").alias("main")), "nd-mixed")
-    open_ = materialize(live.join(mixed, "key"), "nd-open")
-    few = open_.where("part != main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("most").alias("am"), F.col("part").alias("ap"))
+    open_ = live.join(mixed, "key").join(sets, "rep")
+    few = open_.where("part != main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("most").alias("am"), F.col("part").alias("ap"), F.col("shingles").alias("sa"))
     apart = (F.col("part") != F.col("ap")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("rep")))
-    rest = few.join(open_, "key").where(apart & possible).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "nd-rest")
-    links = materialize(links.unionByName(_confirmed(rest, sets)), "nd-all-links")
+    linked = F.size(F.array_intersect("sa", "shingles")) * (100 + SHARE) >= (F.col("n") + F.col("an")) * SHARE
+    alike = few.alias("few").join(open_.alias("all"), (F.col("few.key") == F.col("all.key")) & apart & possible & linked)
+    rest = alike.select(F.col("a").alias("u"), F.col("rep").alias("v")).distinct()
+    links = materialize(links.unionByName(rest), "nd-all-links")
     parts = components(links, "nd-cc2")
 
     classes = same.join(parts, same.rep == parts.node, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"), "class_size")
