@@ -131,7 +131,7 @@ class Vocabulary:
 class Transducer:
     """A minimal acyclic automaton of byte strings whose arcs' numbers add up to a word's rank; ranks have id lists."""
 
-    FIELDS = (("key", np.int64), ("target", np.int32), ("add", np.int32), ("final", np.uint8), ("start", np.int32), ("ids", np.uint16))
+    FIELDS = (("key", np.int64), ("target", np.int32), ("add", np.int32), ("final", np.uint8), ("start", np.int32), ("ids", np.uint32))
 
     def __init__(self, **arrays: np.ndarray):
         self.__dict__.update(arrays)

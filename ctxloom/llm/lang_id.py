@@ -149,11 +149,11 @@ def text_probabilities(texts: pa.Array, score: _Scorer, langs: int, block: int =
     return out / np.maximum(size, 1)[:, None]
 
 
-def predict(docs: DataFrame, net: dict | None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, lang_pred, score."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def predict(docs: DataFrame, net: dict | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs (text, ...) -> the columns in `carry`, lang_pred, score."""
+    docs = docs.select(*{c: F.col(f"`{c}`") for c in carry if c != "text"}.values(), F.col("text").cast("string").alias("text"))
     if net is None:
-        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*carry, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     made: dict = {}
 
@@ -165,13 +165,13 @@ def predict(docs: DataFrame, net: dict | None) -> DataFrame:
         known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
         best = p.argmax(1) if len(p) else np.zeros(0, int)
         return {
-            "doc_id": column_of(batch, "doc_id"),
+            **{c: column_of(batch, c) for c in carry},
             "lang_pred": [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)],
             "score": np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0),
         }
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, score, f"doc_id {kind}, lang_pred string, score double")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return map_slices(docs, score, f"{', '.join(kinds)}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

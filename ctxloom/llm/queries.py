@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, lang_id, line_dedup, near_dedup, quality_rules, toxicity
+from . import bpe, chat_format, co_training, decontaminate, html_extract, lang_id, line_dedup, near_dedup, quality_rules, toxicity
 from .common import table
 
 
+REPLY_SCHEMA = (
+    '{"type":"object","required":["text","words"],"additionalProperties":false,'
+    '"properties":{"text":{"type":"string","minLength":1},"words":{"type":"integer","minimum":1}}}'
+)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lang_id.held_out(F.col("doc_id"), 4, 2)
@@ -45,10 +51,30 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no tool calls: a user's turn is read as a call of `reply` that needs the user's turn before it, an
+    assistant's turn as the result of the call in the turn before."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ident = lambda back: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - back)
+    words = F.size(F.array_remove(F.split("text", r"\s+"), ""))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", F.coalesce(ident(0), F.lit("c")).alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct("text", words.alias("words"))).alias("arguments"), F.array_compact(F.array(ident(2))).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", F.coalesce(ident(1), F.lit("c")).alias("call_id"), F.col("text").alias("content"))
+    plain = turns.where("role is null or role not in ('user', 'assistant')")
+    schemas = spark.createDataFrame([("reply", REPLY_SCHEMA)], "name string, schema string")
+    return chat_format.format_chats(plain, calls, results, schemas)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_training.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -57,7 +83,9 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_html_extraction": op7_html_extraction,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
