@@ -1,6 +1,475 @@
-"""Registry of the engine's own queries and of the SQL that gives the same rows."""
+"""Registry of the engine's own queries over the supplied tables, and of the SQL that gives the same rows.
+
+Doubles are rounded to six places on both sides. Nothing here imports the training-data subpackage.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import chunk, distill, media, memory, search, session, telemetry
+from .plans import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+QUERY_WORDS = [(1, "the ontion"), (2, "thing"), (3, "of anand the"), (4, "and erth")]
+QUERY_IDS = (0, 7, 42)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents")
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+STOPS = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
+L0 = (
+    "array_to_string(list_filter(string_split_regex(trim(regexp_replace(regexp_replace({c}, '\\s+', ' ', 'g'), "
+    "'[^\\pL\\pN_\\s\\x{{4e00}}-\\x{{9fff}}.,!?;:]', '', 'g')), '\\s+'), lambda x: x <> '' AND lower(x) NOT IN " + STOPS + "), ' ')"
+)
+L2 = "substring({c}, 1, CAST(floor(length({c}) * CAST({rate} AS DOUBLE)) AS BIGINT))"
+L3 = "concat(array_to_string(list_slice(string_split({c}, '。'), 1, greatest(1, len(string_split({c}, '。')) // 5)), '。'), '。')"
+L1_CTES = """sent AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+ flat AS (SELECT doc_id, s, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM sent),
+ ranked AS (SELECT doc_id, s, x, i, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len(list_distinct(string_split_regex(lower(x), '\\s+'))) AS DOUBLE) / len(string_split_regex(x, '\\s+')) DESC, i) AS r FROM flat),
+ l1 AS (SELECT doc_id, string_agg(x, ' ' ORDER BY list_position(s, x), i) AS out FROM ranked WHERE r <= greatest(1, CAST(floor(len(s) * CAST(0.5 AS DOUBLE)) AS BIGINT)) GROUP BY doc_id)"""
+RATIO = "CASE WHEN {i} > 0 THEN round(1 - CAST({o} AS DOUBLE) / {i}, 6) ELSE 0.0e0 END"
+
+
+@query(f"SELECT doc_id, {L0.format(c='text')} AS out FROM documents")
+def text_l0_clean(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.l0_clean(F.col("text")).alias("out"))
+
+
+@query(f"""WITH t AS (SELECT lang, length(text) // 4 AS i, length({L0.format(c='text')}) // 4 AS o FROM documents)
+ SELECT lang, count(*) AS n, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, {RATIO.format(i='sum(i)', o='sum(o)')} AS compression_ratio FROM t GROUP BY lang""")
+def text_l0_stats(spark, sf_dir):
+    return distill.level_stats(_docs(spark, sf_dir), "L0", ["lang"])
+
+
+@query(f"WITH {L1_CTES} SELECT d.doc_id, coalesce(l1.out, d.text) AS out FROM documents d LEFT JOIN l1 USING (doc_id)")
+def text_l1_selective(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.l1_select(F.col("text")).alias("out"))
+
+
+@query(f"SELECT doc_id, {L2.format(c='text', rate=0.4)} AS out FROM documents")
+def text_l2_truncate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.l2_truncate(F.col("text")).alias("out"))
+
+
+@query(f"SELECT doc_id, {L3.format(c='text')} AS out FROM documents")
+def text_l3_lead(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.l3_lead(F.col("text")).alias("out"))
+
+
+@query(f"""WITH {L1_CTES}, t AS (SELECT d.lang, d.text, {L0.format(c='d.text')} AS l0, coalesce(l1.out, d.text) AS l1, {L2.format(c='d.text', rate=0.4)} AS l2, {L3.format(c='d.text')} AS l3 FROM documents d LEFT JOIN l1 USING (doc_id)),
+ u AS (SELECT lang, length(text) // 4 AS i, unnest(['L0', 'L1', 'L2', 'L3']) AS level, unnest([length(l0) // 4, length(l1) // 4, length(l2) // 4, length(l3) // 4]) AS o FROM t)
+ SELECT lang, level, count(*) AS n, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, {RATIO.format(i='sum(i)', o='sum(o)')} AS compression_ratio FROM u GROUP BY lang, level""")
+def text_levels_compare(spark, sf_dir):
+    return distill.compare_levels(_docs(spark, sf_dir), "lang")
+
+
+def _suffix(c: str, s: tuple) -> str:
+    return "(" + " OR ".join(f"ends_with({c}, '{x}')" for x in s) + ")"
+
+
+TYPE_SQL = f"""CASE WHEN starts_with(item, 'data:') THEN 'data_uri' WHEN starts_with(item, 'http://') OR starts_with(item, 'https://') THEN 'url'
+ WHEN {_suffix('lower(item)', X.AUDIO)} THEN 'audio' WHEN {_suffix('lower(item)', X.VIDEO)} THEN 'video' WHEN {_suffix('lower(item)', X.IMAGE)} THEN 'image' WHEN {_suffix('lower(item)', X.DOCUMENT)} THEN 'document' ELSE 'text' END"""
+RESOLVED_SQL = f"CASE kind WHEN 'data_uri' THEN 'image' WHEN 'url' THEN CASE WHEN {_suffix('lower(item)', X.URL_IMAGE)} THEN 'image' ELSE 'text' END ELSE kind END"
+
+
+@query(f"WITH {V.ITEMS_SQL}, t AS (SELECT pos, item, {TYPE_SQL} AS kind FROM items) SELECT pos, kind, {RESOLVED_SQL} AS resolved FROM t")
+def detect_type(spark, sf_dir):
+    return V.items(spark, sf_dir).select("pos", X.detect_type(F.col("item")).alias("kind"), X.resolve_type(F.col("item")).alias("resolved"))
+
+
+@query(f"""WITH {V.ITEMS_SQL}, t AS (SELECT pos, item, {TYPE_SQL} AS kind FROM items), u AS (SELECT pos, {RESOLVED_SQL} AS kind FROM t)
+ SELECT pos, CASE kind WHEN 'text' THEN CASE pos % 4 WHEN 0 THEN 'text/regex' WHEN 1 THEN 'text/selective' WHEN 2 THEN 'text/lingua' ELSE 'text/summary' END
+  WHEN 'document' THEN CASE WHEN pos % 5 = 2 AND pos % 2 = 0 THEN 'document/docling' WHEN pos % 5 = 3 THEN 'document/vlm' WHEN pos % 5 = 4 THEN 'document/ocr' ELSE 'document/native' END
+  WHEN 'image' THEN CASE WHEN pos % 2 = 0 THEN 'vision/roi' ELSE 'vision/dedup' END WHEN 'audio' THEN 'audio/stt' ELSE 'video/frames' END AS processor FROM u""")
+def route_processor(spark, sf_dir):
+    p = F.col("pos")
+    level = F.concat(F.lit("L"), (p % 4).cast("string"))
+    backends = F.array(*[F.lit(x) for x in ("markitdown", "pymupdf", "docling", "vlm", "deepseek")])
+    return V.items(spark, sf_dir).select("pos", distill.route(F.col("item"), level, F.get(backends, (p % 5).cast("int")), p % 2 == 0).alias("processor"))
+
+
+@query(f"""WITH t AS (SELECT source, length(text) // 4 AS i, length({L2.format(c='text', rate=0.4)}) // 4 AS o FROM documents)
+ SELECT source, count(*) AS n, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, {RATIO.format(i='sum(i)', o='sum(o)')} AS compression_ratio FROM t GROUP BY source""")
+def distill_batch_stats(spark, sf_dir):
+    return distill.level_stats(_docs(spark, sf_dir), "L2", ["source"])
+
+
+@query(f"""WITH {V.ITEMS_SQL}, t AS (SELECT pos, item, {TYPE_SQL} AS kind FROM items), u AS (SELECT pos, item, {RESOLVED_SQL} AS kind FROM t),
+ v AS (SELECT pos % 7 AS request_id, pos, kind, CASE WHEN kind = 'text' THEN {L2.format(c='item', rate=0.4)} ELSE item END AS content, CASE WHEN kind = 'text' THEN length(item) // 4 END AS i, CASE WHEN kind = 'text' THEN length({L2.format(c='item', rate=0.4)}) // 4 END AS o FROM u)
+ SELECT request_id, string_agg(concat(kind, ':', content), '|' ORDER BY pos) AS prompt, CAST(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(o), 0) AS BIGINT) AS output_tokens,
+  CASE WHEN coalesce(sum(i), 0) > 0 THEN round(1 - CAST(sum(o) AS DOUBLE) / sum(i), 6) ELSE 0.0e0 END AS compression_ratio FROM v GROUP BY request_id""")
+def distill_requests(spark, sf_dir):
+    items = V.items(spark, sf_dir).withColumn("request_id", F.col("pos") % 7)
+    done = distill.results(distill.distill(items, "balanced"))
+    text = F.array_join(F.transform("prompt", lambda x: F.concat(x["type"], F.lit(":"), x["content"])), "|")
+    return done.select("request_id", text.alias("prompt"), "input_tokens", "output_tokens", F.round("compression_ratio", 6).alias("compression_ratio"))
+
+
+# --- documents ------------------------------------------------------------------------------------------------------
+
+@query()
+def doc_smart_chunk(spark, sf_dir):
+    return chunk.smart_chunks(_docs(spark, sf_dir))
+
+
+@query()
+def doc_chunk_rollup(spark, sf_dir):
+    return chunk.document_rollup(chunk.compressed_chunks(chunk.smart_chunks(_docs(spark, sf_dir)), "L2"))
+
+
+@query("""WITH f AS (SELECT concat('d', CAST(doc_id AS VARCHAR), '.md') AS path, concat('pre\n# ', replace(text, '. ', chr(10) || '## ')) AS content FROM documents),
+ l AS (SELECT path, string_split(content, chr(10)) AS ls FROM f), x AS (SELECT path, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM l),
+ p AS (SELECT path, line, i, sum(CASE WHEN i > 0 AND regexp_matches(line, '^#{1,3}\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS part FROM x),
+ g AS (SELECT path, min(i) AS i, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS content FROM p GROUP BY path, part)
+ SELECT path, concat(path, '#L', CAST(i + 1 AS VARCHAR)) AS source, content FROM g WHERE content <> ''""")
+def heading_chunk(spark, sf_dir):
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))
+    body = F.concat(F.lit("pre\n# "), F.replace("text", F.lit(". "), F.lit("\n## ")))
+    return chunk.heading_chunks(_docs(spark, sf_dir).select(path.alias("path"), body.alias("content")))
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
+def html_extract(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select("page_id", distill.plain_html(F.col("html")).alias("text"))
+
+
+# --- messages and transcripts -------------------------------------------------------------------------------------------
+
+TEXT_CTE = """lastn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx DESC) AS rn FROM messages),
+ st AS (SELECT session_id, coalesce(string_agg(CASE WHEN trim(content) <> '' THEN concat('[', role, '] ', content) END, chr(10) ORDER BY idx), '') AS text FROM lastn WHERE rn <= 50 GROUP BY session_id)"""
+FALLBACK = """concat('Conversation summary (', CAST(len(ls) AS VARCHAR), ' lines total):', chr(10), array_to_string(list_slice(kept, greatest(len(kept) - 9, 1), len(kept)), chr(10)))"""
+FALL_CTE = """fl AS (SELECT session_id, string_split(trim(text, ' ' || chr(10)), chr(10)) AS ls FROM st),
+ fk AS (SELECT session_id, ls, list_filter(ls, lambda x: starts_with(x, '[user]') OR starts_with(x, '[assistant]')) AS said FROM fl),
+ fs AS (SELECT session_id, ls, CASE WHEN len(said) = 0 THEN ls ELSE said END AS kept FROM fk)"""
+
+
+@query(f"""WITH {V.MESSAGES_SQL}, t AS (SELECT *, sum(CASE WHEN role = 'tool' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx DESC) AS k FROM messages)
+ SELECT session_id, idx, role, name, CASE WHEN role = 'tool' AND k > 2 AND length(content) >= 100 THEN concat('[Previous: used ', coalesce(name, 'tool'), ']') ELSE content END AS content FROM t""")
+def msg_micro_compact(spark, sf_dir):
+    return session.micro_compact(V.messages(spark, sf_dir), keep_recent=2)
+
+
+@query(f"WITH {V.MESSAGES_SQL} SELECT session_id, CAST(sum(length(content) // 4) AS BIGINT) AS tokens, count(*) AS messages FROM messages GROUP BY session_id")
+def msg_token_estimate(spark, sf_dir):
+    return session.session_tokens(V.messages(spark, sf_dir))
+
+
+@query(f"WITH {V.MESSAGES_SQL}, {TEXT_CTE} SELECT session_id, text FROM st")
+def msg_last_n_text(spark, sf_dir):
+    return session.session_text(V.messages(spark, sf_dir))
+
+
+@query(f"WITH {V.MESSAGES_SQL}, {TEXT_CTE}, {FALL_CTE} SELECT session_id, {FALLBACK} AS summary FROM fs")
+def msg_summary_fallback(spark, sf_dir):
+    return session.session_text(V.messages(spark, sf_dir)).select("session_id", session.fallback_summary(F.col("text")).alias("summary"))
+
+
+@query(f"""WITH {V.MESSAGES_SQL}, {TEXT_CTE}, tk AS (SELECT session_id, sum(length(content) // 4) AS tokens FROM messages GROUP BY session_id)
+ SELECT m.session_id, m.idx, m.role, m.name, m.content FROM messages m JOIN tk USING (session_id) WHERE tokens < 700
+ UNION ALL SELECT st.session_id, 0 AS idx, 'system' AS role, NULL AS name, concat('Previous conversation summary: ', {L2.format(c='text', rate=0.3)}) AS content FROM st JOIN tk USING (session_id) WHERE tokens >= 700""")
+def msg_auto_compact(spark, sf_dir):
+    return session.auto_compact(V.messages(spark, sf_dir), 700)
+
+
+TRANSCRIPTS_SQL = V.MESSAGES_SQL + """, transcripts AS (SELECT 1000 AS ts, * FROM messages UNION ALL SELECT 2000 AS ts, * FROM messages WHERE idx >= 1)"""
+
+
+def _transcripts(spark, sf_dir):
+    m = V.messages(spark, sf_dir)
+    return m.select(F.lit(1000).alias("ts"), "*").unionByName(m.where("idx >= 1").select(F.lit(2000).alias("ts"), "*"))
+
+
+@query(f"WITH {TRANSCRIPTS_SQL}, n AS (SELECT session_id, max(ts) AS ts FROM transcripts GROUP BY session_id) SELECT t.session_id, t.ts, idx, role, name, content FROM transcripts t JOIN n ON t.session_id = n.session_id AND t.ts = n.ts")
+def transcript_latest(spark, sf_dir):
+    return session.latest_transcript(_transcripts(spark, sf_dir))
+
+
+@query(f"WITH {TRANSCRIPTS_SQL} SELECT DISTINCT session_id FROM transcripts")
+def transcript_sessions(spark, sf_dir):
+    return session.sessions(_transcripts(spark, sf_dir))
+
+
+@query(f"WITH {TRANSCRIPTS_SQL}, n AS (SELECT session_id, max(ts) AS ts FROM transcripts GROUP BY session_id) SELECT t.session_id, t.ts, idx, role, name, content FROM transcripts t JOIN n ON t.session_id = n.session_id AND t.ts = n.ts WHERE idx >= 3")
+def transcript_replay(spark, sf_dir):
+    return session.replay(_transcripts(spark, sf_dir), 3)
+
+
+# --- memory ---------------------------------------------------------------------------------------------------------
+
+MEM7 = "id, user_id, agent_id, category, content, source, metadata"
+
+
+@query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7}, (SELECT count(*) FROM memories WHERE user_id = 'u1' AND agent_id = 'coder') AS total, 1.0e0 AS score FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' ORDER BY updated_at DESC, id DESC LIMIT 10 OFFSET 5")
+def mem_list_page(spark, sf_dir):
+    return memory.list_page(V.memories(spark, sf_dir), "u1", "coder", limit=10, offset=5)
+
+
+@query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7}, (SELECT count(*) FROM memories WHERE user_id = 'u2' AND agent_id = 'writer' AND category = 'rule') AS total, 1.0e0 AS score FROM memories WHERE user_id = 'u2' AND agent_id = 'writer' AND category = 'rule' ORDER BY updated_at DESC, id DESC LIMIT 20")
+def mem_list_category(spark, sf_dir):
+    return memory.list_page(V.memories(spark, sf_dir), "u2", "writer", "rule")
+
+
+@query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7} FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND source = 'src1.md#L2' ORDER BY id LIMIT 1")
+def mem_get_source(spark, sf_dir):
+    return memory.get_by_source(V.memories(spark, sf_dir), "u1", "coder", "src1.md#L2")
+
+
+@query(f"WITH {V.MEMORIES_SQL} SELECT user_id, agent_id, category, count(*) AS total FROM memories GROUP BY user_id, agent_id, category")
+def mem_count_scope(spark, sf_dir):
+    return memory.count_scopes(V.memories(spark, sf_dir))
+
+
+@query(f"WITH {V.MEMORIES_SQL} SELECT count(*) AS rows_in_scope, count(CASE WHEN user_id <> 'u3' OR agent_id <> 'writer' THEN 1 END) AS leaked FROM memories WHERE user_id = 'u3' AND agent_id = 'writer'")
+def tenant_isolation_check(spark, sf_dir):
+    rows = memory.scope(V.memories(spark, sf_dir), "u3", "writer")
+    return rows.agg(F.count("*").alias("rows_in_scope"), F.count(F.when((F.col("user_id") != "u3") | (F.col("agent_id") != "writer"), 1)).alias("leaked"))
+
+
+CHANGED_SQL = "changes AS (SELECT id, CASE WHEN id % 2 = 0 THEN user_id ELSE 'nobody' END AS user_id, agent_id, concat('changed ', CAST(id AS VARCHAR)) AS content FROM memories WHERE id % 10 < 2)"
+
+
+def _changes(m: DataFrame) -> DataFrame:
+    return m.where("id % 10 < 2").select("id", F.when(F.col("id") % 2 == 0, F.col("user_id")).otherwise("nobody").alias("user_id"), "agent_id", F.concat(F.lit("changed "), F.col("id").cast("string")).alias("content"))
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {CHANGED_SQL} SELECT m.id, m.user_id, m.agent_id, coalesce(c.content, m.content) AS content, CASE WHEN c.id IS NULL THEN m.updated_at ELSE 1800000000 END AS updated_at FROM memories m LEFT JOIN changes c ON m.id = c.id AND m.user_id = c.user_id AND m.agent_id = c.agent_id")
+def mem_update(spark, sf_dir):
+    m = V.memories(spark, sf_dir)
+    return memory.update(m, _changes(m), 1_800_000_000).select("id", "user_id", "agent_id", "content", "updated_at")
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {CHANGED_SQL} SELECT m.id, m.user_id, m.agent_id, m.source FROM memories m WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE m.id = c.id AND m.user_id = c.user_id AND m.agent_id = c.agent_id)")
+def mem_forget(spark, sf_dir):
+    m = V.memories(spark, sf_dir)
+    return memory.forget(m, _changes(m)).select("id", "user_id", "agent_id", "source")
+
+
+@query(f"""WITH {V.MEMORIES_SQL} SELECT id, user_id, agent_id, category, content, source FROM memories
+ UNION ALL SELECT (SELECT max(id) FROM memories) + row_number() OVER (ORDER BY item_id) AS id, 'u1' AS user_id, '' AS agent_id, 'fact' AS category, text AS content, concat('bench#', CAST(item_id AS VARCHAR)) AS source FROM benchmark""")
+def mem_store(spark, sf_dir):
+    new = V.table(spark, sf_dir, "benchmark").select("item_id", F.lit("u1").alias("user_id"), F.col("text").alias("content"), F.concat(F.lit("bench#"), F.col("item_id").cast("string")).alias("source"))
+    return memory.store(V.memories(spark, sf_dir), new, "item_id", 1_800_000_000).select("id", "user_id", "agent_id", "category", "content", "source")
+
+
+@query(f"""WITH {V.MEMORIES_SQL}, chunks AS (SELECT user_id, agent_id, CASE WHEN id % 7 = 0 THEN concat(source, 'x') ELSE source END AS source, CASE WHEN id % 5 = 0 THEN concat(content, ' more') ELSE content END AS content FROM memories)
+ SELECT c.user_id, c.agent_id, c.source, c.content, m.id, CASE WHEN m.id IS NULL THEN 'insert' WHEN md5(c.content) <> md5(m.content) THEN 'update' ELSE 'unchanged' END AS action FROM chunks c LEFT JOIN memories m ON c.user_id = m.user_id AND c.agent_id = m.agent_id AND c.source = m.source""")
+def mem_sync_diff(spark, sf_dir):
+    m = V.memories(spark, sf_dir)
+    source = F.when(F.col("id") % 7 == 0, F.concat("source", F.lit("x"))).otherwise(F.col("source"))
+    content = F.when(F.col("id") % 5 == 0, F.concat("content", F.lit(" more"))).otherwise(F.col("content"))
+    return memory.sync_diff(m, m.select("user_id", "agent_id", source.alias("source"), content.alias("content")))
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------------
+
+ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERY_WORDS) + ") AS v(query_id, query))"
+TERMS = "list_filter(string_split_regex(lower(translate({c}, '" + X.ACCENTED + "', '" + X.BASES + "')), '[^\\pL\\pN]+'), lambda x: x <> '')"
+BM25_CTES = f"""{ASKED_SQL}, qt AS (SELECT DISTINCT query_id, unnest({TERMS.format(c='query')}) AS term FROM asked),
+ dt AS (SELECT id, user_id, agent_id, category, {TERMS.format(c="concat(content, ' ', source)")} AS t FROM memories),
+ st AS (SELECT count(*) AS n, avg(len(t)) AS m FROM dt), fl AS (SELECT id, len(t) AS len, unnest(t) AS term FROM dt),
+ po AS (SELECT term, id, count(*) AS tf, any_value(len) AS len FROM fl WHERE term IN (SELECT term FROM qt) GROUP BY term, id), df AS (SELECT term, count(*) AS n FROM po GROUP BY term),
+ sc AS (SELECT query_id, id, sum(CASE WHEN ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) END * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / st.m))) AS score, count(*) AS k FROM po JOIN df USING (term) JOIN qt USING (term), st {{scope}} GROUP BY query_id, id),
+ hit AS (SELECT sc.query_id, id, score FROM sc JOIN (SELECT query_id, count(*) AS k FROM qt GROUP BY query_id) q ON sc.query_id = q.query_id AND sc.k = q.k)"""
+FTS_TOP = ", fts AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hit QUALIFY rank <= {k})"
+
+
+def _asked(spark) -> DataFrame:
+    return spark.createDataFrame(QUERY_WORDS, "query_id int, query string")
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {BM25_CTES.format(scope='')}{FTS_TOP.format(k=10)} SELECT query_id, id, round(score, 6) AS score, rank FROM fts")
+def mem_fts_bm25(spark, sf_dir):
+    return search.bm25(V.memories(spark, sf_dir), _asked(spark)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {BM25_CTES.format(scope="WHERE id IN (SELECT id FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND category = 'fact')")}{FTS_TOP.format(k=5)} SELECT query_id, id, round(score, 6) AS score, rank FROM fts")
+def mem_fts_category(spark, sf_dir):
+    m = V.memories(spark, sf_dir)
+    return search.bm25(m, _asked(spark), memory.scope(m, "u1", "coder", "fact"), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+IDS = "(" + ", ".join(map(str, QUERY_IDS)) + ")"
+KNN_CTES = """qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN """ + IDS + """),
+ nn AS (SELECT qv.query_id, m.id, list_distance(CAST(m.embedding AS DOUBLE[]), qv.v) AS distance FROM memories m, qv WHERE m.embedding IS NOT NULL {scope}),
+ vec AS (SELECT query_id, id, distance, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, id) AS rank FROM nn QUALIFY rank <= {k})"""
+
+
+def _vectors(spark, sf_dir) -> list:
+    rows = V.table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS)).select("vec_id", "embedding").collect()
+    return sorted((r["vec_id"], list(r["embedding"])) for r in rows)
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {KNN_CTES.format(scope='', k=10)} SELECT query_id, id, round(distance, 6) AS distance, round(score, 6) AS score, rank FROM vec")
+def mem_vec_knn(spark, sf_dir):
+    near = search.nearest(V.memories(spark, sf_dir), _vectors(spark, sf_dir))
+    return near.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
+
+
+PAIR_SQL = "pair AS (SELECT * FROM (VALUES " + ", ".join(f"({q[0]}, {i})" for q, i in zip(QUERY_WORDS, QUERY_IDS, strict=False)) + ") AS v(query_id, vec_id)), vecq AS (SELECT p.query_id, id, score, rank FROM vec JOIN pair p ON vec.query_id = p.vec_id)"
+WEIGHTED = """each AS (SELECT query_id, id, 0.7e0 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1.0e0 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM vecq
+ UNION ALL SELECT query_id, id, 0.3e0 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1.0e0 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM fts)"""
+RRF_SQL = "each AS (SELECT query_id, id, 1.0e0 / (60 + rank) AS s FROM vecq UNION ALL SELECT query_id, id, 1.0e0 / (60 + rank) AS s FROM fts)"
+FUSED = ", fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, sum(s) AS score FROM each GROUP BY query_id, id) QUALIFY rank <= 5)"
+HYBRID = f"WITH {V.MEMORIES_SQL}, {BM25_CTES.format(scope='{sa}')}{FTS_TOP.format(k=10)}, {KNN_CTES.format(scope='{sb}', k=10)}, {PAIR_SQL}, {{each}}{FUSED}"
+
+
+def _hybrid_sql(text_scope: str, vector_scope: str, each: str) -> str:
+    return HYBRID.replace("{sa}", text_scope).replace("{sb}", vector_scope).replace("{each}", each)
+
+
+def _pairs(spark, sf_dir) -> list:
+    by = dict(_vectors(spark, sf_dir))
+    return [(q[0], by[i]) for q, i in zip(QUERY_WORDS, QUERY_IDS, strict=False) if i in by]
+
+
+def _both(spark, sf_dir):
+    m = V.memories(spark, sf_dir)
+    return search.nearest(m, _pairs(spark, sf_dir), 10), search.bm25(m, _asked(spark), None, 10)
+
+
+def _rounded(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("query_id", "id", F.round("score", 6).alias("score"), "rank", *more)
+
+
+@query(_hybrid_sql("", "", WEIGHTED) + " SELECT query_id, id, round(score, 6) AS score, rank FROM fused")
+def mem_fuse_weighted(spark, sf_dir):
+    return _rounded(search.fuse_weighted(*_both(spark, sf_dir), 5))
+
+
+@query(_hybrid_sql("", "", RRF_SQL) + " SELECT query_id, id, round(score, 6) AS score, rank FROM fused")
+def mem_fuse_rrf(spark, sf_dir):
+    return _rounded(search.fuse_rrf(*_both(spark, sf_dir), 5))
+
+
+SCOPE_A, SCOPE_B = "WHERE id IN (SELECT id FROM memories WHERE user_id = 'u1' AND agent_id = 'coder')", "AND user_id = 'u1' AND agent_id = 'coder'"
+
+
+@query(_hybrid_sql(SCOPE_A, SCOPE_B, WEIGHTED) + " SELECT query_id, fused.id, round(score, 6) AS score, rank, category, content, source FROM fused JOIN memories USING (id)")
+def mem_hybrid_search(spark, sf_dir):
+    return _rounded(search.hybrid(V.memories(spark, sf_dir), _asked(spark), _pairs(spark, sf_dir), "u1", "coder"), "category", "content", "source")
+
+
+@query(_hybrid_sql(SCOPE_A, SCOPE_B, WEIGHTED) + " SELECT query_id, string_agg(concat('- [', category, '] ', content, ' (source: ', source, ')'), chr(10) ORDER BY rank) AS prompt FROM fused JOIN memories USING (id) WHERE rank <= 3 GROUP BY query_id")
+def mem_recall_prompt(spark, sf_dir):
+    found = search.hybrid(V.memories(spark, sf_dir), _asked(spark), _pairs(spark, sf_dir), "u1", "coder")
+    return search.recall_prompt(found.where("rank <= 3"))
+
+
+# --- telemetry --------------------------------------------------------------------------------------------------------
+
+MEASURES = "count(*) AS count, CAST(sum(token_count) AS BIGINT) AS total_tokens, round(avg(compression_ratio), 6) AS avg_compression, round(avg(latency_ms), 6) AS avg_latency_ms, CAST(sum(oom_fallback_count) AS BIGINT) AS oom_count"
+
+
+def _stats(df: DataFrame) -> DataFrame:
+    return df.withColumn("avg_compression", F.round("avg_compression", 6)).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+
+
+@query(f"WITH {V.TELEMETRY_SQL} SELECT {MEASURES}, min(ts) AS ts_from, max(ts) AS ts_to FROM telemetry")
+def telemetry_stats(spark, sf_dir):
+    return _stats(telemetry.stats(V.telemetry(spark, sf_dir))).withColumn("ts_from", F.col("ts_from").cast("timestamp_ntz")).withColumn("ts_to", F.col("ts_to").cast("timestamp_ntz"))
+
+
+@query(f"WITH {V.TELEMETRY_SQL} SELECT coalesce(nullif(processor, ''), 'unknown') AS processor, {MEASURES} FROM telemetry GROUP BY 1")
+def telemetry_by_processor(spark, sf_dir):
+    return _stats(telemetry.by_processor(V.telemetry(spark, sf_dir)))
+
+
+@query(f"WITH {V.TELEMETRY_SQL} SELECT coalesce(nullif(processor, ''), 'unknown') AS processor, {MEASURES} FROM telemetry GROUP BY 1 UNION ALL SELECT NULL AS processor, {MEASURES} FROM telemetry")
+def telemetry_rollup(spark, sf_dir):
+    return _stats(telemetry.totals_and_processors(V.telemetry(spark, sf_dir)))
+
+
+@query(f"WITH {V.TELEMETRY_SQL}, s AS (SELECT * FROM telemetry WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM telemetry)) SELECT profile, {MEASURES} FROM s GROUP BY profile")
+def telemetry_since(spark, sf_dir):
+    t = V.telemetry(spark, sf_dir)
+    start = t.agg(F.min("ts") + F.expr("INTERVAL 1 DAY")).first()[0]
+    return _stats(telemetry.since(t, start).groupBy("profile").agg(*telemetry._measures()))
+
+
+@query(f"WITH {V.TELEMETRY_SQL} SELECT id, processor, latency_ms FROM telemetry ORDER BY ts DESC, id DESC LIMIT 500")
+def telemetry_ring(spark, sf_dir):
+    return telemetry.ring(V.telemetry(spark, sf_dir), 500).select("id", "processor", "latency_ms")
+
+
+@query(f"""WITH {V.TELEMETRY_SQL}, t AS (SELECT {MEASURES.replace('round(avg(compression_ratio), 6)', 'avg(compression_ratio)').replace('round(avg(latency_ms), 6)', 'avg(latency_ms)')} FROM telemetry),
+ p AS (SELECT coalesce(nullif(processor, ''), 'unknown') AS processor, avg(compression_ratio) AS c, avg(latency_ms) AS l FROM telemetry GROUP BY 1),
+ q AS (SELECT string_agg(concat(format('ctxloom_processor_latency_ms{{{{processor="{{}}"}}}} {{:.2f}}', processor, l), chr(10), format('ctxloom_processor_compression{{{{processor="{{}}"}}}} {{:.4f}}', processor, c)), chr(10) ORDER BY processor) AS lines FROM p)
+ SELECT concat('# HELP ctxloom_tokens_total Total tokens processed', chr(10), '# TYPE ctxloom_tokens_total counter', chr(10), 'ctxloom_tokens_total ', CAST(total_tokens AS VARCHAR), chr(10), chr(10),
+  '# HELP ctxloom_compression_ratio Average compression ratio', chr(10), '# TYPE ctxloom_compression_ratio gauge', chr(10), format('ctxloom_compression_ratio {{:.4f}}', avg_compression), chr(10), chr(10),
+  '# HELP ctxloom_latency_ms Average latency in milliseconds', chr(10), '# TYPE ctxloom_latency_ms gauge', chr(10), format('ctxloom_latency_ms {{:.2f}}', avg_latency_ms), chr(10), chr(10),
+  '# HELP ctxloom_oom_fallback_total Total OOM fallback count', chr(10), '# TYPE ctxloom_oom_fallback_total counter', chr(10), 'ctxloom_oom_fallback_total ', CAST(oom_count AS VARCHAR), chr(10), chr(10), lines, chr(10)) AS exposition FROM t, q""")
+def telemetry_prometheus(spark, sf_dir):
+    return telemetry.exposition(V.telemetry(spark, sf_dir))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2")
+def telemetry_hourly(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour")
+    return e.groupBy(hour, "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+
+
+# --- media ------------------------------------------------------------------------------------------------------------
+
+HASH_SQL = "md5(array_to_string(list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > list_sum(CAST(embedding AS DOUBLE[])) / len(embedding) THEN '1' ELSE '0' END), ''))"
+
+
+@query(f"WITH h AS (SELECT vec_id, {HASH_SQL} AS phash FROM embeddings) SELECT phash, min(vec_id) AS vec_id FROM h GROUP BY phash")
+def image_phash_dedup(spark, sf_dir):
+    images = V.table(spark, sf_dir, "embeddings").select("vec_id", media.perceptual_hash(F.col("embedding")).alias("phash"))
+    return media.dedup_images(images, "vec_id").select("phash", "vec_id")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4000 + 1 AS w, o_custkey % 3000 + 1 AS h FROM orders)
+ SELECT id, CAST(CASE WHEN greatest(w, h) > 1024 THEN floor(w * (1024.0e0 / greatest(w, h))) ELSE w END AS BIGINT) AS w2, CAST(CASE WHEN greatest(w, h) > 1024 THEN floor(h * (1024.0e0 / greatest(w, h))) ELSE h END AS BIGINT) AS h2 FROM t""")
+def image_resize(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4000 + 1).alias("w"), (F.col("o_custkey") % 3000 + 1).alias("h"))
+    w2, h2 = media.scaled(F.col("w"), F.col("h"))
+    return o.select("id", w2.alias("w2"), h2.alias("h2"))
+
+
+@query("""WITH t AS (SELECT vec_id AS image_id, unnest(embedding[1:16]) AS v, unnest(range(0, 16)) AS i FROM embeddings), e AS (SELECT image_id, i, exp(3 * CAST(v AS DOUBLE) - max(3 * CAST(v AS DOUBLE)) OVER (PARTITION BY image_id)) AS e FROM t),
+ p AS (SELECT image_id, i, e / sum(e) OVER (PARTITION BY image_id) AS p FROM e)
+ SELECT image_id, CAST(min(i % 4 * 64) AS BIGINT) AS x0, CAST(min(i // 4 * 64) AS BIGINT) AS y0, CAST(max(i % 4 * 64 + 64) AS BIGINT) AS x1, CAST(max(i // 4 * 64 + 64) AS BIGINT) AS y1, count(*) AS tiles FROM p WHERE p >= 0.15e0 GROUP BY image_id""")
+def roi_bbox(spark, sf_dir):
+    t = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, 16)).alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    side = F.lit(64).cast("long")
+    return media.region(t.select("image_id", (F.col("i") % 4 * 64).alias("x"), (F.floor(F.col("i") / 4) * 64).alias("y"), side.alias("w"), side.alias("h"), (3 * F.col("v").cast("double")).alias("logit")))
+
+
+@query("""WITH t AS (SELECT event_id AS id, user_id * 7 % 900 AS total, event_id % 30 + 1 AS fps FROM events), u AS (SELECT *, least(16, CAST(floor(CAST(total AS DOUBLE) / fps) AS BIGINT) + 1) AS target FROM t)
+ SELECT id, array_to_string(CASE WHEN target >= total THEN range(0, total) ELSE list_transform(range(0, target), lambda i: CAST(floor(CAST(i * total AS DOUBLE) / target) AS BIGINT)) END, ',') AS frames FROM u""")
+def video_frame_index(spark, sf_dir):
+    t = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") * 7 % 900).alias("total"), (F.col("event_id") % 30 + 1).alias("fps"))
+    return t.select("id", F.array_join(media.frame_indexes(F.col("total"), F.col("fps")), ",").alias("frames"))
+
+
+@query("SELECT event_id AS id, CAST(floor(event_id / 4) AS BIGINT) AS grid_row, event_id % 4 AS grid_col, CAST(ceil((event_id % 17) / 4) AS BIGINT) AS grid_rows FROM events")
+def video_grid(spark, sf_dir):
+    e, (row, col) = F.col("event_id"), media.grid_cell(F.col("event_id"), 4)
+    return V.table(spark, sf_dir, "events").select(e.alias("id"), row.alias("grid_row"), col.alias("grid_col"), media.grid_rows(e % 17, 4).alias("grid_rows"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS file, string_agg(trim(text), ' ' ORDER BY turn) AS text, max(turn * 2.5e0 + 2) AS duration, count(*) AS segments, CAST(floor(max(turn * 2.5e0 + 2) * 25) AS BIGINT) AS input_tokens FROM conversations GROUP BY conv_id""")
+def audio_segments_join(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations")
+    return media.join_segments(c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("i"), (F.col("turn") * 2.5).alias("start"), (F.col("turn") * F.lit(2.5) + 2).alias("end"), "text"))
