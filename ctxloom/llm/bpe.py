@@ -19,10 +19,13 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import struct
 import tempfile
 import unicodedata
+import uuid
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ from .common import column_of, map_slices
 
 LEXICON_WORDS = 50_000
 #: Pieces whose ids a Python task keeps at most before it starts again.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 WORD_END = "</w>"
+#: Separators that str.split() takes for white space and the vocabulary does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: White_Space of Unicode, as the vocabulary's \s means it.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -59,70 +64,85 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self._rank = {self.ids[a] << 32 | self.ids[b]: i for i, (a, b) in enumerate(merges)}
+        self._made = [self.ids[a + b] for a, b in merges]
+        self._inner = [self.ids[c] for c in byte_characters()]
+        self._last = [self.ids[c + WORD_END] for c in byte_characters()]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.tokens = [""] * size
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = token
-        self._bytes = byte_characters()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(pattern.replace("[^\\s", f"[^{SPACE}"))
         self._special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text without special tokens."""
+    @staticmethod
+    def normal(text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # characters are lowered one by one, without the final form
-        return self._pieces.findall(text.lower())
-
-    def parts(self, text: str) -> list[str]:
-        """Pieces and, marked by a leading space (a piece has none), special tokens."""
-        if "<|" not in text or not self._special.search(text):
-            return self.pieces(text)
-        out, at = [], 0
-        for m in self._special.finditer(text):
-            out += [*self.pieces(text[at:m.start()]), " " + m[0]]
-            at = m.end()
-        return out + self.pieces(text[at:])
+        return text.lower()
+
+    def pieces(self, unit: str) -> list[str]:
+        """The pieces of a normal text without special tokens."""
+        return self._pieces.findall(unit)
+
+    def units(self, text: str | None) -> list[str]:
+        """Runs without white space, whose ids are independent of each other; a special token is a unit with a leading space."""
+        if not text:
+            return []
+        if "<|" in text and self._special.search(text):
+            out, at = [], 0
+            for m in self._special.finditer(text):
+                out += [*self.units(text[at:m.start()]), " " + m[0]]
+                at = m.end()
+            return out + self.units(text[at:])
+        text = self.normal(text)
+        return self._pieces.findall(text) if _SEPARATORS.search(text) else text.split()
 
     def merge(self, piece: str) -> list[int]:
         """The ids of a piece by its merges, lowest rank first, leftmost first."""
-        if piece[0] == " ":
-            return [self.special[piece[1:]]]
-        chars = [self._bytes[b] for b in piece.encode()]
-        chars[-1] += WORD_END
-        return [self.ids[t] for t in (self._short(chars) if len(chars) <= 64 else self._long(chars))]
-
-    def _short(self, parts: list[str]) -> list[str]:
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            best, at = min((rank.get(p, none), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+        data = piece.encode()
+        ids = [self._inner[b] for b in data]
+        ids[-1] = self._last[data[-1]]
+        if len(ids) > 200:
+            return self._long(ids)
+        rank, made, none = self._rank.get, self._made, len(self._made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
             if best == none:
                 break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _long(self, parts: list[str]) -> list[str]:
-        n, rank = len(parts), self.rank
+            at = ranks.index(best)
+            ids[at] = made[best]
+            del ids[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(ids[at] << 32 | ids[at + 1], none)
+            if at:
+                ranks[at - 1] = rank(ids[at - 1] << 32 | ids[at], none)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        n, rank = len(ids), self._rank
         before, after, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(rank[p], i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]
+        heap = [(rank[k], i, k) for i in range(n - 1) if (k := ids[i] << 32 | ids[i + 1]) in rank]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            best, i, pair = heapq.heappop(heap)
             j = after[i]
-            if not live[i] or j < 0 or (parts[i], parts[j]) != pair:
+            if not live[i] or j < 0 or ids[i] << 32 | ids[j] != pair:
                 continue
-            parts[i] += parts[j]
+            ids[i] = self._made[best]
             live[j], after[i] = False, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := (parts[a], parts[b])) in rank:
-                    heapq.heappush(heap, (rank[p], a, p))
-        return [p for p, on in zip(parts, live, strict=True) if on]
+                if a >= 0 and b >= 0 and (k := ids[a] << 32 | ids[b]) in rank:
+                    heapq.heappush(heap, (rank[k], a, k))
+        return [x for x, on in zip(ids, live, strict=True) if on]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -221,41 +241,57 @@ class Transducer:
         return rank
 
 
+class _Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Ids of texts: pieces in the cache, then in the lexicon, then by merging."""
+    """Ids of texts: units in the cache, their pieces in the cache, then in the lexicon, then by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known, self.pieces = _Numbered(), {}
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, new: list[str]) -> None:
-        rank = self.lexicon.rank([p.encode() for p in new]) if self.lexicon is not None else np.full(len(new), -1)
+    def _learn(self, new: list[str]) -> None:
+        """Ids of the units that are new in the cache."""
+        split = self.vocabulary.pieces
+        parts = [None if u[0] == " " else split(u) for u in new]
+        unseen = sorted({p for part in parts if part for p in part} - self.pieces.keys())
+        rank = self.lexicon.rank([p.encode() for p in unseen]).tolist() if self.lexicon is not None and unseen else [-1] * len(unseen)
+        for piece, r in zip(unseen, rank, strict=True):
+            self.pieces[piece] = self.lexicon.ids[self.lexicon.start[r]:self.lexicon.start[r + 1]].tolist() if r >= 0 else self.vocabulary.merge(piece)
         lists = []
-        for piece, r in zip(new, rank.tolist(), strict=True):
-            lists.append(self.lexicon.ids[self.lexicon.start[r]:self.lexicon.start[r + 1]] if r >= 0 else self.vocabulary.merge(piece))
+        for unit, part in zip(new, parts, strict=True):
+            if part is None:
+                lists.append([self.vocabulary.special[unit[1:]]])
+            else:
+                lists.append(self.pieces[part[0]] if len(part) == 1 else [i for p in part for i in self.pieces[p]])
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *[np.asarray(x, np.uint32) for x in lists]])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.vocabulary.parts(t or "") for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.clear()
-        new = sorted(set().union(*parts) - self.known.keys())
-        if new:
-            self.learn(new)
-        out = []
-        for p in parts:
-            row = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
-            n, at = self.size[row], self.start[row]
-            out.append(self.flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        return out
+        units = [self.vocabulary.units(t) for t in texts]
+        counts = np.fromiter(map(len, units), np.int64, len(units))
+        had = len(self.known)
+        row = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+        if len(self.known) > had:
+            self._learn(list(islice(self.known, had, None)))
+        n, at = self.size[row], self.start[row]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]]) if len(texts) else []
 
 
 @lru_cache(2)
@@ -276,7 +312,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
 
 
 def compile_lexicon(words: list[str], vocabulary: Vocabulary) -> Transducer:
-    single = {w for w in words if vocabulary.pieces(w) == [w]}
+    single = {w for w in words if vocabulary.pieces(vocabulary.normal(w)) == [w]}
     return Transducer.compile({w.encode(): vocabulary.merge(w) for w in single})
 
 
@@ -284,12 +320,10 @@ def _ship(docs: DataFrame, path: str, most: int) -> tuple[str, str]:
     """Send the vocabulary and the compiled lexicon to the executors; their names there."""
     sc = docs.sparkSession.sparkContext
     lexicon = compile_lexicon(frequent_words(docs, most), _vocabulary(path))
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    lexicon.save(os.path.join(folder, "new"))
-    with open(os.path.join(folder, "new"), "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:24]}.bin"
-    os.rename(os.path.join(folder, "new"), os.path.join(folder, name))
-    sc.addFile(os.path.join(os.path.realpath(folder), name))
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    file = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lexicon-")), name)
+    lexicon.save(file)
+    sc.addFile(file)
     sc.addFile(path)
     return os.path.basename(path), name
 
