@@ -54,18 +54,26 @@ def item_class(n: int) -> int:
     return max(c for c in window_sizes(n) if c <= n and (c <= SHINGLE or n - c >= stride(c) - 1))
 
 
-def _fingerprints(bits: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
-    """SimHashes of the windows of m shingles at `at`; bits: running sums of the shingles' bits, modulo 2**16."""
-    return np.packbits(((bits[at + m] - bits[at]) * 2).astype(np.int16) > m, axis=1).view(_U)[:, 0]
+def _lane(most: int) -> type:
+    """The smallest counter that holds `most`."""
+    return np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
 
 
-def _bit_sums(h: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(h) + 1, 64), np.int16)
-    if len(h):
-        np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int16, out=out[1:])
+def _bit_sums(h: np.ndarray, lane: type) -> np.ndarray:
+    """Running sums of the 64 bits of the hashes, several counters to a 64-bit word. Counters may run over into their
+    neighbours, but the difference of two sums is exact as long as a window's own counts fit."""
+    bits = np.unpackbits(h.view(np.uint8)).astype(lane, copy=False).view(_U).reshape(len(h), -1)
+    out = np.zeros((len(h) + 1, 8 * np.dtype(lane).itemsize), _U)
+    np.cumsum(bits, axis=0, dtype=_U, out=out[1:])
     return out
 
 
+def _fingerprints(sums: np.ndarray, lane: type, at: np.ndarray, m: int) -> np.ndarray:
+    """SimHashes of the windows of m shingles at `at`: the bits that more than half of a window's shingles have."""
+    counts = (sums[at + m] - sums[at]).view(lane)
+    return np.packbits(counts > m // 2, axis=1).view(_U)[:, 0]
+
+
 def _near_values(errors: int) -> np.ndarray:
     """All 16-bit masks with at most that many bits."""
     masks = np.arange(1 << 16, dtype=np.uint32)
@@ -76,7 +84,9 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     """The items' shingle bags, and for each class the sub-window fingerprints with the enumerated block tables."""
     w = wh.words(pa.array([t or "" for _, t in items], pa.string()))
     h, first = wh.shingles(w, SHINGLE)
-    sums, sizes = _bit_sums(h), np.diff(w.first)
+    sizes = np.diff(w.first)
+    lane = _lane(int(sizes.max(initial=0)))
+    sums = _bit_sums(h, lane)
     entries: dict[int, list] = {}
     bags = []
     for i, n in enumerate(sizes):
@@ -85,7 +95,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
             c = item_class(int(n))
             m = max(1, c - SHINGLE + 1)
             offsets = np.arange(1 if n < SHINGLE else n - c + 1)
-            fp = h[first[i]:first[i] + 1] if n < SHINGLE else _fingerprints(sums, first[i] + offsets, m)
+            fp = h[first[i]:first[i] + 1] if n < SHINGLE else _fingerprints(sums, lane, first[i] + offsets, m)
             entries.setdefault(c, []).extend((int(f), i, int(o)) for f, o in zip(fp, offsets, strict=True))
     masks, classes = _near_values(RADIUS // BLOCKS), {}
     for c, rows in entries.items():
@@ -98,7 +108,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
             starts = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
             tables.append((starts, entry))
         classes[c] = (fp, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tables)
-    return {"ids": [i for i, _ in items], "size": sizes, "bags": bags, "classes": classes}
+    return {"ids": [i for i, _ in items], "size": sizes, "bags": bags, "classes": classes, "lane": lane}
 
 
 def _candidates(fp: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +138,8 @@ def find_hits(texts: pa.Array, index: dict) -> list[tuple[int, int, float, int]]
     """(text, item, similarity, first word) of the best window of every item found in a text."""
     w = wh.words(texts)
     h, first = wh.shingles(w, SHINGLE)
-    sizes, sums = np.diff(w.first), _bit_sums(h)
+    lane = index["lane"]
+    sizes, sums = np.diff(w.first), _bit_sums(h, lane)
     tried: set[tuple[int, int, int]] = set()
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for c, entry in index["classes"].items():
@@ -145,7 +156,7 @@ def find_hits(texts: pa.Array, index: dict) -> list[tuple[int, int, float, int]]
             n = np.where(sizes >= c, (sizes - c) // step + 1, 0)
             text = np.repeat(np.arange(len(sizes)), n)
             rel = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
-            fp = _fingerprints(sums, first[text] + rel, m) if len(text) else np.zeros(0, _U)
+            fp = _fingerprints(sums, lane, first[text] + rel, m) if len(text) else np.zeros(0, _U)
         window, e = _candidates(np.ascontiguousarray(fp), entry) if len(fp) else (np.zeros(0, int), np.zeros(0, int))
         for t, item, s in {(int(text[i]), int(entry[1][k]), int(rel[i] - entry[2][k])) for i, k in zip(window, e, strict=True)}:
             n = int(index["size"][item])
