@@ -34,7 +34,8 @@ def session_log(messages: DataFrame, keep_recent: int = 3, least_length: int = 1
     """Streaming messages (session_id, idx, role, name, content) kept by session; every batch puts out the changed sessions.
 
     A session's state is bounded by the threshold: at that size it is one summary. Idle sessions end. A message with role
-    `reset` empties its session. Messages of a batch go in idx order; a null content counts as empty.
+    `reset` empties its session. Messages of a batch go in idx order; a null content counts as empty. Idle timeouts always call for
+    another batch: under an availableNow trigger, set spark.sql.streaming.noDataMicroBatches.enabled to false.
     """
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 

@@ -10,14 +10,17 @@ MSG = "session_id string, idx bigint, role string, name string, content string"
 
 def run(df, name, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120), q.stop()
 
 
 def test_session_log(spark, tmp_path):
+    # idle timeouts always call for another batch, so availableNow ends only without batches that have no data
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     at = str(tmp_path / "in")
     rows = [("a", 0, "user", None, "hello"), ("a", 1, "tool", "t", "r" * 120), ("a", 2, "tool", "t", "q" * 120), ("b", 0, "user", None, "x" * 2000), ("c", 0, "user", None, "gone"), ("c", 1, "reset", None, None)]
     spark.createDataFrame(rows, MSG).coalesce(1).write.parquet(at)
     run(sessions.session_log(spark.readStream.schema(MSG).parquet(at), keep_recent=1, threshold=400), "log", "update")
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = {r.session_id: r for r in spark.table("log").collect()}
     assert got["a"].messages == 3 and "[Previous: used t]" in got["a"].prompt and "q" * 120 in got["a"].prompt
     assert got["b"].compacted and got["b"].messages == 1 and got["b"].prompt.startswith("[system] Previous conversation summary: [user] x")
