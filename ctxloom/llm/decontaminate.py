@@ -13,7 +13,7 @@ such window the item-sized windows at SHIFT words to either side are compared wi
 
 The benchmark is read in blocks of bounded bytes (a block's index is broadcast, and its size does not depend on the
 documents); every block scans all documents, every word of them. Null or empty texts and items have no hits; an item with
-fewer than five words is one shingle of all its words. Repeated rows give repeated hits. Extra columns are not read.
+fewer than five words is one shingle of all its words. Empty tables give no rows. Repeated rows give repeated hits. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def _lane(most: int) -> type:
 def _bit_sums(h: np.ndarray, lane: type) -> np.ndarray:
     """Running sums of the 64 bits of the hashes, several counters to a 64-bit word. Counters may run over into their
     neighbours, but the difference of two sums is exact as long as a window's own counts fit."""
-    bits = np.unpackbits(h.view(np.uint8)).astype(lane, copy=False).view(_U).reshape(len(h), -1)
+    bits = np.unpackbits(h.view(np.uint8)).astype(lane, copy=False).view(_U).reshape(len(h), 8 * np.dtype(lane).itemsize)
     out = np.zeros((len(h) + 1, 8 * np.dtype(lane).itemsize), _U)
     np.cumsum(bits, axis=0, dtype=_U, out=out[1:])
     return out
