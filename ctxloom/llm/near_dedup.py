@@ -16,7 +16,8 @@ A text's set holds its distinct 5-word shingles (A-Z lower-cased). Two texts are
 5. Components by alternating large-star and small-star steps over Parquet tables in the shared folder.
 
 Null and empty texts, and texts without words: an empty set, linked with nothing, their own component. Ties go to the
-smallest doc_id. Rows with the same doc_id are taken as one document by every join; doc_id must not be null to be linked.
+smallest doc_id. Rows with the same doc_id are taken as one document by every join. A null doc_id joins
+the component of its equal set, where that has an id, and is not kept there; else its component is null and it is kept.
 Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
@@ -166,7 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "nd-components")
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def _possible(n: Column, most: Column, other_n: Column, other_most: Column) -> Column:
