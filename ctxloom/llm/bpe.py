@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, map_slices
+from .common import column_of, map_slices, materialize
 
 LEXICON_WORDS = 50_000
 #: Pieces whose ids a Python task keeps at most before it starts again.
@@ -305,9 +305,20 @@ def _lexicon(path: str) -> Transducer:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent lower-case letter runs of all documents, ties in code point order (a bounded list)."""
+    """The `most` most frequent lower-case letter runs of all documents, ties in code point order.
+
+    Words far too rare go before the sort (by the sizes of the counts' levels, a few hundred rows), so that the tasks
+    send little more than `most` words in all, not each.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "bpe-words")
+    level = F.floor(F.log2("n") * 8)
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        if held >= most:
+            break
+        least, held = r["level"], held + r["words"]
+    top = counts.where(level >= least).orderBy(F.desc("n"), "w").limit(most)
     return [r["w"] for r in top.collect()]
 
 
