@@ -3,7 +3,7 @@
 Features are the words (letter runs, lower-cased) of a whole text and their beginnings of PREFIXES letters (for inflected
 forms; written with a trailing `-`), present or not. Fitting takes a bounded, hash-chosen
 sample of labelled texts, PER_CLASS of each class (expected), and sends only their distinct words on; Spark counts them by
-class, and the FEATURES words whose class counts differ most (by a z-score of the log odds) are kept, besides IDENTITY
+class, and the FEATURES words whose class counts differ most (by a z-score of the log odds, LEAST_Z at least) are kept, besides IDENTITY
 terms. A logistic regression is fitted in numpy on the driver. Its loss adds, for every labelled text that mentions an
 identity term, the squared change of the score when that term is swapped for each other one or dropped, times SWAP: what
 a term adds by itself goes to nothing, so a neutral mention of a group does not raise a score, while words that insult do.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import column_of, map_slices, materialize
 
 PER_CLASS, FEATURES, MIN_TEXTS = 4000, 1024, 8
-PREFIXES = (5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7)
+#: The least |z| of a feature: words of either class by chance stay out, so that few labels do not mislead.
+LEAST_Z = 3.5
 SWAP, DECAY, STEPS, RATE = 4.0, 2e-3, 400, 0.1
 THRESHOLD = 0.7
 
@@ -83,7 +85,7 @@ def choose_features(words: DataFrame, most: int = FEATURES) -> list[str]:
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
     z = F.abs(odds) / F.sqrt(1 / a + 1 / b)
-    return [r["w"] for r in c.orderBy(F.desc(z), "w").limit(most).select("w").collect()]
+    return [r["w"] for r in c.where(z >= LEAST_Z).orderBy(F.desc(z), "w").limit(most).select("w").collect()]
 
 
 def fit(rows: list[tuple[int, list[int]]], features: list[str], identity: list[str] = IDENTITY, swap: float = SWAP) -> dict:
@@ -134,9 +136,17 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     weights = {w: k for w, k in model["weights"].items() if abs(k) > 1e-6}
 
+    begins = [(n, frozenset(w[:-1] for w in weights if len(w) == n + 1 and w[-1] == "-")) for n in PREFIXES]
+
+    def logit(text: str | None) -> float:
+        words = set(_WORD.findall((text or "").lower()))
+        present = words & weights.keys()
+        for n, known in begins:
+            present.update([w + "-" for w in {w[:n] for w in words} & known])
+        return model["bias"] + sum(weights[w] for w in sorted(present))
+
     def run(batch: pa.RecordBatch) -> dict:
-        known = frozenset(weights)
-        z = np.array([model["bias"] + sum(weights[w] for w in sorted(known & distinct_words(t))) for t in column_of(batch, "text").to_pylist()])
+        z = np.array([logit(t) for t in column_of(batch, "text").to_pylist()])
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         return {"doc_id": column_of(batch, "doc_id"), "score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
 
