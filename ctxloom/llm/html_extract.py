@@ -5,8 +5,8 @@ A page is cut at block-level tags. First pass: each block gets its word count, s
 and hidden elements (by tag, role, class or id) are bad; scripts, styles and other unseen elements give no block. Where a
 page marks its main region (article, main, or a class or id that says so), blocks outside it are bad, blocks inside are
 good unless short or made of links. Pages without a marked region go by length, stop-word and link density alone.
-Second pass: undecided blocks inherit the label of the nearest decided block of the same region (the earlier one on a
-tie); in a region without a decided block, that of the region (good in a marked one), else of the nearest decided block
+Second pass: undecided blocks inherit the label of the nearest decided block of the same region (on a tie the
+earlier one, for a heading the later one); in a region without a decided block, that of the region (good in a marked one), else of the nearest decided block
 of the page, else good.
 
 Whole pages are read; nothing is capped. Character references are decoded once, white space inside a block becomes one
@@ -35,6 +35,7 @@ BLOCKS = (
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul"
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 REGIONS = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol search section table ul span p".split()
 BAD_TAGS = "nav aside footer form menu dialog search".split()
 BAD_NAMES = (
@@ -108,7 +109,7 @@ def blocks(page: str | None) -> list[dict]:
     in_link, numbers, at, marked = 0, 0, 0, False
     page = page or ""
 
-    def flush() -> None:
+    def flush(heading: bool = False) -> None:
         if text:
             words = "".join(text).split()
             if words:
@@ -118,7 +119,7 @@ def blocks(page: str | None) -> list[dict]:
                 out.append({
                     "text": " ".join(words), "words": len(words), "region": top.number, "main": top.main, "bad": top.bad,
                     "stops": sum(w in STOP_WORDS for w in letters) / n if n else 0.0,
-                    "links": min(1.0, sum(len(x) for s in linked for x in s.split()) / chars),
+                    "heading": heading, "links": min(1.0, sum(len(x) for s in linked for x in s.split()) / chars),
                 })
             text.clear()
         linked.clear()
@@ -151,7 +152,7 @@ def blocks(page: str | None) -> list[dict]:
                     at = len(page)
             continue
         if tag in _BLOCKS:
-            flush()
+            flush(bool(m[1]) and tag in HEADINGS)
         if tag not in _REGIONS or tag in _VOID:
             continue
         if m[1]:
@@ -240,7 +241,7 @@ def _second_pass(out: list[dict]) -> None:
             b["label"] = "good"
             continue
         near = near or [j for j in (last, following[i]) if j is not None]
-        b["label"] = labels[min(near, key=lambda j: (abs(j - i), j))] if near else "good"
+        b["label"] = labels[min(near, key=lambda j: (abs(j - i), -j if b["heading"] else j))] if near else "good"
 
 
 def main_text(page: str | None) -> str:

@@ -150,7 +150,7 @@ def text_probabilities(texts: pa.Array, score: _Scorer, langs: int, block: int =
 
 
 def predict(docs: DataFrame, net: dict | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs (text, ...) -> the columns in `carry`, lang_pred, score."""
+    """docs (text, ...) -> the columns in `carry`, lang_pred, score (names that `carry` must not hold)."""
     docs = docs.select(*{c: F.col(f"`{c}`") for c in carry if c != "text"}.values(), F.col("text").cast("string").alias("text"))
     if net is None:
         return docs.select(*carry, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
