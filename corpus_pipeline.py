@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +13,28 @@ from ctxloom.llm.common import materialize, table
 
 #: Below this mean window probability no learned language is credible; such texts are rejected like those without letters.
 LEAST_SCORE = 0.3
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids of removed documents up to this many are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Columns other than those of documents get names of their own while a stage works, and theirs back after it."""
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in COLUMNS else f"__other_{i}" for i, c in enumerate(docs.columns)}
+        out = work(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+    return stage
+
+
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """docs without the rows whose doc_id is in ids."""
     ids = materialize(ids.select("doc_id").distinct(), name)
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language; null lang is filled with the predicted one."""
     net = lang_id.train(lang_id.sample_windows(docs.select("doc_id", "text", "lang")))
@@ -27,17 +42,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@_stage
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; documents with no word left go."""
     out = line_dedup.dedup_lines(docs).where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_stage
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
     return _without(docs, near_dedup.near_duplicates(docs).where("not kept"), "cp-near")
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return _without(docs, decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark")), "cp-leaks")
