@@ -10,8 +10,10 @@ Input: messages (conv_id, turn, role, text) and, per call and result, tables mad
 1. Results are hash-joined to calls by (conv_id, call_id). The call with the lowest turn owns an id, and so does the
    result; later ones are marked `duplicate`. A result without a call is an `orphan`, a call without a result `unanswered`.
    Results before their call's turn are linked all the same.
-2. Topological order: a call's level is 1 more than the highest level of the calls it needs (0 without), found by joins,
-   one per level. Needs that are not there are ignored. Calls in or behind a cycle get level -1 and status `cycle`.
+2. Topological order: a call's level is 1 more than the highest level of the calls it needs (0 without). Chains of calls
+   with one need each are shortened by pointer doubling, so a chain of n calls takes log2(n) joins; calls with several
+   needs then go by one join a level. Needs that are not there are ignored. Calls in or behind a cycle get level -1 and
+   status `cycle`.
 3. Arguments are validated against the schema of the call's name: `valid`, or the first fault in path order.
 4. Every message is one row: canonical JSON (keys sorted, no spaces, UTF-8 as is), and the sort key (at, level, part,
    turn): a linked result stands right behind its call. Rows of a conversation in sort-key order are its transcript; no
@@ -101,28 +103,48 @@ def _owned(rows: DataFrame, other: str) -> DataFrame:
     return rows.join(low, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("call_id") == F.col("__i"))).withColumn("first", key == F.col("low")).drop("__c", "__i", "low")
 
 
+def _anchors(chain: DataFrame) -> DataFrame:
+    """(k, to, dist) of nodes with one need -> the first node behind each that has none or several, by pointer doubling.
+    Nodes on a cycle of such nodes, or behind one, have no row."""
+    left, rounds = chain.count(), 0
+    active, done = chain, chain.limit(0)
+    while left >> rounds and not active.isEmpty():
+        every = done.unionByName(active).select(F.col("k").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"))
+        moved = active.join(every, "to", "left").select("k", F.coalesce("next", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("moved"))
+        moved = materialize(moved, f"chat-jump{rounds}")
+        done, active = done.unionByName(moved.where("not moved").drop("moved")), moved.where("moved").drop("moved")
+        rounds += 1
+    last = active.join(chain.select(F.col("k").alias("to")), "to", "left_anti").select("k", "to", "dist")
+    return materialize(done.unionByName(last), "chat-anchors")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of owned calls (conv_id, call_id, needs)."""
-    nodes = materialize(calls.select("conv_id", "call_id", "needs").dropDuplicates(["conv_id", "call_id"]), "chat-nodes")
-    wants = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
-    there = nodes.select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"))
-    wants = wants.join(there, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("need") == F.col("__i"))).drop("__c", "__i")
-    wants = materialize(wants, "chat-needs")
-    count = wants.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
-    count = nodes.select("conv_id", "call_id").alias("a").join(count.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.call_id") == F.col("b.call_id")), "left")
-    left = materialize(count.select("a.conv_id", "a.call_id", F.coalesce("n", F.lit(0)).alias("n")), "chat-count")
-    done, depth = left.where("n = 0").select("conv_id", "call_id", F.lit(0).alias("level")), 0
-    known, newest = done, done
-    while True:
-        met = wants.alias("w").join(newest.alias("d"), F.col("w.conv_id").eqNullSafe(F.col("d.conv_id")) & (F.col("w.need") == F.col("d.call_id")))
-        met = met.groupBy("w.conv_id", "w.call_id").agg(F.count("*").alias("m")).select("conv_id", "call_id", "m")
-        left = left.where("n > 0").alias("l").join(met.alias("m"), F.col("l.conv_id").eqNullSafe(F.col("m.conv_id")) & (F.col("l.call_id") == F.col("m.call_id")), "left")
-        left = materialize(left.select("l.conv_id", "l.call_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")), f"chat-left{depth}")
-        depth += 1
-        newest = materialize(left.where("n = 0").select("conv_id", "call_id", F.lit(depth).alias("level")), f"chat-level{depth}")
+    key = lambda call: F.to_json(F.array(F.col("conv_id").cast("string"), F.col(call))).alias("k")
+    nodes = materialize(calls.select("conv_id", "call_id", "needs", key("call_id")).dropDuplicates(["k"]), "chat-nodes")
+    wants = nodes.select("k", "conv_id", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null")
+    wants = wants.select(F.col("k").alias("from"), key("need")).join(nodes.select("k"), "k").select(F.col("from").alias("k"), F.col("k").alias("to"))
+    wants = materialize(wants.groupBy("k").agg(F.collect_set("to").alias("to")), "chat-needs")  # a call's own list
+    known = newest = materialize(nodes.select("k").join(wants, "k", "left_anti").withColumn("level", F.lit(0).cast("long")), "chat-roots")
+    chain = _anchors(wants.where("size(to) = 1").select("k", F.col("to")[0].alias("to"), F.lit(1).cast("long").alias("dist")))
+
+    # calls with several needs, over the chains between them
+    edges = wants.where("size(to) > 1").select("k", F.explode("to").alias("to"))
+    behind = chain.select(F.col("k").alias("to"), F.col("to").alias("anchor"), "dist")
+    edges = materialize(edges.join(behind, "to", "left").select("k", F.coalesce("anchor", "to").alias("to"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "chat-edges")
+    left = wants.where("size(to) > 1").select("k", F.size("to").cast("long").alias("n"), F.lit(0).cast("long").alias("level"))
+    while not left.isEmpty():
+        met = edges.join(newest.select(F.col("k").alias("to"), F.col("level").alias("base")), "to").groupBy("k").agg(F.count("*").alias("met"), F.max(F.col("base") + F.col("dist")).alias("top"))
+        left = left.join(met, "k", "left").select("k", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"), F.greatest("level", "top").alias("level"))
+        left = materialize(left, "chat-left")
+        newest = left.where("n = 0").select("k", "level")
         if newest.isEmpty():
-            return known.unionByName(left.where("n > 0").select("conv_id", "call_id", F.lit(-1).alias("level")))
-        known = known.unionByName(newest)
+            break
+        known, left = known.unionByName(newest), left.where("n > 0")
+
+    ends = known.select(F.col("k").alias("to"), "level")
+    known = known.unionByName(chain.join(ends, "to").select("k", (F.col("level") + F.col("dist")).alias("level")))
+    return nodes.join(known, "k", "left").select("conv_id", "call_id", F.coalesce("level", F.lit(-1)).cast("int").alias("level"))
 
 
 def _serialise(rows: DataFrame, schemas: dict[str, str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tool-call linking on small conversations."""
 
 import json
+import random
 
 from ctxloom.llm import chat_format as c
 
@@ -30,9 +31,32 @@ def test_links_order_and_faults(spark):
     assert all(json.loads(r.json) is not None for r in rows)
 
 
+CALLS = "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>"
+
+
 def test_long_chain(spark):
-    calls = spark.createDataFrame([(1, i, f"c{i}", "f", "{}", [f"c{i - 1}"] if i else []) for i in range(6)], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
-    assert {r.call_id: r.level for r in c.levels(calls).collect()} == {f"c{i}": i for i in range(6)}
+    calls = spark.createDataFrame([(1, i, f"c{i}", "f", "{}", [f"c{i - 1}"] if i else []) for i in range(100)], CALLS)
+    assert {r.call_id: r.level for r in c.levels(calls).collect()} == {f"c{i}": i for i in range(100)}
+
+
+def test_levels_equal_brute_force(spark):
+    rng, needs = random.Random(9), {}
+    for conv in (None, 1, 2):
+        for i in range(40):
+            pool = [f"c{j}" for j in range(i)] or ["gone"]
+            needs[conv, f"c{i}"] = rng.sample(pool, min(len(pool), rng.choice([0, 1, 1, 1, 2, 3])))
+    needs[1, "c3"], needs[2, "c5"], needs[2, "c9"], needs[2, "c12"] = ["c3"], ["c9"], ["c12", "c1"], ["c5", "c5"]
+
+    def level(conv, call, path=()):
+        if call in path:
+            return None
+        below = [level(conv, x, (*path, call)) for x in needs[conv, call] if (conv, x) in needs]
+        return None if None in below else max(below, default=-1) + 1
+
+    calls = spark.createDataFrame([(conv, 0, call, "f", "{}", x) for (conv, call), x in needs.items()], CALLS)
+    got = {(r.conv_id, r.call_id): r.level for r in c.levels(calls).collect()}
+    expected = {k: level(*k) for k in needs}
+    assert got == {k: -1 if v is None else v for k, v in expected.items()}
 
 
 def test_messages_are_read(spark):
