@@ -26,8 +26,9 @@ from . import wordhash as wh
 from .common import column_of, map_slices, materialize
 
 RUN_WORDS = 50
-#: Documents with deletions up to this many are broadcast with their line numbers; beyond it the join is a shuffle.
-BROADCAST_ROWS = 200_000
+#: Lists of fingerprints or line numbers with up to this many entries in all (8 bytes each) are broadcast; beyond it the join is
+#: a shuffle.
+BROADCAST_ENTRIES = 2_000_000
 
 _U = np.uint64
 
@@ -104,13 +105,17 @@ def _runs(batch: pa.RecordBatch) -> dict:
     }
 
 
+def _entries(lists: DataFrame, column: str) -> int:
+    return lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, deleted (sorted numbers of the lines to delete); documents without any have no row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
     fps = materialize(map_slices(docs, _fingerprints, "doc_id long, fp long"), "ld-fps")
     twice = materialize(fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "ld-twice")
     found = materialize(fps.join(twice, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "ld-found")
-    few = found.count() <= BROADCAST_ROWS
+    few = _entries(found, "fps") <= BROADCAST_ENTRIES
     runs = docs.join(F.broadcast(found) if few else found, "doc_id")
     runs = materialize(map_slices(runs, _runs, "doc_id long, run long, lo long, hi long"), "ld-runs")
     first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("f"), F.count("*").alias("n")).where("n > 1")
@@ -123,7 +128,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with repeated runs deleted from text, and n_lines, n_deleted."""
     found = materialize(repeated_lines(docs).select(F.col("doc_id").alias("__ld_id"), F.col("deleted").alias("__ld_lines")), "ld-deleted")
-    small = found.count() <= BROADCAST_ROWS
+    small = _entries(found, "__ld_lines") <= BROADCAST_ENTRIES
     kept = docs.join(F.broadcast(found) if small else found, F.col("doc_id").cast("long") == F.col("__ld_id"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__ld_lines", i.cast("long"))), "\n")
     out = kept.withColumn("n_lines", F.size(F.split("text", "\n"))).withColumn("n_deleted", F.coalesce(F.size("__ld_lines"), F.lit(0)))
