@@ -11,6 +11,11 @@ within 2 bits; the index enumerates those block values, so every fingerprint wit
 such window the item-sized windows at SHIFT words to either side are compared with the item by the exact weighted
 (multiset) Jaccard similarity of their shingles: SIMILARITY or more is a hit.
 
+Edited copies are found without loss by the pigeonhole principle over pieces of the item. A window that passes misses at
+most a fifth of the item's shingles, so of `pieces` that hold more than that many it has one whole. A piece is the
+shortest window, one shingle, whose fingerprint is its hash; document windows of this size lie at every position. Around
+each piece found, all windows with enough of the item's shingles are compared exactly.
+
 The benchmark is read in blocks of bounded bytes (a block's index is broadcast, and its size does not depend on the
 documents); every block scans all documents, every word of them. Null or empty texts and items have no hits; an item with
 fewer than five words is one shingle of all its words. Empty tables give no rows. Repeated rows give repeated hits. Extra columns are not read.
@@ -108,7 +113,25 @@ def build_index(items: list[tuple[int, str]]) -> dict:
             starts = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
             tables.append((starts, entry))
         classes[c] = (fp, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tables)
-    return {"ids": [i for i, _ in items], "size": sizes, "bags": bags, "classes": classes, "lane": lane}
+    n_items = Counter(s for bag in bags for s in bag)
+    long = [i for i, n in enumerate(sizes) if n >= SHINGLE]
+    rows = sorted((s, i) for i in long for s in pieces(bags[i], n_items))
+    sets = [np.array(sorted(bag), _U) for bag in bags]
+    return {
+        "ids": [i for i, _ in items], "size": sizes, "bags": bags, "classes": classes, "lane": lane, "sets": sets,
+        "pieces": np.array([r[0] for r in rows], _U), "piece_item": np.array([r[1] for r in rows], np.int64),
+    }
+
+
+def pieces(bag: Counter, n_items: Counter) -> list[int]:
+    """Distinct shingles that occur more often in the item than a window that passes can miss; those of few items first."""
+    allowed, out = sum(bag.values()) // 5, []
+    for s in sorted(bag, key=lambda s: (n_items[s], s)):
+        out.append(s)
+        allowed -= bag[s]
+        if allowed < 0:
+            break
+    return out
 
 
 def _candidates(fp: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +157,50 @@ def similarity(bag: Counter, other: Counter) -> float:
     return both / total if total else 0.0
 
 
+def _pieces_found(h: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place) of the shingles that are pieces."""
+    known = index["pieces"]
+    if not len(known) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    there = np.zeros(1 << 20, bool)
+    there[(known >> _U(44)).astype(np.int64)] = True
+    place = np.flatnonzero(there[(h >> _U(44)).astype(np.int64)])
+    lo, hi = np.searchsorted(known, h[place]), np.searchsorted(known, h[place], side="right")
+    n = hi - lo
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return index["piece_item"][at], np.repeat(place, n)
+
+
+def _best_window(h: np.ndarray, places: np.ndarray, bag: Counter, known: np.ndarray) -> tuple[float, int] | None:
+    """(-similarity, first) of the best window with one of the sorted places, h being a text's shingles; None under SIMILARITY."""
+    n, best = sum(bag.values()), None
+    for near in np.split(places, np.flatnonzero(np.diff(places) > 2 * n) + 1):
+        size = np.minimum(n, np.diff(near, prepend=near[0] - n))
+        s = np.repeat(near + 1 - np.cumsum(size), size) + np.arange(size.sum())  # all starts of windows with a place
+        base, end = max(int(near[0]) - n + 1, 0), min(int(near[-1]) + n, len(h))
+        part = h[base:end]
+        at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+        run = np.concatenate([[0], np.cumsum(known[at] == part)])
+        lo, hi = np.maximum(s, 0) - base, np.minimum(s + n, len(h)) - base
+        enough = np.flatnonzero(9 * (run[hi] - run[lo]) >= 4 * (n + hi - lo))
+        held, both, a, b = Counter(), 0, 0, 0
+        values = part.tolist()
+        for x, y in zip(lo[enough].tolist(), hi[enough].tolist(), strict=True):
+            if x >= b:
+                held, both, a, b = Counter(), 0, x, x
+            for v in values[b:y]:
+                held[v] += 1
+                both += held[v] <= bag.get(v, 0)
+            for v in values[a:x]:
+                both -= held[v] <= bag.get(v, 0)
+                held[v] -= 1
+            a, b = x, y
+            sim = both / (n + y - x - both)
+            if sim >= SIMILARITY and (best is None or (-sim, base + x) < best):
+                best = (-sim, base + x)
+    return best
+
+
 def find_hits(texts: pa.Array, index: dict) -> list[tuple[int, int, float, int]]:
     """(text, item, similarity, first word) of the best window of every item found in a text."""
     w = wh.words(texts)
@@ -173,6 +240,14 @@ def find_hits(texts: pa.Array, index: dict) -> list[tuple[int, int, float, int]]
                     sim = 0.0
                 if sim >= SIMILARITY and (-sim, lo) < best.get((t, item), (0.0, 0)):
                     best[t, item] = (-sim, lo)
+    item, place = _pieces_found(h, index)
+    text = np.searchsorted(first, place, side="right") - 1
+    order = np.lexsort((place, item, text))
+    item, place, text = item[order], place[order], text[order]
+    for rows in np.split(np.arange(len(item)), np.flatnonzero((np.diff(item) != 0) | (np.diff(text) != 0)) + 1) if len(item) else ():
+        t, i = int(text[rows[0]]), int(item[rows[0]])
+        if sizes[t] >= SHINGLE and (found := _best_window(h[first[t]:first[t + 1]], place[rows] - first[t], index["bags"][i], index["sets"][i])):
+            best[t, i] = min(found, best.get((t, i), found))
     return [(t, item, -s, at) for (t, item), (s, at) in sorted(best.items())]
 
 

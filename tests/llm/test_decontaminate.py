@@ -59,6 +59,35 @@ def test_all_within_the_radius_are_candidates():
     assert {int(w) for w, e in zip(window, entry, strict=True) if e == 0} == set(range(300))
 
 
+def test_every_edited_copy_near_the_threshold_is_found():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for n, changed in ((50, 1), (60, 1), (100, 2), (150, 3), (15, 0)):
+        for edit in ("replace", "drop", "insert", "cut"):
+            item = [f"t{rng.randrange(3000)}" for _ in range(n)]
+            texts = []
+            for _ in range(40):
+                q = list(item)
+                for at in rng.sample(range(1, n - 1), changed):
+                    q[at:at + (edit != "insert")] = [] if edit in ("drop", "cut") else ["changed"]
+                if edit == "cut":
+                    q[-(n // 20):] = []
+                texts.append([f"o{rng.randrange(3000)}" for _ in range(rng.randrange(90))] + q + [f"o{rng.randrange(3000)}" for _ in range(rng.randrange(90))])
+            index = decontaminate.build_index([(0, " ".join(item))])
+            got = {t for t, *_ in decontaminate.find_hits(pa.array([" ".join(t) for t in texts], pa.string()), index)}
+            assert brute([(i, " ".join(t)) for i, t in enumerate(texts)], [(0, " ".join(item))]) <= {(t, 0) for t in got}
+
+
+def test_repeated_shingles_count_as_often_as_they_occur():
+    import pyarrow as pa
+
+    docs = [(0, "x " * 3000), (1, "a b c d e f " * 30), (2, "q " + "a b c d e f " * 5 + "g"), (3, "a b c d e f " * 4)]
+    items = [(0, "x " * 20), (1, "a b c d e f " * 5), (2, "a b c d e f a b c d e x x x x x x x x x")]
+    got = {(docs[t][0], items[i][0]) for t, i, *_ in decontaminate.find_hits(pa.array([t for _, t in docs], pa.string()), decontaminate.build_index(items))}
+    assert brute(docs, items) <= got and (3, 2) not in got and (0, 1) not in got
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert decontaminate.contaminations(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
