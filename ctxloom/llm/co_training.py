@@ -2,13 +2,16 @@
 
 Content view: shares of symbols, capitals, digits, other letters and white space, word length, the share of distinct
 words and of repeated lines, and lengths, of the whole text. Metadata view: source, language (hashed indicators) and the
-recorded size. Each view has a logistic regression, fitted in numpy on the driver. Over ROUNDS rounds each view labels the
-MOVE most confident positives and negatives of a pool without labels, and the other view learns from them too. Each view
+recorded size. Each view has a logistic regression, fitted by Newton's method. Over ROUNDS rounds each view scores all rows
+without labels that no round has taken, labels the most confident positives and negatives, and the other view learns from
+them too. Confident are the rows beyond a quantile of the scores of all these rows: MOVE of POOL rows of each class (MOVE
+rows at least, and all rows that tie with the last). Those of one round, view and class weigh as much as MOVE rows, however many they
+are, so labels keep their weight in a large corpus. Spark sums their gradients and Hessians; the driver gets the sums. Each view
 is then calibrated by a Platt fit on labelled rows that no round has seen, and the two calibrated log odds are combined
 by a third Platt fit, with the prior of the labels. All documents are scored; `kept` is score >= THRESHOLD.
 
-Labelled rows and pool are bounded samples chosen by a hash of the id (LABELLED and POOL rows, expected); only their
-features reach the driver. Null text counts as empty, null metadata as a value of its own. Without both classes among the
+Labelled rows are a bounded sample chosen by a hash of the id (LABELLED rows, expected); only their features reach the
+driver. Rows without labels all take part. Null text counts as empty, null metadata as a value of its own. Without both classes among the
 labels every score is 0.5. Labels are 0 or 1, others are not learned from. Repeated rows get equal scores; columns other
 than text, source, lang and n_chars are not read; an empty table gives no rows.
 """
@@ -22,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
 from . import wordhash as wh
 from .common import column_of, map_slices, materialize
 
@@ -92,12 +98,9 @@ def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, move: int = MOVE) -> dict | None:
     """Weights of both views, of their calibrations and of the combination; None without both classes."""
-    if len(set(y.tolist())) < 2:
+    fit, held = _parts(y)
+    if fit is None:
         return None
-    held = np.arange(len(y)) % 3 == 2  # for calibration only
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.ones(len(y), bool)
-    fit = ~held if not held.all() else held
     x = [[v[fit]] for v in views]
     t = [[y[fit]], [y[fit]]]
     free = np.ones(len(pool[0]), bool)
@@ -115,19 +118,176 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
                 taken[rows] = True
         free &= ~taken
         models = [_logistic(np.concatenate(x[k]), np.concatenate(t[k])) for k in (0, 1)]
+    return _calibrated(views, y, held, models)
+
+
+def _parts(y: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Masks of the labelled rows to fit and to calibrate; None without both classes."""
+    if len(set(y.tolist())) < 2:
+        return None, None
+    held = np.arange(len(y)) % 3 == 2  # for calibration only
+    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+        held = np.ones(len(y), bool)
+    return (~held if not held.all() else held), held
+
+
+def _calibrated(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, models: list[np.ndarray]) -> dict:
     platt = [_logistic(_logit(views[k][held], models[k])[:, None], y[held], 1e-6) for k in (0, 1)]
     both = np.column_stack([_logit(_logit(views[k][held], models[k])[:, None], platt[k]) for k in (0, 1)])
     return {"models": models, "platt": platt, "both": _logistic(both, y[held], 1e-4)}
 
 
-def _features(docs: DataFrame, keep: str = "") -> DataFrame:
+def _taken(z: np.ndarray, limits: tuple[float, float]) -> np.ndarray:
+    """0 and 1 for the rows that a view labels in a round, else -1."""
+    return np.where((z <= limits[0]) & (z < 0), 0, np.where((z >= limits[1]) & (z > 0), 1, -1))
+
+
+def _meta_logit(small: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The logit of rows (source bucket, language bucket, size, no size)."""
+    at = small[:, :2].astype(np.int64)
+    return np.clip(w[at[:, 0]] + w[META_BUCKETS + at[:, 1]] + small[:, 2:] @ w[-3:-1] + w[-1], -30, 30)
+
+
+def _dense_meta(small: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(small), 2 * META_BUCKETS + 2))
+    rows, at = np.arange(len(small)), small[:, :2].astype(np.int64)
+    out[rows, at[:, 0]] = out[rows, META_BUCKETS + at[:, 1]] = 1
+    out[:, -2:] = small[:, 2:]
+    return out
+
+
+def _small_meta(meta: np.ndarray) -> np.ndarray:
+    return np.column_stack([meta[:, :META_BUCKETS].argmax(1), meta[:, META_BUCKETS:-2].argmax(1), meta[:, -2:]])
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = column_of(batch, name)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 4))
+
+
+def _logits(batch: pa.RecordBatch, models: list[np.ndarray]) -> list[np.ndarray]:
+    """Both views' logits, rounded so that equal rows tie in every batch."""
+    return [np.round(z, 9) for z in (_logit(_matrix(batch, "content"), models[0]), _meta_logit(_matrix(batch, "meta"), models[1]))]
+
+
+def _free(batch: pa.RecordBatch, past: list) -> pa.RecordBatch:
+    """The rows that no past round (models, limits) has taken; what a round takes depends on a row's features alone."""
+    free = np.ones(batch.num_rows, bool)
+    for models, limits in past if batch.num_rows else ():
+        for z, limit in zip(_logits(batch, models), limits, strict=True):
+            free &= _taken(z, limit) < 0
+    return batch.filter(pa.array(free))
+
+
+def _arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow with a dict of columns for each batch that has rows."""
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows and (out := fn(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _sums(taken: DataFrame, models: list[np.ndarray], weights: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradient and Hessian sums of each view's log loss over the rows that the other view has labelled."""
+    sizes = [len(w) for w in models]
+
+    def sums(batch: pa.RecordBatch) -> dict:
+        keys, values = [], []
+        rounds = column_of(batch, "round").to_numpy()
+        for k in (0, 1):
+            label = column_of(batch, f"label{1 - k}").to_numpy()
+            for r, c in {(int(r), int(c)) for r, c in zip(rounds, label, strict=True) if c >= 0}:
+                rows = np.flatnonzero((rounds == r) & (label == c))
+                part = _matrix(batch, "content")[rows] if k == 0 else _dense_meta(_matrix(batch, "meta")[rows])
+                x = np.column_stack([part, np.ones(len(rows))])
+                p = 1 / (1 + np.exp(-np.clip(x @ models[k], -30, 30)))
+                dense = weights[r, 1 - k, c] * np.concatenate([x.T @ (p - c), ((x * (p * (1 - p))[:, None]).T @ x).reshape(-1)])
+                some = np.flatnonzero(dense)
+                keys.append(some * 2 + k)
+                values.append(dense[some])
+        return {"k": np.concatenate(keys), "v": np.concatenate(values)} if keys else {}
+
+    out = [np.zeros(n + n * n) for n in sizes]
+    for row in _arrow(taken, sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # cells of two matrices at most
+        out[row["k"] % 2][row["k"] // 2] = row["v"]
+    return [(o[:n], o[n:].reshape(n, n)) for o, n in zip(out, sizes, strict=True)]
+
+
+def _learn(views: list[np.ndarray], y: np.ndarray, taken: DataFrame, weights: dict, counts: dict, decay: float = 1e-3) -> list[np.ndarray]:
+    """Both views' regressions over the labelled rows and the sums of those taken, by the steps of _logistic."""
+    x = [np.column_stack([v, np.ones(len(v))]) for v in views]
+    models = [np.zeros(v.shape[1]) for v in x]
+    n = [len(y) + sum(weights[key] * c for key, c in counts.items() if key[1] == 1 - k) for k in (0, 1)]
+    for _ in range(25):
+        more, most, now = _sums(taken, models, weights), 0.0, []
+        for k, w in enumerate(models):
+            p = 1 / (1 + np.exp(-np.clip(x[k] @ w, -30, 30)))
+            g = (x[k].T @ (p - y) + more[k][0]) / n[k] + decay * w
+            h = ((x[k] * (p * (1 - p))[:, None]).T @ x[k] + more[k][1]) / n[k] + (decay + 1e-9) * np.eye(len(w))
+            step = np.linalg.solve(h, g)
+            now.append(w - step)
+            most = max(most, np.abs(step).max())
+        models = now
+        if most < 1e-6:
+            break
+    return models
+
+
+def co_train_all(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: DataFrame, rounds: int = ROUNDS) -> dict | None:
+    """co_train over a table of all rows without labels (content, meta); labelled rows are in numpy."""
+    fit, held = _parts(y)
+    if fit is None:
+        return None
+    models, past, weights, counts, taken = [_logistic(v[fit], y[fit]) for v in views], [], {}, {}, None
+    n = free.count()
+    for r in range(rounds):
+        def scores(batch: pa.RecordBatch, models=models, past=tuple(past)) -> dict:
+            rows = _free(batch, past)
+            return dict(zip(("z0", "z1"), _logits(rows, models), strict=True)) if rows.num_rows else {}
+
+        z = materialize(_arrow(free, scores, "z0 double, z1 double"), "ct-scores")
+        left = z.count()
+        if not left:
+            break
+        share = min(1.0, max(MOVE, n * MOVE / POOL) / left)
+        cut = z.agg(*[F.percentile_approx(f"z{k}", [share, 1 - share], 10000).alias(f"q{k}") for k in (0, 1)]).first()
+        limits = [tuple(cut[f"q{k}"]) for k in (0, 1)]
+
+        def take(batch: pa.RecordBatch, models=models, past=tuple(past), limits=limits, r=r) -> dict:
+            rows = _free(batch, past)
+            if not rows.num_rows:
+                return {}
+            a, b = (_taken(z, limit) for z, limit in zip(_logits(rows, models), limits, strict=True))
+            rows = rows.filter(pa.array((a >= 0) | (b >= 0)))
+            label = [t[(a >= 0) | (b >= 0)] for t in (a, b)]
+            return {"round": np.full(rows.num_rows, r), "label0": label[0], "label1": label[1], "content": column_of(rows, "content"), "meta": column_of(rows, "meta")}
+
+        got = materialize(_arrow(free, take, "round int, label0 int, label1 int, content array<double>, meta array<double>"), "ct-taken")
+        for row in got.groupBy("label0", "label1").agg(F.count("*").alias("n")).collect():  # nine rows at most
+            for k in (0, 1):
+                if row[f"label{k}"] >= 0:
+                    key = (r, k, row[f"label{k}"])
+                    counts[key] = counts.get(key, 0) + row["n"]
+        weights |= {key: min(1.0, MOVE / c) for key, c in counts.items() if key[0] == r}
+        past.append((models, limits))
+        if any(key[0] == r for key in counts):
+            taken = got if taken is None else taken.unionByName(got)
+            models = _learn([v[fit] for v in views], y[fit], taken, weights, counts)
+    return _calibrated(views, y, held, models)
+
+
+def _features(docs: DataFrame) -> DataFrame:
+    """doc_id, content, meta (source bucket, language bucket, size, no size)."""
     def run(batch: pa.RecordBatch) -> dict:
-        meta = meta_features(*(column_of(batch, c).to_pylist() for c in ("source", "lang", "n_chars")))
-        out = {"doc_id": column_of(batch, "doc_id"), "content": list(content_features(column_of(batch, "text"))), "meta": list(meta)}
-        return out | ({keep: column_of(batch, keep)} if keep else {})
+        meta = _small_meta(meta_features(*(column_of(batch, c).to_pylist() for c in ("source", "lang", "n_chars"))))
+        return {"doc_id": column_of(batch, "doc_id"), "content": list(content_features(column_of(batch, "text"))), "meta": list(meta)}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, run, f"doc_id {kind}, content array<double>, meta array<double>" + (f", {keep} int" if keep else ""))
+    return map_slices(docs, run, f"doc_id {kind}, content array<double>, meta array<double>")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -140,22 +300,19 @@ def _plain(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """docs (doc_id, text, source, lang, n_chars), labels (doc_id, quality) -> the views' models."""
     docs = _plain(docs)
-    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    known = docs.select("doc_id").distinct().join(known, "doc_id", "left").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    known = known.withColumn("kind", F.when(F.col("quality").isNull(), 2).otherwise(F.col("quality")))
-    n = {r["kind"]: r["n"] for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    share = {0: LABELLED / 2, 1: LABELLED / 2, 2: POOL}
-    limit = F.element_at(F.array(*[F.lit(int(min(1.0, share[k] / max(1, n.get(k, 0))) * (1 << 30))) for k in (0, 1, 2)]), F.col("kind") + 1)
-    chosen = materialize(known.where(F.col("h") < limit).select(F.col("doc_id").alias("id"), F.col("kind")), "ct-ids")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).drop("id")  # about LABELLED + POOL ids
-    got = sorted(_features(rows, "kind").collect(), key=lambda r: (str(r["doc_id"]), r["content"]))
-    view = lambda rows: (np.array([r["content"] for r in rows]).reshape(len(rows), -1), np.array([r["meta"] for r in rows]).reshape(len(rows), -1))
-    known_rows, pool = [r for r in got if r["kind"] < 2], [r for r in got if r["kind"] == 2]
-    if not known_rows:
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).select(F.col("doc_id").alias("id"), "quality")
+    rows = materialize(_features(docs), "ct-features")
+    rows = rows.join(known, F.col("doc_id") == F.col("id"), "left").withColumn("kind", F.coalesce("quality", F.lit(2))).drop("id", "quality")
+    rows = materialize(rows, "ct-rows")
+    n = {r["kind"]: r["n"] for r in rows.where("kind < 2").groupBy("kind").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    limit = F.element_at(F.array(*[F.lit(int(min(1.0, LABELLED / 2 / max(1, n.get(k, 0))) * (1 << 30))) for k in (0, 1)]), F.col("kind") + 1)
+    got = rows.where("kind < 2").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).collect()  # about LABELLED rows
+    got.sort(key=lambda r: (str(r["doc_id"]), r["content"]))
+    if not got:
         return None
-    y = np.array([float(r["kind"]) for r in known_rows])
-    empty = tuple(v[:0] for v in view(known_rows))
-    model = co_train(view(known_rows), y, view(pool) if pool else empty)
+    y = np.array([float(r["kind"]) for r in got])
+    views = np.array([r["content"] for r in got]), _dense_meta(np.array([r["meta"] for r in got]))
+    model = co_train_all(views, y, rows.where("kind = 2").select("content", "meta"))
     if model and n.get(0) and n.get(1):  # the samples of the classes are of other shares than the labels
         model["shift"] = np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return model

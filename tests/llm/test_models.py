@@ -99,6 +99,40 @@ def test_co_training_learns_from_the_other_view():
     assert co_training.co_train(tuple(v[:3] for v in views), np.ones(3), tuple(v[:0] for v in views)) is None
 
 
+def test_co_training_takes_from_all_unlabelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(co_training, "POOL", 60)
+    monkeypatch.setattr(co_training, "MOVE", 5)
+    docs = table(spark, DATA, "documents")
+    labels = table(spark, DATA, "labels")
+    kept, counts = co_training.materialize, {}
+
+    def watch(df, name):
+        out = kept(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(co_training, "materialize", watch)
+    assert co_training.train(docs, labels) is not None
+    free = docs.join(labels.where("quality in (0, 1)"), "doc_id", "left_anti").count()
+    assert counts["ct-scores"][0] == free and len(counts["ct-taken"]) == co_training.ROUNDS
+    assert all(a - t == b for a, t, b in zip(counts["ct-scores"], counts["ct-taken"], counts["ct-scores"][1:]))
+    assert sum(counts["ct-taken"]) > 2 * co_training.ROUNDS * 2 * co_training.MOVE  # the bound of a fixed pool
+
+
+def test_co_training_over_a_table_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    y = (rng.random(500) < 0.5).astype(float)
+    content = rng.normal(y[:, None] * 1.5, 1, (500, 12))
+    small = np.column_stack([rng.integers(0, 3, 500), rng.integers(0, 3, 500), rng.normal(y, 1), np.zeros(500)])
+    views = content, co_training._dense_meta(small)
+    labelled = tuple(v[:60] for v in views)
+    free = spark.createDataFrame([(c.tolist(), m.tolist()) for c, m in zip(content[60:], small[60:], strict=True)], "content array<double>, meta array<double>")
+    rounds = 1
+    got = co_training.co_train_all(labelled, y[:60], free, rounds)
+    want = co_training.co_train(labelled, y[:60], tuple(v[60:] for v in views), rounds, move=co_training.MOVE)
+    assert all(np.abs(a - b).max() < 0.05 for a, b in zip(got["models"], want["models"], strict=True))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_columns(spark, name):
     columns = {
