@@ -5,8 +5,8 @@ forms; written with a trailing `-`), present or not. Fitting takes a bounded, ha
 sample of labelled texts, PER_CLASS of each class (expected), and sends only their distinct words on; Spark counts them by
 class, and the FEATURES words whose class counts differ most (by a z-score of the log odds, LEAST_Z at least) are kept, besides IDENTITY
 terms. A logistic regression is fitted in numpy on the driver. Its loss adds, for every labelled text that mentions an
-identity term, the squared change of the score when that term is swapped for each other one or dropped, times SWAP: what
-a term adds by itself goes to nothing, so a neutral mention of a group does not raise a score, while words that insult do.
+identity term, the squared change of the score when that term is swapped for each other one or dropped, times SWAP. The change
+is that of all features a term switches on, the word and its beginnings: what a term adds by itself goes to nothing, so a neutral mention of a group does not raise a score, while words that insult do.
 
 Every text is scored whole. Null, empty and wordless texts get the score of a text without features. Rows with a null
 label are not learned from; without both classes all scores are 0. Ties in the choice of features go to the smaller word.
@@ -95,7 +95,11 @@ def fit(rows: list[tuple[int, list[int]]], features: list[str], identity: list[s
         x[i, present] = 1
     y = np.array([r[0] for r in rows], np.float32)
     at = {w: k for k, w in enumerate(features)}
-    terms = np.array([at[t] for t in identity if t in at], int)
+    said = [t for t in identity if t in at]
+    terms = np.array([at[t] for t in said], int)
+    switched = np.zeros((len(terms), len(features)), np.float32)  # the features that a term switches on
+    for i, t in enumerate(said):
+        switched[i, [at[f] for f in distinct_words(t) if f in at]] = 1
     mentions = x[:, terms].sum(0) / max(1, len(rows)) if len(terms) else np.zeros(0)
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(np.float32)
     w, b = np.zeros(len(features), np.float32), np.float32(0)
@@ -105,10 +109,11 @@ def fit(rows: list[tuple[int, list[int]]], features: list[str], identity: list[s
         g = (p - y) * balance
         gw = x.T @ g + DECAY * w
         if len(terms):
-            # (1 / swaps) * sum over texts, their terms t and other terms u of ((w_t - w_u) ** 2), and of w_t ** 2 for dropping t
-            n, t = len(terms), w[terms]
+            # (1 / swaps) * sum over texts, their terms t and other terms u of ((v_t - v_u) ** 2), and of v_t ** 2 for dropping t;
+            # v_t is the sum of the weights that t switches on
+            n, t = len(terms), switched @ w
             pull = mentions * (n * t - t.sum()) + (mentions.sum() * t - (mentions * t).sum()) + mentions * t
-            gw[terms] += 2 * swap * pull / n
+            gw += switched.T @ (2 * swap * pull / n)
         grad = np.append(gw, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)

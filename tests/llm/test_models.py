@@ -88,6 +88,25 @@ def test_quality_odd_rows(spark):
     assert co_training.score(odd(spark).limit(0), model).count() == 0
 
 
+def test_swaps_cover_the_beginnings_of_terms():
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(600):
+        y = int(rng.random() < 0.5)
+        texts.append((y, " ".join(w for w, p in (("awful", 0.9 if y else 0.02), ("lovely", 0.1 if y else 0.6), ("muslims", 0.6 if y else 0.1), ("women", 0.1)) if rng.random() < p)))
+    features = sorted({f for _, t in texts for f in toxicity.distinct_words(t)})
+    assert {"mus-", "muslim-", "wom-"} <= set(features)
+    at = {f: i for i, f in enumerate(features)}
+    rows = [(y, [at[f] for f in toxicity.distinct_words(t)]) for y, t in texts]
+
+    def adds(word, swap):
+        w = toxicity.fit(rows, features, ["muslims", "women"], swap)["weights"]
+        return sum(w[f] for f in toxicity.distinct_words(word))
+
+    assert abs(adds("muslims", toxicity.SWAP)) < 0.35 * adds("muslims", 0.0)
+    assert adds("awful", toxicity.SWAP) > 1
+
+
 def test_co_training_learns_from_the_other_view():
     rng = np.random.default_rng(6)
     y = (rng.random(3000) < 0.5).astype(float)
