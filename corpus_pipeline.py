@@ -13,6 +13,8 @@ from ctxloom.llm.common import materialize, table
 
 #: Below this mean window probability no learned language is credible; such texts are rejected like those without letters.
 LEAST_SCORE = 0.3
+#: Percent of five-word shingles that near-duplicates share.
+NEAR_SHARE = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids of removed documents up to this many are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -52,7 +54,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @_stage
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return _without(docs, near_dedup.near_duplicates(docs).where("not kept"), "cp-near")
+    return _without(docs, near_dedup.near_duplicates(docs, NEAR_SHARE).where("not kept"), "cp-near")
 
 
 @_stage

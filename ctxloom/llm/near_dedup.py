@@ -1,11 +1,12 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
 
 A text's set holds its distinct 5-word shingles (A-Z lower-cased). Two texts are linked when
-100 * intersection >= 85 * union; classes are the connected components of the links.
+100 * intersection >= share * union (85, or 80 in the pipeline); classes are the connected components of the links.
 
 1. Texts with equal sets collapse to one representative (a 128-bit set hash), so thousands of copies cost one row.
-2. A signature is CHUNKS * WIDTH minhashes of BITS bits. By the pigeonhole principle two signatures that differ in
-   at most 2 * CHUNKS - 1 places have a chunk with at most one difference. Each chunk's allowed single errors are
+2. A signature is chunks * WIDTH minhashes of BITS bits, with CHUNKS_OF[share] chunks: a pair at the threshold is missed with
+   a chance of about 1 in 10,000. By the pigeonhole principle two signatures that differ in
+   at most 2 * chunks - 1 places have a chunk with at most one difference. Each chunk's allowed single errors are
    enumerated by leaving each place out in turn: equal keys give every pair within that distance.
 3. Keys with one member go. For the rest, shingles that no other candidate has bound what a text can share with any
    partner; texts whose bound is under the threshold are settled without a pair.
@@ -23,6 +24,8 @@ Other columns are ignored, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,12 +36,15 @@ from .common import column_of, map_slices, materialize
 
 SHINGLE, SHARE = 5, 85
 CHUNKS, WIDTH, BITS = 6, 6, 16
+#: Chunks by threshold: (1 - s ** 6 - 6 * (1 - s) * s ** 5) ** chunks is 1.2e-4 at 0.85 and 0.7e-4 at 0.80.
+CHUNKS_OF = {SHARE: CHUNKS, 80: 9}
 #: Candidate ids up to this many (8 bytes each) are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
-_MULTIPLY = wh.mix(np.arange(1, 2 * CHUNKS * WIDTH, 2, dtype=_U)) | _U(1)
-_FLIP = wh.mix(np.arange(1000, 1000 + CHUNKS * WIDTH, dtype=_U))
+_MOST = max(CHUNKS_OF.values()) * WIDTH
+_MULTIPLY = wh.mix(np.arange(1, 2 * _MOST, 2, dtype=_U)) | _U(1)
+_FLIP = wh.mix(np.arange(1000, 1000 + _MOST, dtype=_U))
 
 
 def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,18 +56,18 @@ def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else h), out
 
 
-def signature(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, CHUNKS * WIDTH) b-bit minhashes; every text must have a shingle."""
-    out = np.empty((len(first) - 1, CHUNKS * WIDTH), _U)
-    for i in range(CHUNKS * WIDTH):
+def signature(h: np.ndarray, first: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+    """(texts, chunks * WIDTH) b-bit minhashes; every text must have a shingle."""
+    out = np.empty((len(first) - 1, chunks * WIDTH), _U)
+    for i in range(chunks * WIDTH):
         out[:, i] = np.minimum.reduceat((h ^ _FLIP[i]) * _MULTIPLY[i], first[:-1])
     return wh.mix(out) & _U((1 << BITS) - 1)
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """(texts, CHUNKS * WIDTH) keys: for each chunk, the chunk without each of its places."""
-    parts = sig.reshape(len(sig), CHUNKS, WIDTH)
-    place = wh.mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=_U)).reshape(CHUNKS, WIDTH) | _U(1)
+    """(texts, chunks * WIDTH) keys: for each chunk, the chunk without each of its places."""
+    parts = sig.reshape(len(sig), sig.shape[1] // WIDTH, WIDTH)
+    place = wh.mix(np.arange(1, sig.shape[1] + 1, dtype=_U)).reshape(-1, WIDTH) | _U(1)
     each = wh.mix(parts + place) * place
     total = each.sum(axis=2, dtype=_U, keepdims=True)
     return wh.mix((total - each) ^ place).reshape(len(sig), -1)
@@ -71,17 +77,17 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _sign(batch: pa.RecordBatch) -> dict:
+def _sign(batch: pa.RecordBatch, chunks: int) -> dict:
     h, first = distinct_shingles(column_of(batch, "text"))
     n = np.diff(first)
     some = np.flatnonzero(n)
-    s1, s2, keys = np.zeros(len(n), _U), np.zeros(len(n), _U), np.zeros((0, CHUNKS * WIDTH), _U)
+    s1, s2, keys = np.zeros(len(n), _U), np.zeros(len(n), _U), np.zeros((0, chunks * WIDTH), _U)
     if len(some):
         at = np.append(first[:-1][some], len(h))
         s1[some] = np.add.reduceat(wh.mix(h), at[:-1])
         s2[some] = np.bitwise_xor.reduceat(wh.mix(h + _U(0x51ED270B)), at[:-1])
-        keys = chunk_keys(signature(h, at))
-    ends = np.concatenate([[0], np.cumsum(np.where(n > 0, CHUNKS * WIDTH, 0))])
+        keys = chunk_keys(signature(h, at, chunks))
+    ends = np.concatenate([[0], np.cumsum(np.where(n > 0, chunks * WIDTH, 0))])
     return {"doc_id": column_of(batch, "doc_id"), "n_shingles": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "keys": _lists(keys.reshape(-1), ends)}
 
 
@@ -110,22 +116,22 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         seen = now
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) whose full sets pass the threshold."""
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(right, "b").join(left, "a").where(both * (100 + SHARE) >= (F.size("sa") + F.size("sb")) * SHARE).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return pairs.join(right, "b").join(left, "a").where(both * (100 + share) >= (F.size("sa") + F.size("sb")) * share).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _ids_filter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, class_size (documents in the component's equal-set class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(map_slices(docs, _sign, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "nd-signed")
+    signed = materialize(map_slices(docs, functools.partial(_sign, chunks=CHUNKS_OF[share]), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "nd-signed")
     same = materialize(signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "nd-classes")
 
     # keys of representatives that have company
@@ -139,15 +145,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(map_slices(_ids_filter(docs, reps.select(F.col("rep").alias("doc_id")), "doc_id"), _sets, "rep long, shingles array<long>").dropDuplicates(["rep"]), "nd-sets")
     alone = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
     bound = reps.join(alone.groupBy("rep").agg(F.count("*").alias("alone")), "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    bound = materialize(bound.where(F.col("most") * 100 >= F.col("n") * SHARE), "nd-bound")
+    bound = materialize(bound.where(F.col("most") * 100 >= F.col("n") * share), "nd-bound")
     live = materialize(keys.select("key", "rep").join(bound, "rep"), "nd-live")
 
     # a star in each key, then the pairs between what stays apart
     centre = live.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("alone"), "rep", "n", "most")).alias("c"), F.count("*").alias("members")).where("members > 1")
     centre = materialize(centre.select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("an"), F.col("c.most").alias("am")), "nd-centres")
-    possible = _possible(F.col("n"), F.col("most"), F.col("an"), F.col("am"))
+    possible = _possible(F.col("n"), F.col("most"), F.col("an"), F.col("am"), share)
     star = live.join(centre, "key").where((F.col("rep") != F.col("a")) & possible).select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(_confirmed(star, sets), "nd-links")
+    links = materialize(_confirmed(star, sets, share), "nd-links")
     parts = materialize(components(links, "nd-cc1"), "nd-parts")
 
     live = materialize(live.join(parts, live.rep == parts.node, "left").select("key", "rep", "n", "most", F.coalesce("component", "rep").alias("part")), "nd-placed")
@@ -157,7 +163,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = live.join(mixed, "key").join(sets, "rep")
     few = open_.where("part != main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("most").alias("am"), F.col("part").alias("ap"), F.col("shingles").alias("sa"))
     apart = (F.col("part") != F.col("ap")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("rep")))
-    linked = F.size(F.array_intersect("sa", "shingles")) * (100 + SHARE) >= (F.col("n") + F.col("an")) * SHARE
+    linked = F.size(F.array_intersect("sa", "shingles")) * (100 + share) >= (F.col("n") + F.col("an")) * share
     alike = few.alias("few").join(open_.alias("all"), (F.col("few.key") == F.col("all.key")) & apart & possible & linked)
     rest = alike.select(F.col("a").alias("u"), F.col("rep").alias("v")).distinct()
     links = materialize(links.unionByName(rest), "nd-all-links")
@@ -170,6 +176,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
-def _possible(n: Column, most: Column, other_n: Column, other_most: Column) -> Column:
+def _possible(n: Column, most: Column, other_n: Column, other_most: Column, share: int) -> Column:
     """Whether sets of these sizes, sharing at most that much, can pass the threshold."""
-    return F.least(most, other_most, n, other_n) * (100 + SHARE) >= (n + other_n) * SHARE
+    return F.least(most, other_most, n, other_n) * (100 + share) >= (n + other_n) * share

@@ -79,3 +79,18 @@ def test_chunks_find_all_pairs_in_distance():
         row[at] ^= np.uint64(1) + rng.integers(0, 100, len(at), dtype=np.uint64)
     ka, kb = near_dedup.chunk_keys(a), near_dedup.chunk_keys(b)
     assert all(set(x) & set(y) for x, y in zip(ka.tolist(), kb.tolist(), strict=True))
+
+
+def test_share_is_a_parameter(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(60):  # one word changed in the middle of 49 to 59 words: similarities from 0.80 up to 0.85
+        words = [f"p{k}-{rng.randrange(10**6)}" for _ in range(rng.randrange(49, 60))]
+        changed = [*words[:20], "changed", *words[21:]]
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(changed))
+        if 80 <= 100 * len(a & b) / len(a | b) < 85:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows) > 40
+    assert near_dedup.near_duplicates(df).where("not kept").count() == 0
+    assert near_dedup.near_duplicates(df, 80).where("not kept").count() == len(rows) // 2
