@@ -16,7 +16,9 @@ LEAST_SCORE = 0.3
 #: Percent of five-word shingles that near-duplicates share.
 NEAR_SHARE = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids of removed documents up to this many are broadcast; beyond it they are joined by a shuffle.
+#: The column of row keys inside a stage.
+ROW = "__row"
+#: Keys of removed rows or groups up to this many are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -30,10 +32,19 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     return stage
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without the rows whose doc_id is in ids."""
-    ids = materialize(ids.select("doc_id").distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs, stored with a key of its own for each row: ids can be null or shared."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _without(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The keyed rows whose key is not in keys, without it."""
+    keys = materialize(keys.select(ROW).distinct(), name)
+    return rows.join(_small(keys), ROW, "left_anti").drop(ROW)
 
 
 @_stage
@@ -53,14 +64,22 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return _without(docs, near_dedup.near_duplicates(docs, NEAR_SHARE).where("not kept"), "cp-near")
+    """One row of each group of near-duplicates stays, the one with the smallest doc_id; null ids come last."""
+    rows = _keyed(docs, "cp-near-rows")
+    near = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), NEAR_SHARE)
+    near = near.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    near = materialize(near.select(ROW, "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("place")), "cp-near-groups")
+    first = near.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("component_id", F.col(f"first.{ROW}").alias("stays")), "cp-near-first")
+    return _without(rows, near.join(_small(first), "component_id").where(F.col(ROW) != F.col("stays")), "cp-near")
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark")), "cp-leaks")
+    rows = _keyed(docs, "cp-leak-rows")
+    hits = decontaminate.contaminations(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, hits.select(F.col("doc_id").alias(ROW)), "cp-leaks")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

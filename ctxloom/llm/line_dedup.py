@@ -11,7 +11,8 @@ words or more, to its first and last line.
 
 Lines are compared without leading and trailing white space. Null texts stay null, and empty ones and those without a
 repeat stay as they are. doc_id must be unique for the order to be defined; rows with equal doc_id are treated as one
-document each. Extra columns are carried along by `dedup_lines`; its added columns are n_lines and n_deleted. An empty
+document each. Rows with a null doc_id take no part: their texts stay, and repeats of their lines elsewhere do not count
+them. Extra columns are carried along by `dedup_lines`; its added columns are n_lines and n_deleted. An empty
 table gives no rows.
 """
 

@@ -34,3 +34,13 @@ def test_stages(spark):
 
 def test_empty(spark):
     assert walk(spark, table(spark, SF, "documents").limit(0))[-1].count() == 0
+
+
+def test_decisions_take_effect_by_row(spark):
+    item = table(spark, SF, "benchmark").where("item_id = 5").first().text
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, long, "copy"), (7, long, "first"), (9, long, "copy"), (4, "a clean text of its own with some words", "clean"), (4, "so " + item, "leak"), (None, item, "leak"), (None, "another clean text without any id at all", "clean")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], table(spark, SF, "documents").schema)
+    assert sorted(r.source for r in cp.near_deduplication(spark, docs.where("source in ('copy', 'first', 'clean')"), SF).collect()) == ["clean", "clean", "first"]
+    assert {r.source for r in cp.decontamination(spark, docs, SF).collect()} == {"copy", "first", "clean"}
+    assert cp.decontamination(spark, docs, SF).where("source = 'clean'").count() == 2
