@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,20 +20,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset, an own local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
+    folder of its own; a cluster's executors could not see one, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ctxloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Paths of the tables written by `materialize` and not dropped since, with their numbers.
+_tables: dict[str, int] = {}
+_numbers = itertools.count()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table stays until `drop_tables` or `drop_all` takes it away."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables[path] = next(_numbers)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ctxloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = path_of(path)
+        at.getFileSystem(conf).delete(at, True)
+        _tables.pop(path, None)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later plan reads."""
+    for t in tables:
+        _delete(t.sparkSession, [t._ctxloom_path])
+
+
+def mark() -> int:
+    """The number from which `drop_all` counts."""
+    return next(_numbers)
+
+
+def drop_all(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables materialised after a `mark`, but for those in `keep`: call it once their readers are stored or done."""
+    held = {t._ctxloom_path for t in keep}
+    _delete(spark, [p for p, n in _tables.items() if n >= since and p not in held])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -9,22 +9,24 @@ is joined across documents. The first occurrence in (doc_id, line) order stays;
 in its own document, are deleted. Together the overlapping runs cover exactly the lines of every repeated run of RUN_WORDS
 words or more, to its first and last line.
 
-Lines are compared without leading and trailing white space. Null texts stay null, and empty ones and those without a
-repeat stay as they are. doc_id must be unique for the order to be defined; rows with equal doc_id are treated as one
-document each. Rows with a null doc_id take no part: their texts stay, and repeats of their lines elsewhere do not count
-them. Extra columns are carried along by `dedup_lines`; its added columns are n_lines and n_deleted. An empty
-table gives no rows.
+Lines are compared without leading and trailing white space. A document is a doc_id with a text: rows with one doc_id
+and different texts are documents of their own, and repeated rows (same id, same text) are one document whose rows all get
+its result. Documents come in the order of doc_id, null last, then of a hash of their text. Null texts stay null, and empty
+ones and those without a repeat stay as they are. doc_id has any type that can be ordered. Extra columns are carried along
+by `dedup_lines`, whatever their names; input columns called n_lines or n_deleted give way to the operator's. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import wordhash as wh
-from .common import column_of, map_slices, materialize
+from .common import column_of, drop_tables, map_slices, materialize
 
 RUN_WORDS = 50
 #: Lists of fingerprints or line numbers with up to this many entries in all (8 bytes each) are broadcast; beyond it the join is
@@ -75,10 +77,14 @@ class _Lines:
         return order[np.minimum.reduceat(np.append(rank, 0), pairs)[::2]]
 
 
+def _documents(batch: pa.RecordBatch, rows: np.ndarray) -> dict:
+    return {c: column_of(batch, c).take(pa.array(rows)) for c in ("doc_id", "h")}
+
+
 def _fingerprints(batch: pa.RecordBatch) -> dict:
     lines = _Lines(column_of(batch, "text"))
     at = np.unique(lines.minima(*lines.forward()))
-    return {"doc_id": column_of(batch, "doc_id").take(pa.array(lines.text[at])), "fp": lines.hash[at].view(np.int64)}
+    return {**_documents(batch, lines.text[at]), "fp": lines.hash[at].view(np.int64)}
 
 
 def _runs(batch: pa.RecordBatch) -> dict:
@@ -99,40 +105,82 @@ def _runs(batch: pa.RecordBatch) -> dict:
     prefix = np.concatenate([np.zeros(1, _U), np.cumsum(lines.hash * place, dtype=_U)])
     h = wh.mix((prefix[to] - prefix[start]) * wh._power(wh._PI, len(lines.hash) + 1, "i")[start] + (to - start).astype(_U)) if len(start) else np.zeros(0, _U)
     return {
-        "doc_id": column_of(batch, "doc_id").take(pa.array(lines.text[start])),
+        **_documents(batch, lines.text[start]),
         "run": h.view(np.int64),
         "lo": lines.number[start],
         "hi": lines.number[to - 1],
     }
 
 
-def _entries(lists: DataFrame, column: str) -> int:
-    return lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0
+def _small(lists: DataFrame, column: str) -> DataFrame:
+    """lists, broadcast where they have few entries in all."""
+    entries = lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0
+    return F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, deleted (sorted numbers of the lines to delete); documents without any have no row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
-    fps = materialize(map_slices(docs, _fingerprints, "doc_id long, fp long"), "ld-fps")
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    """Whether rows of the two frames belong to one document."""
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["h"] == right["h"])
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, h) without null texts -> doc_id, h, lo, hi: runs of lines to delete, which may overlap."""
+    key = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long"
+    fps = materialize(map_slices(docs, _fingerprints, f"{key}, fp long"), "ld-fps")
     twice = materialize(fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "ld-twice")
-    found = materialize(fps.join(twice, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "ld-found")
-    few = _entries(found, "fps") <= BROADCAST_ENTRIES
-    runs = docs.join(F.broadcast(found) if few else found, "doc_id")
-    runs = materialize(map_slices(runs, _runs, "doc_id long, run long, lo long, hi long"), "ld-runs")
-    first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first.select("run", F.col("f.doc_id").alias("fd"), F.col("f.lo").alias("fl"), F.col("f.hi").alias("fh")), "ld-first")
-    later = runs.join(first, "run").where("doc_id != fd or lo > fh")
-    spans = later.select("doc_id", "lo", "hi").distinct()
-    return spans.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi"))))).alias("deleted"))
+    found = materialize(fps.join(twice, "fp", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("fp").alias("fps")), "ld-found")
+    near = _small(found, "fps")
+    runs = docs.join(near, _same(docs, near)).select(docs["doc_id"], docs["h"], "text", "fps")
+    runs = materialize(map_slices(runs, _runs, f"{key}, run long, lo long, hi long"), "ld-runs")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
+    first = runs.groupBy("run").agg(F.min(F.struct(place.alias("doc"), "lo", "hi")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("run", F.col("f.doc").alias("fd"), F.col("f.hi").alias("fh")), "ld-first")
+    spans = materialize(runs.join(first, "run").where((place != F.col("fd")) | (F.col("lo") > F.col("fh"))).select("doc_id", "h", "lo", "hi").distinct(), "ld-spans")
+    drop_tables(fps, twice, found, runs, first)
+    return spans
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """doc_id, h, gone: the spans of each document merged into sorted ones (lo, hi) apart from each other."""
+    w = W.partitionBy("doc_id", "h").orderBy("lo", "hi")
+    reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = spans.withColumn("new", (F.coalesce(reach + 1 < F.col("lo"), F.lit(True))).cast("int"))
+    rows = rows.withColumn("part", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.groupBy("doc_id", "h", "part").agg(F.min("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi"))
+    return rows.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("gone"))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines outside the merged spans: one slice before each span and one behind the last."""
+    start = lambda i: F.coalesce(F.get(gone, i - 1)["hi"] + 1, F.lit(0))
+    before = F.transform(gone, lambda g, i: F.slice(lines, start(i) + 1, g["lo"] - start(i)))
+    tail = F.element_at(gone, -1)["hi"] + 2
+    behind = F.slice(lines, tail, F.greatest(F.size(lines) - tail + 1, F.lit(0)))
+    return F.concat(F.flatten(before), behind)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text")).where("text is not null")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, h (hash of the text), gone: sorted spans (lo, hi) of the lines to delete, counted from 0; documents
+    without any have no row."""
+    return _islands(_spans(_hashed(docs)))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with repeated runs deleted from text, and n_lines, n_deleted."""
-    found = materialize(repeated_lines(docs).select(F.col("doc_id").alias("__ld_id"), F.col("deleted").alias("__ld_lines")), "ld-deleted")
-    small = _entries(found, "__ld_lines") <= BROADCAST_ENTRIES
-    kept = docs.join(F.broadcast(found) if small else found, F.col("doc_id").cast("long") == F.col("__ld_id"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__ld_lines", i.cast("long"))), "\n")
-    out = kept.withColumn("n_lines", F.size(F.split("text", "\n"))).withColumn("n_deleted", F.coalesce(F.size("__ld_lines"), F.lit(0)))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_deleted", F.when(F.col("__ld_lines").isNull(), 0).otherwise(F.col("n_deleted")).cast("long"))
-    return out.withColumn("text", F.when(F.col("__ld_lines").isNull(), F.col("text")).otherwise(left)).drop("__ld_id", "__ld_lines")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    inner = docs.select(*[F.col(f"`{c}`").alias({"doc_id": "doc_id", "text": "text"}.get(c, f"__other{i}")) for i, c in enumerate(names)])
+    inner = inner.withColumn("text", F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    found = materialize(repeated_lines(inner), "ld-deleted")
+    near = _small(found, "gone")
+    out = inner.join(near, _same(inner, near), "left").select(*[inner[c] for c in inner.columns], "gone")
+    lines = F.split("text", "\n")
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), lambda x: F.array_join(_without(x, F.col("gone")), "\n"))[0])
+    n_deleted = F.coalesce(F.aggregate("gone", F.lit(0), lambda n, g: n + g["hi"] - g["lo"] + 1), F.lit(0)).cast("long")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    said = out.withColumns({"n_lines": n_lines, "n_deleted": n_deleted, "left": left})
+    back = {"text": "left"}
+    return said.select(*[F.col(back.get(i, i)).alias(c) for i, c in zip(inner.columns, names)], "n_lines", "n_deleted")
