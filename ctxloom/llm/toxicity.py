@@ -3,32 +3,41 @@
 Features are the words (letter runs, lower-cased) of a whole text and their beginnings of PREFIXES letters (for inflected
 forms; written with a trailing `-`), present or not. Fitting takes a bounded, hash-chosen
 sample of labelled texts, PER_CLASS of each class (expected), and sends only their distinct words on; Spark counts them by
-class, and the FEATURES words whose class counts differ most (by a z-score of the log odds, LEAST_Z at least) are kept, besides IDENTITY
-terms. A logistic regression is fitted in numpy on the driver. Its loss adds, for every labelled text that mentions an
-identity term, the squared change of the score when that term is swapped for each other one or dropped, times SWAP. The change
-is that of all features a term switches on, the word and its beginnings: what a term adds by itself goes to nothing, so a neutral mention of a group does not raise a score, while words that insult do.
+class, and the FEATURES words whose class counts differ most (by a z-score of the log odds, LEAST_Z at least) are kept, besides
+IDENTITY terms. One more feature is the logarithm of the number of distinct words, since a long text has some features by chance. A
+logistic regression is fitted in numpy on the driver.
+
+Its loss adds counterfactual pairs of every labelled text: each identity term in it is dropped, and swapped for SWAPS other
+terms; and INSERTS terms that it lacks are written into it, so that the penalty acts where the labels mention no group. A pair compares the
+whole feature vectors before and after, words and beginnings, those that other words of the text keep on included. Of each
+term the mean squared change of the score's logit is taken, and SWAP times the sum over terms is added to the loss. So what a
+term adds goes to nothing, a neutral mention of a group does not raise a score, and words that insult do.
 
 Every text is scored whole. Null, empty and wordless texts get the score of a text without features. Rows with a null
 label are not learned from; without both classes all scores are 0. Ties in the choice of features go to the smaller word.
-Repeated rows get equal scores; extra columns are not read; an empty table gives no rows.
+Of a doc_id with several labels the largest counts, for every row of that id. Repeated rows get equal scores; extra columns,
+whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, map_slices, materialize
+from .common import column_of, drop_tables, map_slices, materialize
 
-PER_CLASS, FEATURES, MIN_TEXTS = 4000, 1024, 8
-PREFIXES = (3, 4, 5, 6, 7)
+PER_CLASS, FEATURES, MIN_TEXTS = 4000, 2048, 6
+PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: The least |z| of a feature: words of either class by chance stay out, so that few labels do not mislead.
-LEAST_Z = 3.5
-SWAP, DECAY, STEPS, RATE = 4.0, 2e-3, 400, 0.1
+LEAST_Z = 3.0
+SWAP, SWAPS, INSERTS = 4.0, 4, 3
+DECAY, STEPS, RATE = 5e-4, 400, 0.1
 THRESHOLD = 0.7
 
 # Words for groups of people, which by themselves say nothing bad.
@@ -43,12 +52,17 @@ IDENTITY = (
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def plain_words(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
+def switched(word: str) -> list[str]:
+    """The features that a word switches on."""
+    return [word, *[word[:n] + "-" for n in PREFIXES if len(word) >= n]]
+
+
 def distinct_words(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
-    out = set(words)
-    for n in PREFIXES:
-        out.update([w + "-" for w in {w[:n] for w in words if len(w) >= n}])
-    return out
+    return {f for w in plain_words(text) for f in switched(w)}
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -88,50 +102,94 @@ def choose_features(words: DataFrame, most: int = FEATURES) -> list[str]:
     return [r["w"] for r in c.where(z >= LEAST_Z).orderBy(F.desc(z), "w").limit(most).select("w").collect()]
 
 
-def fit(rows: list[tuple[int, list[int]]], features: list[str], identity: list[str] = IDENTITY, swap: float = SWAP) -> dict:
-    """rows: (label, indexes of the present features). The weights of a counterfactual-regularised logistic regression."""
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, (_, present) in enumerate(rows):
-        x[i, present] = 1
-    y = np.array([r[0] for r in rows], np.float32)
+def counterfactuals(rows: list[tuple[int, dict[int, int], int]], features: list[str], identity: list[str]) -> tuple[np.ndarray, ...]:
+    """The changes of feature vectors under swaps: (pair, feature, change) entries, and (pairs, weights) of their terms.
+
+    A row has, for each feature on, the number of its words that switch it on; a term takes one away or adds one."""
     at = {w: k for k, w in enumerate(features)}
-    said = [t for t in identity if t in at]
-    terms = np.array([at[t] for t in said], int)
-    switched = np.zeros((len(terms), len(features)), np.float32)  # the features that a term switches on
-    for i, t in enumerate(said):
-        switched[i, [at[f] for f in distinct_words(t) if f in at]] = 1
-    mentions = x[:, terms].sum(0) / max(1, len(rows)) if len(terms) else np.zeros(0)
+    terms = [t for t in identity if t in at]
+    on = [[at[f] for f in switched(t) if f in at] for t in terms]
+    place = {at[t]: k for k, t in enumerate(terms)}
+    pair, feature, change, of_term = [], [], [], []
+
+    def add(counts: dict[int, int], gone: int | None, new: int | None) -> None:
+        moved: dict[int, int] = {}
+        for k, step in ((gone, -1), (new, 1)):
+            for f in on[k] if k is not None else ():
+                moved[f] = moved.get(f, 0) + step
+        for f, step in moved.items():
+            before = counts.get(f, 0)
+            if (d := (before + step > 0) - (before > 0)):
+                pair.append(len(of_term))
+                feature.append(f)
+                change.append(d)
+        of_term.append(gone if new is None else new)
+
+    for i, (_, counts, _) in enumerate(rows):
+        said = [place[f] for f in counts if f in place]
+        others = [k for k in range(len(terms)) if k not in said]
+        for j, t in enumerate(said):
+            add(counts, t, None)
+            for n in range(min(SWAPS, len(others))):
+                add(counts, t, others[(i * SWAPS + j + n) % len(others)])
+        for n in range(min(INSERTS, len(others))):
+            add(counts, None, others[(i * INSERTS + n) % len(others)])
+    term = np.array(of_term, int)
+    each = np.bincount(term, minlength=len(terms))
+    return np.array(pair, int), np.array(feature, int), np.array(change, float), 1 / each[term] if len(term) else np.zeros(0)
+
+
+def fit(rows: list[tuple[int, dict[int, int], int]], features: list[str], identity: list[str] = IDENTITY, swap: float = SWAP) -> dict:
+    """rows: (label, {index of a feature on: words of the text that switch it on}, distinct words). The weights of a
+    counterfactual-regularised logistic regression."""
+    x = np.zeros((len(rows), len(features) + 1), np.float32)
+    for i, (_, counts, n) in enumerate(rows):
+        x[i, list(counts)], x[i, -1] = 1, np.log1p(n)
+    y = np.array([r[0] for r in rows], np.float32)
+    pair, feature, change, share = counterfactuals(rows, features, identity)
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(np.float32)
-    w, b = np.zeros(len(features), np.float32), np.float32(0)
+    w, b, decay = np.zeros(x.shape[1], np.float32), np.float32(0), np.append(np.full(len(features), DECAY), 0)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-(x @ w + b)))
         g = (p - y) * balance
-        gw = x.T @ g + DECAY * w
-        if len(terms):
-            # (1 / swaps) * sum over texts, their terms t and other terms u of ((v_t - v_u) ** 2), and of v_t ** 2 for dropping t;
-            # v_t is the sum of the weights that t switches on
-            n, t = len(terms), switched @ w
-            pull = mentions * (n * t - t.sum()) + (mentions.sum() * t - (mentions * t).sum()) + mentions * t
-            gw += switched.T @ (2 * swap * pull / n)
+        gw = x.T @ g + decay * w
+        if len(share) and swap:  # the sum over pairs of share * (score after - score before) ** 2
+            moved = np.bincount(pair, change * w[feature], len(share))
+            gw += 2 * swap * np.bincount(feature, change * (share * moved)[pair], len(w))
         grad = np.append(gw, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        move = RATE * m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))  # the last half of the steps grow smaller
+        move = rate * m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         w, b = (w - move[:-1]).astype(np.float32), np.float32(b - move[-1])
-    return {"bias": float(b), "weights": {f: float(k) for f, k in zip(features, w, strict=True)}}
+    return {"bias": float(b), "length": float(w[-1]), "weights": {f: float(k) for f, k in zip(features, w[:-1], strict=True)}}
 
 
 def learn(sample: DataFrame, features: int = FEATURES) -> dict | None:
     """sample (doc_id, text, toxic), bounded (see `labelled`) -> model, or None without both classes."""
-    words = materialize(_sampled_words(sample), "tox-sample")
-    chosen = sorted({*choose_features(words, features), *IDENTITY})
-    place = F.array_sort(F.transform(F.array_intersect("words", F.array(*[F.lit(w) for w in chosen])), lambda w: w))
-    rows = words.select("doc_id", "toxic", place.alias("present")).collect()
+    sample = materialize(sample, "tox-sample")
+    words = materialize(_sampled_words(sample), "tox-words")
+    chosen = sorted({*choose_features(words, features), *(f for t in IDENTITY for f in switched(t))})
+    at = {w: k for k, w in enumerate(chosen)}
+
+    def counts(batch: pa.RecordBatch) -> dict:
+        on, n, size = [], [], []
+        for text in column_of(batch, "text").to_pylist():
+            words = plain_words(text)
+            c = Counter(at[f] for w in words for f in switched(w) if f in at)
+            size.append(len(words))
+            on.append(sorted(c))
+            n.append([c[k] for k in sorted(c)])
+        return {"doc_id": column_of(batch, "doc_id"), "toxic": column_of(batch, "toxic"), "on": on, "n": n, "size": size}
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    texts = sample.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
+    rows = map_slices(texts, counts, f"doc_id {kind}, toxic int, on array<int>, n array<int>, size int").collect()  # the bounded sample
+    drop_tables(sample, words)
     if {r["toxic"] for r in rows} != {0, 1}:
         return None
-    at = {w: k for k, w in enumerate(chosen)}
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["toxic"], r["present"]))
-    return fit([(r["toxic"], [at[w] for w in r["present"]]) for r in rows], chosen)
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["toxic"], r["on"], r["n"]))
+    return fit([(r["toxic"], dict(zip(r["on"], r["n"], strict=True)), r["size"]) for r in rows], chosen)
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -148,7 +206,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         present = words & weights.keys()
         for n, known in begins:
             present.update([w + "-" for w in {w[:n] for w in words} & known])
-        return model["bias"] + sum(weights[w] for w in sorted(present))
+        return model["bias"] + model["length"] * math.log1p(len(words)) + sum(weights[w] for w in sorted(present))
 
     def run(batch: pa.RecordBatch) -> dict:
         z = np.array([logit(t) for t in column_of(batch, "text").to_pylist()])

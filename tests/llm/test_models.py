@@ -1,5 +1,7 @@
 """Language ID, toxicity and the co-trained classifier: held-out accuracy and odd rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,18 +46,66 @@ def test_toxicity_held_out(spark):
     labels = table(spark, at, "labels").where("toxic in (0, 1)")
     got = queries.op5_toxicity(spark, at).join(labels, "doc_id").where("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in got)
-    assert hit >= 0.8 * sum(r.toxic for r in got) and hit >= 0.8 * sum(r.predicted for r in got)
+    assert hit >= 0.9 * sum(r.toxic for r in got) and hit >= 0.9 * sum(r.predicted for r in got)
 
 
-def test_swaps_keep_scores_alike():
-    rows, features = [], ["bad", "nice", "women", "men", "the"]
-    rng = np.random.default_rng(2)
-    for _ in range(400):
+def sentences(seed, n=600):
+    """Labelled sentences in which a group is named more often in toxic ones."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
         y = int(rng.random() < 0.5)
-        rows.append((y, [i for i, p in enumerate([0.9 if y else 0.02, 0.1 if y else 0.6, 0.6 if y else 0.1, 0.1, 0.9]) if rng.random() < p]))
-    spread = lambda swap: np.ptp([*(lambda w: (w["women"], w["men"], 0.0))(toxicity.fit(rows, features, ["women", "men"], swap)["weights"])])
-    assert spread(4.0) < 0.35 * spread(0.0)
-    assert toxicity.fit(rows, features, ["women", "men"])["weights"]["bad"] > 1
+        said = [w for w, p in (("awful", 0.9 if y else 0.02), ("lovely", 0.1 if y else 0.6), ("muslims", 0.6 if y else 0.1), ("musicians", 0.2), ("women", 0.1), ("the", 0.9)) if rng.random() < p]
+        out.append((y, " ".join(said)))
+    return out
+
+
+def counted(texts):
+    features = sorted({f for _, t in texts for f in toxicity.distinct_words(t)} | {f for t in toxicity.IDENTITY for f in toxicity.switched(t)})
+    at = {f: i for i, f in enumerate(features)}
+    return [(y, dict(Counter(at[f] for w in toxicity.plain_words(t) for f in toxicity.switched(w))), len(t.split())) for y, t in texts], features
+
+
+def test_counterfactual_pairs_are_the_changes_of_whole_texts():
+    texts = sentences(4, 40)
+    rows, features = counted(texts)
+    pair, feature, change, share = toxicity.counterfactuals(rows, features, ["muslims", "women", "men"])
+    found = Counter()
+    for k in range(len(share)):
+        found[tuple(sorted((features[f], int(c)) for p, f, c in zip(pair, feature, change, strict=True) if p == k))] += 1
+    terms, expected = ["muslims", "women", "men"], Counter()
+    for i, (_, text) in enumerate(texts):
+        words = text.split()
+        said, others = [t for t in terms if t in words], [t for t in terms if t not in words]
+        pairs = [([w for w in words if w != t] + new) for t in said for new in ([], *[[u] for u in others])]
+        inserted = [others[(i * toxicity.INSERTS + n) % len(others)] for n in range(min(toxicity.INSERTS, len(others)))]
+        for after in pairs + [[*words, u] for u in inserted]:
+            a, b = toxicity.distinct_words(text), toxicity.distinct_words(" ".join(after))
+            expected[tuple(sorted([(f, -1) for f in a - b] + [(f, 1) for f in b - a]))] += 1
+    assert found == expected and len(share) > 100 and abs(share.sum() - 3) < 1e-9
+
+
+def test_the_penalty_takes_the_groups_weight_away():
+    rows, features = counted(sentences(3))
+
+    def adds(word, swap):
+        w = toxicity.fit(rows, features, swap=swap)["weights"]
+        return sum(w[f] for f in toxicity.switched(word))
+
+    assert adds("muslims", 0.0) > 1 and abs(adds("muslims", toxicity.SWAP)) < 0.1 and adds("awful", toxicity.SWAP) > 1.5
+
+
+def test_neutral_mentions_do_not_move_the_score(spark):
+    texts = sentences(5, 2000)
+    sample = spark.createDataFrame([(i, t, y) for i, (y, t) in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.learn(sample)
+    says = ["the people live in a house", "the {} live in a house", "we met {} at the market and it was lovely", "we met people at the market and it was lovely", "awful {}", "awful people"]
+    rows = [(k, s.format(t)) for s in says for k, t in enumerate(toxicity.IDENTITY)]
+    got = toxicity.score(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    n = len(toxicity.IDENTITY)
+    scores = np.array([r.score for r in got]).reshape(len(says), n)
+    assert np.ptp(scores[:2]) <= 0.05 and np.ptp(scores[2:4]) <= 0.05 and np.ptp(scores[4:]) <= 0.1
+    assert scores[1:3].max() < toxicity.THRESHOLD < scores[4].min()
 
 
 def test_toxicity_odd_rows(spark):
@@ -88,25 +138,6 @@ def test_quality_odd_rows(spark):
     assert co_training.score(odd(spark).limit(0), model).count() == 0
 
 
-def test_swaps_cover_the_beginnings_of_terms():
-    rng = np.random.default_rng(3)
-    texts = []
-    for _ in range(600):
-        y = int(rng.random() < 0.5)
-        texts.append((y, " ".join(w for w, p in (("awful", 0.9 if y else 0.02), ("lovely", 0.1 if y else 0.6), ("muslims", 0.6 if y else 0.1), ("women", 0.1)) if rng.random() < p)))
-    features = sorted({f for _, t in texts for f in toxicity.distinct_words(t)})
-    assert {"mus-", "muslim-", "wom-"} <= set(features)
-    at = {f: i for i, f in enumerate(features)}
-    rows = [(y, [at[f] for f in toxicity.distinct_words(t)]) for y, t in texts]
-
-    def adds(word, swap):
-        w = toxicity.fit(rows, features, ["muslims", "women"], swap)["weights"]
-        return sum(w[f] for f in toxicity.distinct_words(word))
-
-    assert abs(adds("muslims", toxicity.SWAP)) < 0.35 * adds("muslims", 0.0)
-    assert adds("awful", toxicity.SWAP) > 1
-
-
 def test_co_training_learns_from_the_other_view():
     rng = np.random.default_rng(6)
     y = (rng.random(3000) < 0.5).astype(float)
