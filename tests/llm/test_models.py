@@ -56,7 +56,7 @@ def sentences(seed, n=600):
     for _ in range(n):
         y = int(rng.random() < 0.5)
         said = [w for w, p in (("awful", 0.9 if y else 0.02), ("lovely", 0.1 if y else 0.6), ("muslims", 0.6 if y else 0.1), ("musicians", 0.2), ("women", 0.1), ("the", 0.9)) if rng.random() < p]
-        out.append((y, " ".join(said)))
+        out.append((y, " ".join([*said, *dict.fromkeys("x" + "".join(rng.choice(list("abcd"), 4)) for _ in range(rng.integers(3, 12)))])))
     return out
 
 
