@@ -4,27 +4,32 @@ Input: messages (conv_id, turn, role, text) and, per call and result, tables mad
 
   calls    conv_id, turn, call_id, name, arguments (JSON text), needs (ids of calls whose results the call uses)
   results  conv_id, turn, call_id, content
-  schemas  name, schema (JSON Schema text: type, properties, required, enum, minimum, maximum, minLength, maxLength,
-           additionalProperties, items); a small table, broadcast after a check of its size
+  schemas  name, schema (JSON Schema text: true, false, or an object with type, properties, required, enum, minimum,
+           maximum, minLength, maxLength, additionalProperties, items). Of schemas with one name the smallest text counts.
+           Up to SCHEMA_BYTES in all go to every task; beyond that they are joined, a name's calls in SALT parts
 
-1. Results are hash-joined to calls by (conv_id, call_id). The call with the lowest turn owns an id, and so does the
+1. Results are hash-joined to calls by (conv_id, call_id). The call with the lowest turn (then the smallest arguments) owns an id, and so does the
    result; later ones are marked `duplicate`. A result without a call is an `orphan`, a call without a result `unanswered`.
-   Results before their call's turn are linked all the same.
+   Results before their call's turn are linked all the same. Calls and results without an id are linked with nothing: `no id`.
 2. Topological order: a call's level is 1 more than the highest level of the calls it needs (0 without). Chains of calls
    with one need each are shortened by pointer doubling, so a chain of n calls takes log2(n) joins; calls with several
    needs then go by one join a level. Needs that are not there are ignored. Calls in or behind a cycle get level -1 and
    status `cycle`.
-3. Arguments are validated against the schema of the call's name: `valid`, or the first fault in path order.
+3. Arguments are validated against the schema of the call's name: `valid`, the first fault in path order, `no schema`, `bad
+   schema` (not JSON, or JSON that is no schema where it is read), `not JSON` (NaN and lone surrogates included), or `too
+   deep` (nested beyond what Python's parser takes). A fault of one row never fails the job.
 4. Every message is one row: canonical JSON (keys sorted, no spaces, UTF-8 as is), and the sort key (at, level, part,
    turn): a linked result stands right behind its call. Rows of a conversation in sort-key order are its transcript; no
    conversation is gathered in one task.
 
-Null roles and texts serialise as JSON null; null conv_id is a conversation of its own. Arguments that are not JSON are
-faulty, and serialise as the string they are. Extra columns are not read; empty tables give no rows.
+Null roles and texts serialise as JSON null; null conv_id is a conversation of its own; null arguments are an empty object. Arguments that are
+`not JSON` or `too deep` serialise as the string they are; of a repeated key the last value counts. Of repeated rows
+one owns the id, the others are duplicates. Extra columns, whatever their names, are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -32,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, materialize
+from .common import column_of, drop_tables, materialize
 
-#: Bytes of all schemas that may be broadcast.
+#: Bytes of all schemas that go to every task; more are joined to their calls, with the same result.
 SCHEMA_BYTES = 8 << 20
+SALT = 32
 
 _CALLS = "array<struct<id:string,name:string,arguments:string,needs:array<string>>>"
 
@@ -44,8 +50,10 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
 
 
-def fault(value: object, schema: dict, path: str = "$") -> str:
+def fault(value: object, schema: dict | bool, path: str = "$") -> str:
     """The first way in which a value breaks the schema, or ''."""
+    if isinstance(schema, bool):
+        return "" if schema else f"{path}: not allowed"
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
     is_kind = {
@@ -54,7 +62,7 @@ def fault(value: object, schema: dict, path: str = "$") -> str:
     }
     if kinds and not any(is_kind.get(k, False) for k in kinds):
         return f"{path}: not {'/'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{path}: not in enum"
     if is_kind["number"]:
         if value < schema.get("minimum", value):
@@ -83,24 +91,52 @@ def fault(value: object, schema: dict, path: str = "$") -> str:
     return ""
 
 
+_parsed = functools.lru_cache(256)(json.loads)
+
+
+def checked(text: str | None, schema: str | None) -> tuple[str, object]:
+    """(verdict, what stands for the arguments in the message) of a call's arguments."""
+    try:
+        value = json.loads(text) if text is not None else {}
+        canonical([[[value]]]).encode()  # as deep as in the message, and beyond
+    except RecursionError:
+        return "too deep", text
+    except ValueError:
+        return "not JSON", text
+    if schema is None:
+        return "no schema", value
+    try:
+        return fault(value, _parsed(schema)) or "valid", value
+    except (ValueError, TypeError, AttributeError, KeyError, RecursionError):
+        return "bad schema", value
+
+
 def read_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(plain messages, calls, results) of messages whose assistant texts may be JSON with `tool_calls` ([{id, name, arguments,
     needs}], arguments an object or JSON text) and whose tool texts are JSON with `tool_call_id` and `content`."""
     m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     said = F.when(F.col("role") == "assistant", F.from_json(F.get_json_object("text", "$.tool_calls"), _CALLS))
     m = m.withColumn("calls", F.when(F.col("text").startswith("{"), said)).withColumn("reply", F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.get_json_object("text", "$.tool_call_id")))
-    calls = m.where(F.size("calls") > 0).select("conv_id", "turn", F.explode("calls").alias("c")).where("c.id is not null")
+    calls = m.where(F.size("calls") > 0).select("conv_id", "turn", F.explode("calls").alias("c"))
     calls = calls.select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.needs", F.array().cast("array<string>")).alias("needs"))
     results = m.where("reply is not null").select("conv_id", "turn", F.col("reply").alias("call_id"), F.get_json_object("text", "$.content").alias("content"))
-    plain = m.where("reply is null and coalesce(size(calls), 0) <= 0").select("conv_id", "turn", "role", "text")
+    called = F.coalesce(F.size("calls"), F.lit(0)) > 0
+    beside = F.when(called, F.get_json_object("text", "$.content")).otherwise(F.col("text"))  # what is said beside calls is a message, too
+    plain = m.where(F.col("reply").isNull() & (~called | beside.isNotNull())).select("conv_id", "turn", "role", beside.alias("text"))
     return plain, calls, results
 
 
-def _owned(rows: DataFrame, other: str) -> DataFrame:
-    """rows with `first`: whether it holds the lowest turn (then the smallest content) of its id."""
-    key = F.struct("turn", F.coalesce(F.col(other), F.lit("")).alias("x"))
-    low = rows.groupBy("conv_id", "call_id").agg(F.min(key).alias("low")).select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), "low")
-    return rows.join(low, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("call_id") == F.col("__i"))).withColumn("first", key == F.col("low")).drop("__c", "__i", "low")
+def _owned(rows: DataFrame, *key: str, name: str) -> DataFrame:
+    """rows with an id, stored, with `first`: whether the row owns its id, having the lowest turn, then the smallest of the other columns;
+    of equal rows one owns it."""
+    rows = materialize(rows.where("call_id is not null").withColumn("__row", F.monotonically_increasing_id()), f"{name}-rows")
+    place = F.struct("turn", *[F.coalesce(F.to_json(c) if c == "needs" else F.col(c), F.lit("")).alias(c) for c in key], "__row")
+    low = rows.groupBy("conv_id", "call_id").agg(F.min(place)["__row"].alias("__first"))
+    low = low.select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), "__first")
+    owned = rows.join(low, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("call_id") == F.col("__i"))).withColumn("first", F.col("__row") == F.col("__first"))
+    owned = materialize(owned.drop("__c", "__i", "__first", "__row"), name)
+    drop_tables(rows)
+    return owned
 
 
 def _anchors(chain: DataFrame) -> DataFrame:
@@ -148,44 +184,47 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def _serialise(rows: DataFrame, schemas: dict[str, str]) -> DataFrame:
-    """Validate calls and write each row's canonical JSON."""
+    """Validate calls and write each row's canonical JSON. A row's schema is in its column `schema`, or else in schemas."""
     kind = rows.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, at long, level int, part int, turn long, call_id string, status string, verdict string, json string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed = {k: json.loads(v) for k, v in schemas.items()}
         for batch in batches:
             verdicts, texts = [], []
-            for role, text, name, call, kind in zip(*(column_of(batch, c).to_pylist() for c in ("role", "text", "name", "call_id", "kind")), strict=True):
+            for role, text, name, call, kind, joined in zip(*(column_of(batch, c).to_pylist() for c in ("role", "text", "name", "call_id", "kind", "schema")), strict=True):
                 verdict = None
                 if kind == "call":
-                    try:
-                        value = json.loads(text) if text is not None else {}
-                        verdict = (fault(value, parsed[name]) or "valid") if name in parsed else "no schema"
-                        body = {"role": role, "tool_call": {"id": call, "name": name, "arguments": value}}
-                        line = canonical(body)
-                    except ValueError:
-                        verdict, line = "not JSON", canonical({"role": role, "tool_call": {"id": call, "name": name, "arguments": text}})
+                    verdict, value = checked(text, schemas.get(name, joined))
+                    body = {"role": role, "tool_call": {"id": call, "name": name, "arguments": value}}
                 elif kind == "result":
-                    line = canonical({"role": role, "tool_call_id": call, "content": text})
+                    body = {"role": role, "tool_call_id": call, "content": text}
                 else:
-                    line = canonical({"role": role, "content": text})
+                    body = {"role": role, "content": text}
                 verdicts.append(verdict)
-                texts.append(line)
+                texts.append(canonical(body))
             keep = [column_of(batch, c) for c in ("conv_id", "at", "level", "part", "turn", "call_id", "status")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(verdicts, pa.string()), pa.array(texts, pa.string())], names=["conv_id", "at", "level", "part", "turn", "call_id", "status", "verdict", "json"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _with_schemas(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    """rows with the schema of their name; a name's rows are dealt to SALT parts, and each has the schema."""
+    known = schemas.select(F.col("name").alias("__name"), "schema", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    salted = rows.withColumn("__part", F.when(F.col("kind") == "call", F.pmod(F.xxhash64("conv_id", "turn", "call_id"), F.lit(SALT)).cast("int")))
+    return salted.join(known, (F.col("name") == F.col("__name")) & (F.col("__part") == F.col("__salt")), "left").drop("__name", "__salt", "__part")
+
+
 def format_chats(plain: DataFrame, calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, at, level, part, turn, call_id, status, verdict, json: one row a message, call or result."""
+    schemas = materialize(schemas.where("name is not null and schema is not null").groupBy("name").agg(F.min("schema").alias("schema")), "chat-schemas")
     size = schemas.agg(F.sum(F.octet_length("schema") + F.octet_length("name"))).first()[0] or 0
-    if size > SCHEMA_BYTES:
-        raise ValueError(f"schemas take {size} bytes; the limit is {SCHEMA_BYTES}")
-    known = {r["name"]: r["schema"] for r in schemas.where("name is not null and schema is not null").collect()}
-    calls = materialize(_owned(calls.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "name", "arguments", "needs"), "arguments"), "chat-calls")
-    results = materialize(_owned(results.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "content"), "content"), "chat-results")
+    few = size <= SCHEMA_BYTES
+    known = {r["name"]: r["schema"] for r in schemas.collect()} if few else {}
+    calls = calls.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "name", "arguments", "needs")
+    results = results.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "content")
+    stray_calls, stray_results = calls.where("call_id is null"), results.where("call_id is null")
+    calls, results = _owned(calls, "arguments", "name", "needs", name="chat-calls"), _owned(results, "content", name="chat-results")
     order = levels(calls.where("first"))
     order = calls.where("first").alias("c").join(order.alias("o"), F.col("c.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("c.call_id") == F.col("o.call_id")))
     order = materialize(order.select("c.conv_id", "c.call_id", "c.turn", "c.name", "c.arguments", "o.level"), "chat-order")
@@ -204,6 +243,8 @@ def format_chats(plain: DataFrame, calls: DataFrame, results: DataFrame, schemas
     zero = F.lit(0).alias("level")
     rows = rows.unionByName(calls.where("not first").select("conv_id", F.col("turn").alias("at"), zero, F.lit(3).alias("part"), "turn", "call_id", again, F.lit("assistant").alias("role"), F.col("arguments").alias("text"), "name", F.lit("call").alias("kind")))
     rows = rows.unionByName(results.where("not first").select("conv_id", F.col("turn").alias("at"), zero, F.lit(4).alias("part"), "turn", "call_id", again, F.lit("tool").alias("role"), F.col("content").alias("text"), none.alias("name"), F.lit("result").alias("kind")))
+    for stray, part, role, text in ((stray_calls.withColumn("kind", F.lit("call")), 3, "assistant", "arguments"), (stray_results.withColumns({"kind": F.lit("result"), "name": none}), 4, "tool", "content")):
+        rows = rows.unionByName(stray.select("conv_id", F.col("turn").alias("at"), zero, F.lit(part).alias("part"), "turn", "call_id", F.lit("no id").alias("status"), F.lit(role).alias("role"), F.col(text).alias("text"), "name", "kind"))
     turn = F.col("turn").cast("long").alias("turn")
     rows = rows.unionByName(plain.select("conv_id", turn.alias("at"), zero, F.lit(0).alias("part"), turn, none.alias("call_id"), F.lit("message").alias("status"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), none.alias("name"), F.lit("message").alias("kind")))
-    return _serialise(rows, known)
+    return _serialise(rows.withColumn("schema", none) if few else _with_schemas(rows, schemas), known)

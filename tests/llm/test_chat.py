@@ -3,6 +3,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from ctxloom.llm import chat_format as c
 
 SCHEMA = json.dumps({"type": "object", "required": ["q"], "additionalProperties": False, "properties": {"q": {"type": "string", "minLength": 1}, "n": {"type": "integer", "minimum": 1}}})
@@ -71,3 +73,94 @@ def test_messages_are_read(spark):
 def test_empty_tables(spark):
     plain, calls, results = c.read_messages(spark.createDataFrame([], "conv_id string, turn int, role string, text string"))
     assert c.format_chats(plain, calls, results, spark.createDataFrame([], "name string, schema string")).count() == 0
+
+
+def test_bad_rows_get_verdicts(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    cases = {
+        "deep": (deep, "find", "too deep"), "half": ('{"q":"\\ud800"}', "find", "not JSON"), "nan": ('{"q":NaN}', "find", "not JSON"), "digits": ("9" * 5000, "find", "not JSON"),
+        "text": ('{"q":"x"}', "torn", "bad schema"), "kind": ('{"q":"x"}', "odd", "bad schema"), "none": ('{"q":"x"}', "gone", "no schema"), "null": ('{"q":"x"}', None, "no schema"),
+        "false": ("{}", "never", "$: not allowed"), "true": ("{}", "ever", "valid"), "ok": ('{"q":"x"}', "find", "valid"), "empty": ("", "find", "not JSON"),
+    }
+    schemas = [("find", SCHEMA), ("torn", "{"), ("odd", '{"properties":5}'), ("never", "false"), ("ever", "true"), ("find", SCHEMA + " "), (None, SCHEMA), ("gone", None)]
+    calls = [("k", i, k, name, text, []) for i, (k, (text, name, _)) in enumerate(cases.items())]
+    frames = spark.createDataFrame([], "conv_id string, turn long, role string, text string"), spark.createDataFrame(calls, CALLS.replace("conv_id long", "conv_id string")), spark.createDataFrame([("k", 3, None, "lost")], "conv_id string, turn long, call_id string, content string")
+    got = c.format_chats(*frames, spark.createDataFrame(schemas, "name string, schema string")).collect()
+    assert {r.call_id: r.verdict for r in got if r.call_id} == {k: v for k, (_, _, v) in cases.items()}
+    assert [(r.status, json.loads(r.json)["content"]) for r in got if not r.call_id] == [("no id", "lost")]
+    assert json.loads(next(r.json for r in got if r.call_id == "deep"))["tool_call"]["arguments"] == deep
+
+
+def brute(plain, calls, results, schemas):
+    """The rows of format_chats by loops over small lists."""
+    owner, answer, out = {}, {}, []
+    text = lambda v: "" if v is None else v
+    for call in sorted(calls, key=lambda x: (x[1], text(x[4]), text(x[3]), json.dumps(x[5], separators=(",", ":")) if x[5] is not None else "")):
+        out += [] if call[2] is None or owner.setdefault((call[0], call[2]), call) is call else [(call, "duplicate", 3)]
+        out += [(call, "no id", 3)] if call[2] is None else []
+    for r in sorted(results, key=lambda x: (x[1], text(x[3]))):
+        out += [] if r[2] is None or answer.setdefault((r[0], r[2]), r) is r else [(r, "duplicate", 4)]
+        out += [(r, "no id", 4)] if r[2] is None else []
+
+    def level(k, path=()):
+        if k in path:
+            return None
+        below = [level((k[0], n), (*path, k)) for n in owner[k][5] or () if (k[0], n) in owner]
+        return None if None in below else max(below, default=-1) + 1
+
+    best = {}
+    for n, s in sorted((n, s) for n, s in schemas if n is not None and s is not None):
+        best.setdefault(n, s)
+
+    def call_json(x):
+        try:
+            value = {} if x[4] is None else json.loads(x[4])
+        except ValueError:
+            return "not JSON", x[4]
+        return ("no schema" if x[3] not in best else c.fault(value, json.loads(best[x[3]])) or "valid"), value
+
+    rows = []
+
+    def say(x, at, lvl, part, status, call):
+        verdict, value = call_json(x) if call else (None, None)
+        body = {"role": "assistant", "tool_call": {"id": x[2], "name": x[3], "arguments": value}} if call else {"role": "tool", "tool_call_id": x[2], "content": x[3]}
+        rows.append((x[0], at, lvl, part, x[1], x[2], status, verdict, json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":"))))
+
+    for x, status, part in out:
+        say(x, x[1], 0, part, status, part == 3)
+    for k in {**owner, **answer}:
+        o, a = owner.get(k), answer.get(k)
+        lvl = None if o is None else level(k)
+        status = "orphan" if o is None else "cycle" if lvl is None else "linked" if a else "unanswered"
+        at, lvl = (o or a)[1], 0 if o is None else -1 if lvl is None else lvl
+        if o:
+            say(o, at, lvl, 1, status, True)
+        if a:
+            say(a, at, lvl, 2, status, False)
+    for conv, turn, role, said in plain:
+        rows.append((conv, turn, 0, 0, turn, None, "message", None, json.dumps({"role": role, "content": said}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))))
+    return rows
+
+
+def test_formatter_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    args = ['{"q":"x","n":2}', '{"n":0,"q":"y"}', "{}", "torn {", None, '{"q":"é","z":[1,{"b":2,"a":1}]}']
+    convs, ids = [None, "k", "l"], [None, "a", "b", "c", "d", "e"]
+    calls = [(rng.choice(convs), rng.randrange(6), rng.choice(ids), rng.choice(["find", "other", None, "big"]), rng.choice(args), rng.choice([None, [], ["a"], ["b", "c"], ["e", "gone", "d"]])) for _ in range(40)]
+    results = [(rng.choice(convs), rng.randrange(6), rng.choice(ids), rng.choice(["yes", "no", None])) for _ in range(30)]
+    calls, results = calls + [(*x,) for x in calls[:5]], results + [(*x,) for x in results[:5]]
+    plain = [(rng.choice(convs), rng.choice([None, 0, 3]), rng.choice(["user", None]), rng.choice(["hi", None, ""])) for _ in range(8)]
+    schemas = [("find", SCHEMA), ("find", '{"type":"object"}'), ("big", '{"required":["q"]}')]
+    frames = [spark.createDataFrame(rows, k).withColumns({"k": F.lit(1), "first": F.lit(2), "level": F.lit(3), "__row": F.lit(4)}) for rows, k in (
+        (plain, "conv_id string, turn long, role string, text string"), (calls, CALLS.replace("conv_id long", "conv_id string")), (results, "conv_id string, turn long, call_id string, content string"), (schemas, "name string, schema string"))]
+    key = lambda r: tuple((v is None, v if v is not None else 0) for v in r)
+    expected = sorted(brute(plain, calls, results, schemas), key=key)
+    assert sorted(map(tuple, c.format_chats(*frames).collect()), key=key) == expected
+    monkeypatch.setattr(c, "SCHEMA_BYTES", 10)  # joined instead
+    assert sorted(map(tuple, c.format_chats(*frames).collect()), key=key) == expected
+
+
+def test_text_beside_calls_and_calls_without_an_id_stay(spark):
+    rows = [("k", 1, "assistant", '{"content":"let me see","tool_calls":[{"name":"f","arguments":{}},{"id":"1","name":"f"}]}')]
+    plain, calls, _ = c.read_messages(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
+    assert [r.text for r in plain.collect()] == ["let me see"] and sorted(str(r.call_id) for r in calls.collect()) == ["1", "None"]
