@@ -1,23 +1,33 @@
 """HTML main text by two-pass block rules.
 
 A page is cut at block-level tags. First pass: each block gets its word count, stop-word density and link density, and is
-`good`, `bad` or undecided. Blocks inside menus, page headers, footers, sidebars, notices, adverts, forms, reader comments
-and hidden elements (by tag, role, class or id) are bad; scripts, styles and other unseen elements give no block. Where a
-page marks its main region (article, main, or a class or id that says so), blocks outside it are bad, blocks inside are
-good unless short or made of links. Pages without a marked region go by length, stop-word and link density alone.
+`good`, `bad` or undecided by these, inside a marked main region (article, main, or a class or id that says so) as outside:
+
+  links over LINKS_HIGH of the characters: bad; inside a marked region a single link decides nothing
+  LONG_WORDS words or more:                good with a stop-word density of STOP_LOW or more
+  SHORT_WORDS words or more:               good with a stop-word density of STOP_HIGH or more
+  all others:                              undecided (short, or without the stop words that prose has)
+
+Tags and names are one more feature, and decide only what densities can't tell, as adverts and notices can be prose: menus, page headers,
+footers, sidebars, notices, adverts, forms, reader comments and hidden elements (by tag, role, class or id) are bad, and so
+is what lies outside the marked region of a page that has one. A class or id says so only if all its words do
+(`cookie-notice`, `related-posts`; not `legal-history`). Scripts, styles and other unseen elements give no block.
+
 Second pass: undecided blocks inherit the label of the nearest decided block of the same region (on a tie the
-earlier one, for a heading the later one); in a region without a decided block, that of the region (good in a marked one), else of the nearest decided block
-of the page, else good.
+earlier one, for a heading the later one, in a marked region a good one); in a region without a decided block, that of the
+region (good in a marked one), else of the nearest decided block of the page, else good.
 
-Whole pages are read; nothing is capped. Character references are decoded once, white space inside a block becomes one
-space, blocks are trimmed and joined in page order by one space. Null or empty html: empty text. Repeated rows give equal
-rows; extra columns are not read; an empty table gives no rows.
+Whole pages are read in time in proportion to their size, whatever their markup; nothing is capped. A tag whose quotes do not close ends at its first `>`; a page that breaks off
+inside a tag loses that tag alone. Character references are decoded once, white space inside a block becomes one space,
+blocks are trimmed and joined in page order by one space. Null or empty html: empty text. Repeated rows give equal
+rows; extra columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +55,12 @@ BAD_NAMES = (
     "comment comments commentlist replies reply respond disqus discussion skip toolbar"
 ).split()
 COMMENT_NAMES = "comment comments commentlist replies reply respond disqus discussion related recommended recommendations".split()
+#: Words that go with a bad name without changing what it says.
+WITH_NAMES = (
+    "box block list wrap wrapper container section area bar panel inner outer item items post posts article articles page site main top bottom left right upper lower "
+    "header head title body content text link links icon icons button buttons group row col column module unit slot zone holder layout global primary secondary "
+    "mobile desktop sticky fixed user reader thread policy message center x by first last small large big full js wp fb id the and to us"
+).split()
 MAIN_NAMES = "article articlebody content main maincontent post postcontent entry entrycontent story storybody bodytext".split()
 BAD_ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
 STOP_WORDS = frozenset((
@@ -54,13 +70,95 @@ STOP_WORDS = frozenset((
     "al como con de del el ella en era es esta este ha la las le lo los más me no nos o para pero por que se ser si sin su sus también un una y ya"
 ).split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=/\"'>]+)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_INSIDE = re.compile(r"[^>\"']*")
+_LONG_NUMBER = re.compile(r"&#(?:\d{9,}|[xX][0-9a-fA-F]{9,});?")
 _UNSEEN, _BLOCKS, _VOID, _REGIONS = map(frozenset, (UNSEEN, BLOCKS, VOID, REGIONS))
-_BAD_TAGS, _BAD, _COMMENT, _MAIN, _ROLES = map(frozenset, (BAD_TAGS, BAD_NAMES, COMMENT_NAMES, MAIN_NAMES, BAD_ROLES))
-_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in UNSEEN}
+_BAD_TAGS, _BAD, _COMMENT, _MAIN, _ROLES, _WITH = map(frozenset, (BAD_TAGS, BAD_NAMES, COMMENT_NAMES, MAIN_NAMES, BAD_ROLES, WITH_NAMES))
+_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in UNSEEN}
+
+
+class _Page:
+    """The tags of a page. What is not found once is not looked for again, so a page is read in proportion to its size."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.over: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` begins at or after `at`; -1 if nowhere."""
+        found = -1 if what in self.over else self.page.find(what, at)
+        if found < 0:
+            self.over.add(what)
+        return found
+
+    def close(self, tag: str, at: int) -> int:
+        """The end of the next closing tag of an unseen element; -1 without one."""
+        end = None if f"</{tag}" in self.over else _END[tag].search(self.page, at)
+        if end is None:
+            self.over.add(f"</{tag}")
+            return -1
+        found = self.find(">", end.end())
+        return found + 1 if found >= 0 else len(self.page)
+
+    def tag_end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose inside begins at `at`; -1 if the page ends before it."""
+        page, first = self.page, self.find(">", at)
+        if first < 0:
+            return -1
+        while True:
+            stop = _INSIDE.match(page, at).end()
+            if stop >= len(page):
+                return first
+            if page[stop] == ">":
+                return stop
+            quote = page[stop]
+            if page[at:stop].rstrip()[-1:] != "=":  # a quote elsewhere is a letter like others
+                at = stop + 1
+                continue
+            end = self.find(quote, stop + 1)
+            if end < 0 or page[end + 1:end + 2] not in (" ", "\t", "\n", "\r", "\f", "/", ">"):
+                return first if first > stop else page.find(">", stop)
+            at = end + 1
+
+    def __iter__(self):
+        """(text before, tag in lower case or "" for comments and the like, closing, attributes, place behind)."""
+        page, at, text = self.page, 0, 0
+        while (lt := self.find("<", at)) >= 0:
+            behind = None
+            if page.startswith("<!--", lt):
+                end = self.find("-->", lt + 4)
+                behind, found = (end + 3 if end >= 0 else len(page)), ("", False, "")
+            elif page.startswith("<![CDATA[", lt):
+                end = self.find("]]>", lt + 9)
+                behind, found = (end + 3 if end >= 0 else len(page)), ("", False, "")
+            elif page[lt + 1:lt + 2] in ("!", "?"):
+                end = self.find(">", lt)
+                behind, found = (end + 1 if end >= 0 else len(page)), ("", False, "")
+            elif m := _TAG.match(page, lt):
+                end = self.tag_end(m.end())
+                if end >= 0:
+                    behind, found = end + 1, (m[1].lower(), page[lt + 1] == "/", page[m.end():end])
+                elif m[1].lower() in _KNOWN:
+                    behind, found = len(page), ("", False, "")
+            if behind is None:
+                at = lt + 1
+                continue
+            at = (yield page[text:lt], *found, behind) or behind
+            text = at
+        yield page[text:], "", False, "", len(page)
+
+
+_INLINE = "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+_KNOWN = frozenset([*UNSEEN, *BLOCKS, *VOID, *_INLINE])
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond every code point are the replacement character."""
+    return _html.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
 
 
 class _Region:
@@ -72,6 +170,12 @@ class _Region:
         self.tag, self.bad, self.main, self.number = tag, bad, main, number
 
 
+def _said(name: str) -> set[str]:
+    """The bad names in a class or id that says nothing else."""
+    words = {w.lower() for w in _NAME.findall(name) if not w.isdigit()}
+    return words & _BAD if words <= _BAD | _WITH else set()
+
+
 def _region(tag: str, raw: str, parent: _Region, number: int) -> _Region:
     bad, main = parent.bad, parent.main
     attributes = {}
@@ -80,7 +184,7 @@ def _region(tag: str, raw: str, parent: _Region, number: int) -> _Region:
             attributes[(name or alone).lower()] = value.strip("\"'")
     if attributes:
         said = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        names = {x.lower() for x in _NAME.findall(said)} if said.strip() else frozenset()
+        names = {w for x in said.split() for w in _said(x)}
         whole = {re.sub(r"[^a-z]", "", x.lower()) for x in said.split()}
         style = attributes.get("style", "").replace(" ", "").lower()
         if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
@@ -91,7 +195,7 @@ def _region(tag: str, raw: str, parent: _Region, number: int) -> _Region:
                 bad = max(bad, 2)
             elif starts and bad < 2:
                 bad, main = 0, True
-            elif names & _BAD or attributes.get("role", "").lower() in _ROLES or ("header" in names and not main):
+            elif names & _BAD or attributes.get("role", "").lower() in _ROLES or ("header" in whole and not main):
                 bad = max(bad, 1)
     if tag in ("article", "main") and bad < 2:
         bad, main = 0, True
@@ -104,105 +208,103 @@ def blocks(page: str | None) -> list[dict]:
     """The page's text blocks in order, with their measures, region and label (after both passes)."""
     out: list[dict] = []
     stack = [_Region("", 0, False, 0)]
+    opened: Counter = Counter()
     text: list[str] = []
     linked: list[str] = []
-    in_link, numbers, at, marked = 0, 0, 0, False
-    page = page or ""
+    links = in_link = numbers = 0
+    marked = False
 
     def flush(heading: bool = False) -> None:
+        nonlocal links
         if text:
-            words = "".join(text).split()
+            words = unescaped("".join(text)).split()
             if words:
                 top = stack[-1]
                 letters = _WORD.findall(" ".join(words).lower())
                 n, chars = len(letters), sum(map(len, words))
                 out.append({
                     "text": " ".join(words), "words": len(words), "region": top.number, "main": top.main, "bad": top.bad,
-                    "stops": sum(w in STOP_WORDS for w in letters) / n if n else 0.0,
-                    "heading": heading, "links": min(1.0, sum(len(x) for s in linked for x in s.split()) / chars),
+                    "stops": sum(w in STOP_WORDS for w in letters) / n if n else 0.0, "n_links": links,
+                    "heading": heading, "links": min(1.0, sum(len(x) for s in linked for x in unescaped(s).split()) / chars),
                 })
             text.clear()
         linked.clear()
-
-    def say(piece: str) -> None:
-        if piece:
-            piece = _html.unescape(piece)
-            text.append(piece)
+        links = in_link
+
+    def leave(at: int) -> None:
+        opened.subtract([r.tag for r in stack[at:]])
+        del stack[at:]
+
+    tokens = iter(tags := _Page(page or ""))
+    got = next(tokens)
+    while got is not None:
+        said, tag, closing, raw, behind = got
+        if said:
+            text.append(said)
             if in_link:
-                linked.append(piece)
-
-    while m := _TOKEN.search(page, at):
-        say(page[at:m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag:
-            continue
+                linked.append(said)
+        back = None
         if tag == "br":
             text.append(" ")
         elif tag == "a":
-            in_link = 0 if m[1] else 1
+            in_link = 0 if closing else 1
+            links += in_link
         if tag in _UNSEEN:
-            if not m[1] and not m[3].endswith("/"):
-                if tag == "head":
-                    continue
-                end = _END[tag].search(page, at)
-                if end:
-                    at = end.end()
-                elif tag in ("script", "style", "textarea", "title"):
-                    at = len(page)
-            continue
-        if tag in _BLOCKS:
-            flush(bool(m[1]) and tag in HEADINGS)
-        if tag not in _REGIONS or tag in _VOID:
-            continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in ("span", "p") and stack[i].tag not in ("span", "p"):
-                    break
-        else:
-            if tag == "p" or tag in _BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):  # an open p ends where a block begins
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag != "span":
-                        break
-            parent, region = stack[-1], None
-            if tag in ("article", "main") or m[3]:
-                region = _region(tag, m[3], parent, parent.number)
-            elif tag in _BAD_TAGS or tag == "header":
-                region = _region(tag, "", parent, parent.number)
-            else:
-                region = _Region(tag, parent.bad, parent.main, parent.number)
-            if (region.bad, region.main) != (parent.bad, parent.main):
-                numbers += 1
-                region.number = numbers
-                if tag == "span":
-                    flush()
-            marked |= region.main and not region.bad
-            if not m[3].endswith("/") or tag in ("p", "div", "span"):
-                stack.append(region)
-    say(page[at:].split("<!", 1)[0] if page[at:].startswith("<!") else page[at:])
+            if not closing and not raw.endswith("/") and tag != "head":
+                end = tags.close(tag, behind)
+                back = end if end >= 0 else len(tags.page) if tag in ("script", "style", "textarea", "title") else None
+        elif tag:
+            if tag in _BLOCKS:
+                flush(closing and tag in HEADINGS)
+            if tag in _REGIONS and tag not in _VOID or opened["p"] and tag in _BLOCKS:
+                if closing:
+                    for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
+                        if stack[i].tag == tag:
+                            leave(i)
+                            break
+                        if tag in ("span", "p") and stack[i].tag not in ("span", "p"):
+                            break
+                else:
+                    for i in range(len(stack) - 1, 0, -1) if opened["p"] and tag in _BLOCKS else ():  # an open p ends where a block begins
+                        if stack[i].tag == "p":
+                            leave(i)
+                            break
+                        if stack[i].tag != "span":
+                            break
+                    if tag in _REGIONS and tag not in _VOID:
+                        parent = stack[-1]
+                        if tag in ("article", "main") or raw:
+                            region = _region(tag, raw, parent, parent.number)
+                        elif tag in _BAD_TAGS or tag == "header":
+                            region = _region(tag, "", parent, parent.number)
+                        else:
+                            region = _Region(tag, parent.bad, parent.main, parent.number)
+                        if (region.bad, region.main) != (parent.bad, parent.main):
+                            numbers += 1
+                            region.number = numbers
+                            if tag == "span":
+                                flush()
+                        marked |= region.main and not region.bad
+                        if not raw.endswith("/") or tag in ("p", "div", "span"):
+                            stack.append(region)
+                            opened[tag] += 1
+        try:
+            got = tokens.send(back)
+        except StopIteration:
+            got = None
     flush()
     for b in out:
-        b["label"] = _first_pass(b, marked)
+        b["label"] = "bad" if b["bad"] or (marked and not b["main"]) else _first_pass(b)
     _second_pass(out)
     return out
 
 
-def _first_pass(b: dict, marked: bool) -> str:
-    if b["bad"] or (marked and not b["main"]):
-        return "bad"
-    if marked:
-        return "" if b["words"] < SHORT_WORDS or b["links"] > LINKS_HIGH else "good"
+def _first_pass(b: dict) -> str:
+    """The label of a block's own length, stop-word density and link density, or "" for an undecided one."""
     if b["links"] > LINKS_HIGH:
-        return "bad"
-    if b["words"] >= LONG_WORDS:
-        return "good" if b["stops"] >= STOP_LOW else ""
-    return "good" if b["words"] >= SHORT_WORDS and b["stops"] >= STOP_HIGH else ""
+        return "" if b["main"] and b["n_links"] < 2 else "bad"
+    least = STOP_LOW if b["words"] >= LONG_WORDS else STOP_HIGH if b["words"] >= SHORT_WORDS else 2.0
+    return "good" if b["stops"] >= least else ""
 
 
 def _second_pass(out: list[dict]) -> None:
@@ -241,7 +343,7 @@ def _second_pass(out: list[dict]) -> None:
             b["label"] = "good"
             continue
         near = near or [j for j in (last, following[i]) if j is not None]
-        b["label"] = labels[min(near, key=lambda j: (abs(j - i), -j if b["heading"] else j))] if near else "good"
+        b["label"] = labels[min(near, key=lambda j: (abs(j - i), b["main"] and labels[j] != "good", -j if b["heading"] else j))] if near else "good"
 
 
 def main_text(page: str | None) -> str:
