@@ -94,3 +94,58 @@ def test_share_is_a_parameter(spark):
     assert len(rows) > 40
     assert near_dedup.near_duplicates(df).where("not kept").count() == 0
     assert near_dedup.near_duplicates(df, 80).where("not kept").count() == len(rows) // 2
+
+
+def test_rows_of_one_id_are_placed_by_their_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other, lone = " ".join([*words[:59], "end"]), " ".join(f"o{i}" for i in range(40)), " ".join(f"z{i}" for i in range(30))
+    rows = [(5, " ".join(words)), (5, other), (9, near), (7, other), (None, near), (None, lone), (None, lone + " more")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(5, 56, 5, True), (5, 36, 5, True), (9, 56, 5, False), (7, 36, 5, False), (None, 56, 5, False), (None, 26, None, True), (None, 27, None, True)]))
+
+
+def test_one_key_with_many_components(spark, monkeypatch):
+    """50,000 texts that share a template and all sit under one key, in pairs of near copies: few pairs are compared."""
+    import numpy as np
+
+    keys = near_dedup.chunk_keys
+
+    def one_key(sig):
+        out = keys(sig)
+        out[:, 0] = 7
+        return out
+
+    monkeypatch.setattr(near_dedup, "chunk_keys", one_key)
+    monkeypatch.setattr(near_dedup, "BLOCK", 500)
+    template = " ".join(f"t{i}" for i in range(40))
+    own = lambda k: " ".join(f"u{k}-{i}" for i in range(30))
+    rows = [(k, f"{template} {own(k // 2)} e{k % 2}") for k in range(4000)]
+    made = {}
+    kept = near_dedup.materialize
+
+    def watch(df, name):
+        out = kept(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", watch)
+    live = spark.createDataFrame([(7, k, len(set(range(66))), 66, k) for k in range(50_000)], "key long, rep long, n long, most long, part long")
+    hashes = np.arange(40, dtype=np.int64)
+    sets = live.select("rep").rdd.mapPartitions(lambda it: [(r.rep, [*map(int, hashes), *[1000 + (r.rep // 2) * 50 + i for i in range(25)], -1 - r.rep]) for r in it]).toDF("rep long, shingles array<long>")
+    pairs = {(r.a, r.b) for r in near_dedup.prefix_pairs(live, sets, 85).collect()}
+    assert pairs == {(k, k + 1) for k in range(0, 50_000, 2)} and made["nd-pairs"] == 25_000
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in range(4000)}
+
+
+def test_prefix_pairs_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rng = random.Random(12)
+    sets = {k: frozenset(rng.sample(range(14), rng.randrange(4, 14))) for k in range(120)}
+    live = spark.createDataFrame([(rng.randrange(3), k, len(v), len(v), k % 40) for k, v in sets.items()], "key long, rep long, n long, most long, part long").cache()
+    at = {r.rep: (r.key, r.part) for r in live.collect()}
+    frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "rep long, shingles array<long>")
+    for share in (80, 85):
+        want = {(a, b) for a in sets for b in sets if a < b and at[a][0] == at[b][0] and at[a][1] != at[b][1] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])}
+        got = {tuple(sorted(r)) for r in near_dedup._confirmed(near_dedup.prefix_pairs(live, frame, share), frame, share).collect()}
+        assert got == want and len(want) > 10
