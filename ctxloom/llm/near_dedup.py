@@ -16,8 +16,8 @@ A text's set holds its distinct 5-word shingles (A-Z lower-cased). Two texts are
 5. Keys whose members are not all in one component are open. Two members of an open key in different components can only be linked
    if they share one of their prefix shingles: in one order of all shingles, rare ones first, the first n - ceil(share * n) + 1
    of a set; sets that pass the threshold have one in common. So ids meet by prefix shingle, not by key; a shingle's members outside its largest component
-   meet those of other components, in blocks of BLOCK where there are many, and pairs that pass the size bound and have an
-   open key in common are confirmed on full sets, which are attached once a pair. No link is left out, nothing is capped.
+   meet those of other components, in blocks of BLOCK where there are many. Pairs that pass the size bound, have enough shingles behind
+   the one where they meet, and have an open key in common are confirmed on full sets, which are attached once a pair. No link is left out, nothing is capped.
 6. Components by alternating large-star and small-star steps over Parquet tables in the shared folder.
 
 Null and empty texts, and texts without words: an empty set, linked with nothing, their own component. Ties go to the
@@ -156,17 +156,20 @@ def prefix_pairs(live: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     known = each.join(rarity, "s", "left").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("p"), F.count("*").alias("of"))
     alone = F.col("of") - F.size("p")  # shingles of no other open set come first and meet nobody
     most = F.col("n") - F.ceil(F.col("n") * share / F.lit(100)) + 1 - alone
-    prefix = materialize(known.where(most > 0).select("rep", F.explode(F.slice("p", F.lit(1), most.cast("int"))).alias("p")).select("rep", F.col("p.s").alias("s")), "nd-prefix")
+    prefix = known.where(most > 0).select("rep", alone.alias("alone"), F.posexplode(F.slice("p", F.lit(1), most.cast("int"))).alias("i", "p"))
+    prefix = materialize(prefix.select("rep", F.col("p.s").alias("s"), (F.col("alone") + F.col("i")).alias("i")), "nd-prefix")
 
     rows = rows_at = materialize(prefix.join(open_.drop("keys"), "rep"), "nd-prefixed")
     sizes = rows.groupBy("s", "part").agg(F.count("*").alias("size"))
     groups = sizes.groupBy("s").agg(F.max(F.struct("size", "part")).alias("main"), F.sum("size").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     groups = materialize(groups.select("s", F.col("main.part").alias("main"), F.ceil((F.col("members") - F.col("main.size")) / F.lit(BLOCK)).cast("int").alias("blocks")), "nd-groups")
     rows = rows.join(groups, "s")
-    few = rows.where("part != main").select("s", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("most").alias("am"), F.col("part").alias("ap"))
+    few = rows.where("part != main").select("s", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("most").alias("am"), F.col("part").alias("ap"), F.col("i").alias("ai"))
     every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart = (F.col("part") != F.col("ap")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("rep")))
-    pairs = few.join(every, ["s", "block"]).where(apart & _possible(F.col("n"), F.col("most"), F.col("an"), F.col("am"), share))
+    # where two sets first meet, what they share is not before it in either
+    left = F.least(F.col("n") - F.col("i"), F.col("an") - F.col("ai")) * (100 + share) >= (F.col("n") + F.col("an")) * share
+    pairs = few.join(every, ["s", "block"]).where(apart & left & _possible(F.col("n"), F.col("most"), F.col("an"), F.col("am"), share))
     pairs = materialize(pairs.select("a", F.col("rep").alias("b")).distinct(), "nd-pairs")
     keys = open_.select("rep", "keys")
     met = pairs.join(keys.select(F.col("rep").alias("a"), F.col("keys").alias("ka")), "a").join(keys.select(F.col("rep").alias("b"), F.col("keys").alias("kb")), "b")
