@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import distill, session
+from .operators import distill, memory, session
 from .operators.memory import MemoryStore
 
 
@@ -17,7 +17,8 @@ class Client:
         return distill.results(distill.distill(distill.requests(rows), self.profile, rate))
 
     def search_memory(self, query: str, top_k: int = 5, category: str | None = None, vector: list[float] | None = None) -> DataFrame:
-        return self.memories.search(query, top_k, self.user_id, self.agent_id, category, vector)
+        more = [vector] if vector is not None else []
+        return memory.tool_rows(self.memories.search(query, top_k, self.user_id, self.agent_id, category, *more))
 
     def store_memory(self, content: str, source: str = "", category: str = "fact", metadata: str = "{}") -> None:
         row = (self.user_id or "", self.agent_id or "", content, source, category, metadata, 0)
@@ -30,15 +31,15 @@ class Client:
         self.memories.forget(self.spark.createDataFrame([(id, self.user_id, self.agent_id)], "id bigint, user_id string, agent_id string"))
 
     def get_memory(self, source: str) -> DataFrame:
-        return self.memories.get(source, self.user_id, self.agent_id)
+        """The memory of a source, or a row whose error is `Not found`."""
+        return memory.found_or_error(self.memories.get(source, self.user_id, self.agent_id))
 
-    def list_memories(self, category: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-        return self.memories.list(self.user_id, self.agent_id, category, limit, offset)
+    def list_memories(self, category: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+        return memory.tool_rows(self.memories.list(self.user_id, self.agent_id, category, limit, offset))
 
-    def session_summary(self, transcripts: DataFrame) -> DataFrame:
-        """session_id, summary of the newest transcripts."""
-        from pyspark.sql import functions as F
-        return session.session_text(session.latest_transcript(transcripts)).select("session_id", session.fallback_summary(F.col("text")).alias("summary"))
+    def session_summary(self, transcripts: DataFrame, session_id: str, strategy: str = "lingua", **how) -> DataFrame:
+        """session_id, summary of the newest transcript, or a note that there is none or an empty one."""
+        return session.summaries(transcripts, self.spark.createDataFrame([(session_id,)], "session_id string"), strategy, **how)
 
     def context_compact(self, messages: DataFrame, threshold: int = 4000, **how) -> DataFrame:
         return session.auto_compact(session.micro_compact(messages), threshold, **how)

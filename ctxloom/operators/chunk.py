@@ -1,87 +1,91 @@
-"""Document chunking: structural chunks, forced splits, heading chunks, and the document rollup."""
+"""Document chunking: structural chunks, forced splits, heading chunks, and the document rollup.
 
-from __future__ import annotations
+Everything is made inside the row by built-in expressions: no shuffle, no Python worker, and time in proportion to a text.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 
 MOST, LEAST = 1200, 200
-_BOUNDARY = re.compile(r"\n#{1,3}\s|\n\n")
-_HEADING = r"(?U)^#{1,3}\s"
+#: Stands between pieces of a text while it is cut; noncharacters, which texts don't hold.
+_CUT = "\ufffe\uffff"
+_STEP = 256
+
+
+def packs(c: Column, most: int = MOST) -> Column:
+    """The words of a text with one space behind each, cut behind the first word that ends beyond `most` characters, again and again."""
+    spaced = F.concat(F.array_join(X.split_words(c), " "), F.lit(" "))
+    whole = "".join(["(?s:.{1000})"] * (most // 1000)) + f"(?s:.{{{most % 1000}}})"
+    found = F.regexp_extract_all(spaced, F.lit(f"{whole}[^ ]* |(?s:.+)"), F.lit(0))
+    return F.filter(F.transform(found, lambda p: F.rtrim(p)), lambda p: p != "")
 
 
-def _packed(words: list[str], most: int) -> Iterator[str]:
-    """Words greedily joined; a pack ends once its words and one space each exceed `most`."""
-    held, size = [], 0
-    for w in words:
-        held.append(w)
-        size += len(w) + 1
-        if size > most:
-            yield " ".join(held)
-            held, size = [], 0
-    if held:
-        yield " ".join(held)
+def force_split(c: Column, start: Column, most: int = MOST) -> Column:
+    """array<struct<title, text>> of a text's packs; they are called by the place where the text starts."""
+    return F.transform(packs(c, most), lambda p: F.struct(F.concat(F.lit("Segment @ "), start.cast("string")).alias("title"), p.alias("text")))
 
 
-def _title(body: str) -> str:
-    line = body.split("\n", 1)[0].strip()
-    return line if len(line) <= 50 else line[:50] + "..."
+def _before(sizes: Column, i: Column) -> Column:
+    """The sum of the first i sizes, by sums of _STEP sizes, so that a long list is not gone through for each i."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / _STEP).cast("int")), lambda b: total(F.slice(sizes, b * _STEP + 1, F.lit(_STEP))))
+    return X.let(steps, lambda s: total(F.slice(s, F.lit(1), F.floor(i / _STEP).cast("int"))) + total(F.slice(sizes, F.floor(i / _STEP).cast("int") * _STEP + 1, i % _STEP)))
 
 
-def chunk_text(text: str, most: int = MOST, least: int = LEAST) -> list[tuple[str, str]]:
-    """(title, text) of a text's chunks; inner chunks of `least` characters or fewer are dropped."""
-    cuts = [0, *[m.start() for m in _BOUNDARY.finditer(text)]]
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], None], strict=True):
-        raw, body = text[a:b], text[a:b].strip()
-        if (len(raw) if b is not None else len(body)) > most:
-            out += [(f"Segment @ {a}", part) for part in _packed(body.split(), most)]
-        elif len(body) > (least if b is not None else 0):
-            out.append((_title(body), body))
-    return out
+def chunks_of(c: Column, most: int = MOST, least: int = LEAST) -> Column:
+    """array<struct<title, text>>: a text cut before blank lines and headings of one to three #. Pieces of more than `most` characters are
+    split by force; inner ones of `least` characters or fewer are dropped."""
+    def of(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+
+        def chunk(raw: Column, i: Column) -> Column:
+            def by_size(body: Column) -> Column:
+                size = F.when(i < last, F.length(raw)).otherwise(F.length(body))
+                start = _before(F.transform(pieces, lambda p: F.length(p)), i)
+                plain = F.array(F.struct(X.title(body).alias("title"), body.alias("text")))
+                return F.when(size > most, force_split(F.when(i < last, raw).otherwise(body), start, most)).when(F.length(body) > F.when(i < last, least).otherwise(0), plain).otherwise(F.slice(plain, 1, 0))
+            return X.let(X.strip(raw), by_size)
+        return F.flatten(F.transform(pieces, chunk))
+    return X.let(F.split(F.regexp_replace(c, r"(?U)(\n#{1,3}\s|\n\n)", _CUT + "$1"), _CUT), of)
 
 
 def smart_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a chunk: id, chunk, title, text. Greedy packing runs along a text, so it is a Python map over Arrow batches."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """One row a chunk: id, chunk, title, text."""
+    return docs.select(id_col, F.posexplode(chunks_of(F.col(text_col))).alias("chunk", "c")).select(id_col, "chunk", "c.title", "c.text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, k, *c) for i, t in zip(frame[id_col], frame[text_col], strict=True) if t for k, c in enumerate(chunk_text(t))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk", "title", "text"])
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk int, title string, text string")
+def split_documents(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a pack of a whole text split by force: id, chunk, title, text."""
+    return docs.select(id_col, F.posexplode(force_split(F.col(text_col), F.lit(0), most)).alias("chunk", "c")).select(id_col, "chunk", "c.title", "c.text")
 
 
 def compressed_chunks(chunks: DataFrame, level: str = "L0") -> DataFrame:
     """Chunks are compressed at any level but L0."""
-    return chunks.withColumn("compressed", F.col("text") if level == "L0" else X.compress(F.col("text"), level))
+    return chunks.withColumn("compressed", _compressed(F.col("text"), level))
+
+
+def _compressed(c: Column, level: str) -> Column:
+    return c if level == "L0" else X.compress(c, level)
 
 
-def document_rollup(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: the compressed text joined by blank lines, lengths, and token counts of the summed lengths."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "compressed"))), lambda c: c["compressed"]), "\n\n")
-    d = chunks.groupBy(id_col).agg(
-        joined.alias("text"), F.count("*").alias("chunk_count"), F.sum(F.length("text")).alias("raw_length"), F.sum(F.length("compressed")).alias("compressed_length"),
-    )
+def document_rollup(docs: DataFrame, level: str = "L0", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document with a chunk: the compressed chunks joined by blank lines, lengths, and token counts of the summed lengths."""
+    d = docs.select(id_col, F.transform(chunks_of(F.col(text_col)), lambda c: F.struct(c["text"].alias("t"), _compressed(c["text"], level).alias("z"))).alias("c")).where("size(c) > 0")
+    total = lambda field: F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.length(x[field]))
+    d = d.select(id_col, F.array_join(F.transform("c", lambda x: x["z"]), "\n\n").alias("text"), F.size("c").cast("long").alias("chunk_count"), total("t").alias("raw_length"), total("z").alias("compressed_length"))
     before, after = F.floor(F.col("raw_length") / 4), F.floor(F.col("compressed_length") / 4)
     return d.withColumn("input_tokens", before).withColumn("output_tokens", after).withColumn("compression_ratio", X.ratio(before, after))
 
 
 def heading_chunks(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
     """path, source (path#Lline), content: a chunk begins at every heading of one to three #, and at the first line."""
-    lines = files.select(path_col, F.posexplode(F.split(text_col, "\n")).alias("i", "line"))
-    w = W.partitionBy(path_col).orderBy("i")
-    begins = F.col("line").rlike(_HEADING) & (F.col("i") > 0)
-    lines = lines.withColumn("part", F.sum(begins.cast("int")).over(w))
-    chunks = lines.groupBy(path_col, "part").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
-    body = X.strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    source = F.concat(F.col(path_col), F.lit("#L"), (F.col("l")[0]["i"] + 1).cast("string"))
-    return chunks.select(path_col, source.alias("source"), body.alias("content")).where("content != ''")
+    parts = F.split(F.regexp_replace(text_col, r"(?U)\n(?=#{1,3}[^\S\n])", _CUT), _CUT)
+    lines = lambda p: F.size(F.split(p, "\n"))
+    found = X.let(parts, lambda p: X.let(F.transform(p, lines), lambda n: F.transform(p, lambda x, i: F.struct((_before(n, i) + 1).alias("line"), X.strip(x).alias("content")))))
+    rows = files.select(path_col, F.explode(found).alias("c"))
+    source = F.concat(F.col(path_col), F.lit("#L"), F.col("c.line").cast("string"))
+    return rows.select(path_col, source.alias("source"), F.col("c.content").alias("content")).where("content != ''")

@@ -67,6 +67,16 @@ def results(distilled: DataFrame) -> DataFrame:
     return distilled.groupBy("request_id").agg(prompt.alias("prompt"), *sums).withColumn("compression_ratio", X.ratio(F.col("input_tokens"), F.col("output_tokens")))
 
 
+# Pictures that a vision model takes as they are.
+PIXEL = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp")
+
+
+def attachments(files: DataFrame, mode: Column) -> DataFrame:
+    """files (pos, path, ...) with `handling`: `pixel` for pictures in pixel mode, which go to the model, else `distill`."""
+    picture = F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in PIXEL) + r")\z")
+    return files.withColumn("handling", F.when(picture & (mode == "pixel"), "pixel").otherwise("distill"))
+
+
 def level_stats(docs: DataFrame, level: str, by: list[str]) -> DataFrame:
     """Token counts and the compression ratio of a level by keys; sums are partial before the shuffle."""
     t = docs.select(*by, X.tokens(F.col("text")).alias("i"), X.tokens(compressed(F.col("text"), level)).alias("o"))

@@ -6,9 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# The token estimates of a medium whose text is not known.
 TOKENS = {"image": 85, "audio": 2500, "video": 5000}
 
 
+def estimated_tokens(kind: Column, item: Column) -> Column:
+    """The tokens of an item before it is read: a constant for media, a quarter of the characters for others."""
+    out = F.floor(F.length(item) / 4)
+    for name, n in TOKENS.items():
+        out = F.when(kind == name, F.lit(n)).otherwise(out)
+    return out
+
+
+def video_info(width: Column, height: Column, frames: Column, fps: Column) -> Column:
+    """struct<width, height, fps, total_frames, duration> from what a video's reader gives; the duration takes a rate of 1 at least."""
+    return F.struct(
+        width.cast("int").alias("width"), height.cast("int").alias("height"), F.round(fps.cast("double"), 2).alias("fps"), frames.cast("long").alias("total_frames"),
+        F.round(frames / F.greatest(fps.cast("double"), F.lit(1.0)), 2).alias("duration"),
+    )
+
+
 def frame_indexes(total: Column, fps: Column, sample_fps: float = 1.0, most: int = 16) -> Column:
     """Evenly spaced frame numbers; all frames where fewer than the target."""
     duration = F.when(fps > 0, total / fps).otherwise(F.lit(0.0))
@@ -41,9 +58,10 @@ def perceptual_hash(grey: Column) -> Column:
 
 
 def dedup_images(images: DataFrame, order: str) -> DataFrame:
-    """The first image of each hash (phash) by the order column."""
-    first = images.groupBy("phash").agg(F.min(order).alias(order))
-    return images.join(first, ["phash", order])
+    """One row a hash (phash), with the columns of its first image by the order column, and how many images have it."""
+    rest = [c for c in images.columns if c != "phash"]
+    first = images.groupBy("phash").agg(F.min_by(F.struct(*rest), F.col(order)).alias("first"), F.count("*").alias("images"))
+    return first.select("phash", *[F.col(f"first.{c}").alias(c) for c in rest], "images")
 
 
 def region(tiles: DataFrame, least: float = 0.15) -> DataFrame:

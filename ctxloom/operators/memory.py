@@ -19,12 +19,34 @@ def scope(df: DataFrame, user_id: str | None, agent_id: str | None, category: st
     return out.where(F.col("category") == category) if category else out
 
 
-def list_page(df: DataFrame, user_id: str | None, agent_id: str | None, category: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page by updated_at, newest first, with the scope's total."""
-    rows = scope(df, user_id, agent_id, category)
+def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
+    """A page by updated_at, newest first, with the number of all rows."""
     total = rows.agg(F.count("*").alias("total"))
-    page = rows.orderBy(F.desc("updated_at"), F.desc("id")).offset(offset).limit(limit).select(*COLUMNS)
-    return page.join(F.broadcast(total)).withColumn("score", F.lit(1.0))  # one row of totals
+    best = rows.orderBy(F.desc("updated_at"), F.desc("id")).offset(offset).limit(limit).select(*COLUMNS)
+    return best.join(F.broadcast(total)).withColumn("score", F.lit(1.0))  # one row of totals
+
+
+def list_page(df: DataFrame, user_id: str | None, agent_id: str | None, category: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a scope, with the scope's total."""
+    return page(scope(df, user_id, agent_id, category), limit, offset)
+
+
+def of_category(df: DataFrame, category: str | None) -> DataFrame:
+    """The rows of a category among those found, which leaves fewer."""
+    return df.where(F.coalesce("category", F.lit("fact")) == category) if category else df
+
+
+def tool_rows(df: DataFrame) -> DataFrame:
+    """What agents see of memories: id, content, source, category, and a score or total where there is one."""
+    more = [c for c in ("query_id", "rank", "score", "total") if c in df.columns]
+    return df.select(*more, F.col("id").cast("string").alias("id"), "content", "source", "category")
+
+
+def found_or_error(df: DataFrame) -> DataFrame:
+    """The tool rows of a lookup with a null error, or one row that says `Not found`."""
+    found = tool_rows(df).select("id", "content", "source", "category", F.lit(None).cast("string").alias("error"))
+    none = df.agg(F.count("*").alias("n")).where("n = 0")
+    return found.unionByName(none.select(*[F.lit(None).cast("string").alias(c) for c in ("id", "content", "source", "category")], F.lit("Not found").alias("error")))
 
 
 def count_scopes(df: DataFrame) -> DataFrame:
@@ -36,18 +58,27 @@ def get_by_source(df: DataFrame, user_id: str | None, agent_id: str | None, sour
     return scope(df, user_id, agent_id).where(F.col("source") == source).orderBy("id").limit(1).select(*COLUMNS)
 
 
-def store(df: DataFrame, new: DataFrame, order_by: str, now: int) -> DataFrame:
-    """df and the rows of `new` with ids behind the largest, in the order of a unique integer column. Numbering goes by
-    blocks of that column, so that no task holds all new rows."""
-    top = df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+def numbered(new: DataFrame, order_by: str, top: int) -> DataFrame:
+    """new with ids behind `top`, in the order of a unique integer column. Numbering goes by blocks of that column, so that no
+    task holds all new rows."""
     rows = new.withColumn("__b", F.floor(F.col(order_by) / ID_BLOCK))
     blocks = rows.groupBy("__b").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a block
     rows = rows.join(blocks.select("__b", before.alias("__before")), "__b")
-    rows = rows.withColumn("id", F.lit(top) + F.col("__before") + F.row_number().over(W.partitionBy("__b").orderBy(order_by)))
-    has = set(new.columns)
-    made = rows.select(*[_value(c, has, now).alias(c) for c in df.columns])
-    return df.unionByName(made.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
+    return rows.withColumn("id", F.lit(top) + F.col("__before") + F.row_number().over(W.partitionBy("__b").orderBy(order_by)))
+
+
+def completed(rows: DataFrame, like: DataFrame, now: int) -> DataFrame:
+    """rows with the columns of `like`; absent ones get defaults."""
+    has = set(rows.columns)
+    made = rows.select(*[_value(c, has, now).alias(c) for c in like.columns])
+    return made.select(*[F.col(c).cast(like.schema[c].dataType).alias(c) for c in like.columns])
+
+
+def store(df: DataFrame, new: DataFrame, order_by: str, now: int) -> DataFrame:
+    """df and the rows of `new` with ids behind the largest, in the order of a unique integer column."""
+    top = df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return df.unionByName(completed(numbered(new, order_by, top), df, now))
 
 
 def _value(column: str, has: set[str], now: int):
@@ -102,4 +133,4 @@ class MemoryStore(ABC):
     def get(self, source: str, user_id: str | None = None, agent_id: str | None = None) -> DataFrame: ...
 
     @abstractmethod
-    def list(self, user_id: str | None = None, agent_id: str | None = None, category: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame: ...
+    def list(self, user_id: str | None = None, agent_id: str | None = None, category: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame: ...

@@ -60,6 +60,18 @@ def summary(text: Column, strategy: str = "lingua", level: str = "L2", rate: flo
     return F.coalesce(*[F.when(X.strip(c) != "", c) for c in chain], fallback_summary(text))
 
 
+def summaries(transcripts: DataFrame, asked: DataFrame, strategy: str = "lingua", level: str = "L2", rate: float = 0.3, llm: Column | None = None) -> DataFrame:
+    """asked (session_id) -> session_id, summary of the newest transcript. A session without a transcript, and one whose newest
+    transcript has no message (a row with a null idx stands for it), get a note instead."""
+    asked = asked.select("session_id").distinct()
+    newest = latest_transcript(transcripts.join(asked, "session_id", "left_semi"))
+    there = newest.groupBy("session_id").agg(F.count("idx").alias("n"))
+    said = session_text(newest.where("idx is not null"))
+    out = asked.join(there, "session_id", "left").join(said, "session_id", "left")
+    note = F.when(F.col("n").isNull(), F.concat(F.lit("No transcript found for session "), "session_id")).when(F.col("n") == 0, F.concat(F.lit("Empty transcript for session "), "session_id"))
+    return out.select("session_id", F.coalesce(note, summary(F.coalesce("text", F.lit("")), strategy, level, rate, llm)).alias("summary"))
+
+
 def auto_compact(messages: DataFrame, threshold: int, strategy: str = "lingua", level: str = "L2", rate: float = 0.3) -> DataFrame:
     """Sessions of `threshold` tokens or more become one system message with their summary; others stay."""
     big = session_tokens(messages).where(F.col("tokens") >= threshold).select("session_id")

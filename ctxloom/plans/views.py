@@ -10,11 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+def memories(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """Documents as memories; without vectors no join is made, and embedding is null."""
+    d = table(spark, sf_dir, "documents")
+    if vectors:
+        e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        d = d.join(e, d.doc_id == e.vec_id, "left")
+    else:
+        d = d.withColumn("embedding", F.lit(None).cast("array<float>"))
     agent = F.when(F.floor(F.col("doc_id") / 30) % 2 == 0, "coder").otherwise("writer")
     kinds = F.array(*[F.lit(x) for x in ("fact", "preference", "rule", "profile", "note", "system")])
-    return d.join(e, d.doc_id == e.vec_id, "left").select(
+    return d.select(
         (F.col("doc_id") + 1).alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 5).cast("string")).alias("user_id"), agent.alias("agent_id"),
         F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("category"), F.col("text").alias("content"),
         F.concat("source", F.lit(".md#L"), (F.col("doc_id") + 1).cast("string")).alias("source"),
@@ -33,8 +39,18 @@ MEMORIES_SQL = """memories AS (
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with the assistant's turns in the place of tool results."""
+    return _messages(table(spark, sf_dir, "conversations"))
+
+
+def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the table's files."""
+    at = f"{sf_dir}/conversations.parquet"
+    return _messages(spark.readStream.schema(spark.read.parquet(at).schema).parquet(f"{at}*"))
+
+
+def _messages(turns: DataFrame) -> DataFrame:
     said = F.col("role") == "assistant"
-    return table(spark, sf_dir, "conversations").select(
+    return turns.select(
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").alias("idx"),
         F.when(said, "tool").otherwise(F.col("role")).alias("role"), F.when(said, F.concat(F.lit("t"), (F.col("turn") % 3).cast("string"))).alias("name"), F.col("text").alias("content"),
     )
@@ -67,7 +83,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = F.col("page_id"), F.col("page_id").cast("string")
     item = (
         F.when(p % 6 == 0, F.col("url")).when(p % 6 == 1, F.concat(F.lit("upload_"), n, F.lit(".PDF"))).when(p % 6 == 2, F.concat(F.lit("img_"), n, F.lit(".png")))
-        .when(p % 6 == 3, F.concat(F.lit("a_"), n, F.lit(".mp3"))).when(p % 6 == 4, F.concat(F.lit("data:image/png;base64,"), n)).otherwise(F.substring("html", 1, 400))
+        .when(p % 6 == 3, F.concat(F.lit("a_"), n, F.lit(".mp3"))).when(p % 6 == 4, F.concat(F.lit("data:image/png;base64,"), n)).otherwise(F.col("html"))
     )
     return table(spark, sf_dir, "pages").select(p.alias("pos"), item.alias("item"))
 
@@ -75,5 +91,5 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS_SQL = """items AS (
   SELECT page_id AS pos, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('upload_', CAST(page_id AS VARCHAR), '.PDF')
     WHEN 2 THEN concat('img_', CAST(page_id AS VARCHAR), '.png') WHEN 3 THEN concat('a_', CAST(page_id AS VARCHAR), '.mp3')
-    WHEN 4 THEN concat('data:image/png;base64,', CAST(page_id AS VARCHAR)) ELSE substring(html, 1, 400) END AS item
+    WHEN 4 THEN concat('data:image/png;base64,', CAST(page_id AS VARCHAR)) ELSE html END AS item
   FROM pages)"""

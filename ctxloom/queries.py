@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import chunk, distill, media, memory, search, session, telemetry
 from .plans import views as V
+from .streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-QUERY_WORDS = [(1, "the ontion"), (2, "thing"), (3, "of anand the"), (4, "and erth")]
-QUERY_IDS = (0, 7, 42)
+#: The query set of a search is every row whose id this divides, against all rows.
+EVERY = 100
 
 
 def query(sql: str | None = None):
@@ -124,16 +125,54 @@ def distill_requests(spark, sf_dir):
     return done.select("request_id", text.alias("prompt"), "input_tokens", "output_tokens", F.round("compression_ratio", 6).alias("compression_ratio"))
 
 
+@query(f"WITH {V.ITEMS_SQL}, t AS (SELECT pos, item, {TYPE_SQL} AS kind FROM items), u AS (SELECT pos, item, {RESOLVED_SQL} AS kind FROM t) SELECT pos, kind, CASE kind WHEN 'image' THEN 85 WHEN 'audio' THEN 2500 WHEN 'video' THEN 5000 ELSE length(item) // 4 END AS tokens FROM u")
+def item_token_estimate(spark, sf_dir):
+    kind = X.resolve_type(F.col("item"))
+    return V.items(spark, sf_dir).select("pos", kind.alias("kind"), media.estimated_tokens(kind, F.col("item")).alias("tokens"))
+
+
+@query(f"""WITH {V.ITEMS_SQL} SELECT pos, item, CASE WHEN {_suffix('lower(item)', distill.PIXEL)} AND pos % 4 < 2 THEN 'pixel' ELSE 'distill' END AS handling FROM items""")
+def attachment_split(spark, sf_dir):
+    mode = F.when(F.col("pos") % 4 < 2, "pixel").otherwise("semantic")
+    return distill.attachments(V.items(spark, sf_dir).withColumnRenamed("item", "path"), mode).select("pos", F.col("path").alias("item"), "handling")
+
+
 # --- documents ------------------------------------------------------------------------------------------------------
 
-@query()
+STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+PACKS = "list_filter(list_transform(regexp_extract_all(concat(array_to_string(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''), ' '), ' '), '(?s:.{{1000}})(?s:.{{200}})[^ ]* |(?s:.+)'), lambda p: rtrim(p)), lambda p: p <> '')"
+CHUNK_CTES = f"""cut AS (SELECT doc_id, unnest(ps) AS raw, unnest(range(0, len(ps))) AS i, len(ps) - 1 AS last FROM (SELECT doc_id, string_split(regexp_replace({{text}}, '(\n#{{{{1,3}}}}\\s|\n\n)', chr(1) || '\\1', 'g'), chr(1)) AS ps FROM documents)),
+ body AS (SELECT *, {STRIP.format(c='raw')} AS body, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cut),
+ parts AS (SELECT doc_id, i, body, start, CASE WHEN CASE WHEN i < last THEN length(raw) ELSE length(body) END > 1200 THEN {PACKS.format(c='CASE WHEN i < last THEN raw ELSE body END').replace('{{', '{').replace('}}', '}').replace('{', '{{').replace('}', '}}')}
+   WHEN length(body) > CASE WHEN i < last THEN 200 ELSE 0 END THEN [body] ELSE [] END AS ts, CASE WHEN i < last THEN length(raw) ELSE length(body) END > 1200 AS forced FROM body),
+ each AS (SELECT doc_id, i, start, forced, unnest(ts) AS text, unnest(range(0, len(ts))) AS j FROM parts),
+ chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INT) AS chunk, text,
+   CASE WHEN forced THEN concat('Segment @ ', CAST(start AS VARCHAR)) WHEN length(trim(string_split(text, chr(10))[1])) > 50 THEN concat(substring(trim(string_split(text, chr(10))[1]), 1, 50), '...') ELSE trim(string_split(text, chr(10))[1]) END AS title FROM each)"""
+SECTIONS = "replace(replace(text, '. ', concat('.', chr(10), chr(10))), ', ', concat(',', chr(10), '## '))"
+
+
+@query(f"WITH {CHUNK_CTES.format(text='text')} SELECT doc_id, chunk, title, text FROM chunks")
 def doc_smart_chunk(spark, sf_dir):
     return chunk.smart_chunks(_docs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {CHUNK_CTES.format(text=SECTIONS)} SELECT doc_id, chunk, title, text FROM chunks")
+def doc_section_chunk(spark, sf_dir):
+    """Documents with a blank line behind every sentence and a heading behind every comma."""
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n")), F.lit(", "), F.lit(",\n## "))
+    return chunk.smart_chunks(_docs(spark, sf_dir).select("doc_id", text.alias("text")))
+
+
+@query(f"WITH p AS (SELECT doc_id, {PACKS.format(c='text')} AS ts FROM documents) SELECT doc_id, CAST(unnest(range(0, len(ts))) AS INT) AS chunk, 'Segment @ 0' AS title, unnest(ts) AS text FROM p")
+def doc_force_split(spark, sf_dir):
+    return chunk.split_documents(_docs(spark, sf_dir))
+
+
+@query(f"""WITH {CHUNK_CTES.format(text='text')}, z AS (SELECT doc_id, chunk, text, {L2.format(c='text', rate=0.4)} AS z FROM chunks),
+ d AS (SELECT doc_id, string_agg(z, chr(10) || chr(10) ORDER BY chunk) AS text, count(*) AS chunk_count, CAST(sum(length(text)) AS BIGINT) AS raw_length, CAST(sum(length(z)) AS BIGINT) AS compressed_length FROM z GROUP BY doc_id)
+ SELECT doc_id, text, chunk_count, raw_length, compressed_length, raw_length // 4 AS input_tokens, compressed_length // 4 AS output_tokens, {RATIO.format(i='(raw_length // 4)', o='(compressed_length // 4)')} AS compression_ratio FROM d""")
 def doc_chunk_rollup(spark, sf_dir):
-    return chunk.document_rollup(chunk.compressed_chunks(chunk.smart_chunks(_docs(spark, sf_dir)), "L2"))
+    return chunk.document_rollup(_docs(spark, sf_dir), "L2").withColumn("compression_ratio", F.round("compression_ratio", 6))
 
 
 @query("""WITH f AS (SELECT concat('d', CAST(doc_id AS VARCHAR), '.md') AS path, concat('pre\n# ', replace(text, '. ', chr(10) || '## ')) AS content FROM documents),
@@ -213,6 +252,20 @@ def transcript_replay(spark, sf_dir):
     return session.replay(_transcripts(spark, sf_dir), 3)
 
 
+@query(f"""WITH {TRANSCRIPTS_SQL}, n AS (SELECT session_id, max(ts) AS ts FROM transcripts GROUP BY session_id), messages AS (SELECT t.* FROM transcripts t JOIN n ON t.session_id = n.session_id AND t.ts = n.ts), {TEXT_CTE},
+ a AS (SELECT DISTINCT session_id FROM transcripts UNION ALL SELECT 'gone') SELECT a.session_id, CASE WHEN st.session_id IS NULL THEN concat('No transcript found for session ', a.session_id) ELSE {L2.format(c='text', rate=0.3)} END AS summary FROM a LEFT JOIN st USING (session_id)""".replace("WITH messages AS (", "WITH messages0 AS (").replace("* FROM messages UNION", "* FROM messages0 UNION").replace("* FROM messages WHERE idx >= 1", "* FROM messages0 WHERE idx >= 1"))
+def session_summaries(spark, sf_dir):
+    t = _transcripts(spark, sf_dir)
+    asked = session.sessions(t).unionByName(spark.createDataFrame([("gone",)], "session_id string"))
+    return session.summaries(t, asked)
+
+
+@query()
+def stream_session_compact(spark, sf_dir):
+    """Sessions as a stream over the conversations' files: the last state of every session."""
+    return sessions.run_to_table(sessions.session_log(V.message_stream(spark, sf_dir), threshold=700), spark)
+
+
 # --- memory ---------------------------------------------------------------------------------------------------------
 
 MEM7 = "id, user_id, agent_id, category, content, source, metadata"
@@ -220,27 +273,43 @@ MEM7 = "id, user_id, agent_id, category, content, source, metadata"
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7}, (SELECT count(*) FROM memories WHERE user_id = 'u1' AND agent_id = 'coder') AS total, 1.0e0 AS score FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' ORDER BY updated_at DESC, id DESC LIMIT 10 OFFSET 5")
 def mem_list_page(spark, sf_dir):
-    return memory.list_page(V.memories(spark, sf_dir), "u1", "coder", limit=10, offset=5)
+    return memory.list_page(V.memories(spark, sf_dir, vectors=False), "u1", "coder", limit=10, offset=5)
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7}, (SELECT count(*) FROM memories WHERE user_id = 'u2' AND agent_id = 'writer' AND category = 'rule') AS total, 1.0e0 AS score FROM memories WHERE user_id = 'u2' AND agent_id = 'writer' AND category = 'rule' ORDER BY updated_at DESC, id DESC LIMIT 20")
 def mem_list_category(spark, sf_dir):
-    return memory.list_page(V.memories(spark, sf_dir), "u2", "writer", "rule")
+    return memory.list_page(V.memories(spark, sf_dir, vectors=False), "u2", "writer", "rule", limit=20)
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7} FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND source = 'src1.md#L2' ORDER BY id LIMIT 1")
 def mem_get_source(spark, sf_dir):
-    return memory.get_by_source(V.memories(spark, sf_dir), "u1", "coder", "src1.md#L2")
+    return memory.get_by_source(V.memories(spark, sf_dir, vectors=False), "u1", "coder", "src1.md#L2")
+
+
+@query(f"""WITH {V.MEMORIES_SQL}, got AS (SELECT * FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND source = 'src1.md#L2' ORDER BY id LIMIT 1), no AS (SELECT * FROM memories WHERE user_id = 'nobody')
+ SELECT CAST(id AS VARCHAR) AS id, content, source, category, NULL AS error FROM got UNION ALL SELECT NULL, NULL, NULL, NULL, 'Not found' WHERE NOT EXISTS (SELECT 1 FROM got)
+ UNION ALL SELECT NULL, NULL, NULL, NULL, 'Not found' WHERE NOT EXISTS (SELECT 1 FROM no)""")
+def mem_tool_get(spark, sf_dir):
+    m = V.memories(spark, sf_dir, vectors=False)
+    return memory.found_or_error(memory.get_by_source(m, "u1", "coder", "src1.md#L2")).unionByName(memory.found_or_error(memory.get_by_source(m, "nobody", "coder", "src1.md#L2")))
+
+
+@query(f"""WITH {V.MEMORIES_SQL}, best AS (SELECT * FROM memories WHERE user_id = 'u1' ORDER BY updated_at DESC, id DESC LIMIT 40)
+ SELECT CAST(id AS VARCHAR) AS id, content, source, category FROM best WHERE category = 'rule'""")
+def mem_post_filter(spark, sf_dir):
+    """The newest 40 rows of a user, then those of a category among them."""
+    rows = memory.page(V.memories(spark, sf_dir, vectors=False).where("user_id = 'u1'"), 40, 0)
+    return memory.tool_rows(memory.of_category(rows, "rule")).select("id", "content", "source", "category")
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT user_id, agent_id, category, count(*) AS total FROM memories GROUP BY user_id, agent_id, category")
 def mem_count_scope(spark, sf_dir):
-    return memory.count_scopes(V.memories(spark, sf_dir))
+    return memory.count_scopes(V.memories(spark, sf_dir, vectors=False))
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT count(*) AS rows_in_scope, count(CASE WHEN user_id <> 'u3' OR agent_id <> 'writer' THEN 1 END) AS leaked FROM memories WHERE user_id = 'u3' AND agent_id = 'writer'")
 def tenant_isolation_check(spark, sf_dir):
-    rows = memory.scope(V.memories(spark, sf_dir), "u3", "writer")
+    rows = memory.scope(V.memories(spark, sf_dir, vectors=False), "u3", "writer")
     return rows.agg(F.count("*").alias("rows_in_scope"), F.count(F.when((F.col("user_id") != "u3") | (F.col("agent_id") != "writer"), 1)).alias("leaked"))
 
 
@@ -253,13 +322,13 @@ def _changes(m: DataFrame) -> DataFrame:
 
 @query(f"WITH {V.MEMORIES_SQL}, {CHANGED_SQL} SELECT m.id, m.user_id, m.agent_id, coalesce(c.content, m.content) AS content, CASE WHEN c.id IS NULL THEN m.updated_at ELSE 1800000000 END AS updated_at FROM memories m LEFT JOIN changes c ON m.id = c.id AND m.user_id = c.user_id AND m.agent_id = c.agent_id")
 def mem_update(spark, sf_dir):
-    m = V.memories(spark, sf_dir)
+    m = V.memories(spark, sf_dir, vectors=False)
     return memory.update(m, _changes(m), 1_800_000_000).select("id", "user_id", "agent_id", "content", "updated_at")
 
 
 @query(f"WITH {V.MEMORIES_SQL}, {CHANGED_SQL} SELECT m.id, m.user_id, m.agent_id, m.source FROM memories m WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE m.id = c.id AND m.user_id = c.user_id AND m.agent_id = c.agent_id)")
 def mem_forget(spark, sf_dir):
-    m = V.memories(spark, sf_dir)
+    m = V.memories(spark, sf_dir, vectors=False)
     return memory.forget(m, _changes(m)).select("id", "user_id", "agent_id", "source")
 
 
@@ -267,13 +336,13 @@ def mem_forget(spark, sf_dir):
  UNION ALL SELECT (SELECT max(id) FROM memories) + row_number() OVER (ORDER BY item_id) AS id, 'u1' AS user_id, '' AS agent_id, 'fact' AS category, text AS content, concat('bench#', CAST(item_id AS VARCHAR)) AS source FROM benchmark""")
 def mem_store(spark, sf_dir):
     new = V.table(spark, sf_dir, "benchmark").select("item_id", F.lit("u1").alias("user_id"), F.col("text").alias("content"), F.concat(F.lit("bench#"), F.col("item_id").cast("string")).alias("source"))
-    return memory.store(V.memories(spark, sf_dir), new, "item_id", 1_800_000_000).select("id", "user_id", "agent_id", "category", "content", "source")
+    return memory.store(V.memories(spark, sf_dir, vectors=False), new, "item_id", 1_800_000_000).select("id", "user_id", "agent_id", "category", "content", "source")
 
 
 @query(f"""WITH {V.MEMORIES_SQL}, chunks AS (SELECT user_id, agent_id, CASE WHEN id % 7 = 0 THEN concat(source, 'x') ELSE source END AS source, CASE WHEN id % 5 = 0 THEN concat(content, ' more') ELSE content END AS content FROM memories)
  SELECT c.user_id, c.agent_id, c.source, c.content, m.id, CASE WHEN m.id IS NULL THEN 'insert' WHEN md5(c.content) <> md5(m.content) THEN 'update' ELSE 'unchanged' END AS action FROM chunks c LEFT JOIN memories m ON c.user_id = m.user_id AND c.agent_id = m.agent_id AND c.source = m.source""")
 def mem_sync_diff(spark, sf_dir):
-    m = V.memories(spark, sf_dir)
+    m = V.memories(spark, sf_dir, vectors=False)
     source = F.when(F.col("id") % 7 == 0, F.concat("source", F.lit("x"))).otherwise(F.col("source"))
     content = F.when(F.col("id") % 5 == 0, F.concat("content", F.lit(" more"))).otherwise(F.col("content"))
     return memory.sync_diff(m, m.select("user_id", "agent_id", source.alias("source"), content.alias("content")))
@@ -281,73 +350,99 @@ def mem_sync_diff(spark, sf_dir):
 
 # --- retrieval --------------------------------------------------------------------------------------------------------
 
-ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERY_WORDS) + ") AS v(query_id, query))"
-TERMS = "list_filter(string_split_regex(lower(translate({c}, '" + X.ACCENTED + "', '" + X.BASES + "')), '[^\\pL\\pN]+'), lambda x: x <> '')"
-BM25_CTES = f"""{ASKED_SQL}, qt AS (SELECT DISTINCT query_id, unnest({TERMS.format(c='query')}) AS term FROM asked),
- dt AS (SELECT id, user_id, agent_id, category, {TERMS.format(c="concat(content, ' ', source)")} AS t FROM memories),
- st AS (SELECT count(*) AS n, avg(len(t)) AS m FROM dt), fl AS (SELECT id, len(t) AS len, unnest(t) AS term FROM dt),
- po AS (SELECT term, id, count(*) AS tf, any_value(len) AS len FROM fl WHERE term IN (SELECT term FROM qt) GROUP BY term, id), df AS (SELECT term, count(*) AS n FROM po GROUP BY term),
- sc AS (SELECT query_id, id, sum(CASE WHEN ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) END * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / st.m))) AS score, count(*) AS k FROM po JOIN df USING (term) JOIN qt USING (term), st {{scope}} GROUP BY query_id, id),
- hit AS (SELECT sc.query_id, id, score FROM sc JOIN (SELECT query_id, count(*) AS k FROM qt GROUP BY query_id) q ON sc.query_id = q.query_id AND sc.k = q.k)"""
-FTS_TOP = ", fts AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hit QUALIFY rank <= {k})"
+TERMS = "list_filter(string_split_regex(lower(strip_accents({c})), '[^\\pL\\pN]+'), lambda x: x <> '')"
+FTS_CTES = f"""q AS (SELECT id AS query_id, {{kind}} AS kind, {TERMS.format(c='content')} AS t, {TERMS.format(c='source')} AS s FROM memories WHERE id % {EVERY} = 0),
+ ph AS (SELECT query_id, kind, unnest(list_slice(t, 1, 3)) AS w, unnest(range(0, least(len(t), 3))) AS p, NULL AS w2, NULL AS col, least(len(t), 3) AS n FROM q WHERE kind = 0
+  UNION ALL SELECT query_id, kind, unnest(t[1:2]) AS w, unnest([0, 1]) AS p, NULL, NULL, 2 FROM q WHERE kind IN (1, 2) AND len(t) >= 3
+  UNION ALL SELECT query_id, kind, t[1], 0, t[2], NULL, 1 FROM q WHERE kind = 3 AND len(t) >= 3
+  UNION ALL SELECT query_id, kind, t[3][1:3], 0, NULL, NULL, 1 FROM q WHERE kind = 4 AND len(t) >= 3
+  UNION ALL SELECT query_id, kind, s[1], 0, NULL, 'source', 1 FROM q WHERE kind = 5 AND len(s) >= 1),
+ dt AS (SELECT id, {TERMS.format(c='content')} AS t, {TERMS.format(c='source')} AS s FROM memories),
+ st AS (SELECT count(*) AS n, avg(len(t) + len(s)) AS m FROM dt),
+ fl AS (SELECT id, 'content' AS c, len(t) + len(s) AS len, unnest(t) AS term, unnest(range(0, len(t))) AS i FROM dt UNION ALL SELECT id, 'source', len(t) + len(s), unnest(s), unnest(range(0, len(s))) FROM dt),
+ tf AS (SELECT query_id, kind, p, ph.n, id, len, count(*) AS tf FROM ph JOIN fl ON fl.term = ph.w AND (col IS NULL OR col = c) WHERE w2 IS NULL AND kind <> 4 GROUP BY ALL
+  UNION ALL SELECT query_id, kind, p, ph.n, id, len, count(*) AS tf FROM ph JOIN fl ON starts_with(fl.term, ph.w) WHERE kind = 4 GROUP BY ALL
+  UNION ALL SELECT query_id, kind, p, ph.n, a.id, a.len, count(*) AS tf FROM ph JOIN fl a ON a.term = ph.w JOIN fl b ON b.id = a.id AND b.c = a.c AND b.i = a.i + 1 AND b.term = ph.w2 WHERE kind = 3 GROUP BY ALL),
+ df AS (SELECT query_id, p, count(*) AS n FROM tf GROUP BY query_id, p),
+ sc AS (SELECT tf.query_id, id, kind, tf.n AS n, tf.p, CASE WHEN ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) END * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / st.m)) AS part FROM tf JOIN df ON tf.query_id = df.query_id AND tf.p = df.p, st {{scope}}),
+ hit AS (SELECT query_id, id, round(sum(part), 12) AS score FROM sc GROUP BY query_id, id, kind, n HAVING CASE kind WHEN 1 THEN true WHEN 2 THEN bool_or(p = 0) AND NOT bool_or(p = 1) ELSE count(*) = n END),
+ fts AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hit QUALIFY rank <= {{k}})"""
+
+
+def _first_words(m: DataFrame) -> DataFrame:
+    """A query of all of a row's first three words, for every row of the query set."""
+    return m.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.array_join(F.slice(X.search_terms(F.col("content")), 1, 3), " ").alias("query"))
+
+
+def _all_kinds(m: DataFrame) -> DataFrame:
+    """Queries of each kind of syntax by turns; the last kind is not supported."""
+    t, s = X.search_terms(F.col("content")), X.search_terms(F.col("source"))
+    rows = m.where(F.col("id") % EVERY == 0).select("id", (F.floor(F.col("id") / EVERY) % 7).alias("kind"), t.alias("t"), s.alias("s"))
+    word = lambda n: F.get("t", F.lit(n))
+    three = F.size("t") >= 3
+    query = (
+        F.when(F.col("kind") == 0, F.array_join(F.slice("t", 1, 3), " ")).when((F.col("kind") == 1) & three, F.concat_ws(" OR ", word(0), word(1))).when((F.col("kind") == 2) & three, F.concat_ws(" NOT ", word(0), word(1)))
+        .when((F.col("kind") == 3) & three, F.concat(F.lit('"'), word(0), F.lit(" "), word(1), F.lit('"'))).when((F.col("kind") == 4) & three, F.concat(F.substring(word(2), 1, 3), F.lit("*")))
+        .when(F.col("kind") == 5, F.concat(F.lit("source: "), F.get("s", F.lit(0)))).otherwise(F.concat(F.lit("("), word(0), F.lit(")")))
+    )
+    return rows.select(F.col("id").alias("query_id"), query.alias("query"))
+
+
+def _rounded(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("query_id", "id", F.round("score", 6).alias("score"), "rank", *more)
 
 
-def _asked(spark) -> DataFrame:
-    return spark.createDataFrame(QUERY_WORDS, "query_id int, query string")
+FTS_END = " SELECT query_id, id, round(score, 6) AS score, rank FROM fts"
 
 
-@query(f"WITH {V.MEMORIES_SQL}, {BM25_CTES.format(scope='')}{FTS_TOP.format(k=10)} SELECT query_id, id, round(score, 6) AS score, rank FROM fts")
+@query(f"WITH {V.MEMORIES_SQL}, {FTS_CTES.format(scope='', k=10, kind='0')}{FTS_END}")
 def mem_fts_bm25(spark, sf_dir):
-    return search.bm25(V.memories(spark, sf_dir), _asked(spark)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    m = V.memories(spark, sf_dir, vectors=False)
+    return _rounded(search.bm25(m, _first_words(m)))
 
 
-@query(f"WITH {V.MEMORIES_SQL}, {BM25_CTES.format(scope="WHERE id IN (SELECT id FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND category = 'fact')")}{FTS_TOP.format(k=5)} SELECT query_id, id, round(score, 6) AS score, rank FROM fts")
-def mem_fts_category(spark, sf_dir):
-    m = V.memories(spark, sf_dir)
-    return search.bm25(m, _asked(spark), memory.scope(m, "u1", "coder", "fact"), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+@query(f"WITH {V.MEMORIES_SQL}, {FTS_CTES.format(scope='', k=10, kind=f'id // {EVERY} % 7')}{FTS_END}")
+def mem_fts_multi_term(spark, sf_dir):
+    m = V.memories(spark, sf_dir, vectors=False)
+    return _rounded(search.bm25(m, _all_kinds(m)))
 
 
-IDS = "(" + ", ".join(map(str, QUERY_IDS)) + ")"
-KNN_CTES = """qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN """ + IDS + """),
- nn AS (SELECT qv.query_id, m.id, list_distance(CAST(m.embedding AS DOUBLE[]), qv.v) AS distance FROM memories m, qv WHERE m.embedding IS NOT NULL {scope}),
- vec AS (SELECT query_id, id, distance, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, id) AS rank FROM nn QUALIFY rank <= {k})"""
+@query(f"WITH {V.MEMORIES_SQL}, {FTS_CTES.format(scope="WHERE id IN (SELECT id FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND category = 'fact')", k=5, kind='0')}{FTS_END}")
+def mem_fts_category(spark, sf_dir):
+    m = V.memories(spark, sf_dir, vectors=False)
+    return _rounded(search.bm25(m, _first_words(m), memory.scope(m, "u1", "coder", "fact"), 5))
 
 
-def _vectors(spark, sf_dir) -> list:
-    rows = V.table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS)).select("vec_id", "embedding").collect()
-    return sorted((r["vec_id"], list(r["embedding"])) for r in rows)
+VEC = "vec AS (SELECT query_id, id, distance, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, id) AS rank FROM nn QUALIFY rank <= {k})"
 
 
-@query(f"WITH {V.MEMORIES_SQL}, {KNN_CTES.format(scope='', k=10)} SELECT query_id, id, round(distance, 6) AS distance, round(score, 6) AS score, rank FROM vec")
+@query(f"""WITH nn AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND e.embedding IS NOT NULL AND q.embedding IS NOT NULL),
+ {VEC.format(k=10)} SELECT query_id, id, round(distance, 6) AS distance, round(score, 6) AS score, rank FROM vec""")
 def mem_vec_knn(spark, sf_dir):
-    near = search.nearest(V.memories(spark, sf_dir), _vectors(spark, sf_dir))
+    e = V.table(spark, sf_dir, "embeddings")
+    asked = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = search.nearest(e.select(F.col("vec_id").alias("id"), "embedding"), asked)
     return near.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
 
 
-PAIR_SQL = "pair AS (SELECT * FROM (VALUES " + ", ".join(f"({q[0]}, {i})" for q, i in zip(QUERY_WORDS, QUERY_IDS, strict=False)) + ") AS v(query_id, vec_id)), vecq AS (SELECT p.query_id, id, score, rank FROM vec JOIN pair p ON vec.query_id = p.vec_id)"
-WEIGHTED = """each AS (SELECT query_id, id, 0.7e0 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1.0e0 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM vecq
+NEAR_CTES = f"nn AS (SELECT q.id AS query_id, m.id, list_distance(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM memories m, memories q WHERE q.id % {EVERY} = 0 AND m.embedding IS NOT NULL AND q.embedding IS NOT NULL {{scope}}), {VEC}"
+WEIGHTED = """each AS (SELECT query_id, id, 0.7e0 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1.0e0 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM vec
  UNION ALL SELECT query_id, id, 0.3e0 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1.0e0 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM fts)"""
-RRF_SQL = "each AS (SELECT query_id, id, 1.0e0 / (60 + rank) AS s FROM vecq UNION ALL SELECT query_id, id, 1.0e0 / (60 + rank) AS s FROM fts)"
-FUSED = ", fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, sum(s) AS score FROM each GROUP BY query_id, id) QUALIFY rank <= 5)"
-HYBRID = f"WITH {V.MEMORIES_SQL}, {BM25_CTES.format(scope='{sa}')}{FTS_TOP.format(k=10)}, {KNN_CTES.format(scope='{sb}', k=10)}, {PAIR_SQL}, {{each}}{FUSED}"
+RRF_SQL = "each AS (SELECT query_id, id, 1.0e0 / (60 + rank) AS s FROM vec UNION ALL SELECT query_id, id, 1.0e0 / (60 + rank) AS s FROM fts)"
+FUSED = ", fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(s), 12) AS score FROM each GROUP BY query_id, id) QUALIFY rank <= 5)"
 
 
 def _hybrid_sql(text_scope: str, vector_scope: str, each: str) -> str:
-    return HYBRID.replace("{sa}", text_scope).replace("{sb}", vector_scope).replace("{each}", each)
+    return f"WITH {V.MEMORIES_SQL}, {FTS_CTES.format(scope=text_scope, k=10, kind='0')}, {NEAR_CTES.format(scope=vector_scope, k=10)}, {each}{FUSED}"
 
 
-def _pairs(spark, sf_dir) -> list:
-    by = dict(_vectors(spark, sf_dir))
-    return [(q[0], by[i]) for q, i in zip(QUERY_WORDS, QUERY_IDS, strict=False) if i in by]
+def _vectors(m: DataFrame) -> DataFrame:
+    return m.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _both(spark, sf_dir):
-    m = V.memories(spark, sf_dir)
-    return search.nearest(m, _pairs(spark, sf_dir), 10), search.bm25(m, _asked(spark), None, 10)
-
-
-def _rounded(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("query_id", "id", F.round("score", 6).alias("score"), "rank", *more)
+    m, plain = V.memories(spark, sf_dir), V.memories(spark, sf_dir, vectors=False)
+    return search.nearest(m, _vectors(m), 10), search.bm25(plain, _first_words(plain), None, 10)
 
 
 @query(_hybrid_sql("", "", WEIGHTED) + " SELECT query_id, id, round(score, 6) AS score, rank FROM fused")
@@ -360,18 +455,30 @@ def mem_fuse_rrf(spark, sf_dir):
     return _rounded(search.fuse_rrf(*_both(spark, sf_dir), 5))
 
 
-SCOPE_A, SCOPE_B = "WHERE id IN (SELECT id FROM memories WHERE user_id = 'u1' AND agent_id = 'coder')", "AND user_id = 'u1' AND agent_id = 'coder'"
+SCOPE_A, SCOPE_B = "WHERE id IN (SELECT id FROM memories WHERE user_id = 'u1' AND agent_id = 'coder')", "AND m.user_id = 'u1' AND m.agent_id = 'coder'"
+
+
+def _found(spark, sf_dir, strategy: str = "weighted") -> DataFrame:
+    m, plain = V.memories(spark, sf_dir), V.memories(spark, sf_dir, vectors=False)
+    return search.hybrid(m, _first_words(plain), _vectors(m), "u1", "coder", strategy=strategy)
+
+
+HYBRID_END = " SELECT query_id, fused.id, round(score, 6) AS score, rank, category, content, source FROM fused JOIN memories USING (id)"
 
 
-@query(_hybrid_sql(SCOPE_A, SCOPE_B, WEIGHTED) + " SELECT query_id, fused.id, round(score, 6) AS score, rank, category, content, source FROM fused JOIN memories USING (id)")
+@query(_hybrid_sql(SCOPE_A, SCOPE_B, WEIGHTED) + HYBRID_END)
 def mem_hybrid_search(spark, sf_dir):
-    return _rounded(search.hybrid(V.memories(spark, sf_dir), _asked(spark), _pairs(spark, sf_dir), "u1", "coder"), "category", "content", "source")
+    return _rounded(_found(spark, sf_dir), "category", "content", "source")
+
+
+@query(_hybrid_sql(SCOPE_A, SCOPE_B, RRF_SQL) + HYBRID_END)
+def mem_hybrid_rrf(spark, sf_dir):
+    return _rounded(_found(spark, sf_dir, "rrf"), "category", "content", "source")
 
 
 @query(_hybrid_sql(SCOPE_A, SCOPE_B, WEIGHTED) + " SELECT query_id, string_agg(concat('- [', category, '] ', content, ' (source: ', source, ')'), chr(10) ORDER BY rank) AS prompt FROM fused JOIN memories USING (id) WHERE rank <= 3 GROUP BY query_id")
 def mem_recall_prompt(spark, sf_dir):
-    found = search.hybrid(V.memories(spark, sf_dir), _asked(spark), _pairs(spark, sf_dir), "u1", "coder")
-    return search.recall_prompt(found.where("rank <= 3"))
+    return search.recall_prompt(_found(spark, sf_dir).where("rank <= 3"))
 
 
 # --- telemetry --------------------------------------------------------------------------------------------------------
@@ -433,10 +540,10 @@ def telemetry_hourly(spark, sf_dir):
 HASH_SQL = "md5(array_to_string(list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > list_sum(CAST(embedding AS DOUBLE[])) / len(embedding) THEN '1' ELSE '0' END), ''))"
 
 
-@query(f"WITH h AS (SELECT vec_id, {HASH_SQL} AS phash FROM embeddings) SELECT phash, min(vec_id) AS vec_id FROM h GROUP BY phash")
+@query(f"WITH h AS (SELECT vec_id, {HASH_SQL} AS phash FROM embeddings) SELECT phash, min(vec_id) AS vec_id, count(*) AS images FROM h GROUP BY phash")
 def image_phash_dedup(spark, sf_dir):
     images = V.table(spark, sf_dir, "embeddings").select("vec_id", media.perceptual_hash(F.col("embedding")).alias("phash"))
-    return media.dedup_images(images, "vec_id").select("phash", "vec_id")
+    return media.dedup_images(images, "vec_id")
 
 
 @query("""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4000 + 1 AS w, o_custkey % 3000 + 1 AS h FROM orders)
@@ -447,13 +554,13 @@ def image_resize(spark, sf_dir):
     return o.select("id", w2.alias("w2"), h2.alias("h2"))
 
 
-@query("""WITH t AS (SELECT vec_id AS image_id, unnest(embedding[1:16]) AS v, unnest(range(0, 16)) AS i FROM embeddings), e AS (SELECT image_id, i, exp(3 * CAST(v AS DOUBLE) - max(3 * CAST(v AS DOUBLE)) OVER (PARTITION BY image_id)) AS e FROM t),
+@query("""WITH t AS (SELECT vec_id AS image_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings), e AS (SELECT image_id, i, exp(3 * CAST(v AS DOUBLE) - max(3 * CAST(v AS DOUBLE)) OVER (PARTITION BY image_id)) AS e FROM t),
  p AS (SELECT image_id, i, e / sum(e) OVER (PARTITION BY image_id) AS p FROM e)
- SELECT image_id, CAST(min(i % 4 * 64) AS BIGINT) AS x0, CAST(min(i // 4 * 64) AS BIGINT) AS y0, CAST(max(i % 4 * 64 + 64) AS BIGINT) AS x1, CAST(max(i // 4 * 64 + 64) AS BIGINT) AS y1, count(*) AS tiles FROM p WHERE p >= 0.15e0 GROUP BY image_id""")
+ SELECT image_id, CAST(min(i % 8 * 64) AS BIGINT) AS x0, CAST(min(i // 8 * 64) AS BIGINT) AS y0, CAST(max(i % 8 * 64 + 64) AS BIGINT) AS x1, CAST(max(i // 8 * 64 + 64) AS BIGINT) AS y1, count(*) AS tiles FROM p WHERE p >= 0.03e0 GROUP BY image_id""")
 def roi_bbox(spark, sf_dir):
-    t = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, 16)).alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    t = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
     side = F.lit(64).cast("long")
-    return media.region(t.select("image_id", (F.col("i") % 4 * 64).alias("x"), (F.floor(F.col("i") / 4) * 64).alias("y"), side.alias("w"), side.alias("h"), (3 * F.col("v").cast("double")).alias("logit")))
+    return media.region(t.select("image_id", (F.col("i") % 8 * 64).alias("x"), (F.floor(F.col("i") / 8) * 64).alias("y"), side.alias("w"), side.alias("h"), (3 * F.col("v").cast("double")).alias("logit")), 0.03)
 
 
 @query("""WITH t AS (SELECT event_id AS id, user_id * 7 % 900 AS total, event_id % 30 + 1 AS fps FROM events), u AS (SELECT *, least(16, CAST(floor(CAST(total AS DOUBLE) / fps) AS BIGINT) + 1) AS target FROM t)
@@ -473,3 +580,11 @@ def video_grid(spark, sf_dir):
 def audio_segments_join(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations")
     return media.join_segments(c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("i"), (F.col("turn") * 2.5).alias("start"), (F.col("turn") * F.lit(2.5) + 2).alias("end"), "text"))
+
+
+@query("""WITH t AS (SELECT event_id AS id, event_id % 1920 + 1 AS w, event_id % 1080 + 1 AS h, user_id * 7 % 900 AS frames, [24.0e0, 25.0e0, 30.0e0, 60.0e0, 0.0e0][event_id % 5 + 1] AS fps FROM events)
+ SELECT id, CAST(w AS INT) AS width, CAST(h AS INT) AS height, round(fps, 2) AS fps, frames AS total_frames, round(frames / greatest(fps, 1), 2) AS duration FROM t""")
+def video_metadata(spark, sf_dir):
+    e = F.col("event_id")
+    info = media.video_info(e % 1920 + 1, e % 1080 + 1, F.col("user_id") * 7 % 900, F.get(F.array(*[F.lit(x) for x in (24.0, 25.0, 30.0, 60.0, 0.0)]), (e % 5).cast("int")))
+    return V.table(spark, sf_dir, "events").select(e.alias("id"), info.alias("v")).select("id", "v.*")

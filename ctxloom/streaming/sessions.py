@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -85,3 +86,17 @@ def sync_files(files: DataFrame, read_seen: Callable[[], DataFrame], apply: Call
 def compressed_stream(rows: DataFrame, level: str = "L0") -> DataFrame:
     """Any stream with text: the column functions work on it as they are."""
     return rows.withColumn("text", X.compress(F.col("text"), level))
+
+
+def run_to_table(stream: DataFrame, spark: SparkSession, key: str = "session_id") -> DataFrame:
+    """Run an updating stream over what is there now and give the last row of every key. Its state and rows are in the folder that
+    driver and executors share, spark.checkpoint.dir."""
+    at = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, number: int) -> None:
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/rows/n={number}")
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/rows").drop("n")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), "batch").alias("last")).select(key, "last.*")

@@ -1,6 +1,7 @@
 """Sessions, memory changes, search, telemetry and sources on small rows."""
 
 import math
+import random
 import re
 import sqlite3
 
@@ -66,19 +67,47 @@ def test_pages_are_disjoint(spark):
     assert sum(pages, []) == list(range(9, -1, -1))
 
 
-def test_bm25_equals_sqlite(spark):
-    texts = [f"knowledge item {i} about topic {i % 10} {'spark engine ' * (i % 4)}" for i in range(60)]
+QUERIES = [
+    "spark topic", "engine", "nothing here", "Topic 3", "spark OR topic 7", "knowledge NOT spark", "knowledge NOT spark NOT topic", '"spark engine"', '"engine spark engine"', '"item 7 about"', "eng*", '"spark eng"*', '"spark eng" *',
+    "source: s1", "source : s1*", "content: s1", "content : spark engine", "topic AND spark OR knowledge NOT engine", "spark engine NOT topic 3", "a OR b OR item", "na\u00efve", "NAIVE", "\u010de\u0161tina", "under_score", '"say ""hi"" now"', "topic topic",
+]
+BROKEN = ["", None, "AND", "spark AND", "it's", "spark NOT", "* x", "nope: x", "content:", "x :y z", "a.b", '"open', "spark**", "OR x", "a AND OR b"]
+
+
+@pytest.mark.parametrize("literals", [search.LITERALS, 3])
+def test_bm25_equals_sqlite(spark, monkeypatch, literals):
+    monkeypatch.setattr(search, "LITERALS", literals)
+    texts = [f"knowledge item {i} about topic {i % 10} {'spark engine ' * (i % 4)}" for i in range(60)] + ["a Na\u00efve \u010ce\u0161tina text", "under_score score under", 'they say "hi" now', "", None]
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE f USING fts5(content, source)")
     con.executemany("INSERT INTO f(rowid, content, source) VALUES (?, ?, ?)", [(i + 1, t, f"s{i}") for i, t in enumerate(texts)])
     df = spark.createDataFrame([(i + 1, "u", "a", "fact", t, f"s{i}", "{}", None, 0) for i, t in enumerate(texts)], files.ParquetMemoryStore.SCHEMA)
-    asked = [(0, "spark topic"), (1, "engine"), (2, "nothing here"), (3, "Topic 3")]
-    got = search.bm25(df, spark.createDataFrame(asked, "query_id int, query string"), top_k=100).collect()
-    for q, text in asked:
+    got = search.bm25(df, spark.createDataFrame(list(enumerate(QUERIES + BROKEN)), "query_id int, query string"), top_k=100).collect()
+    for q, text in enumerate(QUERIES):
         expected = {r: abs(s) for r, s in con.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", (text,))}
         mine = {r.id: r.score for r in got if r.query_id == q}
-        assert mine.keys() == expected.keys()
-        assert all(math.isclose(mine[k], expected[k], rel_tol=1e-9) for k in mine)
+        assert mine.keys() == expected.keys(), text
+        assert all(math.isclose(mine[k], expected[k], rel_tol=1e-6, abs_tol=1e-11) for k in mine), text
+    assert {r.query_id for r in got} <= set(range(len(QUERIES)))
+    for text in BROKEN[2:]:
+        with pytest.raises(sqlite3.OperationalError):
+            con.execute("SELECT rowid FROM f WHERE f MATCH ?", (text,)).fetchall()
+    assert search.parse_query("(a)") is search.parse_query("NEAR(a b)") is search.parse_query("^a") is None
+
+
+def test_nearest_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "VECTOR_BYTES", 64)  # many passes
+    rng = random.Random(2)
+    vectors = [[float(rng.randrange(3)) for _ in range(4)] for _ in range(60)]  # with ties
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)] + [(99, None)], "id bigint, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(q, vectors[q]) for q in (0, 7, 13, 21)] + [(50, None)], "query_id int, vector array<float>")
+    got = sorted((r.query_id, r["rank"], r.id) for r in search.nearest(rows, asked, 6).collect())
+    expected = []
+    for q in (0, 7, 13, 21):
+        near = sorted((math.dist(vectors[q], v), i) for i, v in enumerate(vectors))[:6]
+        expected += [(q, k + 1, i) for k, (_, i) in enumerate(near)]
+    assert got == expected
+    assert search.nearest(rows.limit(0), asked).count() == 0 and search.nearest(rows, asked.limit(0)).count() == 0
 
 
 def test_fusion(spark):
@@ -111,7 +140,73 @@ def test_transcripts(spark, tmp_path):
     t = files.read_transcripts(spark, at)
     assert sorted(r.session_id for r in session.sessions(t).collect()) == ["s1", "s2"]
     assert [(r.session_id, r.ts, r.content) for r in session.latest_transcript(t).orderBy("session_id").collect()] == [("s1", 200, "a"), ("s2", 100, "c")]
-    assert session.replay(t, 1).count() == 0 and files.delete_transcripts(t, "s1").count() == 1
+    assert session.replay(t, 1).count() == 0 and files.delete_transcripts(t, "s1")[0].count() == 1
+    assert files.delete_transcripts(t, "s1")[1].first().deleted == 2
+
+
+def test_summaries_say_what_is_missing(spark):
+    t = spark.createDataFrame([("s1", 1, 0, "user", "old words"), ("s1", 2, 0, "user", "new words " * 10), ("s2", 5, None, None, None), ("s3", 1, 0, "user", "   ")], "session_id string, ts bigint, idx bigint, role string, content string")
+    asked = spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s4",)], "session_id string")
+    got = {r.session_id: r.summary for r in session.summaries(t, asked, rate=0.5).collect()}
+    text = "[user] " + "new words " * 10
+    assert got["s1"] == text[:len(text) // 2] and got["s2"] == "Empty transcript for session s2" and got["s4"] == "No transcript found for session s4"
+    assert got["s3"].startswith("Conversation summary (")
+    llm = F.when(F.col("session_id") == "s1", F.lit("by a model"))
+    assert {r.session_id: r.summary for r in session.summaries(t, asked, "llm", llm=llm).collect()}["s1"] == "by a model"
+    assert session.summaries(t, asked, "fallback").where("session_id = 's1'").first().summary.endswith(text.strip())
+
+
+def test_text_of_multimodal_parts(spark):
+    row = spark.createDataFrame([([("text", "a"), ("image_url", "data:x"), ("text", "b")],), ([],), (None,)], "parts array<struct<type:string,text:string>>")
+    assert [r[0] for r in row.select(session.text_of_parts(F.col("parts"))).collect()] == ["a\nb", "", None]
+
+
+def new_rows(spark, *contents, category="fact"):
+    return spark.createDataFrame([("u", "a", c, f"s{i}", category, i) for i, c in enumerate(contents)], "user_id string, agent_id string, content string, source string, category string, pos bigint")
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    at = str(tmp_path / "m")
+    a, b = (files.ParquetMemoryStore(spark, at, lambda: 7) for _ in range(2))
+    a.store(new_rows(spark, "one"))
+    before = b.version()
+    a.store(new_rows(spark, "two"))
+    b.version = lambda: before  # still sees the version before
+    for change in (lambda: b.store(new_rows(spark, "lost")), lambda: b.forget(spark.createDataFrame([(1, "u", "a")], "id bigint, user_id string, agent_id string"))):
+        with pytest.raises(OSError):
+            change()
+    del b.version
+    b.store(new_rows(spark, "three", "four"))
+    assert [(r.id, r.content) for r in a.read().orderBy("id").collect()] == [(1, "one"), (2, "two"), (3, "three"), (4, "four")]
+    folders = len(list((tmp_path / "m").glob("rows-*")))
+    a.vacuum()
+    assert folders == 5 and len(list((tmp_path / "m").glob("rows-*"))) == 3 and b.read().count() == 4
+
+
+def test_other_stores(spark, tmp_path):
+    store = files.memory_store("post_filter", spark=spark, path=str(tmp_path / "p"))
+    store.store(new_rows(spark, "alpha word", "beta word").unionByName(new_rows(spark, "gamma word", category="rule").withColumn("pos", F.lit(9).cast("long"))))
+    assert [r.source for r in store.list().collect()] == ["external:3", "external:2", "external:1"] and store.list(category="rule").first().total == 1
+    assert store.search("word", 3, "u", category="rule").count() == 1 and store.search("word", 2, "u", category="rule").count() == 0 and store.search("word", 3, "v").count() == 0
+    store.update(spark.createDataFrame([(2, "changed")], "id bigint, content string"))
+    store.forget(spark.createDataFrame([(1,)], "id bigint"))
+    assert store.get("external:2").first().content == "changed" and store.get("1").count() == 0
+    made = []
+    files.register_store("mine", lambda **how: made.append(how) or store)
+    assert files.memory_store("mine", x=1) is store and made == [{"x": 1}]
+    client = Client(spark, store, user_id="u")
+    assert client.get_memory("9").first().error == "Not found" and client.get_memory("2").first().error is None
+    assert client.search_memory("gamma").columns == ["query_id", "rank", "score", "id", "content", "source", "category"]
+
+
+def test_telemetry_log(spark, tmp_path):
+    log = files.TelemetryLog(spark, str(tmp_path / "t"))
+    assert log.read().count() == 0
+    log.record(spark.createDataFrame([(10, "p"), (5, None)], "token_count bigint, processor string"))
+    log.record(spark.createDataFrame([(1,)], "token_count bigint"))
+    assert telemetry.stats(log.read()).first().total_tokens == 16 and telemetry.by_processor(log.read()).count() == 2
+    log.reset()
+    assert log.read().count() == 0
 
 
 def test_readers(spark, tmp_path):
