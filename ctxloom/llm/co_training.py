@@ -1,11 +1,12 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
-Content view: shares of symbols, capitals, digits, other letters and white space, word length, the share of distinct
-words and of repeated lines, and lengths, of the whole text. Metadata view: source, language (hashed indicators) and the
+Content view: NGRAMS signed hash sums of the words and word pairs of the whole text (A-Z lower-cased), scaled to one length, and shares of
+symbols, capitals, digits, other letters and white space, word length, the share of distinct words and of repeated lines, and lengths. Metadata view: source, language (hashed indicators) and the
 recorded size. Each view has a logistic regression, fitted by Newton's method. Over ROUNDS rounds each view scores all rows
 without labels that no round has taken, labels the most confident positives and negatives, and the other view learns from
 them too. Confident are the rows beyond a quantile of the scores of all these rows: MOVE of POOL rows of each class (MOVE
-rows at least, and all rows that tie with the last). Those of one round, view and class weigh as much as MOVE rows, however many they
+rows at least, and all rows that tie with the last), if the view's probability, calibrated on labelled rows that it is not fitted on, is
+CERTAIN or more too: a view that says little, as metadata can, passes on nothing. Those of one round, view and class weigh as much as MOVE rows, however many they
 are, so labels keep their weight in a large corpus. Spark sums their gradients and Hessians; the driver gets the sums. Each view
 is then calibrated by a Platt fit on labelled rows that no round has seen, and the two calibrated log odds are combined
 by a third Platt fit, with the prior of the labels. All documents are scored; `kept` is score >= THRESHOLD.
@@ -34,7 +35,11 @@ from .common import column_of, map_slices, materialize
 LABELLED, POOL = 6000, 6000
 ROUNDS, MOVE = 5, 100
 META_BUCKETS = 64
+#: Hashed word and word-pair features, and their length beside the other features.
+NGRAMS, NGRAM_SCALE = 128, 1.0
 THRESHOLD = 0.5
+#: The least calibrated probability of a pseudo-label.
+CERTAIN = 0.9
 
 _CLASS = np.zeros((256, 5), np.float32)
 _CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-!?()"], 0] = 1
@@ -45,6 +50,17 @@ _CLASS[[ord("!"), ord("?")], 4] = 1
 _LETTER_CLASSES = _CLASS.argmax(1) + _CLASS.any(1)
 
 
+def hashed_ngrams(w: wh.Pieces) -> np.ndarray:
+    """(texts, NGRAMS): each word and each pair of neighbours adds 1 or -1 to the place that its hash says; rows have length NGRAM_SCALE."""
+    n, at = len(w.first) - 1, np.searchsorted(w.first, np.arange(len(w.hash)), side="right") - 1
+    pairs = np.flatnonzero(at[1:] == at[:-1])
+    h = np.concatenate([w.hash, wh.mix(w.hash[pairs] * wh._PLACE[0] + w.hash[pairs + 1] * wh._PLACE[1])])
+    text = np.concatenate([at, at[pairs]])
+    place, sign = (h % np.uint64(NGRAMS)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+    out = np.bincount(text * NGRAMS + place, sign, n * NGRAMS).reshape(n, NGRAMS)
+    return out * (NGRAM_SCALE / np.maximum(np.sqrt((out ** 2).sum(1, keepdims=True)), 1.0))
+
+
 def content_features(texts: pa.Array) -> np.ndarray:
     buf, offsets = wh.text_buffer(texts)
     n, size = len(offsets) - 1, np.maximum(np.diff(offsets), 1)
@@ -53,7 +69,7 @@ def content_features(texts: pa.Array) -> np.ndarray:
     for c in range(5):
         run = np.concatenate([[0], np.cumsum(kind == c + 1)])
         sums[:, c] = (run[offsets[1:]] - run[offsets[:-1]]) / size
-    w = wh.words(texts)
+    w = wh.words(texts, lower=False)
     count = np.diff(w.first)
     start, end, first = wh.split(buf, offsets, wh._NEWLINE)
     line = wh.span_hash(buf, start, end)
@@ -64,8 +80,8 @@ def content_features(texts: pa.Array) -> np.ndarray:
     # Distinct words fall with length; the share is taken against the square root of the count, too.
     return np.column_stack([
         sums, length / 10, distinct / np.maximum(count, 1), distinct / np.sqrt(np.maximum(count, 1)) / 10, lines / np.maximum(np.diff(first), 1),
-        np.log1p(count) / 10, count < 20, np.log1p(np.diff(first)) / 10,
-    ]).astype(np.float64)
+        np.log1p(count) / 10, count < 20, np.log1p(np.diff(first)) / 10, hashed_ngrams(wh.words(texts)),
+    ]).astype(np.float32).astype(np.float64)  # as stored
 
 
 def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
@@ -96,6 +112,13 @@ def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
+def _credible(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The logits up to which and from which a view is sure of 0 and 1, by a Platt fit on labelled rows."""
+    slope, shift = _logistic(z[:, None], y, 1e-6)
+    sure = np.log(CERTAIN / (1 - CERTAIN))
+    return ((-sure - shift) / slope, (sure - shift) / slope) if slope > 1e-6 else (-np.inf, np.inf)
+
+
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, move: int = MOVE) -> dict | None:
     """Weights of both views, of their calibrations and of the combination; None without both classes."""
     fit, held = _parts(y)
@@ -108,11 +131,11 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     for _ in range(rounds):
         taken = np.zeros(len(free), bool)
         for k in (0, 1):
-            z = _logit(pool[k], models[k])
+            z, sure = _logit(pool[k], models[k]), _credible(_logit(views[k][held], models[k]), y[held])
             rows = np.flatnonzero(free)
             order = rows[np.argsort(z[rows], kind="stable")]
             for rows, label in ((order[:move], 0.0), (order[::-1][:move], 1.0)):
-                rows = rows[(z[rows] > 0) == bool(label)]  # only where the view says so
+                rows = rows[(z[rows] > 0) & (z[rows] >= sure[1]) if label else (z[rows] < 0) & (z[rows] <= sure[0])]  # only where the view says so
                 x[1 - k].append(pool[1 - k][rows])
                 t[1 - k].append(np.full(len(rows), label))
                 taken[rows] = True
@@ -255,7 +278,8 @@ def co_train_all(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: Data
             break
         share = min(1.0, max(MOVE, n * MOVE / POOL) / left)
         cut = z.agg(*[F.percentile_approx(f"z{k}", [share, 1 - share], 10000).alias(f"q{k}") for k in (0, 1)]).first()
-        limits = [tuple(cut[f"q{k}"]) for k in (0, 1)]
+        sure = [_credible(_logit(views[k][held], models[k]), y[held]) for k in (0, 1)]
+        limits = [(min(cut[f"q{k}"][0], sure[k][0]), max(cut[f"q{k}"][1], sure[k][1])) for k in (0, 1)]
 
         def take(batch: pa.RecordBatch, models=models, past=tuple(past), limits=limits, r=r) -> dict:
             rows = _free(batch, past)
@@ -266,7 +290,8 @@ def co_train_all(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: Data
             label = [t[(a >= 0) | (b >= 0)] for t in (a, b)]
             return {"round": np.full(rows.num_rows, r), "label0": label[0], "label1": label[1], "content": column_of(rows, "content"), "meta": column_of(rows, "meta")}
 
-        got = materialize(_arrow(free, take, "round int, label0 int, label1 int, content array<double>, meta array<double>"), "ct-taken")
+        kind = free.schema["content"].dataType.simpleString()
+        got = materialize(_arrow(free, take, f"round int, label0 int, label1 int, content {kind}, meta array<double>"), "ct-taken")
         for row in got.groupBy("label0", "label1").agg(F.count("*").alias("n")).collect():  # nine rows at most
             for k in (0, 1):
                 if row[f"label{k}"] >= 0:
@@ -284,10 +309,10 @@ def _features(docs: DataFrame) -> DataFrame:
     """doc_id, content, meta (source bucket, language bucket, size, no size)."""
     def run(batch: pa.RecordBatch) -> dict:
         meta = _small_meta(meta_features(*(column_of(batch, c).to_pylist() for c in ("source", "lang", "n_chars"))))
-        return {"doc_id": column_of(batch, "doc_id"), "content": list(content_features(column_of(batch, "text"))), "meta": list(meta)}
+        return {"doc_id": column_of(batch, "doc_id"), "content": list(content_features(column_of(batch, "text")).astype(np.float32)), "meta": list(meta)}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, run, f"doc_id {kind}, content array<double>, meta array<double>")
+    return map_slices(docs, run, f"doc_id {kind}, content array<float>, meta array<double>")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
