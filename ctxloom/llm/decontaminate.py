@@ -16,8 +16,8 @@ most a fifth of the item's shingles, so of `pieces` that hold more than that man
 shortest window, one shingle, whose fingerprint is its hash; document windows of this size lie at every position. Around
 each piece found, all windows with enough of the item's shingles are compared exactly.
 
-The benchmark is read in blocks of bounded bytes (a block's index is broadcast, and its size does not depend on the
-documents); every block scans all documents, every word of them. Null or empty texts and items have no hits; an item with
+The benchmark is read in blocks of bounded bytes (a block's index is broadcast, about 30 times its text with the enumerated block values; its
+size does not depend on the documents); every block scans all documents, every word of them. Null or empty texts and items have no hits; an item with
 fewer than five words is one shingle of all its words. Empty tables give no rows. Repeated rows give repeated hits. Extra columns are not read.
 """
 
@@ -109,7 +109,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
         for b in range(BLOCKS):
             value = (fp.view(np.uint16).reshape(-1, BLOCKS)[:, b][:, None] ^ masks).reshape(-1)
             order = np.argsort(value, kind="stable")
-            entry = np.repeat(np.arange(len(fp), dtype=np.int32), len(masks))[order]
+            entry = np.repeat(np.arange(len(fp), dtype=np.uint16 if len(fp) <= 1 << 16 else np.int32), len(masks))[order]
             starts = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
             tables.append((starts, entry))
         classes[c] = (fp, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tables)
