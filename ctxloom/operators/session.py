@@ -11,6 +11,11 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 
+# Texts that other programs look for in compacted sessions.
+SUMMARY_PREFIX = "Previous conversation summary: "
+PLACEHOLDER = ("[Previous: used ", "]")
+NO_TRANSCRIPT, EMPTY_TRANSCRIPT = "No transcript found for session ", "Empty transcript for session "
+
 KEEP_RECENT, LEAST_LENGTH, WINDOW_MESSAGES, SUMMARY_LINES = 3, 100, 50, 10
 
 
@@ -24,7 +29,7 @@ def micro_compact(messages: DataFrame, keep_recent: int = KEEP_RECENT, least_len
     is_role = F.col("role").eqNullSafe(F.lit(role))
     from_end = F.sum(is_role.cast("int")).over(W.partitionBy("session_id").orderBy(F.desc("idx")))
     old = is_role & (from_end > keep_recent) & (F.length("content") >= least_length)
-    note = F.concat(F.lit("[Previous: used "), F.coalesce("name", F.lit("tool")), F.lit("]"))
+    note = F.concat(F.lit(PLACEHOLDER[0]), F.coalesce("name", F.lit("tool")), F.lit(PLACEHOLDER[1]))
     return messages.withColumn("content", F.when(old, note).otherwise(F.col("content")))
 
 
@@ -68,7 +73,7 @@ def summaries(transcripts: DataFrame, asked: DataFrame, strategy: str = "lingua"
     there = newest.groupBy("session_id").agg(F.count("idx").alias("n"))
     said = session_text(newest.where("idx is not null"))
     out = asked.join(there, "session_id", "left").join(said, "session_id", "left")
-    note = F.when(F.col("n").isNull(), F.concat(F.lit("No transcript found for session "), "session_id")).when(F.col("n") == 0, F.concat(F.lit("Empty transcript for session "), "session_id"))
+    note = F.when(F.col("n").isNull(), F.concat(F.lit(NO_TRANSCRIPT), "session_id")).when(F.col("n") == 0, F.concat(F.lit(EMPTY_TRANSCRIPT), "session_id"))
     return out.select("session_id", F.coalesce(note, summary(F.coalesce("text", F.lit("")), strategy, level, rate, llm)).alias("summary"))
 
 
@@ -78,14 +83,14 @@ def auto_compact(messages: DataFrame, threshold: int, strategy: str = "lingua",
     stay = messages.join(big, "session_id", "left_anti")
     said = session_text(messages.join(big, "session_id", "left_semi"))
     made = said.select("session_id", F.lit(0).cast("long").alias("idx"), F.lit("system").alias("role"), F.lit(None).cast("string").alias("name"),
-                       F.concat(F.lit("Previous conversation summary: "), summary(F.col("text"), strategy, level, rate)).alias("content"))
+                       F.concat(F.lit(SUMMARY_PREFIX), summary(F.col("text"), strategy, level, rate)).alias("content"))
     return stay.select("session_id", F.col("idx").cast("long").alias("idx"), "role", "name", "content").unionByName(made)
 
 
 def session_summaries_as_memories(messages: DataFrame, threshold: int, **how) -> DataFrame:
     """What auto_compact stores for later: content, source `summary:{session}`, category session_history, in the session's scope."""
-    made = auto_compact(messages, threshold, **how).where("idx = 0 and role = 'system' and startswith(content, 'Previous conversation summary: ')")
-    return made.select(F.substring("content", 32, 1 << 30).alias("content"), F.concat(F.lit("summary:"), "session_id").alias("source"), F.lit("session_history").alias("category"))
+    made = auto_compact(messages, threshold, **how).where((F.col("idx") == 0) & (F.col("role") == "system") & F.col("content").startswith(SUMMARY_PREFIX))
+    return made.select(F.substring("content", len(SUMMARY_PREFIX) + 1, 1 << 30).alias("content"), F.concat(F.lit("summary:"), "session_id").alias("source"), F.lit("session_history").alias("category"))
 
 
 def latest_transcript(transcripts: DataFrame) -> DataFrame:

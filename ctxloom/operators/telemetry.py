@@ -47,10 +47,10 @@ def exposition(rows: DataFrame, prefix: str = "ctxloom") -> DataFrame:
     gauge = lambda name, text, kind, value: F.concat_ws("\n", F.lit(f"# HELP {prefix}_{name} {text}"), F.lit(f"# TYPE {prefix}_{name} {kind}"), F.concat(F.lit(f"{prefix}_{name} "), value), F.lit(""))
     head = F.concat_ws(
         "\n",
-        gauge("tokens_total", "Total tokens processed", "counter", F.col("total_tokens").cast("string")),
-        gauge("compression_ratio", "Average compression ratio", "gauge", F.format_string("%.4f", "avg_compression")),
-        gauge("latency_ms", "Average latency in milliseconds", "gauge", F.format_string("%.2f", "avg_latency_ms")),
-        gauge("oom_fallback_total", "Total OOM fallback count", "counter", F.col("oom_count").cast("string")),
+        gauge("tokens_total", "Tokens of all recorded requests", "counter", F.col("total_tokens").cast("string")),
+        gauge("compression_ratio", "Mean share of tokens saved by a request", "gauge", F.format_string("%.4f", "avg_compression")),
+        gauge("latency_ms", "Mean time of a request, in milliseconds", "gauge", F.format_string("%.2f", "avg_latency_ms")),
+        gauge("oom_fallback_total", "Requests that fell back for lack of memory", "counter", F.col("oom_count").cast("string")),
     )
     line = F.concat_ws(
         "\n",

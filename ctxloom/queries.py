@@ -520,10 +520,10 @@ def telemetry_ring(spark, sf_dir):
 @query(f"""WITH {V.TELEMETRY_SQL}, t AS (SELECT {MEASURES.replace('round(avg(compression_ratio), 6)', 'avg(compression_ratio)').replace('round(avg(latency_ms), 6)', 'avg(latency_ms)')} FROM telemetry),
  p AS (SELECT coalesce(nullif(processor, ''), 'unknown') AS processor, avg(compression_ratio) AS c, avg(latency_ms) AS l FROM telemetry GROUP BY 1),
  q AS (SELECT string_agg(concat(format('ctxloom_processor_latency_ms{{{{processor="{{}}"}}}} {{:.2f}}', processor, l), chr(10), format('ctxloom_processor_compression{{{{processor="{{}}"}}}} {{:.4f}}', processor, c)), chr(10) ORDER BY processor) AS lines FROM p)
- SELECT concat('# HELP ctxloom_tokens_total Total tokens processed', chr(10), '# TYPE ctxloom_tokens_total counter', chr(10), 'ctxloom_tokens_total ', CAST(total_tokens AS VARCHAR), chr(10), chr(10),
-  '# HELP ctxloom_compression_ratio Average compression ratio', chr(10), '# TYPE ctxloom_compression_ratio gauge', chr(10), format('ctxloom_compression_ratio {{:.4f}}', avg_compression), chr(10), chr(10),
-  '# HELP ctxloom_latency_ms Average latency in milliseconds', chr(10), '# TYPE ctxloom_latency_ms gauge', chr(10), format('ctxloom_latency_ms {{:.2f}}', avg_latency_ms), chr(10), chr(10),
-  '# HELP ctxloom_oom_fallback_total Total OOM fallback count', chr(10), '# TYPE ctxloom_oom_fallback_total counter', chr(10), 'ctxloom_oom_fallback_total ', CAST(oom_count AS VARCHAR), chr(10), chr(10), lines, chr(10)) AS exposition FROM t, q""")
+ SELECT concat('# HELP ctxloom_tokens_total Tokens of all recorded requests', chr(10), '# TYPE ctxloom_tokens_total counter', chr(10), 'ctxloom_tokens_total ', CAST(total_tokens AS VARCHAR), chr(10), chr(10),
+  '# HELP ctxloom_compression_ratio Mean share of tokens saved by a request', chr(10), '# TYPE ctxloom_compression_ratio gauge', chr(10), format('ctxloom_compression_ratio {{:.4f}}', avg_compression), chr(10), chr(10),
+  '# HELP ctxloom_latency_ms Mean time of a request, in milliseconds', chr(10), '# TYPE ctxloom_latency_ms gauge', chr(10), format('ctxloom_latency_ms {{:.2f}}', avg_latency_ms), chr(10), chr(10),
+  '# HELP ctxloom_oom_fallback_total Requests that fell back for lack of memory', chr(10), '# TYPE ctxloom_oom_fallback_total counter', chr(10), 'ctxloom_oom_fallback_total ', CAST(oom_count AS VARCHAR), chr(10), chr(10), lines, chr(10)) AS exposition FROM t, q""")
 def telemetry_prometheus(spark, sf_dir):
     return telemetry.exposition(V.telemetry(spark, sf_dir))
 

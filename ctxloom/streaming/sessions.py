@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,24 +13,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
+from ..operators import session
 
 LOG_STATE = "idx array<bigint>, role array<string>, name array<string>, content array<string>"
 LOG_OUT = "session_id string, messages int, tokens bigint, compacted boolean, prompt string"
 
 
 def _placeholder(name: str | None) -> str:
-    return f"[Previous: used {name or 'tool'}]"
-
-
-def compact_log(log: list[tuple], keep_recent: int, least_length: int, threshold: int, rate: float) -> tuple[list[tuple], bool]:
-    """The log (idx, role, name, content) after replacing old tool results and, at `threshold` tokens, all of it."""
-    tools = [i for i, m in enumerate(log) if m[1] == "tool"]
-    old = set(tools[:len(tools) - keep_recent] if keep_recent else tools)
-    log = [(*m[:3], _placeholder(m[2])) if i in old and len(m[3] or "") >= least_length else m for i, m in enumerate(log)]
-    if sum(len(m[3] or "") // 4 for m in log) < threshold:
-        return log, False
-    text = "\n".join(f"[{m[1] or 'unknown'}] {m[3]}" for m in log[-50:] if (m[3] or "").strip())
-    return [(log[-1][0], "system", None, "Previous conversation summary: " + text[:int(len(text) * rate)])], True
+    return (name or "tool").join(session.PLACEHOLDER)
+
+
+def compact_log(log: list[tuple], more: list[tuple], keep_recent: int, least_length: int, threshold: int, rate: float) -> tuple[list[tuple], bool]:
+    """(the log, whether it became a summary) after `more` messages (idx, role, name, content), one by one: a tool result that is no longer
+    among the last keep_recent becomes a placeholder if it has least_length characters, and at `threshold` tokens all of the log one summary. A
+    message with role `reset` empties it. Each message is looked at once, the log again only for a summary."""
+    log, compacted = list(log), False
+    tools = deque([i for i, m in enumerate(log) if m[1] == "tool"][-keep_recent:] if keep_recent else [])
+    tokens = sum(len(m[3]) // 4 for m in log)
+    for m in more:
+        if m[1] == "reset":
+            log, tokens = [], 0
+            tools.clear()
+            continue
+        log.append(m)
+        tokens += len(m[3]) // 4
+        if m[1] == "tool":
+            tools.append(len(log) - 1)
+            if len(tools) > keep_recent:
+                old = tools.popleft()
+                if len(log[old][3]) >= least_length:
+                    note = _placeholder(log[old][2])
+                    tokens += len(note) // 4 - len(log[old][3]) // 4
+                    log[old] = (*log[old][:3], note)
+        if tokens >= threshold:
+            text = "\n".join(f"[{x[1] or 'unknown'}] {x[3]}" for x in log[-session.WINDOW_MESSAGES:] if x[3].strip())
+            log = [(m[0], "system", None, session.SUMMARY_PREFIX + text[:int(len(text) * rate)])]
+            tokens, compacted = len(log[0][3]) // 4, True
+            tools.clear()
+    return log, compacted
 
 
 def session_log(messages: DataFrame, keep_recent: int = 3, least_length: int = 100, threshold: int = 4000, rate: float = 0.3, idle: str = "1 hour") -> DataFrame:
@@ -45,14 +67,9 @@ def session_log(messages: DataFrame, keep_recent: int = 3, least_length: int = 1
             state.remove()
             return
         log = [tuple(m) for m in zip(*state.get, strict=True)] if state.exists else []
-        compacted = False
         rows = pd.concat(list(frames)).sort_values("idx", kind="stable")
-        for idx, role, name, content in zip(rows["idx"], rows["role"], rows["name"], rows["content"], strict=True):
-            if role == "reset":
-                log = []
-                continue
-            log, now = compact_log([*log, (int(idx), role, name, content or "")], keep_recent, least_length, threshold, rate)
-            compacted |= now
+        more = [(int(i), role, name, content or "") for i, role, name, content in zip(rows["idx"], rows["role"], rows["name"], rows["content"], strict=True)]
+        log, compacted = compact_log(log, more, keep_recent, least_length, threshold, rate)
         state.update(tuple([m[i] for m in log] for i in range(4)))
         state.setTimeoutDuration(wait)
         prompt = "\n".join(f"[{m[1]}] {m[3]}" for m in log)
@@ -91,12 +108,21 @@ def compressed_stream(rows: DataFrame, level: str = "L0") -> DataFrame:
 def run_to_table(stream: DataFrame, spark: SparkSession, key: str = "session_id") -> DataFrame:
     """Run an updating stream over what is there now and give the last row of every key. Its state and rows are in the folder that
     driver and executors share, spark.checkpoint.dir."""
-    at = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="ctxloom-")  # local sessions alone
+    at, idle = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.noDataMicroBatches.enabled"
 
     def keep(df: DataFrame, number: int) -> None:
         df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/rows/n={number}")
 
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(idle, None)
+    spark.conf.set(idle, "false")
+    try:
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(idle, before) if before is not None else spark.conf.unset(idle)
     rows = spark.read.parquet(f"{at}/rows").drop("n")
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), "batch").alias("last")).select(key, "last.*")

@@ -53,3 +53,27 @@ def test_sync_skips_seen_files(spark, tmp_path):
     q = sessions.sync_files(spark.readStream.schema("path string, content string").parquet(at), lambda: spark.read.parquet(seen), lambda df, n: out.extend(r.path for r in df.collect()), str(tmp_path / "ck"))
     q.awaitTermination()
     assert out == ["b.md"]
+
+
+def test_compaction_equals_a_look_at_the_whole_log():
+    import random
+
+    rng = random.Random(8)
+    for keep in (0, 1, 3):
+        messages = [(i, rng.choice(["user", "tool", "tool", "reset" if rng.random() < 0.1 else "user"]), rng.choice([None, "t"]), "w" * rng.choice([0, 5, 40, 90])) for i in range(200)]
+        log, any_summary = [], False
+        for m in messages:
+            if m[1] == "reset":
+                log = []
+                continue
+            log = [*log, m]
+            tools = [i for i, x in enumerate(log) if x[1] == "tool"]
+            old = tools[:max(0, len(tools) - keep)]
+            log = [(*x[:3], f"[Previous: used {x[2] or 'tool'}]") if i in old and len(x[3]) >= 30 else x for i, x in enumerate(log)]
+            if sum(len(x[3]) // 4 for x in log) >= 90:
+                text = "\n".join(f"[{x[1]}] {x[3]}" for x in log[-50:] if x[3].strip())
+                log, any_summary = [(m[0], "system", None, "Previous conversation summary: " + text[:len(text) // 2])], True
+        cut = rng.randrange(200)
+        first, a = sessions.compact_log([], messages[:cut], keep, 30, 90, 0.5)
+        last, b = sessions.compact_log(first, messages[cut:], keep, 30, 90, 0.5)
+        assert last == log and (a or b) == any_summary and any_summary
