@@ -88,4 +88,30 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+_BLANK = r"[\x20\x09-\x0D]"
+
+#: Every run of lines of RUN_WORDS words or more is looked for by its whole text, from each line on and up to each line.
+LINE_DEDUP_SQL = rf"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+ w AS (SELECT doc_id, i, regexp_replace(line, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS line, len(list_filter(string_split_regex(line, '{_BLANK}+'), lambda x: x <> '')) AS n FROM l),
+ k AS (SELECT doc_id, i, line, n, row_number() OVER d AS k, sum(n) OVER d AS upto FROM w WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ s AS (SELECT doc_id, list(line ORDER BY k) AS ls, list(i ORDER BY k) AS ns FROM k GROUP BY doc_id),
+ ends AS (SELECT a.doc_id, a.k AS lo, min(b.k) AS hi FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - (a.upto - a.n) >= {line_dedup.RUN_WORDS} GROUP BY a.doc_id, a.k
+  UNION SELECT b.doc_id, max(a.k), b.k FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - (a.upto - a.n) >= {line_dedup.RUN_WORDS} GROUP BY b.doc_id, b.k),
+ r AS (SELECT doc_id, ns[lo] AS lo, ns[hi] AS hi, md5(array_to_string(ls[lo:hi], chr(10))) AS run FROM ends JOIN s USING (doc_id)),
+ f AS (SELECT run, min(struct_pack(d := doc_id, l := lo, h := hi)) AS f, count(*) AS n FROM r GROUP BY run),
+ g AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM r JOIN f USING (run) WHERE f.n > 1 AND (doc_id <> f.f.d OR lo > f.f.h)),
+ o AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS text FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text FROM documents d LEFT JOIN o USING (doc_id)"""
+
+#: All pairs that share a shingle, by their whole sets; components by spreading the smallest id.
+NEAR_DEDUP_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_BLANK}+'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < {near_dedup.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {near_dedup.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {near_dedup.SHINGLE - 1}], ' '))) END AS s FROM w),
+ n AS (SELECT doc_id, len(s) AS n FROM g), e AS (SELECT doc_id, hash(unnest(s)) AS s FROM g),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ linked AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {near_dedup.SHARE} * (x.n + y.n - shared)),
+ sides AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+ reach AS (SELECT doc_id AS v, doc_id AS root FROM n UNION SELECT sides.b, reach.root FROM reach JOIN sides ON sides.a = reach.v WHERE reach.root < sides.b)
+ SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN reach ON v = n.doc_id GROUP BY n.doc_id, n.n"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op9_minhash_near_dedup": NEAR_DEDUP_SQL}
