@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 THRESHOLD = -0.1
 MIN_WORDS, REPEAT_PERCENT, SPAN = 20, 30, 8
-#: Trusted ids up to this many (8 bytes each) are broadcast; beyond it they are joined by a shuffle.
+#: Trusted ids up to this many (8 bytes each) are broadcast; beyond it the target's texts are found by a shuffle, in a pass of their own.
 BROADCAST_IDS = 1_000_000
 
 
@@ -74,14 +74,19 @@ def _two(w: Column, x: Column, i: Column, buckets: int) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log target - log raw for every bucket, counted over all documents; trusted has the doc_ids of the target."""
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(1))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).join(ids, "doc_id", "left").select("w", F.coalesce("good", F.lit(0)).alias("good"))
-    grams = F.concat(F.transform("w", lambda x: _one(x, buckets)), F.transform("w", lambda x, i: _two(F.col("w"), x, i, buckets)))
-    counts = w.select("good", F.explode(grams).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    docs = docs.select("doc_id", "text")
+    if ids.count() <= BROADCAST_IDS:  # one pass
+        parts = [docs.join(F.broadcast(ids), "doc_id", "left").select("text", F.lit(1).alias("raw"), F.coalesce("good", F.lit(0)).alias("target"))]
+    else:  # the raw corpus without a join; only texts of the target are joined
+        parts = [docs.select("text", F.lit(1).alias("raw"), F.lit(0).alias("target")), docs.join(ids, "doc_id", "left_semi").select("text", F.lit(0).alias("raw"), F.lit(1).alias("target"))]
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in counts.collect():  # at most `buckets` rows
-        raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
+    for part in parts:
+        w = part.select(words(F.col("text")).alias("w"), "raw", "target")
+        grams = F.concat(F.transform("w", lambda x: _one(x, buckets)), F.transform("w", lambda x, i: _two(F.col("w"), x, i, buckets)))
+        counts = w.select("raw", "target", F.explode(grams).alias("b")).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        for r in counts.collect():  # at most `buckets` rows
+            raw[r["b"]] += r["raw"]
+            target[r["b"]] += r["target"]
     if not target.sum():
         return np.zeros(buckets)
     return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))

@@ -44,7 +44,7 @@ def test_base_rules(spark):
         assert got[i] == base(t), repr(t)[:200]
 
 
-def test_ratio_is_the_mean_of_log_ratios(spark):
+def test_ratio_is_the_mean_of_log_ratios(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "good words here"), (2, "bad words"), (3, "good good"), (None, "bad bad bad"), (4, None)], "doc_id long, text string")
     trusted = spark.createDataFrame([(1,), (3,), (3,), (None,), (99,)], "doc_id long")
     ratios = qr.log_ratios(docs, trusted, 64)
@@ -59,6 +59,8 @@ def test_ratio_is_the_mean_of_log_ratios(spark):
                 target[k] += i in (1, 3)
     expected = np.log((target + 1) / (target.sum() + 64)) - np.log((raw + 1) / (raw.sum() + 64))
     assert np.allclose(ratios, expected)
+    monkeypatch.setattr(qr, "BROADCAST_IDS", 0)
+    assert np.allclose(qr.log_ratios(docs, trusted, 64), expected)
     got = {r.doc_id: r.ratio for r in qr.score(docs, ratios).collect()}
     assert abs(got[2] - np.mean([expected[k] for k in (b["bad"], b["words"], pair("bad", "words"), pair("words", ""))])) < 1e-12
     assert got[4] == 0.0 and got[1] > got[2]
