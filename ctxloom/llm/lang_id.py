@@ -24,20 +24,24 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANG, WINDOWS = 500, 4
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 PAD = 256
+#: The commonest languages among the labelled rows are learned, so that neither the sample nor the network grows without bound.
+MOST_LANGS = 256
 UNKNOWN = "und"
 
 
 def sample_windows(labelled: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """(lang, window) of a bounded, hash-chosen sample of rows (doc_id, text, lang); the same rows give the same sample."""
     rows = labelled.where("text is not null and lang is not null")
-    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in counts.collect()}
     if not share:
         return []
     limit = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, int(s * (1 << 30)))])[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
-    at = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1 for k in range(WINDOWS)]
+    place = F.xxhash64("doc_id", "text")
+    chosen = rows.where(F.pmod(place, F.lit(1 << 30)) < limit).orderBy(place, "lang").limit(2 * per_lang * len(share))  # where equal rows abound, not all of them
+    at = [F.pmod(F.xxhash64("doc_id", "text", F.lit(k)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1 for k in range(WINDOWS)]
     cut = chosen.select("doc_id", "lang", *[F.col("text").substr(a.cast("int"), F.lit(WINDOW)).alias(f"w{k}") for k, a in enumerate(at)])
-    got = sorted((r["doc_id"], r["lang"], *[r[f"w{k}"] for k in range(WINDOWS)]) for r in cut.collect())
+    got = sorted((str(r["doc_id"]), r["lang"], *[r[f"w{k}"] for k in range(WINDOWS)]) for r in cut.collect())
     return [(r[1], w) for r in got for w in dict.fromkeys(r[2:]) if w]
 
 
