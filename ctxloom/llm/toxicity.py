@@ -15,7 +15,7 @@ term adds goes to nothing, a neutral mention of a group does not raise a score,
 
 Every text is scored whole. Null, empty and wordless texts get the score of a text without features. Rows with a null
 label are not learned from; without both classes all scores are 0. Ties in the choice of features go to the smaller word.
-Of a doc_id with several labels the largest counts, for every row of that id. Repeated rows get equal scores; extra columns,
+Of a doc_id with several labels the largest counts; of several texts the smallest is learned from. Repeated rows get equal scores; extra columns,
 whatever their names, are not read; an empty table gives no rows.
 """
 
@@ -68,8 +68,9 @@ def distinct_words(text: str | None) -> set[str]:
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, text, toxic) of a bounded, hash-chosen sample of the labelled documents: labels choose, then texts follow."""
     ids = docs.select("doc_id").join(labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    chosen = materialize(_bounded(ids, per_class).select(F.col("doc_id").alias("id"), "toxic"), "tox-ids")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")  # about 2 * per_class ids
+    chosen = materialize(_bounded(ids.distinct(), per_class).select(F.col("doc_id").alias("id"), "toxic"), "tox-ids")
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # about 2 * per_class ids
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def _bounded(rows: DataFrame, per_class: int) -> DataFrame:
