@@ -13,7 +13,7 @@ by a third Platt fit, with the prior of the labels. All documents are scored; `k
 
 Labelled rows are a bounded sample chosen by a hash of the id (LABELLED rows, expected); only their features reach the
 driver. Rows without labels all take part. Null text counts as empty, null metadata as a value of its own. Without both classes among the
-labels every score is 0.5. Labels are 0 or 1, others are not learned from. Repeated rows get equal scores; columns other
+labels every score is 0.5. Of the rows of a labelled id one is learned from. Labels are 0 or 1, others are not learned from. Repeated rows get equal scores; columns other
 than text, source, lang and n_chars are not read; an empty table gives no rows.
 """
 
@@ -331,7 +331,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     rows = materialize(rows, "ct-rows")
     n = {r["kind"]: r["n"] for r in rows.where("kind < 2").groupBy("kind").agg(F.countDistinct("doc_id").alias("n")).collect()}
     limit = F.element_at(F.array(*[F.lit(int(min(1.0, LABELLED / 2 / max(1, n.get(k, 0))) * (1 << 30))) for k in (0, 1)]), F.col("kind") + 1)
-    got = rows.where("kind < 2").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).collect()  # about LABELLED rows
+    got = rows.where("kind < 2").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
+    got = got.groupBy("doc_id").agg(F.min(F.struct("content", "meta", "kind")).alias("x")).select("doc_id", "x.*").collect()  # about LABELLED ids
     got.sort(key=lambda r: (str(r["doc_id"]), r["content"]))
     if not got:
         return None
