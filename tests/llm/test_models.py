@@ -31,6 +31,17 @@ def test_language_odd_rows(spark):
     assert lang_id.identify(odd(spark).limit(0), labelled).count() == 0
 
 
+def test_samples_stay_bounded_where_rows_repeat(spark, monkeypatch):
+    rows = [(None, f"the same text {i % 2}", "en") for i in range(3000)] + [(7, "einer von vielen", "de")] * 2000 + [(i, f"un texte {i}", "fr") for i in range(50)] + [(None, "x", f"l{i:03}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(lang_id, "MOST_LANGS", 3)
+    got = lang_id.sample_windows(df, 20)
+    assert {lang for lang, _ in got} <= {"en", "de", "fr"} and len(got) <= 2 * 20 * 3 * lang_id.WINDOWS and got == lang_id.sample_windows(df.repartition(3), 20)
+    docs = df.select("doc_id", "text").where("doc_id is not null")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert sorted((r.doc_id, r.toxic) for r in toxicity.labelled(docs, labels).collect()) == [(3, 0), (4, 0), (7, 1)]
+
+
 def test_fast_scorer_equals_the_network():
     rng = np.random.default_rng(0)
     net = lang_id.train([("a", "aba cab abba " * 9), ("b", "xyz zyx yxz " * 9)] * 20, epochs=2)

@@ -44,3 +44,66 @@ def test_decisions_take_effect_by_row(spark):
     assert sorted(r.source for r in cp.near_deduplication(spark, docs.where("source in ('copy', 'first', 'clean')"), SF).collect()) == ["clean", "clean", "first"]
     assert {r.source for r in cp.decontamination(spark, docs, SF).collect()} == {"copy", "first", "clean"}
     assert cp.decontamination(spark, docs, SF).where("source = 'clean'").count() == 2
+
+
+def test_stages_equal_brute_force(spark):
+    """Every stage behind the first on small texts, by the plain versions of the operators' own tests and the tokenizers library."""
+    import random
+
+    import test_decontaminate
+    import test_line_dedup
+    import test_near_dedup
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    text = lambda n: [f"word{rng.randrange(4000)}" for _ in range(n)]
+    items = [(i, " ".join(text(n))) for i, n in enumerate((8, 15, 30))]
+    passage = "\n".join(" ".join(text(20)) for _ in range(4))
+    rows = []
+    for i in range(60):
+        w = text(rng.randrange(6, 90))
+        kind = i % 6
+        body = " ".join(w[:40]) + "\n" + passage + "\n" + " ".join(w) if kind == 0 else " ".join([*w, *items[i % 3][1].split(), "end"]) if kind == 1 else " ".join(w)
+        rows.append((i, body))
+        if kind == 2:
+            rows.append((100 + i, " ".join([*w[:-1], "changed"])))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SF, "documents").schema)
+
+    from pyspark.sql import functions as F
+
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    gone = test_line_dedup.brute([(i, hashes[i], t) for i, t in rows])
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, hashes[i]), ())) for i, t in rows}
+    want = {i: t for i, t in want.items() if t.split() or (i, hashes[i]) not in gone}
+    got = cp.materialize(cp.line_deduplication(spark, docs, SF), "test-lines")
+    assert {r.doc_id: r.text for r in got.collect()} == want and len(gone) > 5
+
+    sets = {i: test_near_dedup.shingle_set(t) for i, t in want.items()}
+    root = {i: i for i in want}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in want:
+        for b in want:
+            if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= cp.NEAR_SHARE * len(sets[a] | sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    want = {i: t for i, t in want.items() if find(i) == i}
+    got = cp.materialize(cp.near_deduplication(spark, got, SF), "test-near")
+    assert {r.doc_id: r.text for r in got.collect()} == want and len(want) < len(sets)
+
+    hit = {d for d, _ in test_decontaminate.brute(list(want.items()), items)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept, cp.table = cp.table, lambda *_: bench
+    try:
+        got = cp.materialize(cp.decontamination(spark, got, SF), "test-leaks")
+    finally:
+        cp.table = kept
+    want = {i: t for i, t in want.items() if i not in hit}
+    assert {r.doc_id for r in got.collect()} == set(want) and hit
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    assert {r.doc_id: list(r.ids) for r in cp.encoding(spark, got, SF).collect()} == {i: library.encode(t, add_special_tokens=False).ids for i, t in want.items()}
