@@ -53,15 +53,19 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, SENTENCE_END), lambda s: strip(s)), lambda s: s != "")
 
 
-def l1_select(c: Column, reduce_ratio: float = 0.5) -> Column:
-    """The share 1 - reduce_ratio (one at least) of the sentences with the largest share of distinct words, in text order.
+def diversity(s: Column) -> Column:
+    """The share of distinct words of a sentence."""
+    return F.size(F.array_distinct(F.split(F.lower(s), SPACE))) / F.size(F.split(s, SPACE))
+
+
+def l1_select(c: Column, reduce_ratio: float = 0.5, score: Callable[[Column], Column] = diversity) -> Column:
+    """The share 1 - reduce_ratio (one at least) of the sentences with the largest score, in text order. The score is a function of
+    columns that works inside a lambda; scores of a model are taken by `l1_by_scores`.
 
     Ties go to the earlier sentence; a repeated sentence is placed where it occurs first. Without a sentence, the text.
     """
-    diversity = lambda s: F.size(F.array_distinct(F.split(F.lower(s), SPACE))) / F.size(F.split(s, SPACE))
-
     def pick(s: Column) -> Column:
-        scored = F.transform(s, lambda x, i: F.struct((-diversity(x)).alias("d"), i.alias("i"), x.alias("x")))
+        scored = F.transform(s, lambda x, i: F.struct((-score(x)).alias("d"), i.alias("i"), x.alias("x")))
         count = F.greatest(F.lit(1), F.floor(F.size(s) * F.lit(1 - reduce_ratio)).cast("int"))
         top = F.slice(F.array_sort(scored), F.lit(1), count)
         unique = F.size(F.array_distinct(s)) == F.size(s)
@@ -72,6 +76,19 @@ def l1_select(c: Column, reduce_ratio: float = 0.5) -> Column:
     return let(sentences(c), lambda s: F.when(F.size(s) == 0, c).otherwise(pick(s)))
 
 
+def l1_by_scores(sentences_: Column, scores: Column, reduce_ratio: float = 0.5) -> Column:
+    """l1_select over sentences whose scores are there already, such as those of a pandas UDF over `sentences`; ties go to the earlier one."""
+    count = F.greatest(F.lit(1), F.floor(F.size(sentences_) * F.lit(1 - reduce_ratio)).cast("int"))
+    ranked = F.array_sort(F.transform(F.arrays_zip(sentences_.alias("x"), scores.alias("v")), lambda z, i: F.struct((-z["v"]).alias("d"), i.alias("i"), z["x"].alias("x"))))
+    ordered = F.array_sort(F.transform(F.slice(ranked, F.lit(1), count), lambda z: F.struct(z["i"].alias("i"), z["x"].alias("x"))))
+    return F.array_join(F.transform(ordered, lambda z: z["x"]), " ")
+
+
+def preview(c: Column, most: int = 200) -> Column:
+    """The first characters of a text, for listings."""
+    return F.substring(c, 1, most)
+
+
 def l2_truncate(c: Column, rate: float = 0.4) -> Column:
     return F.substring(c, F.lit(1), F.floor(F.length(c) * F.lit(rate)).cast("int"))
 

@@ -22,6 +22,19 @@ def use_model(level: str, compressor: Callable[[Column], Column] | None) -> None
         _MODELS[level] = compressor
 
 
+#: Readers of items that are not texts, by type; register with `use_reader`.
+_READERS: dict[str, Callable[[Column], Column]] = {}
+
+
+def use_reader(kind: str, reader: Callable[[Column], Column] | None) -> None:
+    """Read document, image, audio or video items by a column function (such as a pandas UDF) that gives their text, which is then compressed; None takes
+    it away, and items of the type pass as they are."""
+    if reader is None:
+        _READERS.pop(kind, None)
+    else:
+        _READERS[kind] = reader
+
+
 def compressed(c: Column, level: str, rate: float | None = None) -> Column:
     """By the level's model where one is registered and gives a result, else by the deterministic compressor."""
     plain = X.compress(c, level, rate)
@@ -51,13 +64,16 @@ def requests(rows: DataFrame) -> DataFrame:
 
 
 def distill(items: DataFrame, profile: str = "balanced", rate: float = 0.4, semantic: bool = False) -> DataFrame:
-    """items (request_id, pos, item) with type, content and token counts. Texts are compressed; other types pass as they are, to
-    be read by their own sources, and have no counts."""
+    """items (request_id, pos, item) with type, content and token counts. Texts are compressed, and what `use_reader` reads; other
+    items pass as they are and have no counts."""
     level = X.PROFILE_LEVEL.get(profile, "L2")
     typed = items.withColumn("type", X.resolve_type(F.col("item"), semantic))
-    text = F.col("type") == "text"
-    out = typed.withColumn("content", F.when(text, compressed(F.col("item"), level, rate)).otherwise(F.col("item")))
-    return out.withColumn("input_tokens", F.when(text, X.tokens(F.col("item")))).withColumn("output_tokens", F.when(text, X.tokens(F.col("content"))))
+    read = F.when(F.col("type") == "text", F.col("item"))
+    for kind, reader in _READERS.items():
+        read = read.when(F.col("type") == kind, reader(F.col("item")))
+    out = typed.withColumn("__read", read)
+    out = out.withColumn("content", F.coalesce(compressed(F.col("__read"), level, rate), F.col("item")))
+    return out.withColumn("input_tokens", X.tokens(F.col("__read"))).withColumn("output_tokens", F.when(F.col("__read").isNotNull(), X.tokens(F.col("content")))).drop("__read")
 
 
 def results(distilled: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,6 +38,20 @@ def of_category(df: DataFrame, category: str | None) -> DataFrame:
     return df.where(F.coalesce("category", F.lit("fact")) == category) if category else df
 
 
+def with_embeddings(df: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """df with `embedding` by a function of a list of texts, called once a batch. Where it fails, and for null contents, the embedding is null."""
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        known = texts.dropna()
+        try:
+            made = dict(zip(known.index, embed(known.tolist()), strict=True))
+        except Exception:  # a model that is not there must not stop keyword search
+            made = {}
+        return pd.Series([made.get(i) for i in texts.index], index=texts.index, dtype=object)
+
+    return df.withColumn("embedding", vectors("content"))
+
+
 def tool_rows(df: DataFrame) -> DataFrame:
     """What agents see of memories: id, content, source, category, and a score or total where there is one."""
     more = [c for c in ("query_id", "rank", "score", "total") if c in df.columns]

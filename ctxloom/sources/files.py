@@ -40,16 +40,23 @@ def read_markdown(spark: SparkSession, *globs: str) -> DataFrame:
     return spark.read.text(list(globs), wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
-def read_documents(spark: SparkSession, path: str, reader: Callable[[str, bytes], str] | None = None, glob: str = "*") -> DataFrame:
-    """path, text of binary files by a reader (path, bytes) -> text; failures give an empty text. Without a reader, UTF-8 text."""
+def read_documents(spark: SparkSession, path: str, *readers: Callable[[str, bytes], str], glob: str = "*") -> DataFrame:
+    """path, text of binary files by readers (path, bytes) -> text, the first that gives a text that is not blank; if all fail, an
+    empty text. Without a reader, UTF-8 text."""
+    tried = readers or (lambda at, data: data.decode("utf-8", "replace"),)
+
+    def text(at: str, data: bytes) -> str:
+        for reader in tried:
+            try:
+                if (found := reader(at, data)) and found.strip():
+                    return found
+            except Exception:
+                continue
+        return ""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = []
-            for at, data in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    texts.append(reader(at, data) if reader else bytes(data).decode("utf-8", "replace"))
-                except Exception:
-                    texts.append("")
+            texts = [text(at, bytes(data)) for at, data in zip(frame["path"], frame["content"], strict=True)]
             yield pd.DataFrame({"path": frame["path"], "text": texts})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)

@@ -91,13 +91,14 @@ def first_images(images: DataFrame, late: str = "1 day") -> DataFrame:
     return images.withWatermark("ts", late).dropDuplicatesWithinWatermark(["phash"])
 
 
-def sync_files(files: DataFrame, read_seen: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a stream of files (path, content): each batch passes on the files whose md5 is not in read_seen() (path, md5)."""
+def sync_files(files: DataFrame, read_seen: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Start a stream of files (path, content): each batch passes on the files whose md5 is not in read_seen() (path, md5). It takes what is there
+    and ends (for a sync before a search or a session), or looks again at an interval, such as `10 minutes`."""
     def batch(df: DataFrame, number: int) -> None:
         new = df.withColumn("md5", F.md5(F.col("content").cast("binary"))).dropDuplicates(["path", "md5"])
         apply(new.join(read_seen(), ["path", "md5"], "left_anti"), number)
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def compressed_stream(rows: DataFrame, level: str = "L0") -> DataFrame:

@@ -219,6 +219,13 @@ def test_readers(spark, tmp_path):
             raise OSError
         return "read"
     assert sorted(r.text for r in files.read_documents(spark, str(tmp_path / "d"), reader).collect()) == ["", "read"]
+    assert sorted(r.text for r in files.read_documents(spark, str(tmp_path / "d"), reader, lambda *_: " ", lambda *_: "last").collect()) == ["last", "read"]
+
+
+def test_embeddings_by_a_function(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "id bigint, content string")
+    assert [r.embedding for r in memory.with_embeddings(df, lambda texts: [[float(len(t))] for t in texts]).orderBy("id").collect()] == [[2.0], None, [3.0]]
+    assert memory.with_embeddings(df, lambda texts: 1 / 0).where("embedding is not null").count() == 0
 
 
 def test_media(spark):

@@ -117,3 +117,22 @@ def test_model_hook_comes_before_the_fallback(spark):
         assert [p.content for p in got.prompt] == ["model", "abcd"]
     finally:
         distill.use_model("L2", None)
+
+
+def test_scores_of_a_model_choose_sentences(spark):
+    text = "One two. Three four five. Six. Seven eight."
+    row = spark.createDataFrame([(text, [0.1, 0.9, 0.9, 0.2])], "t string, v array<double>")
+    s = X.sentences(F.col("t"))
+    assert row.select(X.l1_by_scores(s, F.col("v"), 0.5)).first()[0] == "Three four five. Six."
+    assert row.select(X.l1_select(F.col("t"), 0.5, score=lambda x: F.length(x))).first()[0] == "Three four five. Seven eight."
+    assert row.select(X.preview(F.col("t"), 7)).first()[0] == "One two"
+
+
+def test_readers_by_type(spark):
+    distill.use_reader("document", lambda c: F.concat(F.lit("read "), c))
+    try:
+        rows = spark.createDataFrame([(0, 0, "a.pdf"), (0, 1, "b.mp3"), (0, 2, "plain text")], "request_id int, pos int, item string")
+        got = distill.distill(rows, rate=0.5).orderBy("pos").collect()
+        assert [(r.content, r.input_tokens, r.output_tokens) for r in got] == [("read ", 2, 1), ("b.mp3", None, None), ("plain", 2, 1)]
+    finally:
+        distill.use_reader("document", None)
