@@ -11,14 +11,12 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.views import table  # noqa: F401  read by the queries and the pipeline
+
 #: Bytes of text that a Python task holds in numpy arrays at once (one longer text is one slice).
 SLICE_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
     folder of its own; a cluster's executors could not see one, so there it is an error."""
