@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -70,6 +71,29 @@ def drop_all(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] =
     """Delete the tables materialised after a `mark`, but for those in `keep`: call it once their readers are stored or done."""
     held = {t._ctxloom_path for t in keep}
     _delete(spark, [p for p, n in _tables.items() if n >= since and p not in held])
+    free_shuffles(spark)
+
+
+def drop_unread(docs: DataFrame, made: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Delete the tables made between pairs of marks, but for those that docs reads; the pairs that are left."""
+    if not made:
+        return []
+    read = docs.inputFiles()
+    names = {part for f in read for part in f.split("/")}
+    kept = []
+    for a, b in made:
+        paths = [p for p, n in _tables.items() if a <= n < b]
+        if any(p.rsplit("/", 1)[1] in names for p in paths):
+            kept.append((a, b))
+        else:
+            _delete(docs.sparkSession, paths)
+    return kept
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are done; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import column_of, drop_all, drop_tables, map_slices, mark, materialize
+from .common import column_of, drop_all, drop_tables, free_shuffles, map_slices, mark, materialize
 
 SHINGLE, SHARE = 5, 85
 CHUNKS, WIDTH, BITS = 6, 6, 16
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     bound = materialize(bound.where(F.col("most") * 100 >= F.col("n") * share), "nd-bound")
     live = materialize(keys.select("key", "rep").join(bound, "rep"), "nd-live")
     drop_tables(shared, keys, reps, chosen)
+    free_shuffles(docs.sparkSession)
 
     # a star in each key, then the pairs between what stays apart
     centre = live.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("alone"), "rep", "n", "most")).alias("c"), F.count("*").alias("members")).where("members > 1")
@@ -213,6 +214,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     star = live.join(centre, "key").where((F.col("rep") != F.col("a")) & possible).select("a", F.col("rep").alias("b")).distinct()
     links = materialize(_confirmed(star, sets, share), "nd-links")
     parts = materialize(components(links, "nd-cc1"), "nd-parts")
+    free_shuffles(docs.sparkSession)
 
     live = materialize(live.join(parts, live.rep == parts.node, "left").select("key", "rep", "n", "most", F.coalesce("component", "rep").alias("part")), "nd-placed")
     rest = _confirmed(prefix_pairs(live, sets, share), sets, share)
