@@ -218,24 +218,27 @@ def _sums(taken: DataFrame, models: list[np.ndarray], weights: dict) -> list[tup
     """Gradient and Hessian sums of each view's log loss over the rows that the other view has labelled."""
     sizes = [len(w) for w in models]
 
-    def sums(batch: pa.RecordBatch) -> dict:
-        keys, values = [], []
-        rounds = column_of(batch, "round").to_numpy()
-        for k in (0, 1):
-            label = column_of(batch, f"label{1 - k}").to_numpy()
-            for r, c in {(int(r), int(c)) for r, c in zip(rounds, label, strict=True) if c >= 0}:
-                rows = np.flatnonzero((rounds == r) & (label == c))
-                part = _matrix(batch, "content")[rows] if k == 0 else _dense_meta(_matrix(batch, "meta")[rows])
-                x = np.column_stack([part, np.ones(len(rows))])
-                p = 1 / (1 + np.exp(-np.clip(x @ models[k], -30, 30)))
-                dense = weights[r, 1 - k, c] * np.concatenate([x.T @ (p - c), ((x * (p * (1 - p))[:, None]).T @ x).reshape(-1)])
-                some = np.flatnonzero(dense)
-                keys.append(some * 2 + k)
-                values.append(dense[some])
-        return {"k": np.concatenate(keys), "v": np.concatenate(values)} if keys else {}
+    def sums(batches):
+        """The cells of a task's sums that are not 0."""
+        total = [np.zeros(n + n * n) for n in sizes]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rounds = column_of(batch, "round").to_numpy()
+            for k in (0, 1):
+                label = column_of(batch, f"label{1 - k}").to_numpy()
+                rows = np.flatnonzero(label >= 0)
+                if len(rows):
+                    part = _matrix(batch, "content")[rows] if k == 0 else _dense_meta(_matrix(batch, "meta")[rows])
+                    weight = np.array([weights[int(r), 1 - k, int(c)] for r, c in zip(rounds[rows], label[rows], strict=True)])
+                    x = np.column_stack([part, np.ones(len(rows))])
+                    p = 1 / (1 + np.exp(-np.clip(x @ models[k], -30, 30)))
+                    total[k] += np.concatenate([x.T @ (weight * (p - label[rows])), ((x * (weight * p * (1 - p))[:, None]).T @ x).reshape(-1)])
+        some = [np.flatnonzero(t) for t in total]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i * 2 + k for k, i in enumerate(some)])), pa.array(np.concatenate([t[i] for t, i in zip(total, some, strict=True)]))], names=["k", "v"])
 
     out = [np.zeros(n + n * n) for n in sizes]
-    for row in _arrow(taken, sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # cells of two matrices at most
+    for row in taken.mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # cells of two matrices at most
         out[row["k"] % 2][row["k"] // 2] = row["v"]
     return [(o[:n], o[n:].reshape(n, n)) for o, n in zip(out, sizes, strict=True)]
 
