@@ -38,7 +38,7 @@ from .common import column_of, map_slices, materialize
 
 LEXICON_WORDS = 50_000
 #: Pieces whose ids a Python task keeps at most before it starts again.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 WORD_END = "</w>"
 #: Separators that str.split() takes for white space and the vocabulary does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")

@@ -122,6 +122,8 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBat
         for part in slices(batches, column, most):
             out = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            del part, out
+        pa.default_memory_pool().release_unused()  # workers live on for later stages
 
     return df.mapInArrow(run, schema)
 
