@@ -29,23 +29,36 @@ def force_split(c: Column, start: Column, most: int = MOST) -> Column:
     return F.transform(packs(c, most), lambda p: F.struct(F.concat(F.lit("Segment @ "), start.cast("string")).alias("title"), p.alias("text")))
 
 
-def _before(sizes: Column, i: Column) -> Column:
-    """The sum of the first i sizes, by sums of _STEP sizes, so that a long list is not gone through for each i."""
+def _sums(sizes: Column) -> Column:
+    """What `_before` needs of a list of sizes, made once for the list: the sums of its blocks of _STEP, and of these sums' blocks."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / _STEP).cast("int")), lambda b: total(F.slice(sizes, b * _STEP + 1, F.lit(_STEP))))
-    return X.let(steps, lambda s: total(F.slice(s, F.lit(1), F.floor(i / _STEP).cast("int"))) + total(F.slice(sizes, F.floor(i / _STEP).cast("int") * _STEP + 1, i % _STEP)))
+
+    def by_step(list_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(list_) / _STEP).cast("int")), lambda b: total(F.slice(list_, b * _STEP + 1, F.lit(_STEP))))
+    return X.let(by_step(sizes), lambda one: F.struct(sizes.alias("sizes"), one.alias("one"), by_step(one).alias("two")))
+
+
+def _before(sums: Column, i: Column) -> Column:
+    """The sum of the first i sizes, of three short slices however long the list is."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    b = F.floor(i / _STEP).cast("int")
+    c = F.floor(i / _STEP**2).cast("int")
+    return total(F.slice(sums["two"], F.lit(1), c)) + total(F.slice(sums["one"], c * _STEP + 1, b % _STEP)) + total(F.slice(sums["sizes"], b * _STEP + 1, i % _STEP))
 
 
 def chunks_of(c: Column, most: int = MOST, least: int = LEAST) -> Column:
     """array<struct<title, text>>: a text cut before blank lines and headings of one to three #. Pieces of more than `most` characters are
     split by force; inner ones of `least` characters or fewer are dropped."""
     def of(pieces: Column) -> Column:
+        return X.let(_sums(F.transform(pieces, lambda p: F.length(p))), lambda sums: cut(pieces, sums))
+
+    def cut(pieces: Column, sums: Column) -> Column:
         last = F.size(pieces) - 1
 
         def chunk(raw: Column, i: Column) -> Column:
             def by_size(body: Column) -> Column:
                 size = F.when(i < last, F.length(raw)).otherwise(F.length(body))
-                start = _before(F.transform(pieces, lambda p: F.length(p)), i)
+                start = _before(sums, i)
                 plain = F.array(F.struct(X.title(body).alias("title"), body.alias("text")))
                 return F.when(size > most, force_split(F.when(i < last, raw).otherwise(body), start, most)).when(F.length(body) > F.when(i < last, least).otherwise(0), plain).otherwise(F.slice(plain, 1, 0))
             return X.let(X.strip(raw), by_size)
@@ -85,7 +98,7 @@ def heading_chunks(files: DataFrame, path_col: str = "path", text_col: str = "co
     """path, source (path#Lline), content: a chunk begins at every heading of one to three #, and at the first line."""
     parts = F.split(F.regexp_replace(text_col, r"(?U)\n(?=#{1,3}[^\S\n])", _CUT), _CUT)
     lines = lambda p: F.size(F.split(p, "\n"))
-    found = X.let(parts, lambda p: X.let(F.transform(p, lines), lambda n: F.transform(p, lambda x, i: F.struct((_before(n, i) + 1).alias("line"), X.strip(x).alias("content")))))
+    found = X.let(parts, lambda p: X.let(_sums(F.transform(p, lines)), lambda n: F.transform(p, lambda x, i: F.struct((_before(n, i) + 1).alias("line"), X.strip(x).alias("content")))))
     rows = files.select(path_col, F.explode(found).alias("c"))
     source = F.concat(F.col(path_col), F.lit("#L"), F.col("c.line").cast("string"))
     return rows.select(path_col, source.alias("source"), F.col("c.content").alias("content")).where("content != ''")

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import chunk, distill, media, memory, search, session, telemetry
+from .operators import chunk, distill, media, memory, postings, search, session, telemetry
 from .plans import views as V
+from .sources.shared import shared_folder
 from .streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,7 +357,8 @@ FTS_CTES = f"""q AS (SELECT id AS query_id, {{kind}} AS kind, {TERMS.format(c='c
   UNION ALL SELECT query_id, kind, unnest(t[1:2]) AS w, unnest([0, 1]) AS p, NULL, NULL, 2 FROM q WHERE kind IN (1, 2) AND len(t) >= 3
   UNION ALL SELECT query_id, kind, t[1], 0, t[2], NULL, 1 FROM q WHERE kind = 3 AND len(t) >= 3
   UNION ALL SELECT query_id, kind, t[3][1:3], 0, NULL, NULL, 1 FROM q WHERE kind = 4 AND len(t) >= 3
-  UNION ALL SELECT query_id, kind, s[1], 0, NULL, 'source', 1 FROM q WHERE kind = 5 AND len(s) >= 1),
+  UNION ALL SELECT query_id, kind, s[1], 0, NULL, 'source', 1 FROM q WHERE kind = 5 AND len(s) >= 1
+  UNION ALL SELECT query_id, kind, t[1], 0, NULL, NULL, 1 FROM q WHERE kind = 6 AND len(t) >= 1),
  dt AS (SELECT id, {TERMS.format(c='content')} AS t, {TERMS.format(c='source')} AS s FROM memories),
  st AS (SELECT count(*) AS n, avg(len(t) + len(s)) AS m FROM dt),
  fl AS (SELECT id, 'content' AS c, len(t) + len(s) AS len, unnest(t) AS term, unnest(range(0, len(t))) AS i FROM dt UNION ALL SELECT id, 'source', len(t) + len(s), unnest(s), unnest(range(0, len(s))) FROM dt),
@@ -375,7 +377,7 @@ def _first_words(m: DataFrame) -> DataFrame:
 
 
 def _all_kinds(m: DataFrame) -> DataFrame:
-    """Queries of each kind of syntax by turns; the last kind is not supported."""
+    """Queries of each kind of syntax by turns."""
     t, s = X.search_terms(F.col("content")), X.search_terms(F.col("source"))
     rows = m.where(F.col("id") % EVERY == 0).select("id", (F.floor(F.col("id") / EVERY) % 7).alias("kind"), t.alias("t"), s.alias("s"))
     word = lambda n: F.get("t", F.lit(n))
@@ -413,6 +415,85 @@ def mem_fts_category(spark, sf_dir):
     return _rounded(search.bm25(m, _first_words(m), memory.scope(m, "u1", "coder", "fact"), 5))
 
 
+
+def _index(spark, rows: DataFrame) -> postings.PostingIndex:
+    made = postings.PostingIndex(spark, shared_folder(spark, "postings"))
+    made.add(rows)
+    return made
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {FTS_CTES.format(scope='', k=10, kind=f'id // {EVERY} % 7')}{FTS_END}")
+def mem_index_search(spark, sf_dir):
+    """All kinds of queries by the stored index."""
+    m = V.memories(spark, sf_dir, vectors=False)
+    return _rounded(_index(spark, m).search(_all_kinds(m)))
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {FTS_CTES.format(scope='', k=5, kind='6')}{FTS_END}")
+def mem_index_topk(spark, sf_dir):
+    """Queries of one word, which need not read all of its postings."""
+    m = V.memories(spark, sf_dir, vectors=False)
+    words = m.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.get(X.search_terms(F.col("content")), F.lit(0)).alias("query"))
+    return _rounded(_index(spark, m).search(words, top_k=5))
+
+
+@query(f"WITH {V.MEMORIES_SQL.replace('memories AS', 'stored AS')}, memories AS (SELECT * REPLACE (CASE WHEN id % 10 = 7 THEN content || ' changed words' ELSE content END AS content) FROM stored WHERE id % 10 <> 3), {FTS_CTES.format(scope='', k=10, kind='0')}{FTS_END}")
+def mem_index_changes(spark, sf_dir):
+    """The index after rows were stored in two batches, some changed and some forgotten."""
+    m = V.memories(spark, sf_dir, vectors=False)
+    made = _index(spark, m.where("id % 2 = 0"))
+    made.add(m.where("id % 2 = 1"))
+    changed = m.withColumn("content", F.when(F.col("id") % 10 == 7, F.concat("content", F.lit(" changed words"))).otherwise(F.col("content")))
+    made.add(changed.where("id % 10 = 7"), replace=True)
+    made.remove(m.where("id % 10 = 3"))
+    return _rounded(made.search(_first_words(changed.where("id % 10 <> 3"))))
+
+
+NEAR_GAP = 3
+#: Words one and three of a row, at most NEAR_GAP words apart: the places where both are open, and each word's places that such a place closes.
+NEAR_CTES = f"""q AS (SELECT id AS query_id, {TERMS.format(c='content')} AS t FROM memories WHERE id % {EVERY} = 0),
+ ph AS (SELECT query_id, unnest([t[1], t[3]]) AS w, unnest([0, 1]) AS p FROM q WHERE len(t) >= 3),
+ dt AS (SELECT id, {TERMS.format(c='content')} AS t, {TERMS.format(c='source')} AS s FROM memories), st AS (SELECT count(*) AS n, avg(len(t) + len(s)) AS m FROM dt),
+ fl AS (SELECT id, 'content' AS c, len(t) + len(s) AS len, unnest(t) AS term, unnest(range(0, len(t))) AS i FROM dt UNION ALL SELECT id, 'source', len(t) + len(s), unnest(s), unnest(range(0, len(s))) FROM dt),
+ oc AS (SELECT query_id, p, id, c, len, i FROM ph JOIN fl ON fl.term = ph.w), df AS (SELECT query_id, p, count(DISTINCT id) AS n FROM oc GROUP BY query_id, p),
+ cl AS (SELECT DISTINCT l.query_id, l.id, l.c, l.i FROM oc l JOIN oc o ON l.query_id = o.query_id AND l.id = o.id AND l.c = o.c AND l.p <> o.p AND o.i BETWEEN l.i - {NEAR_GAP + 1} AND l.i),
+ tf AS (SELECT query_id, p, id, len, count(*) AS tf FROM (SELECT DISTINCT oc.* FROM oc JOIN cl ON oc.query_id = cl.query_id AND oc.id = cl.id AND oc.c = cl.c AND cl.i BETWEEN oc.i AND oc.i + {NEAR_GAP + 1}) GROUP BY ALL),
+ sc AS (SELECT tf.query_id, id, CASE WHEN ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) END * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / st.m)) AS part FROM tf JOIN df ON tf.query_id = df.query_id AND tf.p = df.p, st),
+ hit AS (SELECT query_id, id, round(sum(part), 12) AS score FROM sc GROUP BY query_id, id HAVING count(*) = 2),
+ fts AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hit QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {NEAR_CTES}{FTS_END}")
+def mem_fts_near(spark, sf_dir):
+    m = V.memories(spark, sf_dir, vectors=False)
+    t = X.search_terms(F.col("content"))
+    asked = m.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.when(F.size(t) >= 3, F.concat(F.lit("NEAR("), F.get(t, F.lit(0)), F.lit(" "), F.get(t, F.lit(2)), F.lit(f", {NEAR_GAP})"))).alias("query"))
+    return _rounded(search.bm25(m, asked))
+
+
+#: (word 1 or word 2) and word 3, without rows that hold word 4 and the phrase of words 6 and 5; the words of the `or` count where they occur.
+NESTED_CTES = f"""q AS (SELECT id AS query_id, {TERMS.format(c='content')} AS t FROM memories WHERE id % {EVERY} = 0),
+ ph AS (SELECT query_id, unnest([t[1], t[2], t[3], t[4], t[6]]) AS w, unnest([0, 1, 2, 3, 4]) AS p, unnest([NULL, NULL, NULL, NULL, t[5]]) AS w2 FROM q WHERE len(t) >= 6),
+ dt AS (SELECT id, {TERMS.format(c='content')} AS t, {TERMS.format(c='source')} AS s FROM memories), st AS (SELECT count(*) AS n, avg(len(t) + len(s)) AS m FROM dt),
+ fl AS (SELECT id, 'content' AS c, len(t) + len(s) AS len, unnest(t) AS term, unnest(range(0, len(t))) AS i FROM dt UNION ALL SELECT id, 'source', len(t) + len(s), unnest(s), unnest(range(0, len(s))) FROM dt),
+ tf AS (SELECT query_id, p, id, len, count(*) AS tf FROM ph JOIN fl ON fl.term = ph.w WHERE w2 IS NULL GROUP BY ALL
+  UNION ALL SELECT query_id, p, a.id, a.len, count(*) AS tf FROM ph JOIN fl a ON a.term = ph.w JOIN fl b ON b.id = a.id AND b.c = a.c AND b.i = a.i + 1 AND b.term = ph.w2 GROUP BY ALL),
+ df AS (SELECT query_id, p, count(*) AS n FROM tf GROUP BY query_id, p),
+ sc AS (SELECT tf.query_id, id, tf.p, CASE WHEN ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((st.n - df.n + 0.5e0) / (df.n + 0.5e0)) END * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / st.m)) AS part FROM tf JOIN df ON tf.query_id = df.query_id AND tf.p = df.p, st),
+ hit AS (SELECT query_id, id, round(sum(part) FILTER (p < 3), 12) AS score FROM sc GROUP BY query_id, id HAVING (bool_or(p = 0) OR bool_or(p = 1)) AND bool_or(p = 2) AND NOT (bool_or(p = 3) AND bool_or(p = 4))),
+ fts AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hit QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {V.MEMORIES_SQL}, {NESTED_CTES}{FTS_END}")
+def mem_fts_nested(spark, sf_dir):
+    m = V.memories(spark, sf_dir, vectors=False)
+    t = X.search_terms(F.col("content"))
+    w = [F.get(t, F.lit(i)) for i in range(6)]
+    said = F.concat(F.lit("("), w[0], F.lit(" OR "), w[1], F.lit(") AND "), w[2], F.lit(" NOT ("), w[3], F.lit(" AND "), w[5], F.lit(" + "), w[4], F.lit(")"))
+    # NOT binds closer than AND, so the last word that must occur is what it takes from
+    return _rounded(search.bm25(m, m.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.when(F.size(t) >= 6, said).alias("query"))))
+
+
 VEC = "vec AS (SELECT query_id, id, distance, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, id) AS rank FROM nn QUALIFY rank <= {k})"
 
 

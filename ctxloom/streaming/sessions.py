@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
 from ..operators import session
+from ..sources.shared import shared_folder
 
 LOG_STATE = "idx array<bigint>, role array<string>, name array<string>, content array<string>"
 LOG_OUT = "session_id string, messages int, tokens bigint, compacted boolean, prompt string"
@@ -109,12 +108,7 @@ def compressed_stream(rows: DataFrame, level: str = "L0") -> DataFrame:
 def run_to_table(stream: DataFrame, spark: SparkSession, key: str = "session_id") -> DataFrame:
     """Run an updating stream over what is there now and give the last row of every key. Its state and rows are in the folder that
     driver and executors share, spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="ctxloom-")  # local sessions alone
-    at, idle = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.noDataMicroBatches.enabled"
+    at, idle = shared_folder(spark, "stream"), "spark.sql.streaming.noDataMicroBatches.enabled"
 
     def keep(df: DataFrame, number: int) -> None:
         df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/rows/n={number}")
