@@ -73,7 +73,7 @@ STOP_WORDS = frozenset((
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=/\"'>]+)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/><]*)")
 _INSIDE = re.compile(r"[^>\"']*")
 _LONG_NUMBER = re.compile(r"&#(?:\d{9,}|[xX][0-9a-fA-F]{9,});?")
 _UNSEEN, _BLOCKS, _VOID, _REGIONS = map(frozenset, (UNSEEN, BLOCKS, VOID, REGIONS))
