@@ -16,17 +16,18 @@ adding it again. An empty batch adds nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..sources.batches import Batches
 from . import search
 
 #: Folders of postings, by a hash of the term.
 BUCKETS = 16
-#: Levels of what a posting can weigh.
-LEVELS = 64
+#: Levels of what a posting can weigh, for each doubling of its frequency over its length.
+STEPS = 8
 #: Bounds are loosened by this share, so that rounded ties are never cut off.
 SLACK = 1e-9
 
@@ -44,28 +45,10 @@ def _places(column: str) -> Column:
     return F.transform(column, lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("c"), i.alias("i")))
 
 
-class PostingIndex:
+class PostingIndex(Batches):
     """The index in a folder; `add` and `remove` write a batch, `search` reads all that count."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _batches(self) -> tuple[list[int], int]:
-        """(the numbers of the batches that count, the next number)."""
-        conf, path = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.path).getFileSystem(conf)
-        names = {k: [f.getPath().getName() for f in fs.listStatus(path(f"{self.path}/{k}"))] if fs.exists(path(f"{self.path}/{k}")) else [] for k in ("postings", "gone", "docs")}
-        numbers = {k: sorted(int(n.removeprefix("batch=")) for n in found if n.startswith("batch=")) for k, found in names.items()}
-        return [n for n in numbers["docs"] if fs.exists(path(f"{self.path}/docs/batch={n}/_SUCCESS"))], max((n for found in numbers.values() for n in found), default=0) + 1
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        conf, path = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.org.apache.hadoop.fs.Path
-        paths = [f"{self.path}/{kind}/batch={n}" for n in self._batches()[0]]
-        paths = [p for p in paths if path(p).getFileSystem(conf).exists(path(p))]
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def _write(self, df: DataFrame, kind: str, number: int, *by: str) -> None:
-        df.write.partitionBy(*by).parquet(f"{self.path}/{kind}/batch={number}")
+    TABLES = ("postings", "gone", "docs")
 
     def add(self, memories: DataFrame, replace: bool = False) -> None:
         """Add memories (id, content, source, ...) as a batch; with `replace`, take their ids away from earlier batches."""
@@ -76,8 +59,8 @@ class PostingIndex:
         rows = words.select("id", "len", F.explode(places).alias("w")).groupBy("id", "len", "w.term", "w.c").agg(F.array_sort(F.collect_list("w.i")).alias("at"))  # a text's own places
         rows = rows.withColumn("total", F.sum(F.size("at")).over(W.partitionBy("id", "len", "term")).cast("int"))  # at most a row a column
         mean = words.agg(F.avg("len")).first()[0] or 1.0
-        weight = search.weight(F.col("total"), F.col("len"), F.lit(mean)) / (search.K1 + 1)
-        rows = rows.withColumn("level", F.floor(weight * LEVELS).cast("int")).withColumn("bucket", _bucket(F.col("term")))
+        ratio = F.col("total") / (1 - search.B + search.B * F.col("len") / F.lit(mean))  # a weight grows with it
+        rows = rows.withColumn("level", F.floor(F.log2(ratio) * STEPS).cast("int")).withColumn("bucket", _bucket(F.col("term")))
         rows = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4)))  # a frequent term is no task of its own
         self._write(rows.sortWithinPartitions("bucket", "term", F.desc("level")), "postings", number, "bucket")
         stored = self.spark.read.schema(_POSTINGS).option("basePath", f"{self.path}/postings").parquet(f"{self.path}/postings/batch={number}")
@@ -93,13 +76,6 @@ class PostingIndex:
         self._write(ids.select(F.col("id").cast("long").alias("id")), "gone", number)
         self._write(self.spark.createDataFrame([], "id bigint, len int"), "docs", number)
 
-    def _there(self, rows: DataFrame, gone: DataFrame | None) -> DataFrame:
-        """rows (id, batch, ...) without those taken away later."""
-        if gone is None:
-            return rows
-        last = gone.groupBy(F.col("id").alias("of")).agg(F.max("batch").alias("until"))
-        return rows.join(last, (F.col("id") == F.col("of")) & (F.col("batch") < F.col("until")), "left_anti")
-
     def search(self, queries: DataFrame, scoped: DataFrame | None = None, top_k: int = 10) -> DataFrame:
         """As `search.bm25`: queries (query_id, query) -> query_id, id, score, rank."""
         ask, few, small = search._parsed(queries)
@@ -147,7 +123,7 @@ class PostingIndex:
         """lone (query_id, term, bucket) -> query_id, term, bucket, level, n, first, read: the blocks of each query's word."""
         each = self._read("blocks", _BLOCKS).join(lone, ["bucket", "term"])
         each = each.groupBy("query_id", "bucket", "term", "level").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.sum("n").alias("n"))
-        above = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1))  # LEVELS rows a query
+        above = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1))  # a row a level
         each = each.withColumn("first", F.coalesce(above, F.lit(0)) < top_k)
         found = self._weights(each.where("first"), stats, scoped)
         kth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import chunk, distill, media, memory, postings, search, session, telemetry
+from .operators import chunk, distill, media, memory, postings, search, session, telemetry, vectors
 from .plans import views as V
 from .sources.shared import shared_folder
 from .streaming import sessions
@@ -506,6 +506,17 @@ def mem_vec_knn(spark, sf_dir):
     return near.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH nn AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND e.embedding IS NOT NULL AND q.embedding IS NOT NULL),
+ {VEC.format(k=10)} SELECT query_id, id, round(distance, 6) AS distance, round(score, 6) AS score, rank FROM vec""")
+def mem_vec_index(spark, sf_dir):
+    """The same by the stored index, which compares only rows that its bounds leave open."""
+    e = V.table(spark, sf_dir, "embeddings")
+    made = vectors.VectorIndex(spark, shared_folder(spark, "vectors"))
+    made.add(e.select(F.col("vec_id").alias("id"), "embedding"))
+    near = made.search(e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+    return near.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
+
+
 NEAR_CTES = f"nn AS (SELECT q.id AS query_id, m.id, list_distance(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM memories m, memories q WHERE q.id % {EVERY} = 0 AND m.embedding IS NOT NULL AND q.embedding IS NOT NULL {{scope}}), {VEC}"
 WEIGHTED = """each AS (SELECT query_id, id, 0.7e0 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1.0e0 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM vec
  UNION ALL SELECT query_id, id, 0.3e0 * score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1.0e0 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM fts)"""
