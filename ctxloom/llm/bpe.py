@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, map_slices, materialize
+from .common import SMALL_SLICE, column_of, map_slices, materialize
 
 LEXICON_WORDS = 50_000
 #: Pieces whose ids a Python task keeps at most before it starts again.
@@ -359,7 +359,7 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, run, f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
+    return map_slices(docs, run, f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"), most=SMALL_SLICE)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

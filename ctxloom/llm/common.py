@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import tempfile
@@ -16,6 +17,8 @@ from ..plans.views import table  # noqa: F401  read by the queries and the pipel
 
 #: Bytes of text that a Python task holds in numpy arrays at once (one longer text is one slice).
 SLICE_BYTES = 1 << 20
+#: The same where a slice is turned into many numbers or strings a byte.
+SMALL_SLICE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -111,6 +114,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start, n - start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's, and where the C library can trim its heap, numpy's and Python's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices; fn gives a dict of columns in the order of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -123,7 +134,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBat
             out = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
             del part, out
-        pa.default_memory_pool().release_unused()  # workers live on for later stages
+        give_back()  # workers live on for later stages
 
     return df.mapInArrow(run, schema)
 

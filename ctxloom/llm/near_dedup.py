@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import column_of, drop_all, drop_tables, free_shuffles, map_slices, mark, materialize
+from .common import SMALL_SLICE, column_of, drop_all, drop_tables, free_shuffles, map_slices, mark, materialize
 
 SHINGLE, SHARE = 5, 85
 CHUNKS, WIDTH, BITS = 6, 6, 16
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, class_size (documents in the component's equal-set class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     since = mark()
-    signed = materialize(map_slices(docs, functools.partial(_sign, chunks=CHUNKS_OF[share]), "doc_id long, h long, n_shingles long, s1 long, s2 long, keys array<long>"), "nd-signed")
+    signed = materialize(map_slices(docs, functools.partial(_sign, chunks=CHUNKS_OF[share]), "doc_id long, h long, n_shingles long, s1 long, s2 long, keys array<long>", most=SMALL_SLICE), "nd-signed")
     one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
     same = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min(one).alias("one"), F.count("*").alias("class_size"), F.first("keys").alias("keys"))
     same = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "nd-classes")
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     chosen = materialize(chosen, "nd-chosen")
     ids = _small(chosen.select("id", "th"))
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (docs["h"] == ids["th"]), "left_semi").select("text")
-    sets = map_slices(texts, _sets, "s1 long, s2 long, n_shingles long, shingles array<long>").groupBy("s1", "s2", "n_shingles").agg(F.first("shingles").alias("shingles"))
+    sets = map_slices(texts, _sets, "s1 long, s2 long, n_shingles long, shingles array<long>", most=SMALL_SLICE).groupBy("s1", "s2", "n_shingles").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets.join(chosen.drop("id", "th"), ["s1", "s2", "n_shingles"]).select("rep", "shingles"), "nd-sets")
     alone = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
     bound = reps.join(alone.groupBy("rep").agg(F.count("*").alias("alone")), "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
