@@ -13,13 +13,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Tables of texts and vectors, on whose rows work takes long; rows of others are only counted, looked up and cut.
+HEAVY = frozenset(("documents", "pages", "benchmark", "conversations", "embeddings"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
-def memories(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
-    """Documents as memories; without vectors no join is made, and embedding is null."""
-    d = table(spark, sf_dir, "documents")
+def memories(spark: SparkSession, sf_dir: str, vectors: bool = True, heavy: bool = True) -> DataFrame:
+    """Documents as memories; without vectors no join is made, and embedding is null. Lookups that don't work on the texts are not heavy."""
+    d = table(spark, sf_dir, "documents") if heavy else spark.read.parquet(f"{sf_dir}/documents.parquet")
     if vectors:
         e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
         d = d.join(e, d.doc_id == e.vec_id, "left")
@@ -46,7 +51,7 @@ MEMORIES_SQL = """memories AS (
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with the assistant's turns in the place of tool results."""
-    return _messages(table(spark, sf_dir, "conversations"))
+    return _messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

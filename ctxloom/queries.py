@@ -14,7 +14,7 @@ from .functions import text as X
 from .operators import chunk, distill, media, memory, postings, search, session, telemetry, vectors
 from .plans import views as V
 from .sources.shared import shared_folder
-from .streaming import sessions
+from .streaming import sessions, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,6 +267,15 @@ def stream_session_compact(spark, sf_dir):
     return sessions.run_to_table(sessions.session_log(V.message_stream(spark, sf_dir), threshold=700), spark)
 
 
+@query(f"""WITH {V.MESSAGES_SQL}, t AS (SELECT session_id, idx, role, name, coalesce(content, '') AS content, row_number() OVER (PARTITION BY session_id, role ORDER BY idx DESC) AS back FROM messages),
+ c AS (SELECT session_id, idx, role, CASE WHEN role = 'tool' AND back > 3 AND length(content) >= 100 THEN concat('[Previous: used ', name, ']') ELSE content END AS content FROM t)
+ SELECT session_id, CAST(count(*) AS INT) AS messages, CAST(sum(length(content) // 4) AS BIGINT) AS tokens, false AS compacted, string_agg(concat('[', role, '] ', content), chr(10) ORDER BY idx) AS prompt FROM c GROUP BY session_id""")
+def stream_session_state(spark, sf_dir):
+    """Sessions as a stream with a state for each message, here below the summary's threshold."""
+    with stateful.states(spark):
+        return sessions.run_to_table(stateful.session_log(V.message_stream(spark, sf_dir), threshold=1 << 40, prompts=True), spark)
+
+
 # --- memory ---------------------------------------------------------------------------------------------------------
 
 MEM7 = "id, user_id, agent_id, category, content, source, metadata"
@@ -274,24 +283,24 @@ MEM7 = "id, user_id, agent_id, category, content, source, metadata"
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7}, (SELECT count(*) FROM memories WHERE user_id = 'u1' AND agent_id = 'coder') AS total, 1.0e0 AS score FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' ORDER BY updated_at DESC, id DESC LIMIT 10 OFFSET 5")
 def mem_list_page(spark, sf_dir):
-    return memory.list_page(V.memories(spark, sf_dir, vectors=False), "u1", "coder", limit=10, offset=5)
+    return memory.list_page(V.memories(spark, sf_dir, vectors=False, heavy=False), "u1", "coder", limit=10, offset=5)
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7}, (SELECT count(*) FROM memories WHERE user_id = 'u2' AND agent_id = 'writer' AND category = 'rule') AS total, 1.0e0 AS score FROM memories WHERE user_id = 'u2' AND agent_id = 'writer' AND category = 'rule' ORDER BY updated_at DESC, id DESC LIMIT 20")
 def mem_list_category(spark, sf_dir):
-    return memory.list_page(V.memories(spark, sf_dir, vectors=False), "u2", "writer", "rule", limit=20)
+    return memory.list_page(V.memories(spark, sf_dir, vectors=False, heavy=False), "u2", "writer", "rule", limit=20)
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT {MEM7} FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND source = 'src1.md#L2' ORDER BY id LIMIT 1")
 def mem_get_source(spark, sf_dir):
-    return memory.get_by_source(V.memories(spark, sf_dir, vectors=False), "u1", "coder", "src1.md#L2")
+    return memory.get_by_source(V.memories(spark, sf_dir, vectors=False, heavy=False), "u1", "coder", "src1.md#L2")
 
 
 @query(f"""WITH {V.MEMORIES_SQL}, got AS (SELECT * FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND source = 'src1.md#L2' ORDER BY id LIMIT 1), no AS (SELECT * FROM memories WHERE user_id = 'nobody')
  SELECT CAST(id AS VARCHAR) AS id, content, source, category, NULL AS error FROM got UNION ALL SELECT NULL, NULL, NULL, NULL, 'Not found' WHERE NOT EXISTS (SELECT 1 FROM got)
  UNION ALL SELECT NULL, NULL, NULL, NULL, 'Not found' WHERE NOT EXISTS (SELECT 1 FROM no)""")
 def mem_tool_get(spark, sf_dir):
-    m = V.memories(spark, sf_dir, vectors=False)
+    m = V.memories(spark, sf_dir, vectors=False, heavy=False)
     return memory.found_or_error(memory.get_by_source(m, "u1", "coder", "src1.md#L2")).unionByName(memory.found_or_error(memory.get_by_source(m, "nobody", "coder", "src1.md#L2")))
 
 
@@ -299,18 +308,18 @@ def mem_tool_get(spark, sf_dir):
  SELECT CAST(id AS VARCHAR) AS id, content, source, category FROM best WHERE category = 'rule'""")
 def mem_post_filter(spark, sf_dir):
     """The newest 40 rows of a user, then those of a category among them."""
-    rows = memory.page(V.memories(spark, sf_dir, vectors=False).where("user_id = 'u1'"), 40, 0)
+    rows = memory.page(V.memories(spark, sf_dir, vectors=False, heavy=False).where("user_id = 'u1'"), 40, 0)
     return memory.tool_rows(memory.of_category(rows, "rule")).select("id", "content", "source", "category")
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT user_id, agent_id, category, count(*) AS total FROM memories GROUP BY user_id, agent_id, category")
 def mem_count_scope(spark, sf_dir):
-    return memory.count_scopes(V.memories(spark, sf_dir, vectors=False))
+    return memory.count_scopes(V.memories(spark, sf_dir, vectors=False, heavy=False))
 
 
 @query(f"WITH {V.MEMORIES_SQL} SELECT count(*) AS rows_in_scope, count(CASE WHEN user_id <> 'u3' OR agent_id <> 'writer' THEN 1 END) AS leaked FROM memories WHERE user_id = 'u3' AND agent_id = 'writer'")
 def tenant_isolation_check(spark, sf_dir):
-    rows = memory.scope(V.memories(spark, sf_dir, vectors=False), "u3", "writer")
+    rows = memory.scope(V.memories(spark, sf_dir, vectors=False, heavy=False), "u3", "writer")
     return rows.agg(F.count("*").alias("rows_in_scope"), F.count(F.when((F.col("user_id") != "u3") | (F.col("agent_id") != "writer"), 1)).alias("leaked"))
 
 
@@ -323,13 +332,13 @@ def _changes(m: DataFrame) -> DataFrame:
 
 @query(f"WITH {V.MEMORIES_SQL}, {CHANGED_SQL} SELECT m.id, m.user_id, m.agent_id, coalesce(c.content, m.content) AS content, CASE WHEN c.id IS NULL THEN m.updated_at ELSE 1800000000 END AS updated_at FROM memories m LEFT JOIN changes c ON m.id = c.id AND m.user_id = c.user_id AND m.agent_id = c.agent_id")
 def mem_update(spark, sf_dir):
-    m = V.memories(spark, sf_dir, vectors=False)
+    m = V.memories(spark, sf_dir, vectors=False, heavy=False)
     return memory.update(m, _changes(m), 1_800_000_000).select("id", "user_id", "agent_id", "content", "updated_at")
 
 
 @query(f"WITH {V.MEMORIES_SQL}, {CHANGED_SQL} SELECT m.id, m.user_id, m.agent_id, m.source FROM memories m WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE m.id = c.id AND m.user_id = c.user_id AND m.agent_id = c.agent_id)")
 def mem_forget(spark, sf_dir):
-    m = V.memories(spark, sf_dir, vectors=False)
+    m = V.memories(spark, sf_dir, vectors=False, heavy=False)
     return memory.forget(m, _changes(m)).select("id", "user_id", "agent_id", "source")
 
 
@@ -337,13 +346,13 @@ def mem_forget(spark, sf_dir):
  UNION ALL SELECT (SELECT max(id) FROM memories) + row_number() OVER (ORDER BY item_id) AS id, 'u1' AS user_id, '' AS agent_id, 'fact' AS category, text AS content, concat('bench#', CAST(item_id AS VARCHAR)) AS source FROM benchmark""")
 def mem_store(spark, sf_dir):
     new = V.table(spark, sf_dir, "benchmark").select("item_id", F.lit("u1").alias("user_id"), F.col("text").alias("content"), F.concat(F.lit("bench#"), F.col("item_id").cast("string")).alias("source"))
-    return memory.store(V.memories(spark, sf_dir, vectors=False), new, "item_id", 1_800_000_000).select("id", "user_id", "agent_id", "category", "content", "source")
+    return memory.store(V.memories(spark, sf_dir, vectors=False, heavy=False), new, "item_id", 1_800_000_000).select("id", "user_id", "agent_id", "category", "content", "source")
 
 
 @query(f"""WITH {V.MEMORIES_SQL}, chunks AS (SELECT user_id, agent_id, CASE WHEN id % 7 = 0 THEN concat(source, 'x') ELSE source END AS source, CASE WHEN id % 5 = 0 THEN concat(content, ' more') ELSE content END AS content FROM memories)
  SELECT c.user_id, c.agent_id, c.source, c.content, m.id, CASE WHEN m.id IS NULL THEN 'insert' WHEN md5(c.content) <> md5(m.content) THEN 'update' ELSE 'unchanged' END AS action FROM chunks c LEFT JOIN memories m ON c.user_id = m.user_id AND c.agent_id = m.agent_id AND c.source = m.source""")
 def mem_sync_diff(spark, sf_dir):
-    m = V.memories(spark, sf_dir, vectors=False)
+    m = V.memories(spark, sf_dir, vectors=False, heavy=False)
     source = F.when(F.col("id") % 7 == 0, F.concat("source", F.lit("x"))).otherwise(F.col("source"))
     content = F.when(F.col("id") % 5 == 0, F.concat("content", F.lit(" more"))).otherwise(F.col("content"))
     return memory.sync_diff(m, m.select("user_id", "agent_id", source.alias("source"), content.alias("content")))
