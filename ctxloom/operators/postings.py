@@ -31,7 +31,7 @@ STEPS = 8
 #: Bounds are loosened by this share, so that rounded ties are never cut off.
 SLACK = 1e-9
 
-_POSTINGS = "term string, c string, id bigint, len int, at array<int>, total int, level int, batch int, bucket int"
+_POSTINGS = "term string, c string, id bigint, len int, at array<int>, total int, level int, lead boolean, batch int, bucket int"
 _BLOCKS = "term string, level int, most int, least int, n bigint, batch int, bucket int"
 _DOCS = "id bigint, len int, batch int"
 _GONE = "id bigint, batch int"
@@ -57,7 +57,8 @@ class PostingIndex(Batches):
         words = words.withColumn("len", sum((F.size(c) for c in search.COLUMNS), F.lit(0)))
         places = F.flatten(F.array(*[_places(c) for c in search.COLUMNS]))
         rows = words.select("id", "len", F.explode(places).alias("w")).groupBy("id", "len", "w.term", "w.c").agg(F.array_sort(F.collect_list("w.i")).alias("at"))  # a text's own places
-        rows = rows.withColumn("total", F.sum(F.size("at")).over(W.partitionBy("id", "len", "term")).cast("int"))  # at most a row a column
+        columns = W.partitionBy("id", "len", "term")  # at most a row a column
+        rows = rows.withColumn("total", F.sum(F.size("at")).over(columns).cast("int")).withColumn("lead", F.col("c") == F.min("c").over(columns))
         mean = words.agg(F.avg("len")).first()[0] or 1.0
         ratio = F.col("total") / (1 - search.B + search.B * F.col("len") / F.lit(mean))  # a weight grows with it
         rows = rows.withColumn("level", F.floor(F.log2(ratio) * STEPS).cast("int")).withColumn("bucket", _bucket(F.col("term")))
@@ -88,8 +89,10 @@ class PostingIndex(Batches):
         if gone is None:
             lone = ask.where(single).select("query_id", F.expr("phrases[0].words[0]").alias("term"))
             lone = near(lone.withColumn("bucket", _bucket(F.col("term"))))
-            parts.append(self._best(lone, stats, scoped, top_k))
+            parts.append(self._best(lone, stats, scoped, top_k, few if small else None))
             ask = ask.where(~single)
+            if few is not None and ask.isEmpty():
+                return parts[0]
         words = search._phrase_words(ask)
         tf, seen = search.frequencies(self._there(self._of(words, few if small else None), gone), near(words))
         if scoped is not None:
@@ -119,30 +122,32 @@ class PostingIndex(Batches):
     def _buckets(self, terms: list[str]) -> list:
         return self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect() if terms else []
 
-    def blocks_to_read(self, lone: DataFrame, stats: DataFrame, scoped: DataFrame | None, top_k: int) -> DataFrame:
+    def blocks_to_read(self, lone: DataFrame, stats: DataFrame, scoped: DataFrame | None, top_k: int, few: list[str] | None = None) -> DataFrame:
         """lone (query_id, term, bucket) -> query_id, term, bucket, level, n, first, read: the blocks of each query's word."""
         each = self._read("blocks", _BLOCKS).join(lone, ["bucket", "term"])
         each = each.groupBy("query_id", "bucket", "term", "level").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.sum("n").alias("n"))
         above = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1))  # a row a level
         each = each.withColumn("first", F.coalesce(above, F.lit(0)) < top_k)
-        found = self._weights(each.where("first"), stats, scoped)
+        found = self._weights(each.where("first"), stats, scoped, few)
         kth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight")))
         bound = found.withColumn("rank", kth).where(F.col("rank") == top_k).select("query_id", F.col("weight").alias("bound"))
         each = each.join(bound, "query_id", "left").join(F.broadcast(stats), F.col("n_docs") > 0)
         most = search.weight(F.col("most"), F.col("least"), F.col("mean")) * (1 + SLACK)
         return each.select("query_id", "bucket", "term", "level", "n", "first", (F.col("first") | F.col("bound").isNull() | (most >= F.col("bound"))).alias("read"))
 
-    def _weights(self, blocks: DataFrame, stats: DataFrame, scoped: DataFrame | None) -> DataFrame:
+    def _weights(self, blocks: DataFrame, stats: DataFrame, scoped: DataFrame | None, few: list[str] | None) -> DataFrame:
         """The rows of blocks (query_id, bucket, term, level) with their weights."""
-        post = self._read("postings", _POSTINGS).join(blocks.select("query_id", "bucket", "term", "level"), ["bucket", "term", "level"])
+        post = self._read("postings", _POSTINGS).where("lead")  # both columns of a memory say the same
+        if few is not None:
+            post = post.where(F.col("term").isin(few))
+        post = post.join(blocks.select("query_id", "bucket", "term", "level"), ["bucket", "term", "level"])
         if scoped is not None:
             post = post.join(scoped.select("id"), "id", "left_semi")
-        post = post.select("query_id", "id", "len", "total").distinct()  # both columns of a memory say the same
         return post.join(F.broadcast(stats), F.col("n_docs") > 0).select("query_id", "id", "n_docs", search.weight(F.col("total"), F.col("len"), F.col("mean")).alias("weight"))
 
-    def _best(self, lone: DataFrame, stats: DataFrame, scoped: DataFrame | None, top_k: int) -> DataFrame:
-        blocks = self.blocks_to_read(lone, stats, scoped, top_k)
+    def _best(self, lone: DataFrame, stats: DataFrame, scoped: DataFrame | None, top_k: int, few: list[str] | None) -> DataFrame:
+        blocks = self.blocks_to_read(lone, stats, scoped, top_k, few)
         n = blocks.groupBy("query_id").agg(F.sum("n").alias("n"))
-        rows = self._weights(blocks.where("read"), stats, scoped).join(n, "query_id")
+        rows = self._weights(blocks.where("read"), stats, scoped, few).join(n, "query_id")
         score = F.round(search.idf(F.col("n_docs"), F.col("n")) * F.col("weight"), 12)
         return search._top(rows.select("query_id", "id", score.alias("score")), top_k)
