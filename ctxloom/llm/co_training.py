@@ -6,9 +6,9 @@ recorded size. Each view has a logistic regression, fitted by Newton's method. O
 without labels that no round has taken, labels the most confident positives and negatives, and the other view learns from
 them too. Confident are the rows beyond a quantile of the scores of all these rows: MOVE of POOL rows of each class (MOVE
 rows at least, and all rows that tie with the last), if the view's probability, calibrated on labelled rows that it is not fitted on, is
-CERTAIN or more too: a view that says little, as metadata can, passes on nothing. Those of one round, view and class weigh as much as MOVE rows, however many they
+CERTAIN or more too: with most labels of one class, a view that says little can still pass that class on. Those of one round, view and class weigh as much as MOVE rows, however many they
 are, so labels keep their weight in a large corpus. Spark sums their gradients and Hessians; the driver gets the sums. Each view
-is then calibrated by a Platt fit on labelled rows that no round has seen, and the two calibrated log odds are combined
+is then calibrated by a Platt fit on labelled rows that no round has learned from (the gate reads them), and the two calibrated log odds are combined
 by a third Platt fit, with the prior of the labels. All documents are scored; `kept` is score >= THRESHOLD.
 
 Labelled rows are a bounded sample chosen by a hash of the id (LABELLED rows, expected); only their features reach the
