@@ -33,6 +33,15 @@ def list_page(df: DataFrame, user_id: str | None, agent_id: str | None, category
     return page(scope(df, user_id, agent_id, category), limit, offset)
 
 
+def load_ids(df: DataFrame, ranked: DataFrame, user_id: str | None, agent_id: str | None) -> DataFrame:
+    """ranked (query_id, id, score, rank): those ids that are in the scope, with the memories' columns; ranks are counted anew, total is how many of
+    a query's ids there are. Null, unknown and other tenants' ids are left out; an id that is ranked twice comes twice."""
+    rows = ranked.select("query_id", "id", "score", F.col("rank").alias("place")).join(scope(df, user_id, agent_id).select(*COLUMNS), "id")
+    of_query = W.partitionBy("query_id")
+    rank = F.row_number().over(of_query.orderBy("place", "id")).cast("long")
+    return rows.select("query_id", rank.alias("rank"), "score", *COLUMNS, F.count("*").over(of_query).alias("total"))
+
+
 def of_category(df: DataFrame, category: str | None) -> DataFrame:
     """The rows of a category among those found, which leaves fewer."""
     return df.where(F.coalesce("category", F.lit("fact")) == category) if category else df

@@ -296,6 +296,16 @@ def mem_get_source(spark, sf_dir):
     return memory.get_by_source(V.memories(spark, sf_dir, vectors=False, heavy=False), "u1", "coder", "src1.md#L2")
 
 
+@query(f"""WITH {V.MEMORIES_SQL}, ranked AS (SELECT id AS query_id, id + 7 * k AS id, 1.0e0 / (1 + k) AS score, k AS rank FROM memories, (SELECT unnest(range(0, 12)) AS k) WHERE id % {EVERY} = 0)
+ SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, r.id) AS rank, r.score, {", ".join("m." + c.strip() for c in MEM7.split(","))}, count(*) OVER (PARTITION BY r.query_id) AS total FROM ranked r JOIN memories m ON r.id = m.id AND m.user_id = 'u1' AND m.agent_id = 'coder'""")
+def mem_load_ids(spark, sf_dir):
+    """Ranked ids, of which those of one tenant are loaded."""
+    m = V.memories(spark, sf_dir, vectors=False, heavy=False)
+    k = F.col("k")
+    ranked = m.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).select("query_id", (F.col("query_id") + 7 * k).alias("id"), (1.0 / (1 + k)).alias("score"), k.alias("rank"))
+    return memory.load_ids(m, ranked, "u1", "coder")
+
+
 @query(f"""WITH {V.MEMORIES_SQL}, got AS (SELECT * FROM memories WHERE user_id = 'u1' AND agent_id = 'coder' AND source = 'src1.md#L2' ORDER BY id LIMIT 1), no AS (SELECT * FROM memories WHERE user_id = 'nobody')
  SELECT CAST(id AS VARCHAR) AS id, content, source, category, NULL AS error FROM got UNION ALL SELECT NULL, NULL, NULL, NULL, 'Not found' WHERE NOT EXISTS (SELECT 1 FROM got)
  UNION ALL SELECT NULL, NULL, NULL, NULL, 'Not found' WHERE NOT EXISTS (SELECT 1 FROM no)""")

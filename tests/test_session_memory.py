@@ -108,6 +108,15 @@ def test_nearest_equals_all_pairs(spark, monkeypatch):
     assert search.nearest(rows.limit(0), asked).count() == 0 and search.nearest(rows, asked.limit(0)).count() == 0
 
 
+def test_ids_are_loaded_within_a_scope(spark):
+    rows = spark.createDataFrame([(1, "u", "a"), (2, "v", "a"), (3, "u", "a"), (4, None, None)], "id long, user_id string, agent_id string").selectExpr("*", "'fact' category", "'c' content", "'s' source", "'{}' metadata")
+    ranked = spark.createDataFrame([(9, 3, 0.9, 1), (9, 2, 0.8, 2), (9, 1, 0.7, 3), (9, 77, 0.6, 4), (9, None, 0.5, 5), (8, 4, 1.0, 1)], "query_id long, id long, score double, rank int")
+    got = [(r.query_id, r["rank"], r.id, r.score, r.total) for r in memory.load_ids(rows, ranked, "u", "a").orderBy("rank").collect()]
+    assert got == [(9, 1, 3, 0.9, 2), (9, 2, 1, 0.7, 2)]
+    assert [r.id for r in memory.load_ids(rows, ranked, None, "").collect()] == [4]
+    assert memory.load_ids(rows, ranked.limit(0), "u", "a").count() == 0
+
+
 def test_fusion(spark):
     rows = lambda x: spark.createDataFrame([(0, i, s, r + 1) for r, (i, s) in enumerate(x)], "query_id int, id bigint, score double, rank int")
     v, t = rows([(1, 0.9), (2, 0.6), (3, 0.3)]), rows([(2, 4.0), (4, 2.0)])
