@@ -4,11 +4,14 @@ Content view: NGRAMS signed hash sums of the words and word pairs of the whole t
 symbols, capitals, digits, other letters and white space, word length, the share of distinct words and of repeated lines, and lengths. Metadata view: source, language (hashed indicators) and the
 recorded size. Each view has a logistic regression, fitted by Newton's method. Over ROUNDS rounds each view scores all rows
 without labels that no round has taken, labels the most confident positives and negatives, and the other view learns from
-them too. Confident are the rows beyond a quantile of the scores of all these rows: MOVE of POOL rows of each class (MOVE
-rows at least, and all rows that tie with the last), if the view's probability, calibrated on labelled rows that it is not fitted on, is
-CERTAIN or more too: with most labels of one class, a view that says little can still pass that class on. Those of one round, view and class weigh as much as MOVE rows, however many they
-are, so labels keep their weight in a large corpus. Spark sums their gradients and Hessians; the driver gets the sums. Each view
-is then calibrated by a Platt fit on labelled rows that no round has learned from (the gate reads them), and the two calibrated log odds are combined
+them too. Confident are the rows beyond a quantile of the scores of all these rows: 2 MOVE of POOL rows, divided over the classes by
+the prior of the labels (2 MOVE rows at least, and all rows that tie with the last), that pass the view's gate too. The gate reads
+cross-fitted logits of the labelled rows to fit: each of FOLDS parts is scored by a regression without it (with the loss of the rows taken
+so far as its quadratic at the view's weights). A label passes if its calibrated odds are those of CERTAIN or more, and as many times the class's
+prior odds as CERTAIN is of even odds; and if, of the labelled rows beyond that limit, the lower bound (95 %, one-sided) of the share that is right is above the class's share and a half.
+A view passes labels of both classes on, in the prior's ratio, or none. Those of one round and view weigh as much as 2 MOVE rows at most, however many they
+are, so labels keep their weight in a large corpus. Spark sums their gradients and Hessians; the driver gets the sums. Rounds end when neither view passes a label on. Each view
+is then calibrated by a Platt fit on labelled rows that neither regressions nor gates have read, and the two calibrated log odds are combined
 by a third Platt fit, with the prior of the labels. All documents are scored; `kept` is score >= THRESHOLD.
 
 Labelled rows are a bounded sample chosen by a hash of the id (LABELLED rows, expected); only their features reach the
@@ -38,8 +41,11 @@ META_BUCKETS = 64
 #: Hashed word and word-pair features, and their length beside the other features.
 NGRAMS, NGRAM_SCALE = 128, 1.0
 THRESHOLD = 0.5
-#: The least calibrated probability of a pseudo-label.
+#: The least calibrated probability of a pseudo-label; its odds are also the least lift over the prior's odds.
 CERTAIN = 0.9
+FOLDS = 4
+#: Of the one-sided lower bound of a share.
+BOUND_Z = 1.645
 
 _CLASS = np.zeros((256, 5), np.float32)
 _CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-!?()"], 0] = 1
@@ -93,16 +99,20 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3) -> np.ndarray:
-    """Newton's method on the mean log loss; the last weight is the bias."""
+def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, more: tuple | None = None) -> np.ndarray:
+    """Newton's method on the mean log loss; the last weight is the bias. `more` (weights, gradient, Hessian, rows) is the loss of
+    further rows, as its quadratic at those weights, where the search starts."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if more is None else more[0]
+    n = len(y) + (0 if more is None else more[3])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + decay * w
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + (decay + 1e-9) * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
+        g = x.T @ (p - y)
+        h = (x * (p * (1 - p))[:, None]).T @ x
+        if more is not None:
+            g, h = g + more[1] + more[2] @ (w - more[0]), h + more[2]
+        step = np.linalg.solve(h / n + (decay + 1e-9) * np.eye(len(w)), g / n + decay * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -112,36 +122,87 @@ def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def _credible(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The logits up to which and from which a view is sure of 0 and 1, by a Platt fit on labelled rows."""
+def _cross_fitted(x: np.ndarray, y: np.ndarray, more: tuple | None = None) -> np.ndarray | None:
+    """The logit of each row by a regression without its fold; None where a fold leaves one class alone."""
+    fold = np.empty(len(y), np.int64)
+    for c in (0, 1):  # every fold has its part of each class
+        rows = np.flatnonzero(y == c)
+        fold[rows] = np.arange(len(rows)) % FOLDS
+    z = np.zeros(len(y))
+    for f in range(FOLDS):
+        rest = fold != f
+        if len(set(y[rest].tolist())) < 2:
+            return None
+        z[~rest] = _logit(x[~rest], _logistic(x[rest], y[rest], more=more))
+    return z
+
+
+def _least_share(right: int, n: int) -> float:
+    """The lower bound of a share of which `right` of n were seen (Wilson)."""
+    if not n:
+        return 0.0
+    p, zz = right / n, BOUND_Z ** 2
+    return (p + zz / 2 / n - BOUND_Z * np.sqrt(p * (1 - p) / n + zz / 4 / n / n)) / (1 + zz / n)
+
+
+def _gate(z: np.ndarray | None, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """The logits up to which and from which a view may pass on 0 and 1, by its cross-fitted logits; infinite where it may not."""
+    shut = (-np.inf, np.inf)
+    if z is None:
+        return shut
     slope, shift = _logistic(z[:, None], y, 1e-6)
-    sure = np.log(CERTAIN / (1 - CERTAIN))
-    return ((-sure - shift) / slope, (sure - shift) / slope) if slope > 1e-6 else (-np.inf, np.inf)
+    if slope <= 1e-6:
+        return shut
+    share, odds = y.mean(), lambda p: np.log(p / (1 - p))
+    sure = odds(CERTAIN)
+    low = (odds(share) - sure - max(0.0, odds(prior)) - shift) / slope
+    high = (odds(share) + sure + max(0.0, -odds(prior)) - shift) / slope
+    for rows, label, of in ((z <= low, 0, 1 - share), (z >= high, 1, share)):
+        if _least_share(int((y[rows] == label).sum()), int(rows.sum())) <= max(of, 0.5):
+            return shut
+    return low, high
 
 
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, move: int = MOVE) -> dict | None:
-    """Weights of both views, of their calibrations and of the combination; None without both classes."""
+    """Weights of both views, of their calibrations and of the combination, and how many labels each view passed on; None without both classes.
+    The rounds of co_train_all over a pool in memory, with whole rows in place of weights."""
     fit, held = _parts(y)
     if fit is None:
         return None
+    prior = y.mean()
     x = [[v[fit]] for v in views]
     t = [[y[fit]], [y[fit]]]
     free = np.ones(len(pool[0]), bool)
-    models = [_logistic(views[k][fit], y[fit]) for k in (0, 1)]
+    models, passed = [_logistic(views[k][fit], y[fit]) for k in (0, 1)], [0, 0]
     for _ in range(rounds):
         taken = np.zeros(len(free), bool)
         for k in (0, 1):
-            z, sure = _logit(pool[k], models[k]), _credible(_logit(views[k][held], models[k]), y[held])
+            more = _quadratic(np.concatenate(x[k][1:]), np.concatenate(t[k][1:]), models[k]) if len(x[k]) > 1 else None
+            z, limits = _logit(pool[k], models[k]), _gate(_cross_fitted(views[k][fit], y[fit], more), y[fit], prior)
+            label = _taken(z, limits)
             rows = np.flatnonzero(free)
             order = rows[np.argsort(z[rows], kind="stable")]
-            for rows, label in ((order[:move], 0.0), (order[::-1][:move], 1.0)):
-                rows = rows[(z[rows] > 0) & (z[rows] >= sure[1]) if label else (z[rows] < 0) & (z[rows] <= sure[0])]  # only where the view says so
+            want = [2 * move * (1 - prior), 2 * move * prior]
+            found = [side[:int(np.ceil(w))][label[side[:int(np.ceil(w))]] == c] for c, (side, w) in enumerate(zip((order, order[::-1]), want, strict=True))]
+            part = min(1.0, *[len(f) / w for f, w in zip(found, want, strict=True)])
+            found = [f[:int(np.ceil(part * w))] for f, w in zip(found, want, strict=True)] if part else []
+            for c, rows in enumerate(found):
                 x[1 - k].append(pool[1 - k][rows])
-                t[1 - k].append(np.full(len(rows), label))
+                t[1 - k].append(np.full(len(rows), float(c)))
                 taken[rows] = True
+                passed[k] += len(rows)
+        if not taken.any():
+            break
         free &= ~taken
         models = [_logistic(np.concatenate(x[k]), np.concatenate(t[k])) for k in (0, 1)]
-    return _calibrated(views, y, held, models)
+    return _calibrated(views, y, held, models) | {"passed": passed}
+
+
+def _quadratic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple:
+    """The log loss of rows as _logistic takes it beside its own."""
+    x = np.column_stack([x, np.ones(len(x))])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return w, x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x, len(y)
 
 
 def _parts(y: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
@@ -243,34 +304,43 @@ def _sums(taken: DataFrame, models: list[np.ndarray], weights: dict) -> list[tup
     return [(o[:n], o[n:].reshape(n, n)) for o, n in zip(out, sizes, strict=True)]
 
 
-def _learn(views: list[np.ndarray], y: np.ndarray, taken: DataFrame, weights: dict, counts: dict, decay: float = 1e-3) -> list[np.ndarray]:
-    """Both views' regressions over the labelled rows and the sums of those taken, by the steps of _logistic."""
+def _learn(views: list[np.ndarray], y: np.ndarray, taken: DataFrame, weights: dict, counts: dict, start: list[np.ndarray], decay: float = 1e-3) -> tuple[list[np.ndarray], list[tuple]]:
+    """Both views' regressions over the labelled rows and the sums of those taken, by the steps of _logistic from `start`; and the
+    quadratics of those taken."""
     x = [np.column_stack([v, np.ones(len(v))]) for v in views]
-    models = [np.zeros(v.shape[1]) for v in x]
-    n = [len(y) + sum(weights[key] * c for key, c in counts.items() if key[1] == 1 - k) for k in (0, 1)]
+    models = start
+    rows = [sum(weights[key] * c for key, c in counts.items() if key[1] == 1 - k) for k in (0, 1)]
     for _ in range(25):
         more, most, now = _sums(taken, models, weights), 0.0, []
+        quadratics = [(w, *m, r) for w, m, r in zip(models, more, rows, strict=True)]
         for k, w in enumerate(models):
+            n = len(y) + rows[k]
             p = 1 / (1 + np.exp(-np.clip(x[k] @ w, -30, 30)))
-            g = (x[k].T @ (p - y) + more[k][0]) / n[k] + decay * w
-            h = ((x[k] * (p * (1 - p))[:, None]).T @ x[k] + more[k][1]) / n[k] + (decay + 1e-9) * np.eye(len(w))
+            g = (x[k].T @ (p - y) + more[k][0]) / n + decay * w
+            h = ((x[k] * (p * (1 - p))[:, None]).T @ x[k] + more[k][1]) / n + (decay + 1e-9) * np.eye(len(w))
             step = np.linalg.solve(h, g)
             now.append(w - step)
             most = max(most, np.abs(step).max())
         models = now
         if most < 1e-6:
             break
-    return models
+    return models, quadratics
 
 
-def co_train_all(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: DataFrame, rounds: int = ROUNDS) -> dict | None:
-    """co_train over a table of all rows without labels (content, meta); labelled rows are in numpy."""
+def co_train_all(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: DataFrame, rounds: int = ROUNDS, prior: float | None = None) -> dict | None:
+    """co_train over a table of all rows without labels (content, meta); labelled rows are in numpy. prior: the share of 1 among all labels,
+    where y is a sample of other shares."""
     fit, held = _parts(y)
     if fit is None:
         return None
-    models, past, weights, counts, taken = [_logistic(v[fit], y[fit]) for v in views], [], {}, {}, None
+    prior = y.mean() if prior is None else prior
+    models, past, weights, counts, taken, quadratics, passed = [_logistic(v[fit], y[fit]) for v in views], [], {}, {}, None, [None, None], [0, 0]
     n = free.count()
     for r in range(rounds):
+        limits = [_gate(_cross_fitted(views[k][fit], y[fit], quadratics[k]), y[fit], prior) for k in (0, 1)]
+        if np.isinf(limits).all():
+            break
+
         def scores(batch: pa.RecordBatch, models=models, past=tuple(past)) -> dict:
             rows = _free(batch, past)
             return dict(zip(("z0", "z1"), _logits(rows, models), strict=True)) if rows.num_rows else {}
@@ -279,10 +349,14 @@ def co_train_all(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: Data
         left = z.count()
         if not left:
             break
-        share = min(1.0, max(MOVE, n * MOVE / POOL) / left)
-        cut = z.agg(*[F.percentile_approx(f"z{k}", [share, 1 - share], 10000).alias(f"q{k}") for k in (0, 1)]).first()
-        sure = [_credible(_logit(views[k][held], models[k]), y[held]) for k in (0, 1)]
-        limits = [(min(cut[f"q{k}"][0], sure[k][0]), max(cut[f"q{k}"][1], sure[k][1])) for k in (0, 1)]
+        move = 2 * max(MOVE, n * MOVE / POOL)
+        cut = z.agg(*[F.percentile_approx(f"z{k}", [min(1.0, move * (1 - prior) / left), max(0.0, 1 - move * prior / left)], 10000).alias(f"q{k}") for k in (0, 1)]).first()
+        limits = [(min(cut[f"q{k}"][0], limits[k][0]), max(cut[f"q{k}"][1], limits[k][1])) for k in (0, 1)]
+        found = z.agg(*[F.count_if(c).alias(f"n{k}{label}") for k in (0, 1) for label, c in _beyond(k, limits[k])]).first()
+        # labels of both classes or none: a class that isn't found shuts the view's gate for the round
+        limits = [limits[k] if found[f"n{k}0"] and found[f"n{k}1"] else (-np.inf, np.inf) for k in (0, 1)]
+        if np.isinf(limits).all():
+            break
 
         def take(batch: pa.RecordBatch, models=models, past=tuple(past), limits=limits, r=r) -> dict:
             rows = _free(batch, past)
@@ -295,17 +369,26 @@ def co_train_all(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: Data
 
         kind = free.schema["content"].dataType.simpleString()
         got = materialize(_arrow(free, take, f"round int, label0 int, label1 int, content {kind}, meta array<double>"), "ct-taken")
-        for row in got.groupBy("label0", "label1").agg(F.count("*").alias("n")).collect():  # nine rows at most
-            for k in (0, 1):
-                if row[f"label{k}"] >= 0:
-                    key = (r, k, row[f"label{k}"])
-                    counts[key] = counts.get(key, 0) + row["n"]
-        weights |= {key: min(1.0, MOVE / c) for key, c in counts.items() if key[0] == r}
+        for k in (0, 1):
+            if np.isinf(limits[k]).all():
+                continue
+            want = [2 * MOVE * (1 - prior), 2 * MOVE * prior]
+            part = min(1.0, *[found[f"n{k}{c}"] / want[c] for c in (0, 1)])
+            for c in (0, 1):
+                counts[r, k, c] = found[f"n{k}{c}"]
+                weights[r, k, c] = part * want[c] / counts[r, k, c]
+                passed[k] += counts[r, k, c]
         past.append((models, limits))
-        if any(key[0] == r for key in counts):
-            taken = got if taken is None else taken.unionByName(got)
-            models = _learn([v[fit] for v in views], y[fit], taken, weights, counts)
-    return _calibrated(views, y, held, models)
+        taken = got if taken is None else taken.unionByName(got)
+        models, quadratics = _learn([v[fit] for v in views], y[fit], taken, weights, counts, models)
+        quadratics = [q if q[3] else None for q in quadratics]
+    return _calibrated(views, y, held, models) | {"passed": passed}
+
+
+def _beyond(k: int, limits: tuple[float, float]) -> list:
+    """_taken over the column z{k}."""
+    z = F.col(f"z{k}")
+    return [(0, (z <= float(limits[0])) & (z < 0)), (1, (z >= float(limits[1])) & (z > 0))]
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -341,7 +424,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     y = np.array([float(r["kind"]) for r in got])
     views = np.array([r["content"] for r in got]), _dense_meta(np.array([r["meta"] for r in got]))
-    model = co_train_all(views, y, rows.where("kind = 2").select("content", "meta"))
+    model = co_train_all(views, y, rows.where("kind = 2").select("content", "meta"), prior=n[1] / (n[0] + n[1]) if n.get(0) and n.get(1) else None)
     if model and n.get(0) and n.get(1):  # the samples of the classes are of other shares than the labels
         model["shift"] = np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return model

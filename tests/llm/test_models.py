@@ -198,10 +198,40 @@ def test_hashed_ngrams_equal_a_loop():
         assert np.allclose(row, want * co_training.NGRAM_SCALE / max(1, np.sqrt((want ** 2).sum())))
 
 
-def test_a_view_that_says_nothing_passes_nothing_on():
-    rng = np.random.default_rng(9)
-    y = (rng.random(400) < 0.5).astype(float)
-    assert np.isinf(co_training._credible(rng.normal(size=400) * 1e-3, y)).all() or not ((z := rng.normal(size=400)) > co_training._credible(z, y)[1]).any()
+@pytest.mark.parametrize("share", [0.15, 0.5, 0.85])
+def test_a_view_that_says_nothing_passes_nothing_on(share):
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(2400) < share).astype(float)
+        views = rng.normal(y[:, None] * 1.5, 1, (2400, 6)), rng.normal(size=(2400, 8))
+        known, free, held = slice(0, 400), slice(400, 1800), slice(1800, 2400)
+        with_it, without = (co_training.co_train(tuple(v[known] for v in views), y[known], tuple(v[free] for v in views), rounds) for rounds in (5, 0))
+        assert with_it["passed"][1] == 0 and np.isinf(co_training._gate(co_training._cross_fitted(views[1][known], y[known]), y[known], share)).all()
+        errors = [((co_training._logit(views[0][held], m["models"][0]) > 0) != y[held]).sum() for m in (with_it, without)]
+        assert errors[0] <= errors[1]  # nothing has come in, so the view that tells is as it was
+
+
+def test_labels_are_passed_on_in_the_ratio_of_the_prior():
+    rng = np.random.default_rng(3)
+    y = (rng.random(3000) < 0.85).astype(float)
+    views = tuple(rng.normal(y[:, None] * 2.5, 1, (3000, 6)) for _ in range(2))
+    seen = []
+    kept = co_training._logistic
+    try:
+        co_training._logistic = lambda x, t, *a, **k: (seen.append(t), kept(x, t, *a, **k))[1]
+        model = co_training.co_train(tuple(v[:400] for v in views), y[:400], tuple(v[400:] for v in views), rounds=1)
+    finally:
+        co_training._logistic = kept
+    more = max(seen, key=len)[int((np.arange(400) % 3 != 2).sum()):]
+    assert min(model["passed"]) > 0 and abs(more.mean() - y[:400].mean()) < 0.02
+
+
+def test_quadratic_of_taken_rows_is_their_loss_near_the_weights():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 4)), (rng.random(300) < 0.6).astype(float)
+    w = co_training._logistic(x, y)
+    again = co_training._logistic(x[:200], y[:200], more=co_training._quadratic(x[200:], y[200:], w))
+    assert np.abs(again - w).max() < 1e-6
 
 
 def test_co_training_takes_from_all_unlabelled_rows(spark, monkeypatch):
