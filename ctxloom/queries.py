@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import chunk, distill, media, memory, postings, search, session, telemetry, vectors
+from .operators import chunk, decisions, distill, media, memory, postings, search, session, telemetry, vectors
 from .plans import views as V
 from .sources.shared import shared_folder
 from .streaming import sessions, stateful
@@ -592,6 +592,31 @@ def mem_recall_prompt(spark, sf_dir):
     return search.recall_prompt(_found(spark, sf_dir).where("rank <= 3"))
 
 
+#: Six candidates of each hundredth memory: its own text, more of it (twice, the second a retraction for some), other words, and two that another agent says.
+CANDIDATES_SQL = f"""cand AS (SELECT id * 6 + j AS cand_id, user_id, CASE WHEN j < 4 THEN agent_id ELSE 'reader' END AS agent_id, CASE WHEN j IN (1, 2) THEN content || ' more' WHEN j = 3 THEN content || ' again' ELSE content END AS content,
+  embedding, (j = 2 AND id % 300 = 0) OR (j = 5 AND id % 200 = 0) AS retracts FROM memories, (SELECT unnest(range(6)) AS j) WHERE id % {EVERY} = 0)"""
+
+
+@query(f"""WITH {V.MEMORIES_SQL}, {CANDIDATES_SQL},
+ nn AS (SELECT c.cand_id, m.id, list_distance(CAST(m.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS d FROM cand c JOIN memories m ON m.user_id = c.user_id AND m.agent_id = c.agent_id WHERE m.embedding IS NOT NULL AND c.embedding IS NOT NULL),
+ best AS (SELECT cand_id, id FROM nn WHERE d <= {decisions.LIMIT}e0 QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY d, id) = 1),
+ c AS (SELECT cand.*, md5(array_to_string({TERMS.format(c='content')}, ' ')) AS key, best.id FROM cand LEFT JOIN best USING (cand_id)),
+ g AS (SELECT *, CASE WHEN id IS NULL THEN min(cand_id) OVER (PARTITION BY user_id, agent_id, key, id IS NULL) END AS grp FROM c),
+ e AS (SELECT *, coalesce(sum(CAST(retracts AS INT)) OVER (PARTITION BY id, grp ORDER BY cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM g),
+ w AS (SELECT *, coalesce(sum(CAST(NOT retracts AS INT)) OVER (PARTITION BY id, grp, epoch ORDER BY cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  coalesce(sum(CAST(NOT retracts AS INT)) OVER (PARTITION BY id, grp, epoch, key ORDER BY cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS said FROM e),
+ o AS (SELECT w.*, md5(array_to_string({TERMS.format(c='m.content')}, ' ')) AS own, before > 0 OR (epoch = 0 AND w.id IS NOT NULL) AS alive FROM w LEFT JOIN memories m ON m.id = w.id)
+ SELECT cand_id, id, grp AS first_cand, CASE WHEN retracts THEN CASE WHEN alive THEN 'DELETE' ELSE 'NOOP' END WHEN NOT alive THEN 'ADD' WHEN said > 0 OR (epoch = 0 AND own IS NOT DISTINCT FROM key) THEN 'NOOP' ELSE 'UPDATE' END AS action FROM o""")
+def mem_decide(spark, sf_dir):
+    """What a batch of candidate facts does to the memories."""
+    m, j = V.memories(spark, sf_dir), F.col("j")
+    said = F.when(j.isin(1, 2), F.concat("content", F.lit(" more"))).when(j == 3, F.concat("content", F.lit(" again"))).otherwise(F.col("content"))
+    retracts = ((j == 2) & (F.col("id") % 300 == 0)) | ((j == 5) & (F.col("id") % 200 == 0))
+    new = m.where(F.col("id") % EVERY == 0).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        (F.col("id") * 6 + j).alias("cand_id"), "user_id", F.when(j < 4, F.col("agent_id")).otherwise("reader").alias("agent_id"), said.alias("content"), "embedding", retracts.alias("retracts"))
+    return decisions.decide(m, new).select("cand_id", "id", F.col("group").alias("first_cand"), "action")
+
+
 # --- telemetry --------------------------------------------------------------------------------------------------------
 
 MEASURES = "count(*) AS count, CAST(sum(token_count) AS BIGINT) AS total_tokens, round(avg(compression_ratio), 6) AS avg_compression, round(avg(latency_ms), 6) AS avg_latency_ms, CAST(sum(oom_fallback_count) AS BIGINT) AS oom_count"
