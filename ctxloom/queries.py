@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import chunk, decisions, distill, media, memory, postings, search, session, telemetry, vectors
+from .operators import boilerplate, chunk, decisions, distill, media, memory, passages, postings, search, session, telemetry, vectors
 from .plans import views as V
 from .sources.shared import shared_folder
 from .streaming import sessions, stateful
@@ -617,6 +617,66 @@ def mem_decide(spark, sf_dir):
     return decisions.decide(m, new).select("cand_id", "id", F.col("group").alias("first_cand"), "action")
 
 
+# --- passages and boilerplate -----------------------------------------------------------------------------------------
+
+PIECES = "regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+')"
+PASSAGES_SQL = f"""pieces AS (SELECT doc_id, text, {PIECES} AS w FROM documents),
+ starts AS (SELECT doc_id, text, w, unnest(range(0, greatest(len(w) - {passages.OVERLAP}, 1), {passages.SIZE - passages.OVERLAP})) AS i FROM pieces WHERE len(w) > 0),
+ ends AS (SELECT doc_id, i, regexp_replace(array_to_string(w[i + 1:i + {passages.SIZE}], ''), '^[\\x20\\x09-\\x0D]+', '') AS t, CAST(list_sum(list_transform(w[:i + {passages.SIZE}], lambda x: length(x))) AS BIGINT) AS stop FROM starts),
+ passages AS (SELECT doc_id, CAST(i // {passages.SIZE - passages.OVERLAP} AS BIGINT) AS passage, stop - length(t) AS first, stop AS last, sha256(t) AS hash, t AS text FROM ends)"""
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = passages.passages(_docs(spark, sf_dir))
+    return p.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("passage", "first", "last")], "hash", "text")
+
+
+@query(f"WITH {PASSAGES_SQL} SELECT doc_id, passage, first, last, hash FROM passages")
+def doc_passages(spark, sf_dir):
+    return _passages(spark, sf_dir).drop("text")
+
+
+#: The 16 counts of a passage's words by the first digit of their MD5, a model that SQL has too.
+COUNTS_SQL = "array_to_string(list_transform(range(0, 16), lambda b: len(list_filter(regexp_extract_all({c}, '[^\\x20\\x09-\\x0D]+'), lambda w: strpos('0123456789abcdef', md5(w)[1]) = b + 1))), ',')"
+
+
+def _digit_counts(df: DataFrame) -> DataFrame:
+    digits = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.conv(F.substring(F.md5(w), 1, 1), 16, 10).cast("int"))
+    return df.withColumn("embedding", X.let(digits, lambda d: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.size(F.filter(d, lambda x: x == b)).cast("float"))))
+
+
+@query(f"""WITH {PASSAGES_SQL}, h AS (SELECT hash, any_value(p.text) AS text, count(*) AS passages, min(CASE WHEN d.lang = 'en' THEN 1 ELSE 2 END) AS batch FROM passages p JOIN documents d USING (doc_id) GROUP BY hash)
+ SELECT hash, passages, CAST(batch AS INT) AS batch, {COUNTS_SQL.format(c='text')} AS counts FROM h""")
+def embed_passages_once(spark, sf_dir):
+    """English documents come first, then all: what each passage's hash got, and in which batch it was embedded."""
+    docs = _docs(spark, sf_dir)
+    cache = passages.EmbeddingCache(spark, shared_folder(spark, "embeddings"))
+    for arrived in (docs.where("lang = 'en'"), docs):
+        cache.add(passages.passages(arrived), _digit_counts)
+    n = passages.passages(docs).groupBy("hash").agg(F.count("*").alias("passages"))
+    return cache.embedded(n).select("hash", "passages", "batch", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("counts"))
+
+
+LINES_SQL = f"""lines AS (SELECT DISTINCT doc_id, coalesce(source, '') AS source, trim(unnest(string_split(text, chr(10))), ' \t\r\v\f') AS line FROM documents),
+ n AS (SELECT coalesce(source, '') AS source, count(*) AS docs FROM documents GROUP BY 1),
+ b AS (SELECT source, line, count(*) AS documents, any_value(n.docs) AS docs FROM lines JOIN n USING (source) WHERE line <> '' GROUP BY source, line HAVING count(*) >= {boilerplate.LEAST} AND count(*) * 100 >= {boilerplate.PERCENT} * any_value(n.docs))"""
+
+
+@query(f"WITH {LINES_SQL} SELECT source, line, documents, docs FROM b")
+def boilerplate_lines(spark, sf_dir):
+    """The lines that many documents of a source have."""
+    return boilerplate.common_lines(_docs(spark, sf_dir)).select("source", "line", "documents", "docs")
+
+
+@query(f"""WITH {LINES_SQL}, held AS (SELECT source, list(line) AS held FROM b GROUP BY source),
+ d AS (SELECT doc_id, string_split(text, chr(10)) AS l, coalesce(held, []) AS held FROM documents LEFT JOIN held ON held.source = coalesce(documents.source, ''))
+ SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT list_contains(held, trim(x, ' \t\r\v\f'))), chr(10)) AS text, CAST(len(l) - len(list_filter(l, lambda x: NOT list_contains(held, trim(x, ' \t\r\v\f')))) AS BIGINT) AS n_removed FROM d""")
+def boilerplate_strip(spark, sf_dir):
+    """Documents without the lines that many documents of their source have."""
+    docs = _docs(spark, sf_dir)
+    return boilerplate.stripped(docs, boilerplate.common_lines(docs)).select("doc_id", "text", "n_removed")
+
+
 # --- telemetry --------------------------------------------------------------------------------------------------------
 
 MEASURES = "count(*) AS count, CAST(sum(token_count) AS BIGINT) AS total_tokens, round(avg(compression_ratio), 6) AS avg_compression, round(avg(latency_ms), 6) AS avg_latency_ms, CAST(sum(oom_fallback_count) AS BIGINT) AS oom_count"
