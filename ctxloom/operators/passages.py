@@ -59,9 +59,10 @@ class EmbeddingCache(Batches):
         return self._known().groupBy("hash").agg(F.min_by(F.struct("embedding", "batch"), "batch").alias("x")).select("hash", "x.*")
 
     def unseen(self, texts: DataFrame) -> DataFrame:
-        """hash, text: one row for each hash of texts (hash, text) that is not stored. Copies meet before they are shuffled."""
-        new = texts.select("hash", "text").where("hash is not null").join(self._known().select("hash"), "hash", "left_anti")
-        return new.groupBy("hash").agg(F.first("text").alias("text"))
+        """hash, text: one row for each hash of texts (hash, text) that is not stored. Copies meet in each task before they are shuffled, so a
+        text that very many rows share is no hot key; the anti join finds both sides dealt by hash."""
+        new = texts.where("hash is not null").groupBy("hash").agg(F.first("text").alias("text"))
+        return new.join(self._known().select("hash").distinct(), "hash", "left_anti")
 
     def add(self, texts: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> int:
         """Embeds what of texts (hash, text) is not stored: `embed` gets (hash, text) and gives `embedding` with it, null where it
