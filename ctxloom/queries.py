@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import boilerplate, chunk, decisions, distill, media, memory, passages, postings, search, session, telemetry, vectors
+from .operators import boilerplate, chunk, decisions, distill, media, memory, passages, postings, promotion, search, session, telemetry, vectors
 from .plans import views as V
 from .sources.shared import shared_folder
 from .streaming import sessions, stateful
@@ -617,6 +617,27 @@ def mem_decide(spark, sf_dir):
     return decisions.decide(m, new).select("cand_id", "id", F.col("group").alias("first_cand"), "action")
 
 
+#: Two batches of accesses: those before this time, and all others, counted at the second time.
+ACCESS_CUT, ACCESS_END = 1704844800, 1706745600
+WORTH_SQL = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in promotion.IMPORTANCE.items()) + f" ELSE {promotion.OTHER}e0 END"
+
+
+@query(f"""WITH {V.MEMORIES_SQL}, w AS (SELECT CAST(floor(event_id / 10) AS BIGINT) + 1 AS id, sum(pow(2.0e0, -({ACCESS_END} - epoch(date_trunc('second', ts))) / {promotion.HALF_LIFE}.0e0)) AS weight FROM events GROUP BY 1),
+ c AS (SELECT * FROM memories WHERE id % {EVERY} = 0),
+ u AS (SELECT c.id, min(list_distance(CAST(m.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) AS d FROM c JOIN memories m ON m.user_id = c.user_id AND m.agent_id = c.agent_id AND m.id <> c.id WHERE m.embedding IS NOT NULL AND c.embedding IS NOT NULL GROUP BY c.id),
+ p AS (SELECT c.id, {WORTH_SQL} AS importance, coalesce(weight / (1 + weight), 0) AS persistence, least(coalesce(d, 1), 1) AS uniqueness FROM c LEFT JOIN u ON u.id = c.id LEFT JOIN w ON w.id = c.id)
+ SELECT id, importance, round(persistence, 6) AS persistence, round(uniqueness, 6) AS uniqueness, round({promotion.WEIGHTS[0]}e0 * importance + {promotion.WEIGHTS[1]}e0 * persistence + {promotion.WEIGHTS[2]}e0 * uniqueness, 6) AS score FROM p""")
+def mem_promotion(spark, sf_dir):
+    """The scores of the query set's memories, the accesses of all counted in two batches."""
+    m = V.memories(spark, sf_dir)
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    log = V.table(spark, sf_dir, "events").select((F.floor(F.col("event_id") / 10) + 1).alias("id"), at.alias("at"))
+    early = F.col("at") < ACCESS_CUT
+    state = promotion.counted(promotion.counted(None, log.where(early), ACCESS_CUT), log.where(~early), ACCESS_END)
+    p = promotion.promoted(m, m.where(F.col("id") % EVERY == 0), state)
+    return p.select("id", "importance", *[F.round(c, 6).alias(c) for c in ("persistence", "uniqueness", "score")])
+
+
 # --- passages and boilerplate -----------------------------------------------------------------------------------------
 
 PIECES = "regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+')"
