@@ -8,11 +8,14 @@ A text's set holds its distinct 4-word shingles (A-Z lower-cased). Two texts are
    results; this one keeps frequent passages out of the sets' beginnings.
 2. Texts with equal sets collapse to one class by a 128-bit set hash. Of each set, the first n - ceil(share * n) + 1 shingles are
    its prefix; two sets that link have a prefix shingle in common. Shingles that one class alone has in its prefix go.
-3. A member meets others at a prefix shingle. What it can share there is at most what is left behind the shingles before it: sets of n and m
-   shingles with l and k left can link only if min(l, k) * (100 + share) >= share * (n + m). Five figures of a shingle's members
-   (smallest and largest sizes and reaches) tell who has no partner there; only the other members' full sets are read from the texts.
+3. A member meets others at a prefix shingle. What it can share where two sets first meet is at most what is left behind the shingles before
+   it: sets of n and m shingles with l and k left can link only if min(l, k) * (100 + share) >= share * (n + m). Of the set whose prefix ends
+   first in the order, shingles that no other prefix holds don't count either: the other set's prefix would hold them. The other set can share
+   them, so one side of a pair is bound with and one without them. Seven figures of a shingle's members (the number that reach their own
+   size, smallest sizes and largest reaches) tell who has no partner there.
 4. Every prefix shingle pairs its members with one centre. Then members of different components meet, those outside the largest
    component against all, in blocks of BLOCK where there are many. Pairs of a component's own members add nothing and are not made.
+   Full sets are read from the texts for members of pairs alone, once for the first pairs and once for what the second ones add.
 5. Pairs are joined in prefix trees: a centre's partners are stored in a tree of their ordered sets, the commonest shingles
    first, so that near copies share long paths. The centre's set descends; the overlap at a node counts for all sets below it, and a subtree
    goes when the overlap and the lengths that remain can't reach the least that its shortest set needs.
@@ -32,7 +35,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -188,40 +191,59 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return out
 
 
+def full_sets(docs: DataFrame, classes: DataFrame, levels: Broadcast, k: int) -> DataFrame:
+    """docs (doc_id, text, h), classes (rep, s1, s2, n_shingles, one) -> the full sets (rep, path) of the classes, read from one text each."""
+    chosen = materialize(classes.select("rep", "s1", "s2", "n_shingles", F.col("one.doc_id").alias("id"), F.col("one.h").alias("th")), "nj-chosen")
+    ids = _small(chosen.select("id", "th"))
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (docs["h"] == ids["th"]), "left_semi").select("text")
+    sets = map_slices(texts, functools.partial(_sets, levels=levels, k=k), "s1 long, s2 long, n_shingles long, path array<long>").groupBy("s1", "s2", "n_shingles").agg(F.first("path").alias("path"))
+    sets = materialize(sets.join(chosen.drop("id", "th"), ["s1", "s2", "n_shingles"]).select("rep", "path"), "nj-sets")
+    drop_tables(chosen)
+    return sets
+
+
 def meeting_members(same: DataFrame, share: int) -> DataFrame:
-    """same (rep, n_shingles, prefix) -> the members (token, rep, n, reach) of prefix shingles who may have a partner there; reach is the
-    size up to which a partner can be."""
+    """same (rep, n_shingles, prefix) -> the members (token, rep, n, reach, wide) of prefix shingles who may have a partner there: `wide` is
+    the size up to which a partner can be, `reach` the same of a partner whose prefix ends no earlier in the order."""
     each = same.select("rep", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
     shared = materialize(each.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token"), "nj-shared")
     known = each.join(shared, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("p"))  # of a set's own prefix
-    alone = F.expr(f"n - (n * {share} + 99) div 100 + 1") - F.size("p")  # what nobody else has comes first and meets nobody
+    alone = F.expr(f"n - (n * {share} + 99) div 100 + 1") - F.size("p")  # in nobody else's prefix; behind it, another set can hold them
     live = known.select("rep", "n", alone.alias("alone"), F.posexplode("p").alias("i", "p"))
-    live = live.select(F.col("p.token").alias("token"), "rep", "n", F.expr(f"(n - alone - i) * {100 + share} div {share} - n").alias("reach"))
+    size = lambda left: F.expr(f"({left}) * {100 + share} div {share} - n")
+    live = live.select(F.col("p.token").alias("token"), "rep", "n", size("n - alone - i").alias("reach"), size("n - p.i").alias("wide"))
     live = materialize(live, "nj-meeting")
 
-    # of two partners, one reaches sets of its own size
+    # of two partners, one reaches sets of its own size; where neither `reach` does, the smaller one's `wide` does
     far = F.col("reach") >= F.col("n")
     of = lambda value, cond, how: how(F.when(cond, F.col(value)))
     stats = live.groupBy("token").agg(
-        F.count_if(far).alias("fars"), of("n", far, F.min).alias("far_least"), of("reach", far, F.max).alias("far_reach"), of("n", ~far, F.min).alias("near_least"), of("reach", ~far, F.max).alias("near_reach"))
-    fits = lambda kind: (F.col(f"{kind}_least") <= F.col("reach")) & (F.col(f"{kind}_reach") >= F.col("n"))
+        F.count_if(far).alias("fars"), *[of(value, cond, how).alias(f"{kind}_{value}") for kind, cond in (("far", far), ("near", ~far)) for value, how in (("n", F.min), ("reach", F.max), ("wide", F.max))])
+    fits = lambda kind: _may_link(F.col("n"), F.col("reach"), F.col("wide"), F.col(f"{kind}_n"), F.col(f"{kind}_reach"), F.col(f"{kind}_wide"))
+    partner = F.coalesce(F.when(far, F.col("fars") > 1).otherwise(fits("far")), F.lit(False)) | F.coalesce(fits("near"), F.lit(False))
     live_at = live
-    live = materialize(live.join(stats, "token").where(F.when(far, (F.col("fars") > 1) | fits("near")).otherwise(fits("far"))).select("token", "rep", "n", "reach"), "nj-live")
+    live = materialize(live.join(stats, "token").where(partner).select("token", "rep", "n", "reach", "wide"), "nj-live")
     drop_tables(shared, live_at)
     return live
 
 
+def _may_link(n: Column, reach: Column, wide: Column, m: Column, other_reach: Column, other_wide: Column) -> Column:
+    """Whether sets of n and m shingles can link where they first meet. What the set with the earlier end of its prefix has there is in the
+    other's prefix or not in the other at all, so its `reach` holds; the other may share what is alone in its prefix, so its `wide` holds."""
+    return ((m <= reach) & (n <= other_wide)) | ((m <= wide) & (n <= other_reach))
+
+
 def apart_pairs(live: DataFrame) -> DataFrame:
-    """live (token, rep, n, reach, part): the pairs (a, b) of different parts that may link, each prefix shingle's members outside its largest part
+    """live (token, rep, n, reach, wide, part): the pairs (a, b) of different parts that may link, each prefix shingle's members outside its largest part
     against all others."""
     sizes = live.groupBy("token", "part").agg(F.count("*").alias("size"))
     groups = sizes.groupBy("token").agg(F.max(F.struct("size", "part")).alias("main"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1")
     groups = materialize(groups.select("token", F.col("main.part").alias("main"), F.ceil((F.col("members") - F.col("main.size")) / F.lit(BLOCK)).cast("int").alias("blocks")), "nj-groups")
     rows = live.join(groups, "token")
-    few = rows.where("part != main").select("token", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("reach").alias("ar"), F.col("part").alias("ap"))
+    few = rows.where("part != main").select("token", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("reach").alias("ar"), F.col("wide").alias("aw"), F.col("part").alias("ap"))
     every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart = (F.col("part") != F.col("ap")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("rep")))
-    pairs = few.join(every, ["token", "block"]).where(apart & (F.col("n") <= F.col("ar")) & (F.col("an") <= F.col("reach")))
+    pairs = few.join(every, ["token", "block"]).where(apart & _may_link(*map(F.col, ("n", "reach", "wide", "an", "ar", "aw"))))
     pairs = materialize(pairs.select("a", F.col("rep").alias("b")).distinct(), "nj-apart")
     drop_tables(groups)
     return pairs
@@ -238,23 +260,20 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataF
     same = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "nj-classes")
     live = meeting_members(same, share)
 
-    # the full sets of those who may have a partner
-    chosen = same.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "s1", "s2", "n_shingles", F.col("one.doc_id").alias("id"), F.col("one.h").alias("th"))
-    chosen = materialize(chosen, "nj-chosen")
-    ids = _small(chosen.select("id", "th"))
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (docs["h"] == ids["th"]), "left_semi").select("text")
-    sets = map_slices(texts, functools.partial(_sets, levels=levels, k=k), "s1 long, s2 long, n_shingles long, path array<long>").groupBy("s1", "s2", "n_shingles").agg(F.first("path").alias("path"))
-    sets = materialize(sets.join(chosen.drop("id", "th"), ["s1", "s2", "n_shingles"]).select("rep", "path"), "nj-sets")
-
     # a star at each prefix shingle, then the pairs between what stays apart
-    centre = live.groupBy("token").agg(F.max(F.struct((F.col("reach") * 1000 / F.col("n")).alias("wide"), (-F.col("rep")).alias("rep"), "n", "reach")).alias("c"))
-    centre = centre.select("token", (-F.col("c.rep")).alias("a"), F.col("c.n").alias("an"), F.col("c.reach").alias("ar"))
-    star = live.join(centre, "token").where((F.col("rep") != F.col("a")) & (F.col("n") <= F.col("ar")) & (F.col("an") <= F.col("reach")))
+    centre = live.groupBy("token").agg(F.max(F.struct((F.col("reach") * 1000 / F.col("n")).alias("far"), (-F.col("rep")).alias("rep"), "n", "reach", "wide")).alias("c"))
+    centre = centre.select("token", (-F.col("c.rep")).alias("a"), F.col("c.n").alias("an"), F.col("c.reach").alias("ar"), F.col("c.wide").alias("aw"))
+    star = live.join(centre, "token").where((F.col("rep") != F.col("a")) & _may_link(*map(F.col, ("n", "reach", "wide", "an", "ar", "aw"))))
     star = materialize(star.select("a", F.col("rep").alias("b")).distinct(), "nj-star")
+    reps = materialize(star.select("a").union(star.select("b")).distinct().toDF("rep"), "nj-reps")
+    sets = full_sets(docs, same.join(reps, "rep", "left_semi"), levels, k)
     links = linked_pairs(star, sets, share)
     parts = materialize(components(links, "nj-cc1"), "nj-parts")
-    placed = materialize(live.join(parts, live.rep == parts.node, "left").select("token", "rep", "n", "reach", F.coalesce("component", "rep").alias("part")), "nj-placed")
-    links = links.unionByName(linked_pairs(apart_pairs(placed), sets, share))
+    placed = materialize(live.join(parts, live.rep == parts.node, "left").select("token", "rep", "n", "reach", "wide", F.coalesce("component", "rep").alias("part")), "nj-placed")
+    pairs = apart_pairs(placed)
+    more = pairs.select("a").union(pairs.select("b")).distinct().toDF("rep").join(reps, "rep", "left_anti")
+    sets = sets.unionByName(full_sets(docs, same.join(more, "rep", "left_semi"), levels, k))
+    links = links.unionByName(linked_pairs(pairs, sets, share))
     parts = components(links, "nj-cc2")
 
     classes = same.join(parts, same.rep == parts.node, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("part"), F.col("one.doc_id").alias("id"), "class_size")

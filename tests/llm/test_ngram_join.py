@@ -82,6 +82,20 @@ def test_a_hot_family_of_near_copies_and_repeated_rows(spark):
     assert [r.component_id for r in got if r.doc_id == 5000] == [5000] * 3
 
 
+def test_texts_that_go_on_are_linked(spark):
+    """The longer text's prefix is what it adds, so most of the shorter one's prefix is in no other prefix, but in the longer text."""
+    rng, rows = random.Random(11), []
+    for k in range(120):
+        words = [f"t{k}-{i}" for i in range(rng.randrange(4, 120))]
+        room = (len(words) - 3) * 15 // 85  # so many shingles may come on top
+        rows += [" ".join(words), " ".join([*[f"b{k}-{i}" for i in range(room // 3)], *words, *[f"e{k}-{i}" for i in range(room - room // 3)]])]
+        rows.append(" ".join([*words[:len(words) - room // 2], *[f"z{k}-{i}" for i in range(room // 3)]]))
+    rows = list(enumerate(rows))
+    for parts in (1, 7):  # copies in one slice and apart, which gives different orders
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()}
+        assert got == brute_components(rows)
+
+
 def test_null_ids_and_empty_tables(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (None, "q r s t u"), (None, None), (3, "")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
