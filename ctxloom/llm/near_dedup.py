@@ -185,12 +185,18 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     signed = materialize(map_slices(docs, functools.partial(_sign, chunks=CHUNKS_OF[share]), "doc_id long, h long, n_shingles long, s1 long, s2 long, keys array<long>", most=SMALL_SLICE), "nd-signed")
     one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
     same = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min(one).alias("one"), F.count("*").alias("class_size"), F.first("keys").alias("keys"))
-    same = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "nd-classes")
+    keyed = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "nd-keyed")
+    all_signed, signed = signed, materialize(signed.select("doc_id", "n_shingles", "s1", "s2"), "nd-sums")
+    same = materialize(keyed.drop("keys"), "nd-classes")
+    drop_tables(all_signed)
+    free_shuffles(docs.sparkSession)
 
     # keys of classes that have company
-    keys = materialize(same.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")), "nd-keys")
+    keys = keyed.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"), "nd-shared")
     keys = materialize(keys.join(shared, "key", "left_semi"), "nd-company")
+    drop_tables(keyed, shared)
+    free_shuffles(docs.sparkSession)
 
     # what each candidate shares with any other candidate
     reps = materialize(keys.groupBy("rep").agg(F.first("n").alias("n")), "nd-reps")
@@ -204,7 +210,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     bound = reps.join(alone.groupBy("rep").agg(F.count("*").alias("alone")), "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     bound = materialize(bound.where(F.col("most") * 100 >= F.col("n") * share), "nd-bound")
     live = materialize(keys.select("key", "rep").join(bound, "rep"), "nd-live")
-    drop_tables(shared, keys, reps, chosen)
+    drop_tables(keys, reps, chosen)
     free_shuffles(docs.sparkSession)
 
     # a star in each key, then the pairs between what stays apart

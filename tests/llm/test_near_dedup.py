@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ctxloom.llm import near_dedup
+from ctxloom.llm import common, near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,3 +149,20 @@ def test_prefix_pairs_lose_no_link(spark, monkeypatch):
         want = {(a, b) for a in sets for b in sets if a < b and at[a][0] == at[b][0] and at[a][1] != at[b][1] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])}
         got = {tuple(sorted(r)) for r in near_dedup._confirmed(near_dedup.prefix_pairs(live, frame, share), frame, share).collect()}
         assert got == want and len(want) > 10
+
+
+def test_keys_are_gone_before_full_sets_are_read(spark, monkeypatch):
+    """Signatures' keys, 54 a text in the pipeline, are deleted once those with company are stored."""
+    held, plain = {}, near_dedup.materialize
+
+    def spy(df, name):
+        out = plain(df, name)
+        held[name] = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._tables}
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", spy)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words)), (4, "far from it all, as it is"), (5, None)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert not held["nd-sets"] & {"nd-signed", "nd-keyed", "nd-keys", "nd-shared"}
