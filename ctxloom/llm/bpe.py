@@ -25,7 +25,7 @@ import tempfile
 import unicodedata
 import uuid
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import SMALL_SLICE, column_of, map_slices, materialize
 
 LEXICON_WORDS = 50_000
-#: Pieces whose ids a Python task keeps at most before it starts again.
+#: Units whose ids a Python task keeps at most before those met once go, and pieces before all go.
 CACHE_PIECES = 150_000
+#: Bytes of a piece up to which pieces are merged together.
+SHORT_PIECE = 24
 WORD_END = "</w>"
 #: Separators that str.split() takes for white space and the vocabulary does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -59,6 +61,44 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start:start + size] of each list, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))]
+
+
+class _PairTable:
+    """Numbers of pairs of ids, looked up together: a table with linear probing, at most a quarter full."""
+
+    def __init__(self, numbers: dict[int, int]):
+        self.bits = max(4, (4 * len(numbers)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        key, value = np.fromiter(numbers.keys(), np.int64, len(numbers)), np.fromiter(numbers.values(), np.int64, len(numbers))
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            mine, which = np.unique(slot[free], return_index=True)
+            self.keys[mine], self.values[mine] = key[free[which]], value[free[which]]
+            rest = self.keys[slot] != key
+            key, value, slot = key[rest], value[rest], (slot[rest] + 1) & (1 << self.bits) - 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, key: np.ndarray, none: int) -> np.ndarray:
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], none)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (1 << self.bits) - 1
+            there = self.keys[slot[open_]]
+            same = there == key[open_]
+            out[open_[same]] = self.values[slot[open_[same]]]
+            open_ = open_[~same & (there >= 0)]
+        return out
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -69,11 +109,14 @@ class Vocabulary:
         self._made = [self.ids[a + b] for a, b in merges]
         self._inner = [self.ids[c] for c in byte_characters()]
         self._last = [self.ids[c + WORD_END] for c in byte_characters()]
+        self._ranks = _PairTable(self._rank)
+        self._made_ids, self._inner_ids, self._last_ids = (np.array(x, np.int64) for x in (self._made, self._inner, self._last))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.tokens = [""] * size
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = token
+        self._utf8 = [t.encode() for t in self.tokens]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(pattern.replace("[^\\s", f"[^{SPACE}"))
         self._special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
@@ -144,9 +187,65 @@ class Vocabulary:
                     heapq.heappush(heap, (rank[k], a, k))
         return [x for x, on in zip(ids, live, strict=True) if on]
 
+    def merge_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids): what `merge` gives for each piece; short pieces take their merges together, one a piece and round."""
+        data = [p.encode() for p in pieces]
+        length = np.fromiter(map(len, data), np.int64, len(data))
+        short = length <= SHORT_PIECE
+        long = [self.merge(p) for p in compress(pieces, (~short).tolist())]
+        size = np.zeros(len(data), np.int64)
+        size[~short] = np.fromiter(map(len, long), np.int64, len(long))
+        raw, n = np.frombuffer(b"".join(compress(data, short.tolist())), np.uint8), length[short]
+        ids = self._inner_ids[raw]
+        ends = np.cumsum(n)
+        ids[ends - 1] = self._last_ids[raw[ends - 1]]
+        none, piece = len(self._made), np.arange(len(n))
+        rank = self._ranks.get(ids[:-1] << 32 | ids[1:], none) if len(ids) else ids
+        rank = np.append(rank, none) if len(ids) else rank
+        rank[ends - 1] = none
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(n):
+            first = np.cumsum(n) - n
+            best = np.minimum.reduceat(rank, first)
+            on = best < none
+            if not on.all():
+                each = np.repeat(on, n)
+                done.append((piece[~on], n[~on], ids[~each]))
+                ids, rank, piece, n, best = ids[each], rank[each], piece[on], n[on], best[on]
+                if not len(n):
+                    break
+                first = np.cumsum(n) - n
+            at = np.flatnonzero(rank == np.repeat(best, n))
+            of = np.searchsorted(first, at, side="right")
+            at = at[np.diff(of, prepend=0) > 0]  # the leftmost of each piece
+            ids[at], rank[at] = self._made_ids[best], rank[at + 1]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            last = at + 1 == first + n - 1
+            ids, rank, n = ids[stays], rank[stays], n - 1
+            at = at - np.arange(len(at))
+            first = np.cumsum(n) - n
+            rank[at[last]] = none
+            right, left = at[~last], at[at > first]
+            rank[right] = self._ranks.get(ids[right] << 32 | ids[right + 1], none)
+            rank[left - 1] = self._ranks.get(ids[left - 1] << 32 | ids[left], none)
+        where = np.concatenate([x[0] for x in done]) if done else piece
+        held = np.concatenate([x[1] for x in done]) if done else n
+        flat = np.concatenate([x[2] for x in done]) if done else ids
+        order = np.argsort(where)
+        flat = _gather(flat, (np.cumsum(held) - held)[order], held[order])
+        size[short] = held[order]
+        out, of_short = np.empty(int(size.sum()), np.uint32), np.repeat(short, size)
+        out[of_short] = flat
+        out[~of_short] = np.fromiter(chain.from_iterable(long), np.uint32, len(out) - len(flat))
+        return size, out
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
+    def decode_utf8(self, ids: list[int]) -> bytes:
+        return b" ".join(map(self._utf8.__getitem__, ids))
+
 
 class Transducer:
     """A minimal acyclic automaton of byte strings whose arcs' numbers add up to a word's rank; ranks have id lists."""
@@ -249,49 +348,96 @@ class _Numbered(dict):
         return n
 
 
+class _Lists:
+    """Lists of ids in one array, by number."""
+
+    def __init__(self, size: np.ndarray | None = None, flat: np.ndarray | None = None):
+        self.size = np.zeros(0, np.int64) if size is None else size
+        self.flat = np.zeros(0, np.uint32) if flat is None else flat
+        self.start = np.cumsum(self.size) - self.size
+
+    def take(self, rows: np.ndarray) -> _Lists:
+        size = self.size[rows]
+        return _Lists(size, _gather(self.flat, self.start[rows], size))
+
+    def append(self, more: _Lists) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + more.start])
+        self.size = np.concatenate([self.size, more.size])
+        self.flat = np.concatenate([self.flat, more.flat])
+
+
 class Encoder:
     """Ids of texts: units in the cache, their pieces in the cache, then in the lexicon, then by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.pieces = _Numbered(), {}
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.ids, self.uses = _Numbered(), _Lists(), np.zeros(0, np.int64)
+        self.pieces, self.piece_ids = _Numbered(), _Lists()
+
+    def _shrink(self) -> None:
+        """Units met once go, and all but the CACHE_PIECES / 2 most used of the others; counts of use are halved, so that old ones fade."""
+        rows = np.flatnonzero(self.uses > 1)
+        if len(rows) > CACHE_PIECES // 2:
+            rows = np.sort(rows[np.argsort(-self.uses[rows], kind="stable")[:CACHE_PIECES // 2]])
+        chosen = np.zeros(len(self.known), bool)
+        chosen[rows] = True
+        self.known = _Numbered(zip(compress(self.known, chosen.tolist()), range(len(rows)), strict=True))
+        self.ids, self.uses = self.ids.take(rows), self.uses[rows] // 2
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces, self.piece_ids = _Numbered(), _Lists()
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Ids of the pieces that are new in the cache."""
+        rank = self.lexicon.rank([p.encode() for p in new]) if self.lexicon is not None else np.full(len(new), -1)
+        found = rank >= 0
+        size = np.zeros(len(new), np.int64)
+        size[~found], merged = self.vocabulary.merge_all(list(compress(new, (~found).tolist())))
+        flat_found = np.zeros(0, np.uint32)
+        if found.any():
+            at = self.lexicon.start[rank[found]].astype(np.int64)
+            size[found] = self.lexicon.start[rank[found] + 1] - at
+            flat_found = _gather(self.lexicon.ids, at, size[found])
+        flat, of_found = np.empty(int(size.sum()), np.uint32), np.repeat(found, size)
+        flat[of_found] = flat_found
+        flat[~of_found] = merged
+        self.piece_ids.append(_Lists(size, flat))
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of the units that are new in the cache."""
-        split = self.vocabulary.pieces
-        parts = [None if u[0] == " " else split(u) for u in new]
-        unseen = sorted({p for part in parts if part for p in part} - self.pieces.keys())
-        rank = self.lexicon.rank([p.encode() for p in unseen]).tolist() if self.lexicon is not None and unseen else [-1] * len(unseen)
-        for piece, r in zip(unseen, rank, strict=True):
-            self.pieces[piece] = self.lexicon.ids[self.lexicon.start[r]:self.lexicon.start[r + 1]].tolist() if r >= 0 else self.vocabulary.merge(piece)
-        lists = []
-        for unit, part in zip(new, parts, strict=True):
-            if part is None:
-                lists.append([self.vocabulary.special[unit[1:]]])
-            else:
-                lists.append(self.pieces[part[0]] if len(part) == 1 else [i for p in part for i in self.pieces[p]])
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))])
+        """Ids of the units that are new in the cache. Their pieces are found in one string of all: a unit holds no white space, and its pieces are all of it."""
+        special = {i: self.vocabulary.special[u[1:]] for i, u in enumerate(new) if u[0] == " "}
+        plain = [u for u in new if u[0] != " "] if special else new
+        pieces = self.vocabulary.pieces(" ".join(plain))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))) + 1
+        had = len(self.pieces)
+        row = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.pieces) > had:
+            self._learn_pieces(list(islice(self.pieces, had, None)))
+        parts = self.piece_ids.take(row)
+        before = np.concatenate([[0], np.cumsum(parts.size)])
+        size = np.diff(before[np.concatenate([[0], last])])
+        flat = parts.flat
+        if special:
+            at = np.fromiter(special, np.int64, len(special))
+            behind = at - np.arange(len(at))  # plain units before each special one
+            flat = np.insert(flat, np.concatenate([[0], np.cumsum(size)])[behind], list(special.values()))
+            size = np.insert(size, behind, 1)
+        self.ids.append(_Lists(size, flat))
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
-            self.clear()
+            self._shrink()
         units = [self.vocabulary.units(t) for t in texts]
         counts = np.fromiter(map(len, units), np.int64, len(units))
         had = len(self.known)
         row = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
         if len(self.known) > had:
             self._learn(list(islice(self.known, had, None)))
-        n, at = self.size[row], self.start[row]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))]
-        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]]) if len(texts) else []
+        self.uses += np.bincount(row, minlength=len(self.uses))
+        got = self.ids.take(row)
+        ends = np.concatenate([[0], np.cumsum(got.size)])
+        return np.split(got.flat, ends[np.cumsum(counts)[:-1]]) if len(texts) else []
 
 
 @lru_cache(2)
@@ -354,8 +500,8 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
         if not digests:
             return out | {"ids": pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids).astype(np.int32))}
         return out | {
-            "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(vocabulary.decode(x.tolist()).encode()).hexdigest() for x in ids],
+            "ids_sha256": [hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(vocabulary.decode_utf8(x.tolist())).hexdigest() for x in ids],
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()

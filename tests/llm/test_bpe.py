@@ -79,3 +79,24 @@ def test_frequent_words_are_exact(spark):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), digests=True).count() == 0
+
+
+def test_used_units_outlive_a_full_cache(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 40)
+    encoder, learned, learn = bpe.Encoder(bpe.Vocabulary(bpe.default_vocabulary()), None), [], bpe.Encoder._learn
+    monkeypatch.setattr(bpe.Encoder, "_learn", lambda self, new: (learned.extend(new), learn(self, new))[1])
+    texts = [f"qwertuio qwertuio <|endoftext|> {' '.join(f'{a}{b}{i}xyz,' for a in 'bcd' for b in 'lmn')}" for i in range(60)]
+    for text in texts:
+        assert encoder.encode([text, None])[0].tolist() == expected(library, text)[0]
+    assert learned.count("qwertuio") == 1 and learned.count("b" + "l1xyz,") == 1
+    assert len(encoder.known) < 80
+
+
+def test_pieces_merged_together_equal_the_library(library):
+    rng = random.Random(5)
+    vocabulary = bpe.Vocabulary(bpe.default_vocabulary())
+    pieces = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for pool in ("abcdeorstn", "aab", "éßñжщ", "你好", "!.-") for _ in range(300)]
+    size, ids = vocabulary.merge_all(pieces)
+    for piece, got in zip(pieces, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+        assert got.tolist() == expected(library, piece)[0], piece
+    assert [len(x) for x in vocabulary.merge_all([])] == [0, 0]
