@@ -505,7 +505,7 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, run, f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"), most=SMALL_SLICE)
+    return map_slices(docs, run, f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"), most=SMALL_SLICE, state=made)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -175,7 +175,7 @@ def predict(docs: DataFrame, net: dict | None, carry: tuple[str, ...] = ("doc_id
         }
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return map_slices(docs, score, f"{', '.join(kinds)}, lang_pred string, score double")
+    return map_slices(docs, score, f"{', '.join(kinds)}, lang_pred string, score double", state=made)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ctxloom.llm import bpe
+from ctxloom.llm import bpe, common
 from ctxloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +107,25 @@ def test_stages_equal_brute_force(spark):
     library.no_truncation()
     library.no_padding()
     assert {r.doc_id: list(r.ids) for r in cp.encoding(spark, got, SF).collect()} == {i: library.encode(t, add_special_tokens=False).ids for i, t in want.items()}
+
+
+def test_workers_get_batches_bounded_by_bytes(spark):
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat(cast(id % 10 as string), 3000) as text")
+
+    def held(part):  # a slice shares its batch's buffers
+        text = part.column(part.schema.get_field_index("text"))
+        return {"size": [text.buffers()[2].size] * part.num_rows}
+
+    sizes = [r["size"] for r in common.map_slices(docs, held, "size long").collect()]
+    assert len(sizes) == 6000 and max(sizes) <= 2 * common.BATCH_BYTES
+
+
+def test_state_goes_at_a_tasks_end(spark):
+    state = {}
+
+    def count(part):
+        state.setdefault("rows", []).append(part.num_rows)
+        return {"seen": [len(state["rows"])] * part.num_rows}
+
+    docs = spark.range(0, 40, 1, 2).selectExpr("id as doc_id", "repeat('x', 1000) as text")
+    assert [r["seen"] for r in common.map_slices(docs, count, "seen long", most=10_000, state=state).collect()] == ([1] * 10 + [2] * 10) * 2
