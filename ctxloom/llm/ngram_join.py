@@ -15,7 +15,9 @@ A text's set holds its distinct 4-word shingles (A-Z lower-cased). Two texts are
    size, smallest sizes and largest reaches) tell who has no partner there.
 4. Every prefix shingle pairs its members with one centre. Then members of different components meet, those outside the largest
    component against all, in blocks of BLOCK where there are many. Pairs of a component's own members add nothing and are not made.
-   Full sets are read from the texts for members of pairs alone, once for the first pairs and once for what the second ones add.
+   Every set has marks, about a bit a shingle, each of which tells whether an odd number of its shingles falls there: sets whose marks differ
+   in x bits differ in x shingles at least, so pairs with too many differing bits can't link and go. Longer marks fold to the length of shorter ones.
+   Full sets are read from the texts for members of the pairs that are left alone, once for the first pairs and once for what the second ones add.
 5. Pairs are joined in prefix trees: a centre's partners are stored in a tree of their ordered sets, the commonest shingles
    first, so that near copies share long paths. The centre's set descends; the overlap at a node counts for all sets below it, and a subtree
    goes when the overlap and the lengths that remain can't reach the least that its shortest set needs.
@@ -87,13 +89,24 @@ def prefix_length(n: np.ndarray, share: int) -> np.ndarray:
     return n - (n * share + 99) // 100 + 1
 
 
+def parity_marks(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, first): for each set a power of two of 64-bit words with a bit a shingle or more; a bit tells whether an odd number of shingles falls there."""
+    n = np.diff(first)
+    words = 1 << np.ceil(np.log2(np.maximum(-(-n // 64), 1))).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    bit = (wh.mix(h + _U(0x2545F491)) >> _U(1)).astype(np.int64) & np.repeat(words * 64 - 1, n)
+    odd = np.bincount(np.repeat(ends[:-1] * 64, n) + bit, minlength=ends[-1] * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), ends
+
+
 def _sign(batch: pa.RecordBatch, levels: Broadcast, k: int, share: int) -> dict:
     h, first = distinct_shingles(column_of(batch, "text"), k)
     n, s1, s2 = _sums(h, first)
     keys = order_keys(h, levels.value)
     parts = [np.sort(keys[a:a + size])[:p] for a, size, p in zip(first, n, prefix_length(n, share), strict=False) if size]
     ends = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix_length(n, share), 0))])
-    return {**{c: column_of(batch, c) for c in ("doc_id", "h")}, "n_shingles": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "prefix": _lists(np.concatenate(parts) if parts else keys, ends)}
+    return {**{c: column_of(batch, c) for c in ("doc_id", "h")}, "n_shingles": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "prefix": _lists(np.concatenate(parts) if parts else keys, ends),
+            "marks": _lists(*parity_marks(h, first))}
 
 
 def _sets(batch: pa.RecordBatch, levels: Broadcast, k: int) -> dict:
@@ -176,6 +189,19 @@ def _join(rows: pa.Table, share: int) -> pa.Table:
     return rows.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
 
+def close_pairs(pairs: DataFrame, same: DataFrame, share: int) -> DataFrame:
+    """pairs (a, b), same (rep, n_shingles, marks, ...) -> the pairs whose marks leave room for a link."""
+    reps = materialize(pairs.select("a").union(pairs.select("b")).distinct().toDF("rep"), "nj-met")
+    marks = materialize(same.join(_small(reps), "rep", "left_semi").select("rep", "n_shingles", "marks"), "nj-marks")
+    of = lambda side: marks.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("marks").alias(f"m{side}"))
+    fold = lambda m: f"aggregate(sequence(i, size({m}) - 1, least(size(ma), size(mb))), 0L, (x, j) -> x ^ {m}[j])"
+    apart = F.expr(f"aggregate(sequence(0, least(size(ma), size(mb)) - 1), 0, (s, i) -> s + bit_count({fold('ma')} ^ {fold('mb')}))")
+    both = F.col("na") + F.col("nb")
+    out = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where((both - apart) * (100 + share) >= both * (2 * share)).select("a", "b"), "nj-close")
+    drop_tables(reps, marks)
+    return out
+
+
 def linked_pairs(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """pairs (a, b), sets (rep, path) -> the pairs (u, v) that link; partners of one centre in trees of about BLOCK."""
     blocks = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "nj-blocks")
@@ -254,9 +280,9 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     since = mark()
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
-    signed = materialize(map_slices(docs, functools.partial(_sign, levels=levels, k=k, share=share), "doc_id long, h long, n_shingles long, s1 long, s2 long, prefix array<long>"), "nj-signed")
+    signed = materialize(map_slices(docs, functools.partial(_sign, levels=levels, k=k, share=share), "doc_id long, h long, n_shingles long, s1 long, s2 long, prefix array<long>, marks array<long>"), "nj-signed")
     one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
-    same = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min(one).alias("one"), F.count("*").alias("class_size"), F.first("prefix").alias("prefix"))
+    same = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min(one).alias("one"), F.count("*").alias("class_size"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     same = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "nj-classes")
     live = meeting_members(same, share)
 
@@ -265,14 +291,15 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataF
     centre = centre.select("token", (-F.col("c.rep")).alias("a"), F.col("c.n").alias("an"), F.col("c.reach").alias("ar"), F.col("c.wide").alias("aw"))
     star = live.join(centre, "token").where((F.col("rep") != F.col("a")) & _may_link(*map(F.col, ("n", "reach", "wide", "an", "ar", "aw"))))
     star = materialize(star.select("a", F.col("rep").alias("b")).distinct(), "nj-star")
+    star = close_pairs(star, same, share)
     reps = materialize(star.select("a").union(star.select("b")).distinct().toDF("rep"), "nj-reps")
     sets = full_sets(docs, same.join(reps, "rep", "left_semi"), levels, k)
     links = linked_pairs(star, sets, share)
     parts = materialize(components(links, "nj-cc1"), "nj-parts")
     placed = materialize(live.join(parts, live.rep == parts.node, "left").select("token", "rep", "n", "reach", "wide", F.coalesce("component", "rep").alias("part")), "nj-placed")
-    pairs = apart_pairs(placed)
-    more = pairs.select("a").union(pairs.select("b")).distinct().toDF("rep").join(reps, "rep", "left_anti")
-    sets = sets.unionByName(full_sets(docs, same.join(more, "rep", "left_semi"), levels, k))
+    pairs = close_pairs(apart_pairs(placed), same, share)
+    met = materialize(pairs.select("a").union(pairs.select("b")).distinct().toDF("rep"), "nj-met")
+    sets = sets.join(_small(met), "rep", "left_semi").unionByName(full_sets(docs, same.join(met.join(reps, "rep", "left_anti"), "rep", "left_semi"), levels, k))
     links = links.unionByName(linked_pairs(pairs, sets, share))
     parts = components(links, "nj-cc2")
 

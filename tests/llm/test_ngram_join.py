@@ -127,3 +127,27 @@ def test_tree_shares_and_prunes():
         node.of = node.of.view(Counted)
     ngram_join.search(root, np.array([1, 2, 3, 4, 5], np.uint64), 60)
     assert Counted.reads == 2  # one look at the path that three sets share, one at the other
+
+
+def test_marks_keep_every_link_and_drop_far_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = []
+    for _ in range(10):  # two texts share 75 %, and each the rest with a third one
+        most, one, two = some(180), some(30), some(30)
+        texts += [most + one, most + two, some(180) + one, some(180) + two, most[:90] + ["extra"] + most[90:] + one]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(zip(*[t.split()[j:] for j in range(4)])) for t in texts]
+    linked = {(i, j) for i in range(50) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    looked, linked_pairs = [], ngram_join.linked_pairs
+    monkeypatch.setattr(ngram_join, "linked_pairs", lambda pairs, *rest: (looked.append(pairs.count()), linked_pairs(pairs, *rest))[1])
+    out = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(linked) == 10 and all(out[i] == j == out[j] for i, j in linked) and sum(i == c for i, c in out.items()) == 40
+    assert len(linked) <= sum(looked) <= 2 * len(linked)  # each one way or both
+
+    h = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
+    marks, first = ngram_join.parity_marks(np.concatenate([h[:2000], h[1000:], h[:1900], h[:1]]), np.array([0, 2000, 4000, 4000, 5900, 5901]))
+    assert np.diff(first).tolist() == [32, 32, 1, 32, 1] and not marks[64]
+    bits = lambda i, j: sum(int(x).bit_count() for x in (marks[first[i]:first[i + 1]] ^ marks[first[j]:first[j + 1]]).view(np.uint64))
+    assert 500 < bits(0, 1) <= 2000 and 50 < bits(0, 3) <= 100 and bits(2, 4) == 1
