@@ -14,8 +14,10 @@ the raw documents, and line dedup removes 665 documents that are copies as a who
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ NEAR_SHARE = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The column of row keys inside a stage.
 ROW = "__row"
+#: The columns of a row's file and of its place there, and the rows that a file can have: keys are file number * FILE_ROWS + place.
+FILE, PLACE, FILE_ROWS = "__file", "__place", 1 << 40
 #: Keys of removed rows or groups up to this many are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -62,8 +66,33 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 
 
 def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs, stored with a key of its own for each row: ids can be null or shared."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """docs with a key of its own for each row: ids can be null or shared. Rows of a stored table are known by their file's number and their
+    place in it, without a copy; any other frame is stored with its keys, as it may give other rows when it is read again."""
+    files = _plain_files(docs)
+    if files is None:
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    at = F.col("_metadata")
+    placed = files.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(files.columns, docs.columns, strict=True)], at["file_path"].alias(FILE), at["row_index"].alias(PLACE))
+    paths = sorted(r[0] for r in placed.select(FILE).distinct().collect())  # the driver has listed them anyway
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"{ROW} long, {FILE} string")
+    keyed = placed.join(F.broadcast(numbers), FILE)
+    return keyed.select(*docs.columns, (F.col(ROW) * FILE_ROWS + F.col(PLACE)).alias(ROW))
+
+
+def _plain_files(docs: DataFrame) -> DataFrame | None:
+    """The table of Parquet files, in one folder or one file, that docs reads whole and as they are, but for names of columns; None where docs is
+    anything else. Frames are the same only if their paths are spelt alike, with the store's name or without."""
+    paths = docs.inputFiles()
+    roots = {p.rpartition("/")[0] for p in paths}
+    for root in [r for at in (roots, set(paths)) if len(at) == 1 for r in (*at, re.sub(r"^\w+://[^/]*", "", *at))]:
+        try:
+            files = docs.sparkSession.read.parquet(root)
+            same = files.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(files.columns, docs.columns, strict=True)])
+            if docs.sameSemantics(same):
+                return files
+        except (AnalysisException, ValueError):  # of another format, or other columns
+            continue
+    return None
 
 
 def _small(df: DataFrame) -> DataFrame:

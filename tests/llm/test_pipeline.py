@@ -129,3 +129,21 @@ def test_state_goes_at_a_tasks_end(spark):
 
     docs = spark.range(0, 40, 1, 2).selectExpr("id as doc_id", "repeat('x', 1000) as text")
     assert [r["seen"] for r in common.map_slices(docs, count, "seen long", most=10_000, state=state).collect()] == ([1] * 10 + [2] * 10) * 2
+
+
+def test_a_stored_table_is_not_stored_again(spark):
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, long), (7, long), (7, long), (9, long), *[(i % 4 or None, f"a text of its own with the number {i}") for i in range(40)]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SF, "documents").schema)
+    stored = cp.materialize(docs.repartition(3), "test-stored")
+    names = lambda: {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p, n in common._tables.items() if n >= since}
+    kept = {}
+    for name, frame in (("whole", stored), ("renamed", stored.withColumnRenamed("source", "other")), ("part", stored.where("n_chars > 0")), ("twice", stored.unionByName(stored))):
+        since = common.mark()
+        kept[name] = sorted((r.doc_id or 0, r.text) for r in cp.near_deduplication(spark, frame, SF).collect())
+        kept[name, "leaks"] = cp.decontamination(spark, frame, SF).count()
+        assert ({"cp-near-rows", "cp-leak-rows"} & names() == set()) is (name in ("whole", "renamed")), name
+    assert kept["whole"] == kept["renamed"] == kept["part"] == kept["twice"] == sorted([(7, long), *[(i % 4, t) for i, t in ((i, f"a text of its own with the number {i}") for i in range(40))]])
+    assert kept["whole", "leaks"] == 44 and kept["twice", "leaks"] == 88
+    keyed = cp._keyed(stored, "test-keyed")
+    assert keyed.columns == [*stored.columns, cp.ROW] and keyed.select(cp.ROW).distinct().count() == 44 == keyed.count()
