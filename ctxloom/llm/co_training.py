@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from . import wordhash as wh
-from .common import column_of, map_slices, materialize
+from .common import SMALL_SLICE, column_of, give_back, map_slices, materialize
 
 LABELLED, POOL = 6000, 6000
 ROUNDS, MOVE = 5, 100
@@ -53,7 +53,7 @@ _CLASS[ord("A"):ord("Z") + 1, 1] = 1
 _CLASS[ord("0"):ord("9") + 1, 2] = 1
 _CLASS[128:, 3] = 1
 _CLASS[[ord("!"), ord("?")], 4] = 1
-_LETTER_CLASSES = _CLASS.argmax(1) + _CLASS.any(1)
+_LETTER_CLASSES = (_CLASS.argmax(1) + _CLASS.any(1)).astype(np.uint8)
 
 
 def hashed_ngrams(w: wh.Pieces) -> np.ndarray:
@@ -73,8 +73,10 @@ def content_features(texts: pa.Array) -> np.ndarray:
     sums = np.zeros((n, 5))
     kind = _LETTER_CLASSES[buf]
     for c in range(5):
-        run = np.concatenate([[0], np.cumsum(kind == c + 1)])
+        run = np.zeros(len(buf) + 1, np.int32)  # a batch has less than 2 GB
+        np.cumsum(kind == c + 1, out=run[1:])
         sums[:, c] = (run[offsets[1:]] - run[offsets[:-1]]) / size
+    del kind, run
     w = wh.words(texts, lower=False)
     count = np.diff(w.first)
     start, end, first = wh.split(buf, offsets, wh._NEWLINE)
@@ -271,6 +273,7 @@ def _arrow(df: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        give_back()  # workers live on for later stages
 
     return df.mapInArrow(run, schema)
 
@@ -297,6 +300,7 @@ def _sums(taken: DataFrame, models: list[np.ndarray], weights: dict) -> list[tup
                     total[k] += np.concatenate([x.T @ (weight * (p - label[rows])), ((x * (weight * p * (1 - p))[:, None]).T @ x).reshape(-1)])
         some = [np.flatnonzero(t) for t in total]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i * 2 + k for k, i in enumerate(some)])), pa.array(np.concatenate([t[i] for t, i in zip(total, some, strict=True)]))], names=["k", "v"])
+        give_back()
 
     out = [np.zeros(n + n * n) for n in sizes]
     for row in taken.mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # cells of two matrices at most
@@ -398,7 +402,7 @@ def _features(docs: DataFrame) -> DataFrame:
         return {"doc_id": column_of(batch, "doc_id"), "content": list(content_features(column_of(batch, "text")).astype(np.float32)), "meta": list(meta)}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, run, f"doc_id {kind}, content array<float>, meta array<double>")
+    return map_slices(docs, run, f"doc_id {kind}, content array<float>, meta array<double>", most=SMALL_SLICE)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -447,7 +451,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         return {"doc_id": column_of(batch, "doc_id"), "score": p, "content_score": each[0], "meta_score": each[1], "kept": p >= THRESHOLD}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, run, f"doc_id {kind}, score double, content_score double, meta_score double, kept boolean")
+    return map_slices(docs, run, f"doc_id {kind}, score double, content_score double, meta_score double, kept boolean", most=SMALL_SLICE)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ctxloom.llm import co_training, lang_id, queries, toxicity
+from ctxloom.llm import co_training, common, lang_id, queries, toxicity
 from ctxloom.llm.common import table
 
 DATA = "/root/testdata/sf0.01"
@@ -281,3 +282,21 @@ def test_query_columns(spark, name):
         assert not c or kinds[c.split()[0]] == c.split()[1]
     rows, pages = df.count(), {"op7_html_extraction": "pages", "op8_chat_formatting": "conversations"}
     assert rows > 0 if name.startswith("op6") else rows == table(spark, "/root/testdata/sf0.001", pages.get(name, "documents")).count()
+
+
+def test_quality_features_take_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    text = pa.array([" ".join(f"word{i % 9973}" for i in range(120_000))])
+    co_training.content_features(text)
+    tracemalloc.start()
+    co_training.content_features(text)
+    most = tracemalloc.get_traced_memory()[1] / len(text[0].as_py())
+    tracemalloc.stop()
+    assert most < 30  # bytes a byte of text
+
+    kept, slices = co_training.map_slices, []
+    monkeypatch.setattr(co_training, "map_slices", lambda *a, most=common.SLICE_BYTES, **k: (slices.append(most), kept(*a, most=most, **k))[1])
+    docs = spark.createDataFrame([(1, "a text", "s", "en", 6)], "doc_id long, text string, source string, lang string, n_chars long")
+    assert co_training._features(docs).count() == co_training.score(docs, None).count() == 1
+    assert slices == [common.SMALL_SLICE] * 2
