@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,3 +19,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="ctxloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are done; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
